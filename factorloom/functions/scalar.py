@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 DATE_SENTINELS = (0, 18991231, 19000101, 20991231, 20999999, 99991231, 99999999)
 FLAG_WORDS = ("1", "Y", "TRUE", "T", "YES")
 MARKET_ZONE = "Asia/Shanghai"
+# Fixed values: (symbol prefixes, symbol parts, cost rate); the first match wins.
+COST_RULES = (
+    (("XAU", "XAG"), (), 0.00020),
+    (("US", "JP"), (".cash",), 0.00030),
+)
+DEFAULT_COST = 0.00015
 
 
 def epoch_seconds(df: DataFrame, column: str) -> Column:
@@ -70,23 +76,27 @@ def flag(value: Column) -> Column:
 
 
 def tradability(
-    has_quote: Column, suspended: Column, open_: Column, limit_up: Column, limit_down: Column, margin: float = 0.01
+    open_: Column, volume: Column, amount: Column, suspended: Column, limit_up: Column, limit_down: Column,
+    margin: float = 0.01,
 ) -> dict[str, Column]:
     """buyable/sellable at the open and the reason where not (later reasons win)."""
-    quoted, halted = F.coalesce(has_quote, F.lit(False)), F.coalesce(suspended, F.lit(False))
-    at_up = F.coalesce(open_ >= limit_up - margin, F.lit(False))
-    at_down = F.coalesce(open_ <= limit_down + margin, F.lit(False))
+    quoted = F.coalesce((open_ > 0) & (volume > 0) & (amount > 0), F.lit(False))
+    trading = quoted & ~F.coalesce(suspended, F.lit(False))
+    buyable = trading & F.coalesce(open_ < limit_up - margin, F.lit(False))
+    sellable = trading & F.coalesce(open_ > limit_down + margin, F.lit(False))
 
-    def reason(at_limit: Column, label: str) -> Column:
+    def reason(able: Column, label: str) -> Column:
         return (
-            F.when(at_limit & quoted & ~halted, label).when(halted, "SUSPENDED").when(~quoted, "MISSING_QUOTE")
+            F.when(trading & ~able, label)
+            .when(F.coalesce(suspended, F.lit(False)), "SUSPENDED")
+            .when(~quoted, "MISSING_QUOTE")
         )
 
     return {
-        "can_buy_open": quoted & ~halted & ~at_up,
-        "can_sell_open": quoted & ~halted & ~at_down,
-        "buy_block_reason": reason(at_up, "LIMIT_UP_AT_OPEN"),
-        "sell_block_reason": reason(at_down, "LIMIT_DOWN_AT_OPEN"),
+        "can_buy_open": buyable,
+        "can_sell_open": sellable,
+        "buy_block_reason": reason(buyable, "LIMIT_UP_OPEN"),
+        "sell_block_reason": reason(sellable, "LIMIT_DOWN_OPEN"),
     }
 
 
@@ -137,7 +147,7 @@ def coverage_cause(industry: Column, ret: Column, peers: Column, need: int = 5)
     )
 
 
-def cost_by_class(code: Column, rules: Sequence[tuple[Sequence[str], Sequence[str], float]], default: float) -> Column:
+def cost_by_class(code: Column, rules=COST_RULES, default: float = DEFAULT_COST) -> Column:
     """First matching rule (prefixes, substrings, rate) wins."""
     out = None
     for prefixes, parts, rate in rules:

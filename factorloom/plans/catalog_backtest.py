@@ -9,7 +9,7 @@ from factorloom.functions.features import features
 from factorloom.functions.series import Series
 from factorloom.operators.joins import common_timeline
 from factorloom.plans.catalog_features import ALIGNED_SQL, feature_ctes, final_name
-from factorloom.plans.formula import evaluate, evaluate_restricted, average_rank
+from factorloom.plans.formula import evaluate, evaluate_restricted
 from factorloom.plans.registry import BARS_SQL, query
 from factorloom.plans.research import FACTOR_SQL, PNL_SQL, S, factor_table, pnl
 from factorloom.sources.market import bars_hourly
@@ -67,11 +67,11 @@ def malformed(spark, sf_dir):
     "code:s ts:t factor:d available:t",
     f"""WITH {BARS_SQL}, leaf AS (SELECT code, ts, volume >= 2 AS member,
       CASE WHEN volume >= 2 AND volume % 5 <> 0 THEN close END AS a,
-      CASE WHEN volume >= 2 THEN open - 1 END AS b, ts + INTERVAL 1 MINUTE * volume AS at FROM bars),
+      CASE WHEN volume >= 2 THEN open - 1 END AS b, ts + to_minutes(CAST(volume AS BIGINT)) AS seen FROM bars),
     div AS (SELECT *, CASE WHEN b <> 0 THEN a / b END AS q FROM leaf),
     ranked AS (SELECT *, CASE WHEN q IS NOT NULL THEN (rank() OVER (PARTITION BY ts ORDER BY q NULLS LAST)
       + (count(*) OVER (PARTITION BY ts, q) - 1) / 2.0) / count(q) OVER (PARTITION BY ts) END AS r,
-      max(CASE WHEN q IS NOT NULL THEN at END) OVER (PARTITION BY ts) AS top FROM div)
+      max(CASE WHEN q IS NOT NULL THEN seen END) OVER (PARTITION BY ts) AS top FROM div)
     SELECT code, ts, r * abs(b) AS factor, CASE WHEN r IS NOT NULL THEN top END AS available FROM ranked""",
 )
 def restricted(spark, sf_dir):
@@ -620,7 +620,6 @@ def strategy_pnl(spark, sf_dir):
     return bt.pnl_table(stacked, Series(keys=("strategy", "code")))
 
 
-_WMA_L = "list_transform(range(1, 11), lambda i: w[i])"
 STRATEGY_SQL = f"""{FACTOR_SQL}, wm AS (
   SELECT *, (3 * mom + 2 * coalesce(lag(mom, 1) OVER c, 0.0) + coalesce(lag(mom, 2) OVER c, 0.0)) / 6 AS wma
   FROM mom WINDOW c AS (PARTITION BY code ORDER BY ts)),
@@ -754,19 +753,3 @@ def g10(spark, sf_dir):
 )
 def g10_years(spark, sf_dir):
     return bt.blocks_sum(pnl(spark, sf_dir), bt.PERIODS_PER_YEAR, keep_tail=True)
-
-
-@query(
-    "C19_cost_by_asset_class",
-    "code:s cost:d n:i",
-    f"""WITH {BARS_SQL} SELECT code, CASE WHEN code LIKE 'pur%' OR code LIKE 'XAG%' THEN 0.0005
-      WHEN contains(code, '.cash') OR code LIKE 'e%' OR code LIKE 'US%' THEN 0.0003 ELSE 0.0001 END AS cost, count(*) AS n
-    FROM bars GROUP BY 1, 2""",
-)
-def c19(spark, sf_dir):
-    from factorloom.functions.scalar import cost_by_class
-
-    rules = [(("pur", "XAG"), (), 0.0005), (("e", "US"), (".cash",), 0.0003)]
-    return bars_hourly(spark, sf_dir).groupBy("code", cost_by_class(F.col("code"), rules, 0.0001).alias("cost")).agg(
-        F.count(F.lit(1)).alias("n")
-    )

@@ -150,9 +150,8 @@ def evaluate_restricted(
             )
         else:
             args = [stack.pop() for _ in range(RESTRICTED_ARITY[token])][::-1]
-            df = df.withColumns(
-                {value: _restricted_op(token, [F.col(a) for a, _ in args]), at: _latest([b for _, b in args])}
-            )
+            df = df.withColumn(value, _restricted_op(token, [F.col(a) for a, _ in args]))
+            df = df.withColumn(at, F.when(F.col(value).isNotNull(), _latest([b for _, b in args])))
         stack.append((value, at))
     value, at = stack[0]
     return df.select(*inputs, F.col(value).alias(factor), F.when(F.col(value).isNotNull(), F.col(at)).alias("available"))

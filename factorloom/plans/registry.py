@@ -3,7 +3,8 @@
 A query declares the columns it returns once, as ``name:type`` pairs; both the DataFrame and
 the SQL text are finished with the same projection, so names, types and rounding agree.
 Types: ``s`` text, ``t`` time or date as text, ``i`` integer, ``b`` boolean, ``d`` number
-rounded to 6 decimals, ``c`` number rounded to 3 decimals.
+rounded to 6 decimals, ``c`` number rounded to 3 decimals (half up, by the same arithmetic on
+both sides).
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ def finish(df: DataFrame, columns: str) -> DataFrame:
     for name, kind in _pairs(columns):
         c = F.col(name)
         if kind in _DIGITS:
-            c = F.round(c.cast("double"), _DIGITS[kind]) + F.lit(0.0)
+            scale = 10.0 ** _DIGITS[kind]
+            c = F.floor(c.cast("double") * scale + 0.5) / scale
         elif kind in "st":
             c = c.cast("string")
         elif kind == "i":
@@ -43,7 +45,8 @@ def finish_sql(sql: str, columns: str) -> str:
     out = []
     for name, kind in _pairs(columns):
         if kind in _DIGITS:
-            out.append(f"round(CAST({name} AS DOUBLE), {_DIGITS[kind]}) + 0.0 AS {name}")
+            scale = f"CAST({10 ** _DIGITS[kind]} AS DOUBLE)"
+            out.append(f"floor(CAST({name} AS DOUBLE) * {scale} + CAST(0.5 AS DOUBLE)) / {scale} AS {name}")
         else:
             cast = {"s": "VARCHAR", "t": "VARCHAR", "i": "BIGINT", "b": "BOOLEAN"}[kind]
             out.append(f"CAST({name} AS {cast}) AS {name}")
