@@ -89,6 +89,15 @@ _PANEL_SQL = """{name} AS (
 PANEL_SQL = _PANEL_SQL.format(name="panel", every="month")
 WEEKLY_SQL = _PANEL_SQL.format(name="weekly", every="week")
 
+DESKS_SQL = """panel AS (
+  SELECT l_suppkey % 40 AS code, CAST(date_trunc('week', l_shipdate) AS DATE) AS date,
+         arg_min(l_extendedprice / l_quantity, ROW(l_shipdate, l_orderkey, l_linenumber)) AS open,
+         max(l_extendedprice / l_quantity) AS high, min(l_extendedprice / l_quantity) AS low,
+         arg_max(l_extendedprice / l_quantity, ROW(l_shipdate, l_orderkey, l_linenumber)) AS close,
+         CAST(sum(l_quantity) AS DOUBLE) AS volume, round(sum(l_extendedprice), 6) AS amount,
+         'I' || (l_suppkey % 40 % 4) AS industry
+  FROM lineitem GROUP BY 1, 2, 9)"""
+
 MEMBERS_SQL = """members AS (
   SELECT date, code, amount / total * 100 AS weight_pct FROM (
     SELECT date, code, amount, sum(amount) OVER (PARTITION BY date) AS total,

@@ -80,6 +80,14 @@ def panel(spark: SparkSession, sf_dir: str, every: str = "month") -> DataFrame:
     return bars.join(supplier_industry(spark, sf_dir), "code")
 
 
+def desks(spark: SparkSession, sf_dir: str, count: int = 40, every: str = "week") -> DataFrame:
+    """Weekly bars of ``count`` desks (groups of suppliers) in four industries; nearly every cell is filled."""
+    period = F.date_trunc(every, F.col("day").cast("timestamp")).cast("date").alias("date")
+    rows = trades(spark, sf_dir).withColumn("code", F.col("code") % count)
+    bars = ohlcv(rows, ["code", period], F.col("seq"), F.col("price"), F.sum("quantity"), F.sum("value"))
+    return bars.withColumn("industry", F.concat(F.lit("I"), (F.col("code") % 4).cast("string")))
+
+
 def membership(panel: DataFrame, top: int = 60) -> DataFrame:
     """Members of each date: the ``top`` codes by traded amount, weight = share of the date's amount."""
     from pyspark.sql import Window
