@@ -1,6 +1,6 @@
 """All registered queries: importing the catalogue modules fills the registry."""
 
-from factorloom.plans import catalog_backtest, catalog_features, catalog_ops, catalog_panel, catalog_signals  # noqa: F401
+from factorloom.plans import catalog_backtest, catalog_eval, catalog_features, catalog_ops, catalog_panel, catalog_signals  # noqa: F401
 from factorloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
