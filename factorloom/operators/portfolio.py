@@ -12,3 +12,111 @@ def top_n(df: DataFrame, score: str, n: int, by: Sequence[str] = ("date",), tie:
     """The ``n`` best rows per date, ties by code (a date holds at most one row per code)."""
     order = Window.partitionBy(*by).orderBy(F.desc(score), tie)
     return df.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
+
+
+def rebalance_days(calendar: DataFrame, horizons: Sequence[int]) -> DataFrame:
+    """(horizon, phase, position, date) of every schedule: position mod horizon = phase."""
+    df = calendar.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
+    return df.withColumn("phase", F.col("position") % F.col("horizon"))
+
+
+def stock_day_ledger(
+    scored: DataFrame, calendar: DataFrame, score: str, n: int, horizons: Sequence[int], cost: float, opens: DataFrame
+) -> DataFrame:
+    """(horizon, phase, position, code, weight, gain_return, fee_return) without an order simulator.
+
+    Each schedule buys the top ``n`` at equal weight at the open after its signal date and holds
+    them until its next rebalance.  Fees follow from the change of weights between two
+    rebalances.  ``scored`` and ``opens`` are keyed by (date, code).
+    """
+    days = rebalance_days(calendar, horizons)
+    ranked = top_n(scored.where(F.col(score).isNotNull()), score, n).select("date", "code")
+    picks = ranked.join(days, "date").withColumn(
+        "weight", 1.0 / F.count(F.lit(1)).over(Window.partitionBy("horizon", "phase", "position"))
+    )
+    keys = ["horizon", "phase", "position", "code"]
+    held = picks.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("horizon"))))
+    held = held.select("horizon", "phase", (F.col("position") + F.col("_k")).alias("position"), "code", "weight")
+    last = calendar.agg(F.max("position").alias("p")).scalar()
+    prices = opens.join(calendar, "date").select("code", "position", "open")
+    following = prices.select("code", (F.col("position") - 1).alias("position"), F.col("open").alias("_next"))
+    move = prices.join(following, ["code", "position"]).select("code", "position", (F.col("_next") / F.col("open") - 1).alias("_move"))
+    held = held.where(F.col("position") < last).join(move, ["code", "position"], "left")
+    held = held.select(*keys, "weight", (F.col("weight") * F.coalesce("_move", F.lit(0.0))).alias("gain_return"))
+    # weight changes: each pick adds its weight now and takes it away at the next rebalance
+    at = picks.select("horizon", "phase", (F.col("position") + 1).alias("position"), "code", F.col("weight").alias("_dw"))
+    out = picks.select(
+        "horizon", "phase", (F.col("position") + F.col("horizon") + 1).alias("position"), "code", (-F.col("weight")).alias("_dw")
+    )
+    change = at.unionByName(out).where(F.col("position") < last).groupBy(*keys).agg(F.sum("_dw").alias("_dw"))
+    change = change.select(*keys, F.abs("_dw").alias("turnover"))
+    both = held.join(change, keys, "full_outer").na.fill(0.0, ["weight", "gain_return", "turnover"])
+    return both.withColumn("fee_return", F.col("turnover") * cost)
+
+
+def daily_book(ledger: DataFrame) -> DataFrame:
+    """Daily gross and net return, turnover and exposure of each (horizon, phase)."""
+    return ledger.groupBy("horizon", "phase", "position").agg(
+        F.sum("gain_return").alias("gross_return"),
+        (F.sum("gain_return") - F.sum("fee_return")).alias("net_return"),
+        F.sum("turnover").alias("turnover"),
+        F.sum("weight").alias("exposure"),
+        F.sum("fee_return").alias("cost"),
+    )
+
+
+def replay_performance(daily: DataFrame, by: Sequence[str], annual: int, excess: str = "net_return") -> DataFrame:
+    """Sample-deviation Sharpe of the excess return, annual return, exposure and total cost."""
+    std = F.stddev_samp(excess)
+    days = F.count(F.lit(1))
+    return daily.groupBy(*by).agg(
+        days.alias("days"),
+        F.when(std > 1e-12, F.avg(excess) / std * F.sqrt(F.lit(float(annual)))).alias("sharpe"),
+        F.expm1(F.sum(F.log1p("net_return")) * annual / days).alias("annual_return"),
+        F.avg("exposure").alias("mean_exposure"),
+        F.sum("cost").alias("total_cost"),
+        F.sum("net_return").alias("sum_return"),
+    )
+
+
+def phase_medians(metrics: DataFrame) -> DataFrame:
+    """Median and worst over the phases of each horizon (a handful of rows)."""
+    return metrics.groupBy("horizon").agg(
+        F.median("sharpe").alias("median_sharpe"), F.median("annual_return").alias("median_return"),
+        F.min("sharpe").alias("worst_sharpe"), F.count(F.lit(1)).alias("phases"),
+    )
+
+
+def linked_attribution(ledger: DataFrame, daily: DataFrame) -> DataFrame:
+    """Contribution of every stock-day, linked by the compounded value before the day."""
+    w = Window.partitionBy("horizon", "phase").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    nav = F.exp(F.coalesce(F.sum(F.log1p("net_return")).over(w), F.lit(0.0)))
+    linked = daily.withColumn("link_nav", nav).select("horizon", "phase", "position", "link_nav")
+    joined = ledger.join(linked, ["horizon", "phase", "position"])
+    return joined.withColumn("linked", (F.col("gain_return") - F.col("fee_return")) * F.col("link_nav") / F.col("horizon"))
+
+
+def concentration(contributions: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    """Positive, negative, top-5 and top-10 contribution over one row per (by, code)."""
+    order = Window.partitionBy(*by).orderBy(F.desc(value), "code")
+    ranked = contributions.withColumn("_place", F.row_number().over(order))
+    x = F.col(value)
+    return ranked.groupBy(*by).agg(
+        F.sum(x).alias("total"),
+        F.sum(F.when(x > 0, x).otherwise(0.0)).alias("positive"),
+        F.sum(F.when(x < 0, x).otherwise(0.0)).alias("negative"),
+        F.sum(F.when(F.col("_place") <= 5, x).otherwise(0.0)).alias("top5"),
+        F.sum(F.when(F.col("_place") <= 10, x).otherwise(0.0)).alias("top10"),
+    )
+
+
+def compare_replays(metrics: DataFrame, method: str, baseline: Column) -> DataFrame:
+    """Metric deltas of every method against the baseline method on the same phase."""
+    base = metrics.where(baseline).select(
+        "phase", F.col("sharpe").alias("_s"), F.col("annual_return").alias("_a")
+    )
+    joined = metrics.where(~baseline).join(base, "phase")
+    return joined.select(
+        method, "phase", (F.col("sharpe") - F.col("_s")).alias("sharpe_delta"), (F.col("annual_return") - F.col("_a")).alias("return_delta"),
+        (F.col("sharpe") > F.col("_s")).alias("better"),
+    )

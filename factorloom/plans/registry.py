@@ -46,10 +46,10 @@ def finish_sql(sql: str, columns: str) -> str:
     for name, kind in _pairs(columns):
         if kind in _DIGITS:
             scale = f"CAST({10 ** _DIGITS[kind]} AS DOUBLE)"
-            out.append(f"floor(CAST({name} AS DOUBLE) * {scale} + CAST(0.5 AS DOUBLE)) / {scale} AS {name}")
+            out.append(f"floor(CAST(\"{name}\" AS DOUBLE) * {scale} + CAST(0.5 AS DOUBLE)) / {scale} AS \"{name}\"")
         else:
             cast = {"s": "VARCHAR", "t": "VARCHAR", "i": "BIGINT", "b": "BOOLEAN"}[kind]
-            out.append(f"CAST({name} AS {cast}) AS {name}")
+            out.append(f"CAST(\"{name}\" AS {cast}) AS \"{name}\"")
     return f"SELECT {', '.join(out)} FROM (\n{sql}\n) AS finished"
 
 
