@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from factorloom.functions.series import Series, clamp
+from factorloom.functions.series import Series, clamp, let
 
 
 @dataclass(frozen=True)
@@ -63,8 +63,7 @@ def _delta(d: int):
 
 def _arg(d: int, pick):
     def build(s: Series, x) -> Column:
-        window = s.plist(x, d)
-        return (F.array_position(window, pick(window)) - 1) / float(d - 1)
+        return let(s.plist(x, d), lambda window: (F.array_position(window, pick(window)) - 1) / float(d - 1))
 
     return build
 
@@ -109,14 +108,16 @@ def _zscore(d: int):
 
 def _winsorize(s: Series, x) -> Column:
     """Clamp to the linear 5% / 95% quantiles of the padded 20-row window."""
-    window = F.array_sort(s.plist(x, 20))
 
-    def between(low_index: int, share: float) -> Column:
-        low, high = F.element_at(window, low_index + 1), F.element_at(window, low_index + 2)
-        return low + share * (high - low)
+    def clamped(window: Column) -> Column:
+        def between(low_index: int, share: float) -> Column:
+            low, high = F.element_at(window, low_index + 1), F.element_at(window, low_index + 2)
+            return low + share * (high - low)
 
-    low, high = between(0, 0.95), between(18, 0.05)
-    return F.when(high - low < 1e-9, F.col(x)).otherwise(F.greatest(F.least(F.col(x), high), low))
+        low, high = between(0, 0.95), between(18, 0.05)
+        return F.when(high - low < 1e-9, F.col(x)).otherwise(F.greatest(F.least(F.col(x), high), low))
+
+    return let(F.array_sort(s.plist(x, 20)), clamped)
 
 
 def _mean(d: int):

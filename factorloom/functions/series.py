@@ -113,10 +113,13 @@ class Series:
 
     def prank(self, x: str, d: int) -> Column:
         """Share of the padded window strictly below the current value."""
-        values = F.collect_list(x).over(self.last(d))
-        below = F.size(F.filter(values, lambda v: v < F.col(x)))
-        pads = F.when(F.col(x) > 0, F.lit(d) - F.size(values)).otherwise(F.lit(0))
-        return (below + pads) / float(d)
+
+        def share(values: Column) -> Column:
+            below = F.size(F.filter(values, lambda v: v < F.col(x)))
+            pads = F.when(F.col(x) > 0, F.lit(d) - F.size(values)).otherwise(F.lit(0))
+            return (below + pads) / float(d)
+
+        return let(F.collect_list(x).over(self.last(d)), share)
 
     def pslope(self, x: str, position: str, d: int) -> Column:
         """Least-squares slope of the padded window per step (``position`` is the row number)."""
@@ -125,6 +128,11 @@ class Series:
         return (weighted + centre * self.psum(x, d)) / (d * (d * d - 1) / 12.0 + 1e-9)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often the expression mentions it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def clean(x: Column, nan: float = 0.0, high: float = 0.0, low: float = 0.0) -> Column:
     """Replace NULL/NaN and the infinities by fixed numbers."""
     inf = F.lit(float("inf"))

@@ -52,7 +52,7 @@ def number_rows(
     return numbered.drop("_slice", "_o_rows", *[f"_v_{n}" for n in running], *[f"_o_{n}" for n in running])
 
 
-def split(numbered: DataFrame, halo: int, block_rows: int = 500_000) -> DataFrame:
+def split(numbered: DataFrame, halo: int, block_rows: int = 50_000) -> DataFrame:
     """Assign ``block`` and copy each block's preceding ``halo`` rows into it as ``is_halo``.
 
     ``halo`` must not exceed ``block_rows``: a row then belongs to one block and is copied to at

@@ -15,7 +15,7 @@ from factorloom.plans.catalog_signals import FOLD_SQL, SIGNALS_SQL, rank_sql, st
 from factorloom.plans.registry import BARS_SQL, query
 from factorloom.plans.research import PNL_SQL, pnl
 from factorloom.session import checkpointed
-from factorloom.sources.market import bars_hourly
+from factorloom.sources.market import bars_hourly, panel, stored
 
 NAMES = [f"s_{n}" for n in STRATEGIES]
 
@@ -73,7 +73,7 @@ def paired(spark, sf_dir):
 
 
 def daily_ic(spark, sf_dir):
-    rows = paired(spark, sf_dir)
+    rows = stored(paired(spark, sf_dir))
     old = ev.cross_section_ic(rows, "REV_5", "target")
     new = ev.cross_section_ic(rows, "MOM_20", "target").select("date", F.col("rank_ic").alias("new_ic"))
     return old.join(new, "date")
@@ -241,7 +241,7 @@ def boot_sql(series: str, block: int, samples: int, seed: int) -> str:
       count(*) AS samples FROM st""",
 )
 def v12(spark, sf_dir):
-    series = _numbered(ev.cross_section_ic(paired(spark, sf_dir), "REV_5", "target"))
+    series = stored(_numbered(ev.cross_section_ic(paired(spark, sf_dir), "REV_5", "target")))
     draws = ev.moving_block_bootstrap(series, ["rank_ic"], block=5, samples=400, seed=7)
     return ev.bootstrap_summary(draws.groupBy("draw").agg(F.avg("rank_ic").alias("stat")))
 
@@ -259,7 +259,7 @@ aligned AS (SELECT al.*, baseline FROM al JOIN mb USING (date) WHERE a0 IS NOT N
 
 def phase_returns(spark, sf_dir):
     """Three phases (supplier groups) of monthly mean returns and the market as baseline."""
-    rows = stock_panel(spark, sf_dir).where(F.col("r_1d").isNotNull())
+    rows = stored(stock_panel(spark, sf_dir).where(F.col("r_1d").isNotNull()).select("date", "code", "r_1d"))
     phases = rows.groupBy("date", (F.col("code") % 3).alias("phase")).agg(F.avg("r_1d").alias("net_return"))
     return phases, rows.groupBy("date").agg(F.avg("r_1d").alias("net_return"))
 
@@ -285,7 +285,7 @@ _SH = "CASE WHEN stddev_pop({x}) > 1e-12 THEN avg({x}) / stddev_pop({x}) * sqrt(
 def v13(spark, sf_dir):
     """The same blocks resample every phase and the baseline; statistic = median Sharpe minus baseline Sharpe."""
     names = ["phase_0", "phase_1", "phase_2"]
-    series = _numbered(joins.align_phases(*phase_returns(spark, sf_dir), [0, 1, 2]))
+    series = stored(_numbered(joins.align_phases(*phase_returns(spark, sf_dir), [0, 1, 2])))
     draws = ev.moving_block_bootstrap(series, [*names, "baseline"], block=6, samples=300, seed=11)
     per = draws.groupBy("draw").agg(*[ev.annual_sharpe(n, 12).alias(n) for n in (*names, "baseline")])
     middle = F.element_at(F.array_sort(F.array(*names)), 2)
@@ -438,7 +438,7 @@ def v22(spark, sf_dir):
     wd = Window.partitionBy("date")
     rows = paired(spark, sf_dir)
     rank = {n: sg.rank_pct(F.col(x), wd) for n, x in (("_o", "REV_5"), ("_n", "MOM_20"), ("_t", "target"))}
-    rows = rows.withColumns(rank).withColumn("v", (F.col("_n") - F.col("_o")) * F.col("_t")).withColumn("year", F.year("date"))
+    rows = stored(rows.withColumns(rank).withColumn("v", (F.col("_n") - F.col("_o")) * F.col("_t")).withColumn("year", F.year("date")))
     out = None
     for kind in ("year", "industry", "code"):
         part = ev.leave_one_group_out(rows, kind, "v").withColumn("kind", F.lit(kind))
@@ -456,7 +456,7 @@ def v22(spark, sf_dir):
     SELECT scenario, count(*) AS dates, sum(n) AS rows, avg(ic) AS rank_ic FROM d GROUP BY 1""",
 )
 def v23(spark, sf_dir):
-    rows = paired(spark, sf_dir)
+    rows = stored(paired(spark, sf_dir))
     codes = rows.select("code").distinct()
     removed = codes.where(F.col("code") % 10 == 3).withColumn("scenario", F.lit("drop_mod_10"))
     removed = removed.unionByName(codes.where(F.col("code") % 4 == 1).withColumn("scenario", F.lit("drop_mod_4")))
@@ -473,7 +473,7 @@ def v23(spark, sf_dir):
       (SELECT count(*) FILTER (g = o) FROM y, s) AS years_agreeing""",
 )
 def v24(spark, sf_dir):
-    daily = ev.cross_section_ic(paired(spark, sf_dir), "REV_5", "target")
+    daily = stored(ev.cross_section_ic(paired(spark, sf_dir), "REV_5", "target"))
     overall = daily.agg(F.signum(F.avg("rank_ic")).alias("o")).scalar()
     years = daily.groupBy(F.year("date").alias("y")).agg(F.signum(F.avg("rank_ic")).alias("g"))
     sign = F.signum(F.when(F.abs("rank_ic") < 1e-12, 0.0).otherwise(F.col("rank_ic")))
@@ -658,5 +658,5 @@ def v36(spark, sf_dir):
     WHERE p < sz AND {_LCG.format(h=_LCG.format(h='((x.draw * 1000003 + code * 10007 + 5) % 2147483646 + 1)'))} % sz = p""",
 )
 def v37(spark, sf_dir):
-    meta = stock_panel(spark, sf_dir).groupBy("code").agg(F.first("industry").alias("industry"), F.count(F.lit(1)).alias("member_days"))
+    meta = stored(panel(spark, sf_dir).groupBy("code").agg(F.first("industry").alias("industry"), F.count(F.lit(1)).alias("member_days")))
     return ev.matched_controls(meta, meta.where(F.col("code") % 9 == 0).select("code"), draws=20, seed=5)

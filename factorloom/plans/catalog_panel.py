@@ -14,7 +14,7 @@ from factorloom.plans.research import PNL_SQL, pnl
 from factorloom.sources import bars as src
 from factorloom.sources import store
 from factorloom.sources.market import (
-    bars_hourly, industry_intervals, membership, panel, supplier_industry, table, ticks,
+    bars_hourly, industry_intervals, membership, panel, stored, table, ticks,
 )
 
 DATED = Series(keys=("code",), order="date", at=("date",))
@@ -208,7 +208,7 @@ def s12(spark, sf_dir):
       count(*) AS n_rows, min(date) AS first, max(date) AS last, 0 AS shared FROM panel GROUP BY 1""",
 )
 def s13(spark, sf_dir):
-    df = panel(spark, sf_dir)
+    df = stored(panel(spark, sf_dir))
     parts = store.seal_split(df, F.lit("2000-01-01").cast("date"))
     shared = parts[0].select("date").intersect(parts[1].select("date")).agg(F.count(F.lit(1)).alias("n")).scalar()
     rows = [
@@ -409,7 +409,7 @@ TRADABLE_SQL = f"""{PRE_SQL}, tradable AS (SELECT *, NOT suspended AND coalesce(
 
 
 def tradable(spark, sf_dir):
-    df = with_preclose(panel(spark, sf_dir))
+    df = with_preclose(stored(panel(spark, sf_dir)))
     return df.withColumns(
         scalar.tradability(
             F.col("open"), F.col("volume"), F.col("amount"), F.col("suspended"), F.col("preclose") * 1.1, F.col("preclose") * 0.9
@@ -577,7 +577,7 @@ def j15(spark, sf_dir):
       AND (i.valid_to IS NULL OR cal.date <= i.valid_to)""",
 )
 def j3(spark, sf_dir):
-    calendar = panel(spark, sf_dir).select("date").distinct()
+    calendar = stored(panel(spark, sf_dir).select("date").distinct())
     return joins.expand_intervals(industry_intervals(spark, sf_dir), calendar, "month")
 
 
@@ -601,7 +601,7 @@ def j4(spark, sf_dir):
     f"WITH {PANEL_SQL}, {MEMBERS_SQL} SELECT date, code, close FROM panel WHERE code IN (SELECT code FROM members)",
 )
 def j5(spark, sf_dir):
-    df = panel(spark, sf_dir)
+    df = stored(panel(spark, sf_dir))
     return pn.ever_members(df, membership(df))
 
 
@@ -612,7 +612,7 @@ def j5(spark, sf_dir):
       AND (date, code) NOT IN (SELECT (date, code) FROM members)""",
 )
 def j6(spark, sf_dir):
-    df = panel(spark, sf_dir)
+    df = stored(panel(spark, sf_dir))
     tech = df.where(F.col("industry").isin("ASIA", "EUROPE")).select("date", "code")
     other = df.where(F.col("volume") >= 100).select("date", "code")
     return tech.join(other, ["date", "code"]).join(membership(df), ["date", "code"], "left_anti")
@@ -627,7 +627,7 @@ def j6(spark, sf_dir):
     LEFT JOIN weekly w ON w.date = d.date AND w.code = c.code LEFT JOIN members m ON m.date = d.date AND m.code = c.code""",
 )
 def j7(spark, sf_dir):
-    df = panel(spark, sf_dir, "week")
+    df = stored(panel(spark, sf_dir, "week"))
     members = membership(df).select("date", "code", F.lit(True).alias("is_member"))
     grid = joins.dense_grid(df, "week")
     out = grid.join(df.select("date", "code", "close"), ["date", "code"], "left").join(members, ["date", "code"], "left")
@@ -644,7 +644,7 @@ def j7(spark, sf_dir):
     LEFT JOIN cal e ON e.p = cal.p + 1 LEFT JOIN cal x ON x.p = cal.p + 6""",
 )
 def j8(spark, sf_dir):
-    df = panel(spark, sf_dir, "week").select("code", "date")
+    df = stored(panel(spark, sf_dir, "week")).select("code", "date")
     calendar = joins.number_calendar(df)
     return joins.calendar_offset(df, calendar, {"entry_date": F.lit(1), "exit_date": F.lit(6)})
 
@@ -656,7 +656,7 @@ def j8(spark, sf_dir):
     SELECT w.code, w.date, q.close AS prior FROM weekly w JOIN cal USING (date) LEFT JOIN weekly q ON q.code = w.code AND q.date = pd""",
 )
 def j9(spark, sf_dir):
-    df = panel(spark, sf_dir, "week").select("code", "date", "close")
+    df = stored(panel(spark, sf_dir, "week")).select("code", "date", "close")
     return pn.previous_session(df, joins.number_calendar(df), "close", "prior")
 
 
@@ -667,7 +667,7 @@ def j9(spark, sf_dir):
       count(*) FILTER (code % 7 = 0) AS rows_different FROM panel WHERE month(date) <> 3""",
 )
 def j11(spark, sf_dir):
-    df = panel(spark, sf_dir).select("date", "code", "close")
+    df = stored(panel(spark, sf_dir)).select("date", "code", "close")
     new = df.withColumn("close", F.when(F.col("code") % 7 == 0, F.col("close") + 0.5).otherwise(F.col("close")))
     return joins.reconcile(df, new.where(F.month("date") != 3), ["date", "code"], "close")
 
@@ -679,7 +679,7 @@ def j11(spark, sf_dir):
       count(*) FILTER (code % 9 = 0 AND month(date) <> 2) AS right_only, count(*) FILTER (code % 9 <> 0 AND month(date) <> 2) AS shared FROM panel""",
 )
 def j12(spark, sf_dir):
-    df = panel(spark, sf_dir)
+    df = stored(panel(spark, sf_dir))
     return joins.key_differences(df.where(F.col("code") % 9 != 0), df.where(F.month("date") != 2), ["date", "code"])
 
 
@@ -723,7 +723,7 @@ def g1(spark, sf_dir):
       m AS median_sum, (SELECT sum(weight) FROM w) * CASE WHEN m BETWEEN 0.99 AND 1.01 THEN 100 ELSE 1 END AS scaled_total FROM s""",
 )
 def g2(spark, sf_dir):
-    df = panel(spark, sf_dir)
+    df = stored(panel(spark, sf_dir))
     totals = df.groupBy("date").agg(F.sum("amount").alias("total"))
     weights = df.join(totals, "date").select("date", (F.col("amount") / F.col("total")).alias("weight"))
     sums = weights.groupBy("date").agg(F.sum("weight").alias("d"))
@@ -817,7 +817,7 @@ def g11(spark, sf_dir):
       ELSE 'added' END AS pool_origin, count(*) AS n, 0 AS overlap FROM panel GROUP BY 1""",
 )
 def g12(spark, sf_dir):
-    df = panel(spark, sf_dir)
+    df = stored(panel(spark, sf_dir))
     members = membership(df).select("date", "code")
     rest = df.select("date", "code").join(members, ["date", "code"], "left_anti")
     both = members.withColumn("pool_origin", F.lit("original")).unionByName(rest.withColumn("pool_origin", F.lit("added")))
@@ -916,7 +916,7 @@ spells AS (SELECT *, sum(nw) OVER (PARTITION BY code ORDER BY date) AS spell_id
       max(date) = (SELECT max(date) FROM members) AS censored_at_snapshot_end, count(*) AS n_rows FROM spells GROUP BY 1, 2""",
 )
 def p2(spark, sf_dir):
-    return pn.spell_audit(pn.with_spells(membership(panel(spark, sf_dir)), gap_days=45))
+    return pn.spell_audit(pn.with_spells(membership(stored(panel(spark, sf_dir))), gap_days=45))
 
 
 _CONFLICT_SQL = f"""{INTERVALS_SQL}, conf AS (SELECT code, valid_from, valid_to, industry FROM intervals
@@ -978,8 +978,8 @@ def p6(spark, sf_dir):
     return pn.missing_history(panel(spark, sf_dir), known)
 
 
-def quotes(spark, sf_dir):
-    df = with_preclose(panel(spark, sf_dir))
+def quotes(spark, sf_dir, base=None):
+    df = with_preclose(stored(panel(spark, sf_dir)) if base is None else base)
     pre = df.where(~F.col("suspended")).select("date", "code", "preclose")
     return pn.assemble_quotes(df.drop("preclose"), pre)
 
@@ -1003,8 +1003,8 @@ def p7(spark, sf_dir):
     FROM members m LEFT JOIN q ON q.code = m.code AND q.date = m.date""",
 )
 def p8(spark, sf_dir):
-    members = membership(panel(spark, sf_dir))
-    return pn.member_slice(members, quotes(spark, sf_dir).where(F.month("date") != 11))
+    df = stored(panel(spark, sf_dir))
+    return pn.member_slice(membership(df), quotes(spark, sf_dir, df).where(F.month("date") != 11))
 
 
 @query(
@@ -1153,5 +1153,5 @@ def p16(spark, sf_dir):
     FROM w JOIN cal USING (date) LEFT JOIN weekly q ON q.code = w.code AND q.date = pd""",
 )
 def p17(spark, sf_dir):
-    df = with_preclose(panel(spark, sf_dir, "week")).select("code", "date", "close", "preclose")
+    df = with_preclose(stored(panel(spark, sf_dir, "week"))).select("code", "date", "close", "preclose")
     return pn.session_return(df, joins.number_calendar(df))

@@ -12,7 +12,7 @@ from factorloom.plans.catalog_signals import SIGNALS_SQL, stock_panel
 from factorloom.plans.registry import DESKS_SQL, query
 from factorloom.plans.research import PNL_SQL, pnl
 from factorloom.session import checkpointed
-from factorloom.sources.market import bars_hourly, desks
+from factorloom.sources.market import bars_hourly, desks, stored
 
 HORIZONS = (1, 3)
 TOP = 10
@@ -39,7 +39,7 @@ perf AS (SELECT horizon, phase, count(*) AS days, avg(net_return) / stddev_samp(
 
 
 def ledger(spark, sf_dir, cost=COST, n=TOP):
-    bars = desks(spark, sf_dir)
+    bars = stored(desks(spark, sf_dir))
     calendar = joins.number_calendar(bars)
     # the level of the unit prices jumps between lines; the damped price has returns of a few percent
     opens = bars.select("date", "code", F.pow("open", F.lit(0.05)).alias("open"))
@@ -232,7 +232,7 @@ def a4(spark, sf_dir):
       sum(CASE WHEN abs(dw) > 1e-10 THEN greatest(0, 0.00005 - abs(dw) * 0.00025) ELSE 0 END) AS minimum_extra FROM d GROUP BY 1, 2, 3""",
 )
 def a5(spark, sf_dir):
-    bars = desks(spark, sf_dir)
+    bars = stored(desks(spark, sf_dir))
     days = pf.rebalance_days(joins.number_calendar(bars), HORIZONS)
     ranked = pf.top_n(sg.stock_signals(bars).where(F.col("REV_5").isNotNull()), "REV_5", TOP).select("date", "code")
     count = F.count(F.lit(1)).over(Window.partitionBy("horizon", "phase", "position"))

@@ -14,7 +14,7 @@ from factorloom.plans.catalog_signals import SIGNALS_SQL, stock_panel
 from factorloom.plans.registry import BARS_SQL, MEMBERS_SQL, PANEL_SQL, WEEKLY_SQL, query
 from factorloom.operators import signals as sg
 from factorloom.sources import store
-from factorloom.sources.market import bars_hourly, membership, panel
+from factorloom.sources.market import bars_hourly, membership, panel, stored
 
 
 @query("Q1_schema_contract", "table:s missing:s present:i")
@@ -34,7 +34,7 @@ def q1(spark, sf_dir):
     UNION ALL SELECT 'panel', count(*) - 1, count(*), false FROM panel""",
 )
 def q2(spark, sf_dir):
-    tables = {"bars": bars_hourly(spark, sf_dir), "panel": panel(spark, sf_dir)}
+    tables = {"bars": stored(bars_hourly(spark, sf_dir)), "panel": stored(panel(spark, sf_dir))}
     manifest = None
     for name, df in tables.items():
         row = df.agg((F.count(F.lit(1)) - (1 if name == "panel" else 0)).alias("n_rows")).withColumn("table", F.lit(name))
@@ -80,15 +80,15 @@ def q4(spark, sf_dir):
     def ops(df):
         return df.withColumns({n.lower(): OPS[n].build(s, "x") for n in _PREFIX_OPS})
 
-    ticks = operands(spark, sf_dir)
+    ticks = stored(operands(spark, sf_dir))
     cut, day = F.lit("2024-01-16").cast("timestamp"), F.lit("1998-06-01").cast("date")
     checks = {
         "formula_operators": ql.prefix_differences(ops(ticks), ops(ticks.where(F.col("ts") < cut)), ["code", "ts"], names),
     }
-    base = chained(spark, sf_dir).select("code", "date", "open", "high", "low", "close", "preclose")
+    base = stored(chained(spark, sf_dir).select("code", "date", "open", "high", "low", "close", "preclose"))
     again = pn.total_return_chain(base.where(F.col("date") < day))
     checks["total_return_chain"] = ql.prefix_differences(pn.total_return_chain(base), again, ["code", "date"], ["open_tr", "close_tr"])
-    rows = stock_panel(spark, sf_dir).select("code", "date", "industry", "r_1d")
+    rows = stored(stock_panel(spark, sf_dir).select("code", "date", "industry", "r_1d"))
 
     def context(df):
         return sg.industry_context(sg.market_context(df))
@@ -142,14 +142,14 @@ def q7(spark, sf_dir):
     f"""WITH {PANEL_SQL} SELECT 'development' AS "table", 0 AS violations UNION ALL SELECT 'everything', count(*) FROM panel WHERE date >= DATE '2001-01-01'""",
 )
 def q8(spark, sf_dir):
-    df, cutoff = panel(spark, sf_dir), F.lit("2001-01-01").cast("date")
+    df, cutoff = stored(panel(spark, sf_dir)), F.lit("2001-01-01").cast("date")
     development, _ = store.seal_split(df, cutoff)
     return ql.holdout_isolation({"development": (development, "date"), "everything": (df, "date")}, cutoff)
 
 
 @query("Q9_sample_audit", "year:i kind:s date:t code:i")
 def q9(spark, sf_dir):
-    df = panel(spark, sf_dir)
+    df = stored(panel(spark, sf_dir))
     kind = F.when(F.month("date") == 6, "suspension").when(F.col("volume") < 20, "thin").when(F.col("close") > 5000, "high_price")
     events = df.withColumn("kind", kind).where(F.col("kind").isNotNull())
     return ql.sample_audit(events, df.select("date", "code"), per_year=5, seed=20260821)
@@ -164,7 +164,7 @@ def q9(spark, sf_dir):
     SELECT date, count(*) FILTER (j) AS joined, count(*) FILTER (l) AS left FROM f WHERE date > (SELECT min(date) FROM panel) GROUP BY 1 HAVING count(*) FILTER (j OR l) > 0""",
 )
 def q10(spark, sf_dir):
-    df = panel(spark, sf_dir)
+    df = stored(panel(spark, sf_dir))
     return ql.reconstitution_days(membership(df), joins.number_calendar(df))
 
 
@@ -177,7 +177,7 @@ def q10(spark, sf_dir):
     UNION ALL SELECT 'NON_MEMBER_SCORE', count(*) FILTER (NOT mem AND score IS NOT NULL), 'ERROR' FROM g""",
 )
 def q12(spark, sf_dir):
-    df = stock_panel(spark, sf_dir)
+    df = stored(stock_panel(spark, sf_dir))
     members = membership(df.select("date", "code", "amount")).select("date", "code", F.lit(True).alias("m"))
     hour = F.when(F.month("date") == 9, F.expr("cast(date as timestamp) + interval 30 hours")).otherwise(F.expr("cast(date as timestamp) + interval 13 hours"))
     grid = df.join(members, ["date", "code"], "left").select(
@@ -194,7 +194,7 @@ def q12(spark, sf_dir):
     HAVING count(DISTINCT code) <> (SELECT count(DISTINCT code) FROM panel)""",
 )
 def q13(spark, sf_dir):
-    return ql.grid_gaps(panel(spark, sf_dir), ["date"])
+    return ql.grid_gaps(stored(panel(spark, sf_dir)), ["date"])
 
 
 @query(

@@ -11,7 +11,7 @@ from factorloom.operators import joins, labels as lb, panel as pn, signals as sg
 from factorloom.plans.catalog_panel import MASK_SQL, TRADABLE_SQL, masked, tradable
 from factorloom.plans.registry import DESKS_SQL, MEMBERS_SQL, PANEL_SQL, WEEKLY_SQL, query
 from factorloom.plans.research import PNL_SQL, pnl
-from factorloom.sources.market import desks, membership, panel
+from factorloom.sources.market import desks, membership, panel, stored
 
 D = sg.PANEL
 
@@ -61,7 +61,7 @@ def stock_panel(spark, sf_dir):
 
 
 def context(spark, sf_dir):
-    return sg.industry_context(sg.market_context(stock_panel(spark, sf_dir)))
+    return sg.industry_context(sg.market_context(stored(stock_panel(spark, sf_dir))))
 
 
 _BASIC = ["MOM_20", "REV_5", "LOW_VOL_20"]
@@ -149,9 +149,9 @@ CAND_SQL = f"""{TRADABLE_SQL}, {MEMBERS_SQL}, bars0 AS (SELECT *, ln(close / lag
 
 @query("X11_candidate_features", "code:i date:t " + " ".join(f"{n}:d" for n in _CAND), f"WITH {CAND_SQL}")
 def x11(spark, sf_dir):
-    bars = sg.stock_signals(tradable(spark, sf_dir)).withColumn("has_quote", F.lit(True))
+    bars = stored(sg.stock_signals(tradable(spark, sf_dir)).withColumn("has_quote", F.lit(True)))
     spelled = pn.with_spells(membership(bars.select("date", "code", "amount")), gap_days=400)
-    members = spelled.join(bars, ["date", "code"])
+    members = stored(spelled.join(bars, ["date", "code"]))
     return sg.candidate_features(sg.industry_context(sg.market_context(members)))
 
 
@@ -172,7 +172,7 @@ eps AS (SELECT mr.*, gp.n, gp.m, gp.mk, CASE WHEN n >= 5 THEN mem_r - m END AS e
 
 def member_grid(spark, sf_dir):
     """Weekly sessions x desks with returns between quoted neighbouring sessions and membership."""
-    weekly = desks(spark, sf_dir)
+    weekly = stored(desks(spark, sf_dir))
     members = membership(weekly, 30).select("date", "code", F.lit(True).alias("is_member"))
     industry = weekly.groupBy("code").agg(F.first("industry").alias("industry"))
     grid = joins.dense_grid(weekly, "week").join(industry, "code")
@@ -256,7 +256,7 @@ def _scenario_sql(name: str) -> str:
     f"WITH {ALL_EPS_SQL} {' UNION ALL '.join(_scenario_sql(n) for n in sg.SCENARIOS)}",
 )
 def x19(spark, sf_dir):
-    base = sg.shrunk_residual(every_code_grid(spark, sf_dir)).select("code", "date", "strict", "shrink")
+    base = stored(sg.shrunk_residual(every_code_grid(spark, sf_dir)).select("code", "date", "strict", "shrink"))
     out = None
     for name in sg.SCENARIOS:
         part = sg.scenario_signals(base, name).select(F.lit(name).alias("scenario"), "code", "date", "low_vol", "momentum", "efficiency")
@@ -313,7 +313,7 @@ rn1 AS (SELECT *, row_number() OVER (PARTITION BY code, run ORDER BY date) AS rr
 )
 def f65(spark, sf_dir):
     """Padded windows inside unbroken runs; the first rows of a run are not ready."""
-    weekly = panel(spark, sf_dir, "week")
+    weekly = stored(panel(spark, sf_dir, "week"))
     df = pn.contiguous_runs(weekly, joins.number_calendar(weekly))
     s = Series(keys=("code", "run"), order="date", at=("date",))
     mean = s.pmean("close", 5)
@@ -330,7 +330,7 @@ def f65(spark, sf_dir):
     FROM v WINDOW d AS (PARTITION BY date)""",
 )
 def f66(spark, sf_dir):
-    df = stock_panel(spark, sf_dir)
+    df = stored(stock_panel(spark, sf_dir))
     members = membership(df.select("date", "code", "amount")).select("date", "code", F.lit(True).alias("m"))
     df = df.join(members, ["date", "code"], "left").withColumn("x", F.when(F.col("m"), F.col("REV_5")))
     wd, x = Window.partitionBy("date"), F.col("x")
@@ -359,7 +359,7 @@ long AS (SELECT lb.date, lb.code, lb.horizon, k.label_type, CASE k.label_type WH
 
 
 def member_labels(spark, sf_dir):
-    rows = tradable(spark, sf_dir)
+    rows = stored(tradable(spark, sf_dir).select("date", "code", "industry", "open", "amount", "can_buy_open", "can_sell_open"))
     members = membership(rows.select("date", "code", "amount")).select("date", "code")
     members = members.join(rows.select("date", "code", "industry"), ["date", "code"])
     prices = rows.select("date", "code", F.col("open").alias("open_tr"))
@@ -441,7 +441,7 @@ def split_sql(source: str, out: str, share=0.4, hold=104, years=2, purge=6, emba
 
 
 def weekly_split(spark, sf_dir):
-    return lb.purged_split(panel(spark, sf_dir, "week"), holdout_min=104, purge=6, embargo=2)
+    return lb.purged_split(stored(panel(spark, sf_dir, "week").select("date").distinct()), holdout_min=104, purge=6, embargo=2)
 
 
 @query(

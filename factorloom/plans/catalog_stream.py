@@ -123,7 +123,7 @@ def tick_blocks(spark, sf_dir, halo, block_rows, running=None):
     return blocks.split(numbered, halo, block_rows)
 
 
-def tick_windows(spark, sf_dir, block_rows=500_000):
+def tick_windows(spark, sf_dir, block_rows=10_000):
     s = blocks.block_series(Series())
     df = tick_blocks(spark, sf_dir, 32, block_rows)
     return blocks.trim(df.withColumns({n.lower(): OPS[n].build(s, "x") for n in _TICK_OPS}))
@@ -153,7 +153,7 @@ def w_ticks(spark, sf_dir):
       SELECT t.code, t.event_id, t.rn, t.x, e.y * (1 - 2.0::DOUBLE / 6) + t.x * (2.0::DOUBLE / 6) FROM e JOIN tk t ON t.code = e.code AND t.rn = e.rn + 1)
     SELECT code, event_id, rn, y AS ema_5, x / (sum(abs(x)) OVER (PARTITION BY code ORDER BY rn) + 1e-6) AS scale FROM e""",
 )
-def u3_ticks(spark, sf_dir, block_rows=500_000):
+def u3_ticks(spark, sf_dir, block_rows=10_000):
     """The recursion restarts in each block behind a halo long enough for double precision; running
     sums are carried over from day totals."""
     s = blocks.block_series(Series())

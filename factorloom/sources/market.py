@@ -10,11 +10,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factorloom.session import checkpointed
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def arrival(ts: str, tie: str) -> Column:
+    """One sortable number per tick: microseconds, then the BIGINT expression ``tie`` (below 10^22).
+
+    First and last prices are min_by/max_by over it.  A DECIMAL(38) keeps the aggregation buffer
+    updatable in place, so Spark aggregates by hash on the map side; ordering by a struct would
+    sort all ticks first.
+    """
+    micros = f"cast(unix_micros(cast({ts} as timestamp)) as decimal(16,0))"
+    shift = "cast('10000000000000000000000' as decimal(23,0))"
+    return F.expr(f"cast(cast({micros} * {shift} as decimal(38,0)) + cast({tie} as decimal(22,0)) as decimal(38,0))")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """A derived table that several branches of a query read: written once to the shared checkpoint
+    folder instead of being aggregated from the ticks in every branch."""
+    return checkpointed(df)
+
+
 def ohlcv(ticks: DataFrame, keys: list, order: Column, price: Column, volume: Column, amount: Column) -> DataFrame:
     """First/last/extreme price, volume and amount of each group of ticks."""
     first, last = F.min_by(price, order), F.max_by(price, order)
@@ -40,7 +60,7 @@ def bars_hourly(spark: SparkSession, sf_dir: str, every: str = "hour") -> DataFr
     return ohlcv(
         ticks(spark, sf_dir),
         ["code", F.date_trunc(every, "ts").alias("ts")],
-        F.struct("ts", "event_id"),
+        arrival("ts", "event_id"),
         F.col("value"),
         F.count(F.lit(1)),
         F.sum("value"),
@@ -55,7 +75,7 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         F.col("l_quantity").alias("quantity"),
         F.col("l_extendedprice").alias("value"),
-        F.struct("l_shipdate", "l_orderkey", "l_linenumber").alias("seq"),
+        arrival("l_shipdate", "l_orderkey * 1000 + l_linenumber").alias("seq"),
     )
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from factorloom.operators.backtest import DEAD_BAND, direction
-from factorloom.sources.market import ohlcv
+from factorloom.sources.market import arrival, ohlcv
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -57,7 +57,7 @@ def closed_bars(ticks: DataFrame, width: str = "1 hour", delay: str = "10 minute
     """OHLCV bars, emitted only after the watermark has passed their end."""
     window = F.window("ts", width).alias("w")
     bars = ohlcv(
-        ticks.withWatermark("ts", delay), ["code", window], F.struct("ts", "event_id"), F.col("value"),
+        ticks.withWatermark("ts", delay), ["code", window], arrival("ts", "event_id"), F.col("value"),
         F.count(F.lit(1)), F.sum("value"),
     )
     return bars.select("code", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
