@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,18 +54,42 @@ def expected_return(q: Column, intercept: Column, slope: Column, cov: tuple[Colu
     return {"expected_return": intercept + slope * q, "standard_error": F.sqrt(F.greatest(variance, F.lit(0.0)))}
 
 
-def shrunk_covariance(returns: DataFrame, at: str = "period", code: str = "code", value: str = "r") -> DataFrame:
+def block_covariance(x: DataFrame, at: str, code: str, value: str, blocks: int = 8) -> DataFrame:
+    """(a, b, s): sums of products of the centred series of all pairs of codes, over the periods.
+
+    The codes are dealt into ``blocks`` groups and each pair of groups is one NumPy product, so a
+    value travels ``blocks`` times instead of once per partner and no pair of rows is ever
+    emitted.  Choose ``blocks`` so that two groups of series fit one task.
+    """
+    dealt = x.select(at, code, value, F.pmod(F.hash(code), F.lit(blocks)).alias("_own"))
+    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = dealt.withColumns({"_i": F.col("_own"), "_j": others, "_side": F.lit(0)}).drop("_own")
+    right = dealt.withColumns({"_j": F.col("_own"), "_i": others, "_side": F.lit(1)}).drop("_own")
+    kind = dict(x.dtypes)[code]
+
+    def product(pair: pd.DataFrame) -> pd.DataFrame:
+        a, b = pair[pair["_side"] == 0], pair[pair["_side"] == 1]
+        if a.empty or b.empty:
+            return pd.DataFrame({"a": [], "b": [], "s": []})
+        wide_a, wide_b = (f.pivot(index=at, columns=code, values=value) for f in (a, b))
+        sums = wide_a.to_numpy().T @ wide_b.reindex(wide_a.index).to_numpy()
+        rows, columns = np.meshgrid(wide_a.columns.to_numpy(), wide_b.columns.to_numpy(), indexing="ij")
+        return pd.DataFrame({"a": rows.ravel(), "b": columns.ravel(), "s": sums.ravel()})
+
+    return left.unionByName(right).groupBy("_i", "_j").applyInPandas(product, f"a {kind}, b {kind}, s double")
+
+
+def shrunk_covariance(
+    returns: DataFrame, at: str = "period", code: str = "code", value: str = "r", blocks: int = 8
+) -> DataFrame:
     """A4: Ledoit-Wolf covariance (scaled identity target) of the codes with a complete history.
 
-    ``returns`` has one row per (period, code).  The p x p result needs all pairs of codes; they
-    come from an equi-join on the period and are summed on the map side, so the largest thing
-    that exists is the result itself.
+    ``returns`` has one row per (period, code) and is read several times, so give a stored table.
     """
     periods = returns.agg(F.countDistinct(at).alias("n")).scalar()
     complete = returns.groupBy(code).agg(F.count(value).alias("_n"), F.avg(value).alias("_m")).where(F.col("_n") == periods)
     x = returns.join(complete, code).select(at, code, (F.col(value) - F.col("_m")).alias("x"))
-    left, right = x.select(at, F.col(code).alias("a"), F.col("x").alias("xa")), x.select(at, F.col(code).alias("b"), F.col("x").alias("xb"))
-    s = left.join(right, at).groupBy("a", "b").agg((F.sum(F.col("xa") * F.col("xb")) / periods).alias("s"))
+    s = block_covariance(x, at, code, "x", blocks).withColumn("s", F.col("s") / periods)
     traces = x.groupBy(at).agg(F.sum(F.col("x") * F.col("x")).alias("_q"))
     beta_sum = traces.agg(F.sum(F.col("_q") * F.col("_q")).alias("v")).scalar()
     n = F.col("n")

@@ -215,7 +215,7 @@ def block_draws(spark, samples: int, blocks: Column, seed: int) -> DataFrame:
     """(draw, block, h): a reproducible pseudo-random number per draw and block."""
     draws = spark.range(samples).select(F.col("id").alias("draw"))
     table = draws.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    h = (F.col("draw") * 1000003 + F.col("block") * 10007 + seed) % 2147483647
+    h = (F.col("draw") * 1000003 + F.col("block").cast("bigint") * 10007 + seed) % 2147483647
     return table.withColumn("h", _minstd(_minstd(_minstd(h + 1))))
 
 
@@ -478,20 +478,34 @@ def control_quantiles(controls: DataFrame, targets: DataFrame) -> DataFrame:
 def matched_controls(meta: DataFrame, heads: DataFrame, draws: int, seed: int, near: int = 10) -> DataFrame:
     """For each head code and draw one control from the same industry with a close history.
 
-    Candidates are ranked by the gap in history length; the draw picks one of the nearest by a
-    seeded hash.  ``meta`` has one row per code, and the industry limits the pairs.
+    The ``near`` closest controls by the gap in history length (ties by code) are drawn from by a
+    seeded generator.  Controls are numbered per industry upwards and downwards by length; the
+    closest ones sit in the next ``near`` places of either direction, so each head looks up
+    2 x ``near`` places instead of meeting its whole industry.
     """
-    others = meta.join(heads.select("code"), "code", "left_anti").select(
-        F.col("code").alias("control"), "industry", F.col("member_days").alias("_days")
-    )
-    pairs = heads.join(meta, "code").join(others, "industry")
-    gap = F.abs(F.col("member_days") - F.col("_days"))
-    order = Window.partitionBy("code").orderBy(gap, "control")
-    pool = pairs.withColumns({"gap": gap, "_place": F.row_number().over(order) - 1})
-    size = F.least(F.count(F.lit(1)).over(Window.partitionBy("code")), F.lit(near))
-    pool = pool.withColumn("_size", size).where(F.col("_place") < F.col("_size"))
+    controls = meta.join(heads.select("code"), "code", "left_anti")
+    targets = heads.select("code").join(meta, "code")
+    both = controls.withColumn("_head", F.lit(0)).unionByName(targets.withColumn("_head", F.lit(1)))
+    days = F.col("member_days")
+    found = None
+    for side, length in ((1, days), (-1, -days)):
+        # upwards: controls at least as long, by (length, code); downwards: strictly shorter ones
+        first = F.col("_head") if side == -1 else -F.col("_head")
+        order = Window.partitionBy("industry").orderBy(length, first, "code").rowsBetween(Window.unboundedPreceding, 0)
+        placed = both.withColumn("_place", F.sum(1 - F.col("_head")).over(order))
+        spots = placed.where(F.col("_head") == 0).select(
+            "industry", "_place", F.col("code").alias("control"), days.alias("_days")
+        )
+        wanted = placed.where(F.col("_head") == 1).withColumn(
+            "_place", F.explode(F.sequence(F.col("_place") + 1, F.col("_place") + near))
+        )
+        part = wanted.join(spots, ["industry", "_place"]).select("code", "control", F.abs(days - F.col("_days")).alias("gap"))
+        found = part if found is None else found.unionByName(part)
+    order = Window.partitionBy("code").orderBy("gap", "control")
+    pool = found.withColumn("_place", F.row_number().over(order) - 1).where(F.col("_place") < near)
+    pool = pool.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy("code")))
     drawn = pool.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    h = _minstd(_minstd((F.col("draw") * 1000003 + F.col("code").cast("bigint") * 10007 + seed) % 2147483646 + 1))
+    h = _minstd(_minstd((F.col("draw").cast("bigint") * 1000003 + F.col("code").cast("bigint") * 10007 + seed) % 2147483646 + 1))
     return drawn.where(h % F.col("_size") == F.col("_place")).select("draw", "code", "control", "gap")
 
 

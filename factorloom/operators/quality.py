@@ -142,20 +142,22 @@ def holdout_isolation(tables: Mapping[str, tuple[DataFrame, str]], cutoff: Colum
     return out
 
 
-def sample_audit(events: DataFrame, rows: DataFrame, per_year: int, seed: int) -> DataFrame:
+def sample_audit(events: DataFrame, rows: DataFrame, per_year: int, seed: int, salt: Column | None = None) -> DataFrame:
     """Q9: the first event of each kind per year plus ``per_year`` hash-ordered rows per year.
 
+    ``salt`` is the pseudo-random order of the rows; by default a seeded hash of (date, code).
+
     Small per-year minima are kept through aggregation; nothing is sorted as a whole.
     """
     forced = events.groupBy(F.year("date").alias("year"), "kind").agg(
         F.min(F.struct("date", "code")).alias("_f")
     ).select("year", F.col("_f.date").alias("date"), F.col("_f.code").alias("code"), "kind")
-    salt = F.xxhash64("date", "code", F.lit(seed))
+    salt = F.xxhash64("date", "code", F.lit(seed)) if salt is None else salt
     hashed = rows.withColumns({"year": F.year("date"), "_h": salt, "_part": F.pmod(salt, F.lit(64))})
     # the smallest hashes of a year are among the smallest of its 64 parts
-    local = Window.partitionBy("year", "_part").orderBy("_h")
+    local = Window.partitionBy("year", "_part").orderBy("_h", "date", "code")
     few = hashed.withColumn("_k", F.row_number().over(local)).where(F.col("_k") <= per_year)
-    chosen = few.withColumn("_k", F.row_number().over(Window.partitionBy("year").orderBy("_h"))).where(F.col("_k") <= per_year)
+    chosen = few.withColumn("_k", F.row_number().over(Window.partitionBy("year").orderBy("_h", "date", "code"))).where(F.col("_k") <= per_year)
     return forced.unionByName(chosen.select("year", "date", "code", F.lit("random").alias("kind")))
 
 

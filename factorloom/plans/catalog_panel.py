@@ -9,6 +9,7 @@ from factorloom.functions import scalar
 from factorloom.functions.series import Series
 from factorloom.operators import backtest as bt
 from factorloom.operators import joins, panel as pn
+from factorloom.plans.catalog_backtest import TRADES_SQL
 from factorloom.plans.registry import BARS_SQL, INTERVALS_SQL, MEMBERS_SQL, PANEL_SQL, WEEKLY_SQL, query
 from factorloom.plans.research import PNL_SQL, pnl
 from factorloom.sources import bars as src
@@ -249,10 +250,13 @@ def s15(spark, sf_dir):
 @query(
     "S16_report_json",
     "code:s trade:s",
-    None,
+    f"""WITH {TRADES_SQL} SELECT code, '{{"direction":' || direction || ',"entry_rn":' || entry_rn || ',"hold_bars":' || hold_bars || ',"micro_pnl":'
+      || CAST(floor(pnl * 1000000::DOUBLE + 0.5::DOUBLE) AS BIGINT) || '}}' AS trade FROM trades""",
 )
 def s16(spark, sf_dir):
-    return store.trade_report(bt.trades(pnl(spark, sf_dir)).drop("run"))
+    """One JSON text per trade, P&L in millionths."""
+    micro = F.floor(F.col("pnl") * 1000000.0 + 0.5).alias("micro_pnl")
+    return store.trade_report(bt.trades(pnl(spark, sf_dir)).select("code", "direction", "entry_rn", "hold_bars", micro))
 
 
 @query(
@@ -1020,6 +1024,13 @@ def p10(spark, sf_dir):
 @query(
     "P11_corporate_actions",
     "action_type:s code:s announcement_at:t ex_date:t cash_dividend:d rights_ratio:d known_at_source:s action_id:s",
+    """WITH o AS (SELECT *, 'c' || o_custkey AS c, strftime(o_orderdate, '%Y%m%d') AS d, CAST(o_totalprice / 1000 AS VARCHAR) AS v, CAST(o_orderdate AS DATE) AS dd FROM orders),
+    r AS (SELECT 'DIVIDEND' AS action_type, upper(c) AS code, CASE WHEN o_orderkey % 2 = 0 THEN dd END AS announcement_at, dd AS ex_date, o_totalprice / 1000 AS cash_dividend,
+        NULL AS rights_ratio, '{"ANN_DATE":' || CASE WHEN o_orderkey % 2 = 0 THEN '"' || d || '"' ELSE 'null' END || ',"CASH_DIVIDEND":"' || v || '","DATE_EX":"' || d
+        || '","MARKET_CODE":"' || c || '"}' AS payload FROM o WHERE o_orderstatus = 'F'
+      UNION ALL SELECT 'RIGHT_ISSUE', upper(c), dd, NULL, NULL, o_totalprice / 1000, '{"EXECUTE_DATE":"' || d || '","RATIO":"' || v || '","code":"' || c || '"}' FROM o WHERE o_orderstatus = 'O'
+      UNION ALL SELECT 'EQUITY_CHANGE', upper(c), NULL, NULL, NULL, NULL, '{"CHANGE_DATE":"' || d || '","code":"' || c || '"}' FROM o WHERE o_orderstatus = 'P')
+    SELECT *, CASE WHEN announcement_at IS NULL THEN 'MISSING' ELSE 'NATIVE' END AS known_at_source, sha256(code || '|' || action_type || '|' || sha256(payload)) AS action_id FROM r""",
 )
 def p11(spark, sf_dir):
     o = table(spark, sf_dir, "orders")

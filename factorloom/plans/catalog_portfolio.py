@@ -221,7 +221,7 @@ def a4(spark, sf_dir):
     )
     rows = bars.where((F.col("k") >= 2) & (F.col("k") <= 201))
     periods = rows.groupBy("code", F.floor((F.col("k") - 2) / 4).alias("period")).agg(F.sum("r").alias("r"))
-    return al.shrunk_covariance(checkpointed(periods))
+    return al.shrunk_covariance(checkpointed(periods), blocks=4)
 
 
 @query(

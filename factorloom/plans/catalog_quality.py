@@ -17,7 +17,11 @@ from factorloom.sources import store
 from factorloom.sources.market import bars_hourly, membership, panel, stored
 
 
-@query("Q1_schema_contract", "table:s missing:s present:i")
+@query(
+    "Q1_schema_contract",
+    "table:s missing:s present:i",
+    f"""WITH {PANEL_SQL} SELECT 'daily_bars' AS "table", 'adjustment_type,available_at,revision_id,source_row_hash' AS missing, count(*) AS present FROM panel""",
+)
 def q1(spark, sf_dir):
     """Columns of the standardised quotes and status that the contract still misses, with their row counts."""
     q = quotes(spark, sf_dir)
@@ -147,12 +151,23 @@ def q8(spark, sf_dir):
     return ql.holdout_isolation({"development": (development, "date"), "everything": (df, "date")}, cutoff)
 
 
-@query("Q9_sample_audit", "year:i kind:s date:t code:i")
+_SALT = "({n} * 1000003 + code * 10007 + 20260821) % 2147483647 * 48271 % 2147483647 * 48271 % 2147483647"
+
+
+@query(
+    "Q9_sample_audit",
+    "year:i kind:s date:t code:i",
+    f"""WITH {PANEL_SQL}, k AS (SELECT *, CASE WHEN month(date) = 6 THEN 'suspension' WHEN volume < 20 THEN 'thin' WHEN close > 5000 THEN 'high_price' END AS kind FROM panel),
+    f AS (SELECT year(date) AS year, kind, min(ROW(date, code)) AS m FROM k WHERE kind IS NOT NULL GROUP BY 1, 2),
+    h AS (SELECT year(date) AS year, date, code, {_SALT.format(n="date_diff('day', DATE '1970-01-01', date)")} AS h FROM panel),
+    r AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY h, date, code) AS p FROM h)
+    SELECT year, kind, (m)[1] AS date, (m)[2] AS code FROM f UNION ALL SELECT year, 'random', date, code FROM r WHERE p <= 5""",
+)
 def q9(spark, sf_dir):
     df = stored(panel(spark, sf_dir))
     kind = F.when(F.month("date") == 6, "suspension").when(F.col("volume") < 20, "thin").when(F.col("close") > 5000, "high_price")
     events = df.withColumn("kind", kind).where(F.col("kind").isNotNull())
-    return ql.sample_audit(events, df.select("date", "code"), per_year=5, seed=20260821)
+    return ql.sample_audit(events, df.select("date", "code"), per_year=5, seed=20260821, salt=F.expr(_SALT.format(n="cast(unix_date(date) as bigint)")))
 
 
 @query(

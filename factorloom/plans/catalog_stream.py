@@ -8,10 +8,12 @@ from factorloom.functions.ops import OPS
 from factorloom.functions.recursion import EMA_REACH, with_ema
 from factorloom.functions.series import Series
 from factorloom.operators import blocks
+from factorloom.functions.features import features
+from factorloom.plans.catalog_features import feature_sql
 from factorloom.plans.catalog_ops import padded
 from factorloom.plans.registry import BARS_SQL, query
 from factorloom.plans.research import FACTOR_SQL, MOMENTUM, factor_table
-from factorloom.sources.market import bars_hourly, ticks
+from factorloom.sources.market import bars_hourly, stored, ticks
 from factorloom.streaming import stream as st
 
 _CLOSED = "ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"
@@ -160,3 +162,27 @@ def u3_ticks(spark, sf_dir, block_rows=10_000):
     df = tick_blocks(spark, sf_dir, 5 * EMA_REACH, block_rows, {"total": F.abs(F.col("x"))})
     df = with_ema(df.select("code", "event_id", "x", "rn", "total", "block", "is_halo"), s, {"ema_5": ("x", (5,))})
     return blocks.trim(df).withColumn("scale", F.col("x") / (F.col("total") + 1e-6))
+
+
+# -- features of minute bars: long series, cut into blocks ------------------------------
+_MINUTE = ["RET5", "DEV60", "RSI14", "VOL_Z", "PV_CORR", "BOLL_WIDTH", "ROLL_SKEW_20", "DMI_ADX_14", "HURST_50"]
+
+
+def minute_features(spark, sf_dir, halo=500, block_rows=1000):
+    """Minute bars have no small bound per code: features are computed inside blocks with a halo.
+
+    The longest chain here looks back 200 (norm) + 60 (window) + 10 (correlation) rows.
+    """
+    bars = stored(bars_hourly(spark, sf_dir, every="minute"))
+    numbered = blocks.number_rows(bars, ["code"], ["ts"], F.to_date("ts"))
+    cut = blocks.split(numbered, halo, block_rows)
+    return blocks.trim(features(cut, _MINUTE, blocks.block_series(Series()), keep=["is_halo"]))
+
+
+@query(
+    "F_minute_features_in_blocks",
+    "code:s ts:t " + " ".join(f"{n.lower()}:d" for n in _MINUTE),
+    feature_sql(_MINUTE, False).replace("date_trunc('hour', ts)", "date_trunc('minute', ts)"),
+)
+def minute_query(spark, sf_dir):
+    return minute_features(spark, sf_dir).withColumnsRenamed({n: n.lower() for n in _MINUTE})

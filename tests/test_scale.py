@@ -63,3 +63,9 @@ def test_exact_quantiles(spark):
     got = quantile_table(table, ["g"], "x", lambda k: k / 10.0, 11).toPandas().set_index("g")
     for g, part in pdf.groupby("g"):
         np.testing.assert_allclose(got.loc[g, "q"], np.quantile(part["x"], np.arange(11) / 10), atol=1e-12)
+
+
+def test_features_in_blocks(spark):
+    one = cs.minute_features(spark, "/root/testdata/sf0.01", halo=500, block_rows=100_000)
+    many = cs.minute_features(spark, "/root/testdata/sf0.01", halo=500, block_rows=600)
+    same(one, many, ["code", "ts"])
