@@ -8,7 +8,7 @@ range totals are accumulated per group, the rest happens inside (group, range).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,23 +42,34 @@ def with_average_rank(df: DataFrame, by: Sequence[str], value: str, name: str) -
     return df.join(ranks, [*by, value])
 
 
-def quantile_table(values: DataFrame, by: Sequence[str], value: str, share: Column, count: int) -> DataFrame:
+def quantile_table(values: DataFrame, by: Sequence[str], value: str, share: Callable[[Column], Column], count: int) -> DataFrame:
     """Linear quantiles of each group from its ``value_table`` as the array ``q``.
 
-    ``share`` maps the literal index k in 0..count-1 to a probability and may read ``total``.
+    ``share`` maps the index k in 0..count-1 to a probability and may read ``total``.  A row is
+    looked at once and emits only the quantiles it borders, so ``2 * count`` rows per group move.
     """
-    aggs = []
-    for k in range(count):
-        at = share(F.lit(k)) * (F.col("total") - 1)
-        low = F.floor(at + 1e-12)
-        for side, index in (("lo", low), ("hi", F.least(low + 1, F.col("total") - 1))):
-            hit = (F.col("start") <= index) & (index < F.col("start") + F.col("n"))
-            aggs.append(F.max(F.when(hit, F.col(value))).alias(f"_{side}{k}"))
-    out = values.groupBy(*by).agg(F.max("total").alias("total"), *aggs)
-
-    def at_k(k: int) -> Column:
-        at = share(F.lit(k)) * (F.col("total") - 1)
-        part = F.greatest(at - F.floor(at + 1e-12), F.lit(0.0))
-        return F.col(f"_lo{k}") + part * (F.col(f"_hi{k}") - F.col(f"_lo{k}"))
-
-    return out.select(*by, "total", F.array(*[at_k(k) for k in range(count)]).alias("q"))
+
+    def place(k: Column) -> Column:
+        return share(k) * (F.col("total") - 1)
+
+    def low(k: Column) -> Column:
+        return F.floor(place(k) + 1e-12)
+
+    def high(k: Column) -> Column:
+        return F.least(low(k) + 1, F.col("total") - 1)
+
+    def holds(index: Column) -> Column:
+        return (F.col("start") <= index) & (index < F.col("start") + F.col("n"))
+
+    ks = F.sequence(F.lit(0), F.lit(count - 1))
+    hits = values.withColumn("_k", F.explode(F.filter(ks, lambda k: holds(low(k)) | holds(high(k)))))
+    k = F.col("_k")
+    ends = hits.groupBy(*by, "_k").agg(
+        F.max("total").alias("total"),
+        F.max(F.when(holds(low(k)), F.col(value))).alias("_lo"),
+        F.max(F.when(holds(high(k)), F.col(value))).alias("_hi"),
+    )
+    part = F.greatest(place(k) - low(k), F.lit(0.0))
+    point = F.struct("_k", (F.col("_lo") + part * (F.col("_hi") - F.col("_lo"))).alias("v"))
+    lists = ends.groupBy(*by).agg(F.max("total").alias("total"), F.array_sort(F.collect_list(point)).alias("_q"))
+    return lists.select(*by, "total", F.transform("_q", lambda p: p["v"]).alias("q"))
