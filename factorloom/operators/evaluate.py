@@ -202,7 +202,8 @@ def group_returns(df: DataFrame, by: Sequence[str], x: str, y: str, groups: int
     w = Window.partitionBy(*by)
     order = w.orderBy("mean_target").rowsBetween(Window.unboundedPreceding, 0)
     ranked = means.withColumn("_r", F.count(F.lit(1)).over(order))
-    return ranked.withColumn("monotonicity", F.abs(F.corr("_r", "bucket").over(w))).drop("_r")
+    # a correlation of five ranks takes few values: rounding keeps exact thresholds exact
+    return ranked.withColumn("monotonicity", F.round(F.abs(F.corr("_r", "bucket").over(w)), 12)).drop("_r")
 
 
 # -- bootstrap -------------------------------------------------------------------------
@@ -364,27 +365,38 @@ def failed_checks(checks: dict[str, Column]) -> Column:
 
 # Fixed values of the retention gate.
 RETENTION = {
-    "min_coverage": 0.80, "min_abs_rank_ic": 0.01, "min_abs_icir": 0.10, "min_abs_rank_icir": 0.10,
-    "min_direction_ratio": 0.55, "min_positive_fold_ratio": 0.60, "max_correlation": 0.85, "min_net_sharpe": 0.0,
-    "min_group_monotonicity": 0.30,
+    "min_coverage": 0.95, "min_abs_rank_ic": 0.005, "min_abs_icir": 0.05, "min_abs_rank_icir": 0.05,
+    "min_direction_ratio": 0.60, "min_segment_direction_ratio": 0.60, "min_group_monotonicity": 0.50,
+    "max_correlation": 0.80, "high_corr_min_increment": 0.003, "min_increment": 0.0, "min_positive_fold_ratio": 0.75,
+    "min_net_sharpe": -0.25,
 }
+# Scales of the ranking score.
+RANKING_SCALES = {"rank_icir": 1.0, "icir": 1.0, "increment": 0.03, "net_sharpe": 2.0, "direction_ratio": 1.0}
 
 
 def retention_checks(cfg=RETENTION) -> dict[str, Column]:
-    """V17 over the metric columns of one candidate per row."""
+    """V17 over the metric columns of one candidate per row: the 15 rules of the gate."""
+    correlated = F.col("max_correlation") >= cfg["max_correlation"]
     return {
+        "INVALID_FORMULA": F.col("valid"),
         "COVERAGE": F.col("coverage") >= cfg["min_coverage"],
         "RANK_IC": F.abs("rank_ic") >= cfg["min_abs_rank_ic"],
+        "ICIR": F.abs("icir") >= cfg["min_abs_icir"],
         "RANK_ICIR": F.abs("rank_icir") >= cfg["min_abs_rank_icir"],
         "BOOTSTRAP_CROSSES_ZERO": ~((F.col("ci_low") <= 0) & (F.col("ci_high") >= 0)),
         "DIRECTION": F.col("direction_ratio") >= cfg["min_direction_ratio"],
-        "CORRELATION": F.col("max_correlation") < cfg["max_correlation"],
+        "FOLD_DIRECTION": F.col("fold_direction_ratio") >= cfg["min_positive_fold_ratio"],
+        "NO_INCREMENT": F.col("increment") > cfg["min_increment"],
+        "INCREMENT_FOLDS": F.col("increment_fold_ratio") >= cfg["min_positive_fold_ratio"],
+        "CORRELATED": ~(correlated & (F.col("increment") < cfg["high_corr_min_increment"])),
         "NET_SHARPE": F.col("net_sharpe") >= cfg["min_net_sharpe"],
         "MONOTONICITY": F.col("monotonicity") >= cfg["min_group_monotonicity"],
+        "SEGMENTS": F.col("segment_direction_ratio") >= cfg["min_segment_direction_ratio"],
+        "PORTFOLIO_WORSE": F.col("portfolio_delta") >= -1e-12,
     }
 
 
-def ranking_score(scales: dict[str, float]) -> Column:
+def ranking_score(scales: dict[str, float] = RANKING_SCALES) -> Column:
     """Clipped weighted sum minus correlation, turnover and complexity."""
 
     def fixed(name: str, absolute: bool = False) -> Column:

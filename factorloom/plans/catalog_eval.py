@@ -312,7 +312,7 @@ def v14(spark, sf_dir):
       + (count(*) OVER (PARTITION BY strategy, factor) - 1) / 2.0 AS r0, count(*) OVER (PARTITION BY strategy) AS t FROM cand),
     b AS (SELECT strategy, least(4, CAST(floor(r0 * 5 / t) AS BIGINT)) AS bucket, count(*) AS n, avg(ret) AS mean_target FROM r GROUP BY 1, 2),
     m AS (SELECT *, rank() OVER (PARTITION BY strategy ORDER BY mean_target) AS rr FROM b)
-    SELECT strategy, bucket, n, mean_target, abs(corr(rr, bucket) OVER (PARTITION BY strategy)) AS monotonicity FROM m""",
+    SELECT strategy, bucket, n, mean_target, round(abs(corr(rr, bucket) OVER (PARTITION BY strategy)), 12) AS monotonicity FROM m""",
 )
 def v15(spark, sf_dir):
     return ev.group_returns(stored_candidates(spark, sf_dir), ["strategy"], "factor", "ret")
@@ -380,9 +380,11 @@ def metrics(rows):
 
 
 _RULES = [
-    ("COVERAGE", "coverage >= 0.80"), ("RANK_IC", "abs(rank_ic) >= 0.01"), ("RANK_ICIR", "abs(rank_icir) >= 0.10"),
-    ("BOOTSTRAP_CROSSES_ZERO", "NOT (ci_low <= 0 AND ci_high >= 0)"), ("DIRECTION", "direction_ratio >= 0.55"),
-    ("CORRELATION", "max_correlation < 0.85"), ("NET_SHARPE", "net_sharpe >= 0"), ("MONOTONICITY", "monotonicity >= 0.30"),
+    ("INVALID_FORMULA", "coverage > 0"), ("COVERAGE", "coverage >= 0.95"), ("RANK_IC", "abs(rank_ic) >= 0.005"), ("ICIR", "abs(icir) >= 0.05"),
+    ("RANK_ICIR", "abs(rank_icir) >= 0.05"), ("BOOTSTRAP_CROSSES_ZERO", "NOT (ci_low <= 0 AND ci_high >= 0)"), ("DIRECTION", "direction_ratio >= 0.60"),
+    ("FOLD_DIRECTION", "direction_ratio >= 0.75"), ("NO_INCREMENT", "ic > 0"), ("INCREMENT_FOLDS", "direction_ratio >= 0.75"),
+    ("CORRELATED", "NOT (max_correlation >= 0.80 AND ic < 0.003)"), ("NET_SHARPE", "net_sharpe >= -0.25"), ("MONOTONICITY", "monotonicity >= 0.50"),
+    ("SEGMENTS", "direction_ratio >= 0.60"), ("PORTFOLIO_WORSE", "net_sharpe >= -1e-12"),
 ]
 
 
@@ -392,14 +394,22 @@ _RULES = [
     f"""WITH {METRICS_SQL}, r AS (SELECT *, rank() OVER (PARTITION BY strategy ORDER BY factor) - 1
       + (count(*) OVER (PARTITION BY strategy, factor) - 1) / 2.0 AS r0, count(*) OVER (PARTITION BY strategy) AS t FROM cand),
     b AS (SELECT strategy, least(4, CAST(floor(r0 * 5 / t) AS BIGINT)) AS bucket, avg(ret) AS mt FROM r GROUP BY 1, 2),
-    g AS (SELECT strategy, abs(corr(rr, bucket)) AS monotonicity FROM (SELECT *, rank() OVER (PARTITION BY strategy ORDER BY mt) AS rr FROM b) GROUP BY 1),
+    g AS (SELECT strategy, round(abs(corr(rr, bucket)), 12) AS monotonicity FROM (SELECT *, rank() OVER (PARTITION BY strategy ORDER BY mt) AS rr FROM b) GROUP BY 1),
     f AS (SELECT strategy, concat_ws(';', {', '.join(f"CASE WHEN NOT ({r}) THEN '{n}' END" for n, r in _RULES)}) AS reasons FROM metrics JOIN g USING (strategy))
     SELECT strategy, reasons = '' AS accepted, reasons FROM f""",
 )
 def v17(spark, sf_dir):
     rows = stored_candidates(spark, sf_dir)
     mono = ev.group_returns(rows, ["strategy"], "factor", "ret").groupBy("strategy").agg(F.max("monotonicity").alias("monotonicity"))
-    df = metrics(rows).join(mono, "strategy").withColumn("_failed", ev.failed_checks(ev.retention_checks()))
+    # codes stand in for folds and segments, the IC for the model increment
+    df = metrics(rows).join(mono, "strategy").withColumns(
+        {
+            "valid": F.col("coverage") > 0, "fold_direction_ratio": F.col("direction_ratio"), "increment": F.col("ic"),
+            "increment_fold_ratio": F.col("direction_ratio"), "segment_direction_ratio": F.col("direction_ratio"),
+            "portfolio_delta": F.col("net_sharpe"),
+        }
+    )
+    df = df.withColumn("_failed", ev.failed_checks(ev.retention_checks()))
     return df.select("strategy", (F.size("_failed") == 0).alias("accepted"), F.concat_ws(";", "_failed").alias("reasons"))
 
 
@@ -411,7 +421,7 @@ _CLIP = "greatest(least({x}, 1), 0)"
     "strategy:s ranking:d penalised:d gated:d",
     f"""WITH {METRICS_SQL}, t AS (SELECT strategy, avg(turnover) AS turnover FROM (SELECT strategy, abs(pos - coalesce(lag(pos) OVER (PARTITION BY strategy, code ORDER BY ts), 0.0))
       AS turnover, rn, bars FROM numbered) WHERE rn <= bars - 2 GROUP BY 1)
-    SELECT strategy, 0.25 * {_CLIP.format(x='abs(rank_icir)')} + 0.2 * {_CLIP.format(x='abs(icir)')} + 0.25 * {_CLIP.format(x='ic')} + 0.2 * {_CLIP.format(x='net_sharpe / 2')}
+    SELECT strategy, 0.25 * {_CLIP.format(x='abs(rank_icir)')} + 0.2 * {_CLIP.format(x='abs(icir)')} + 0.25 * {_CLIP.format(x='ic / 0.03')} + 0.2 * {_CLIP.format(x='net_sharpe / 2')}
       + 0.1 * {_CLIP.format(x='direction_ratio')} - 0.1 * max_correlation - 0.05 * least(1, turnover) - 0.03 * 3 / 16 AS ranking,
       net_sharpe * CASE WHEN max_correlation > 0.85 THEN 0.8 ELSE 1 END AS penalised,
       net_sharpe * CASE WHEN ic > 0.01 THEN 1.15 WHEN ic < -0.01 THEN 0.75 ELSE 1 END AS gated FROM metrics JOIN t USING (strategy)""",
@@ -420,7 +430,7 @@ def v18(spark, sf_dir):
     df = metrics(stored_candidates(spark, sf_dir)).withColumns({"increment": F.col("ic"), "operators": F.lit(3)})
     return df.select(
         "strategy",
-        ev.ranking_score({"net_sharpe": 2.0}).alias("ranking"),
+        ev.ranking_score().alias("ranking"),
         ev.correlation_penalty(F.col("net_sharpe"), F.col("max_correlation")).alias("penalised"),
         ev.ic_gate(F.col("net_sharpe"), F.col("ic")).alias("gated"),
     )
