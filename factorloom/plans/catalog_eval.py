@@ -9,11 +9,11 @@ from factorloom.functions.series import Series
 from factorloom.operators import evaluate as ev
 from factorloom.operators import joins, labels as lb, signals as sg
 from factorloom.operators.backtest import sharpe
-from factorloom.operators.ranks import quantile_table, value_table, with_average_rank
+from factorloom.operators.ranks import quantile_table, value_table
 from factorloom.plans.catalog_backtest import STRATEGIES, STRATEGY_SQL, strategy_pnl
 from factorloom.plans.catalog_signals import FOLD_SQL, SIGNALS_SQL, rank_sql, stock_panel
 from factorloom.plans.registry import BARS_SQL, query
-from factorloom.plans.research import PNL_SQL, pnl
+from factorloom.plans.research import pnl
 from factorloom.session import checkpointed
 from factorloom.sources.market import bars_hourly, panel, stored
 

@@ -11,7 +11,7 @@ from factorloom.operators import joins, panel as pn, quality as ql
 from factorloom.plans.catalog_ops import operands
 from factorloom.plans.catalog_panel import ASOF_SQL, CHAIN_SQL, _SPOILED_SQL, _FLAGS, chained, quotes, spoiled
 from factorloom.plans.catalog_signals import SIGNALS_SQL, stock_panel
-from factorloom.plans.registry import BARS_SQL, MEMBERS_SQL, PANEL_SQL, WEEKLY_SQL, query
+from factorloom.plans.registry import BARS_SQL, MEMBERS_SQL, PANEL_SQL, query
 from factorloom.operators import signals as sg
 from factorloom.sources import store
 from factorloom.sources.market import bars_hourly, membership, panel, stored
