@@ -38,7 +38,7 @@ def t7(spark, sf_dir):
 
 @query("T1_stream_ingest", "code:s minute:t", "SELECT DISTINCT event_type AS code, date_trunc('minute', ts) AS minute FROM events")
 def t1(spark, sf_dir):
-    return st.run_available(st.ingest(_ticks(spark, sf_dir)), st.shared_folder(spark), "ticks")
+    return st.run_available(st.ingest(_ticks(spark, sf_dir)), st.stream_folder(spark), "ticks")
 
 
 @query(
@@ -47,7 +47,7 @@ def t1(spark, sf_dir):
     f"WITH {BARS_SQL} SELECT * FROM bars WHERE {_CLOSED}",
 )
 def t2(spark, sf_dir):
-    return _closed(spark, sf_dir, st.shared_folder(spark))
+    return _closed(spark, sf_dir, st.stream_folder(spark))
 
 
 _DIR_SQL = f"""{BARS_SQL}, dr AS (SELECT code, ts, CASE WHEN tanh(ln(close / open)) >= 0.05 THEN 1 WHEN tanh(ln(close / open)) <= -0.05 THEN -1 ELSE 0 END AS d
@@ -58,7 +58,7 @@ SELECT code, ts, p AS previous, d AS direction FROM pv WHERE p IS NOT NULL AND p
 @query("T5_stream_direction_flips", "code:s ts:t previous:i direction:i", "WITH " + _DIR_SQL.format(where=_CLOSED))
 def t5_stream(spark, sf_dir):
     """Closed bars land in a table; a second stream reads that table and keeps the direction per code."""
-    folder = st.shared_folder(spark)
+    folder = st.stream_folder(spark)
     bars = _closed(spark, sf_dir, folder)
     return st.run_available(st.direction_flips(_bar_stream(spark, bars, folder)), folder, "flips")
 
@@ -87,7 +87,7 @@ _CLOSED_FACTOR_SQL = FACTOR_SQL.replace(
 )
 def t4(spark, sf_dir):
     """foreachBatch: the batch of newly closed bars triggers a re-evaluation over the stored bars."""
-    folder = st.shared_folder(spark)
+    folder = st.stream_folder(spark)
     bars = _closed(spark, sf_dir, folder)
 
     def evaluate(batch, epoch, target):

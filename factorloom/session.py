@@ -1,11 +1,13 @@
-"""Session helpers.  Cluster settings always win; defaults apply only where a setting is unset."""
+"""Session helpers: a session for tests and benches, and the shared folder for intermediate tables."""
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, app: str = "factorloom") -> SparkSession:
@@ -28,15 +30,34 @@ def build_session(master: str | None = None, app: str = "factorloom") -> SparkSe
     )
 
 
-def checkpointed(df):
-    """Cut the lineage of ``df`` in the shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only where that is
-    unset (tests, a laptop) is a scratch folder chosen here.
+    Only a local session (tests, a laptop) may go without; it gets a scratch folder.  On a cluster
+    a machine-local folder would lose files, so a missing setting is an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", "") or context.getCheckpointDir()
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", "")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(base)
+    return base
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` with a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back.
+
+    Smaller than a checkpoint (columnar, compressed), and a lost executor costs no recomputation.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

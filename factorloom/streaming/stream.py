@@ -7,7 +7,6 @@ where it stopped, and no result passes through the driver.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -17,13 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from factorloom.operators.backtest import DEAD_BAND, direction
+from factorloom.session import shared_folder
 from factorloom.sources.market import arrival, ohlcv
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below the shared checkpoint folder of the session (scratch where none is set)."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    return f"{base or tempfile.mkdtemp(prefix='spark-')}/stream-{uuid.uuid4().hex}"
+def stream_folder(spark: SparkSession) -> str:
+    """A fresh folder for one stream below the folder that driver and executors share."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def tick_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
