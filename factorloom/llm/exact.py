@@ -38,13 +38,17 @@ def normalised(text: Column) -> Column:
 
 @contextlib.contextmanager
 def _state_on_disk(spark: SparkSession) -> Iterator[None]:
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKSDB)
+    """RocksDB state, closed after each commit: a store preallocates megabytes of local disk while it is open."""
+    wanted = {"providerClass": ROCKSDB, "unloadOnCommit": "true"}
+    keys = {f"spark.sql.streaming.stateStore.{k}": v for k, v in wanted.items()}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def _rank() -> Column:
@@ -117,19 +121,16 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def _unequal(rows: DataFrame, joined: DataFrame, digest_bits: int) -> DataFrame:
-    """The full-byte check of all hits: digests of whose rows some differ from the row that stays.
+    """The full-byte check of all hits: digests whose rows are not all equal byte by byte.
 
-    Only texts of groups with two rows or more travel; a group's one reference text meets its
-    members in an equi-join, which the adaptive skew join splits for a hot group.
+    Texts travel once, to meet their verdict by id; the least and the greatest text of a group are
+    combined before the second shuffle, so a hot group arrives as one pair per task.
     """
-    hits = joined.where("group_size > 1").select(F.col("doc_id").alias("id"), "digest", "keep_id").distinct()
-    bodies = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("id"))).select(
-        "doc_id", "digest", "keep_id", normalised(F.col("text")).alias("body")
-    )
+    hits = joined.where("group_size > 1").select(F.col("doc_id").alias("id"), "digest").distinct()
+    bodies = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("id"))).select("digest", normalised(F.col("text")).alias("body"))
     # an id that comes with several texts meets the digest of each; only its own counts
     texts = bodies.where(F.substring(F.sha2("body", 256), 1, digest_bits // 4) == F.col("digest"))
-    stays = texts.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("digest", F.col("body").alias("kept_body"))
-    return texts.join(stays.dropDuplicates(["digest"]), "digest").where("body != kept_body").select("digest").distinct()
+    return texts.groupBy("digest").agg(F.min("body").alias("a"), F.max("body").alias("b")).where("a != b").select("digest")
 
 
 def _by_bytes(rows: DataFrame, odd: DataFrame, digest_bits: int) -> DataFrame:
