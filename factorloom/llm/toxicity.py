@@ -34,6 +34,8 @@ from factorloom.session import stored
 FOLDS, HELD_OUT, CALIBRATE = 5, 0, 4
 SHARE = 1e-5
 SPAN = 4
+#: Words seen in fewer contexts, both classes together, are rare: copies of one text cannot make them evidence.
+MIN_KINDS = 5
 DISCOUNT = 0.75
 SAMPLE = 20_000
 WORD = re.compile(r"[^\W\d_]+")
@@ -139,14 +141,16 @@ def train(rows: DataFrame, share: float = SHARE) -> dict | None:
         lower[c] = np.maximum(seen - DISCOUNT, 0) / seen.sum() + DISCOUNT * (seen > 0).sum() / seen.sum() * shared
         context = np.maximum(table[True, c], 1)
         escape[c] = np.where(table[True, c] > 0, DISCOUNT * table[True, f"kinds_{c}"] / context, 1.0)
+    uni = np.log(lower["t"]) - np.log(lower["o"])
+    rare = table[False, "kinds"] < MIN_KINDS
+    rare[OTHER] = True
+    uni[rare] = 0.0  # a rare expression has only the shared backoff
     v, w = kept["v"].to_numpy(), kept["w"].to_numpy()
     p = {c: np.maximum(kept[c].to_numpy() - DISCOUNT, 0) / np.maximum(table[True, c][v], 1) + escape[c][v] * lower[c][w] for c in "to"}
+    ratio = np.where(rare[w], 0.0, np.log(p["t"]) - np.log(p["o"]))
     order = np.argsort(v * size + w)
-    uni = np.log(lower["t"]) - np.log(lower["o"])
-    uni[OTHER] = 0.0  # a rare expression has only the shared backoff
-    hold = np.log(escape["t"]) - np.log(escape["o"])
     return {
-        "words": words, "uni": uni, "context": hold, "keys": (v * size + w)[order], "ratios": (np.log(p["t"]) - np.log(p["o"]))[order],
+        "words": words, "uni": uni, "keys": (v * size + w)[order], "ratios": ratio[order],
     }
 
 
