@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm import chat, decontaminate, exact, language, packing, simhash, toxicity
+from factorloom.llm import attribution, chat, decontaminate, exact, language, license, packing, simhash, suffix, toxicity
 from factorloom.llm.common import pick, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,20 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_benchmark_decontamination")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op1_suffix_array_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op5_license_scan")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text", lang="lang", source="source")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.col("doc_id").cast("string"))
+    return license.scan_licenses(rows.select("doc_id", "text", path.alias("path")))
+
+
+@query("op9_token_attribution")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.attribute_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
