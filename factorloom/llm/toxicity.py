@@ -7,8 +7,8 @@ nothing.  The length-normalised log-likelihoods are compared in windows of SPAN
 text; a logistic curve turns the greatest window difference and the mean into a probability.
 
 Learning.  Of the rows that may be learned from (fold 0 of FOLDS is held out), fold CALIBRATE fits the curve and the others the
-counts, so the curve sees texts the counts have not seen.  Counts cover every learning row; the curve is fitted on at most
-SAMPLE labelled rows (smallest hash of the id first).  Tasks receive words with at least SHARE of a class's words and the
+counts, so the curve sees texts the counts have not seen.  Counts cover every learning row; the curve is fitted on about
+SAMPLE labelled rows at most (chosen by a hash of the id).  Tasks receive words with at least SHARE of a class's words and the
 bigrams among them with the same share: at most 1 / SHARE entries each, however large the corpus.
 
 Defined results.  NULL and empty texts, and texts without a word, score the curve's value at zero evidence.  Rows with NULL or
@@ -51,7 +51,8 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = pick(labels, id="doc_id", toxic="toxic").where("id is not null and toxic is not null")
     rows = pick(docs, doc_id="doc_id", text="text")
     learn = rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT))
-    return learn.join(known, F.col("doc_id") == F.col("id")).select("doc_id", "text", (F.col("toxic") > 0).alias("toxic"))
+    # the same plan at every size: a broadcast of labels would only fit small corpora
+    return learn.join(known.hint("merge"), F.col("doc_id") == F.col("id")).select("doc_id", "text", (F.col("toxic") > 0).alias("toxic"))
 
 
 def vocabulary(rows: DataFrame, share: float) -> list[str]:
@@ -141,7 +142,7 @@ def train(rows: DataFrame, share: float = SHARE) -> dict | None:
         lower[c] = np.maximum(seen - DISCOUNT, 0) / seen.sum() + DISCOUNT * (seen > 0).sum() / seen.sum() * shared
         context = np.maximum(table[True, c], 1)
         escape[c] = np.where(table[True, c] > 0, DISCOUNT * table[True, f"kinds_{c}"] / context, 1.0)
-    uni = np.log(lower["t"]) - np.log(lower["o"])
+    uni = np.log(np.maximum(lower["t"], 1e-300)) - np.log(np.maximum(lower["o"], 1e-300))
     rare = table[False, "kinds"] < MIN_KINDS
     rare[OTHER] = True
     uni[rare] = 0.0  # a rare expression has only the shared backoff
@@ -212,8 +213,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, share: float = SHARE) ->
     held = F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out")
     sample = None
     if model:
-        chosen = learn.where(own == CALIBRATE).orderBy(F.xxhash64("doc_id")).limit(SAMPLE)
-        sample = measured(chosen, model, "toxic").toArrow()
+        fit = learn.where(own == CALIBRATE)
+        n = max(fit.count(), SAMPLE)
+        sample = measured(fit.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < SAMPLE), model, "toxic").toArrow()
     if not sample or not 0 < sum(sample["toxic"].to_pylist()) < len(sample):
         return rows.select("doc_id", held, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     x = np.column_stack([sample["most"].to_numpy(), sample["mean"].to_numpy()])
