@@ -16,14 +16,13 @@ Extra columns are ignored; texts of any length are encoded whole.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from functools import lru_cache
 
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from factorloom.llm.common import map_rows, pick
+from factorloom.llm.common import map_rows, one_per_worker, pick
 from factorloom.llm.words import REMEMBERED, byte_letters
 
 #: How the byte-level vocabulary splits a text before merging (fixed value).
@@ -63,9 +62,8 @@ class PieceStarts(dict):
         return np.frombuffer(b"".join(packed), np.uint32).reshape(-1, 2).astype(np.int64) + offsets[:, None]
 
 
-@lru_cache(maxsize=2)
 def piece_starts(path: str) -> PieceStarts:
-    return PieceStarts(path)
+    return one_per_worker(f"pieces {path}", lambda: PieceStarts(path))
 
 
 def lines(text: str) -> list[tuple[int, int]]:

@@ -71,3 +71,14 @@ def keep_rows(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     kept = plain.join(ids, F.col(f"c{position[0]}").eqNullSafe(ids["id"]), how)
     return kept.toDF(*docs.columns)
+
+
+_HELD: dict = {}
+
+
+def one_per_worker(key: str, build: Callable):
+    """What ``build`` makes, kept by a worker process for its next tasks; only the latest one is kept."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = build()
+    return _HELD[key]

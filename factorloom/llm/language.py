@@ -17,17 +17,20 @@ often as they come.  Empty table: no rows.  Extra columns are ignored; texts are
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import keep_rows, map_rows, pick
+from factorloom.llm.common import keep_rows, map_rows, one_per_worker, pick
 
 ORDER = 3
-SHARE = 1e-6
+SHARE = 3e-6
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
 #: The code length of raw bytes: a text that no tree beats is in no learned language.
@@ -40,6 +43,20 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.encode(doc_id.cast("string"), "utf-8")) % folds
 
 
+def merged_grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """``grams`` of many texts, a few megabytes at a time."""
+    parts, at = [], 0
+    while at < len(texts):
+        upto, size = at, 0
+        while upto < len(texts) and (upto == at or size + len(texts[upto]) <= CHUNK):
+            size += len(texts[upto])
+            upto += 1
+        parts.append(grams(texts[at:upto]))
+        at = upto
+    keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(where, np.concatenate([n for _, n in parts])).astype(np.int64)
+
+
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct packed 4-grams (three context bytes, one symbol) of texts, with counts."""
     data = np.frombuffer(b"".join(START + t for t in texts), np.uint8).astype(np.uint32)
@@ -51,7 +68,29 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(packed[keep], return_counts=True)
 
 
-def train(labelled: DataFrame, share: float = SHARE) -> list[tuple[str, int, int, int]]:
+@dataclass
+class Entries:
+    """Nodes of the trees as columns, which travel and rest in little memory; iterates over tuples."""
+
+    langs: list[str]
+    lang: np.ndarray
+    order: np.ndarray
+    key: np.ndarray
+    n: np.ndarray
+
+    @classmethod
+    def of(cls, table: pa.Table) -> Entries:
+        langs = sorted(set(table["lang"].to_pylist()))
+        number = {name: i for i, name in enumerate(langs)}
+        lang = np.array([number[x] for x in table["lang"].to_pylist()], np.int32)
+        return cls(langs, lang, *[table[c].to_numpy() for c in ("order", "key", "n")])
+
+    def __iter__(self) -> Iterator[tuple[str, int, int, int]]:
+        for i in range(len(self.n)):
+            yield self.langs[self.lang[i]], int(self.order[i]), int(self.key[i]), int(self.n[i])
+
+
+def train(labelled: DataFrame, share: float = SHARE) -> Entries:
     """(lang, order, packed context and symbol, count) of the frozen trees; bounded by ``share``."""
 
     def count(langs: list, texts: list) -> Iterable[tuple]:
@@ -60,7 +99,7 @@ def train(labelled: DataFrame, share: float = SHARE) -> list[tuple[str, int, int
             if text:
                 by[lang].append(text.lower().encode("utf-8", "surrogatepass"))
         for lang, own in by.items():
-            keys, n = grams(own)
+            keys, n = merged_grams(own)
             yield from ((lang, k, c) for k, c in zip(keys.tolist(), n.tolist()))
 
     raw = map_rows(labelled.select("lang", "text"), count, "lang string, gram bigint, n bigint")
@@ -69,14 +108,14 @@ def train(labelled: DataFrame, share: float = SHARE) -> list[tuple[str, int, int
     nodes = whole.select("lang", "n", levels.alias("x")).groupBy("lang", "x.order", "x.key").agg(F.sum("n").alias("n"))
     totals = whole.groupBy("lang").agg(F.sum("n").alias("total"))
     frozen = nodes.join(totals, "lang").where(F.col("n") >= share * F.col("total")).select("lang", "order", "key", "n")
-    return [tuple(r) for r in frozen.toArrow().to_pandas().itertuples(index=False)]
+    return Entries.of(frozen.toArrow())
 
 
 class Trees:
     """The cost table: bits of every symbol after every known context, for all languages at once."""
 
-    def __init__(self, entries: list[tuple[str, int, int, int]]) -> None:
-        self.langs = sorted({e[0] for e in entries})
+    def __init__(self, entries: Entries) -> None:
+        self.langs = entries.langs
         column = {lang: i for i, lang in enumerate(self.langs)}
         used = sorted({key & 255 for _, order, key, _ in entries if order == 0} | set(START))
         self.map = np.zeros(256, np.int64)  # 0: any other byte
@@ -86,17 +125,19 @@ class Trees:
         counts = defaultdict(lambda: defaultdict(list))  # order -> context -> (lang, symbol, n)
         for lang, order, key, n in entries:
             counts[order][key >> 8].append((column[lang], self.map[key & 255], n))
-        base = np.full((width, len(self.langs)), 8.0, np.float32)
-        rows = [self._row(base, counts[0].get(0, []))]
-        known = {(): 0}
+        size = 1 + sum(len(counts[order]) for order in range(1, ORDER + 1))
+        table = np.empty((size, width, len(self.langs)), np.float32)
+        table[0] = self._row(np.full(table.shape[1:], 8.0, np.float32), counts[0].get(0, []))
+        known, filled = {(): 0}, 1
         for order in range(1, ORDER + 1):
-            for context, found in sorted(counts[order].items()):
+            for context, found in sorted(counts.pop(order, {}).items()):
                 symbols = tuple(self.map[(context >> 8 * i) & 255] for i in reversed(range(order)))
-                parent = next(known[symbols[i:]] for i in range(1, order + 1) if symbols[i:] in known)
                 if all(symbols):
-                    known[symbols] = len(rows)
-                    rows.append(self._row(rows[parent], found))
-        self.table = np.concatenate(rows) if rows else np.zeros((0, 0), np.float32)
+                    parent = next(known[symbols[i:]] for i in range(1, order + 1) if symbols[i:] in known)
+                    table[filled] = self._row(table[parent], found)
+                    known[symbols] = filled
+                    filled += 1
+        self.table = table[:filled].reshape(filled * width, len(self.langs))
         self.row_of = np.zeros((width, width, width), np.int32)
         for symbols, row in sorted(known.items(), key=lambda x: len(x[0])):
             if len(symbols) == 1:
@@ -158,16 +199,14 @@ class Trees:
         return sums
 
 
-def identify(docs: DataFrame, entries: list[tuple[str, int, int, int]]) -> DataFrame:
+def identify(docs: DataFrame, entries: Entries) -> DataFrame:
     """doc_id, lang_pred, score, bits_per_byte for every row of ``docs`` under frozen trees."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(entries)
-    compiled: list[Trees] = []
+    tag = f"trees {uuid.uuid4().hex}"
 
     def run(ids: list, texts: list) -> Iterator[tuple]:
-        if not compiled:
-            compiled.append(_trees(sent))
-        trees = compiled[0]
+        trees = one_per_worker(tag, lambda: Trees(sent.value))
         good = [i for i, t in enumerate(texts) if trees.langs and t and any(map(str.isalpha, t))]
         raw = [texts[i].lower().encode("utf-8", "surrogatepass") for i in good]
         bits = trees.bits(raw) if good else np.zeros((0, 0))
@@ -185,18 +224,6 @@ def identify(docs: DataFrame, entries: list[tuple[str, int, int, int]]) -> DataF
     return map_rows(rows, run, f"doc_id {kind}, lang_pred string, score double, bits_per_byte double")
 
 
-_WORKER: dict[int, Trees] = {}
-
-
-def _trees(sent) -> Trees:
-    """The compiled table, once per worker process."""
-    key = id(sent.value)
-    if key not in _WORKER:
-        _WORKER.clear()
-        _WORKER[key] = Trees(sent.value)
-    return _WORKER[key]
-
-
 def identify_language(docs: DataFrame, share: float = SHARE) -> DataFrame:
     """doc_id, held_out, lang_pred, score, bits_per_byte: trees learned on the rows that are not held out."""
     rows = pick(docs, doc_id="doc_id", text="text", lang="lang")

@@ -20,6 +20,7 @@ table gives no rows.  Extra columns are ignored; texts are read whole.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -27,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import map_rows, pick
+from factorloom.llm.common import map_rows, one_per_worker, pick
 from factorloom.llm.language import fold
 from factorloom.session import stored
 
@@ -87,9 +88,10 @@ def bigrams(rows: DataFrame, words: list[str]) -> DataFrame:
     spark = rows.sparkSession
     sent = spark.sparkContext.broadcast(words)
     size = len(words) + 1
+    tag = f"words {uuid.uuid4().hex}"
 
     def count(toxic: list, texts: list) -> Iterable[tuple]:
-        ids = _numbers(sent)
+        ids = one_per_worker(tag, lambda: {w: i + 1 for i, w in enumerate(sent.value)})
         for kind in (True, False):
             pairs = [(a := encoded(text, ids))[:-1] * size + a[1:] for t, text in zip(toxic, texts) if t == kind]
             if pairs:
@@ -102,17 +104,6 @@ def bigrams(rows: DataFrame, words: list[str]) -> DataFrame:
     ).select(F.floor(F.col("pair") / size).alias("v"), (F.col("pair") % size).alias("w"), "t", "o")
 
 
-_WORKER: dict[int, dict[str, int]] = {}
-
-
-def _numbers(sent) -> dict[str, int]:
-    key = id(sent.value)
-    if key not in _WORKER:
-        _WORKER.clear()
-        _WORKER[key] = {w: i + 1 for i, w in enumerate(sent.value)}
-    return _WORKER[key]
-
-
 def train(rows: DataFrame, share: float = SHARE) -> dict | None:
     """Frozen log-ratios: ``uni`` per word and context-free, ``pairs`` (sorted keys) with their own ratio."""
     words = vocabulary(rows, share)
@@ -192,13 +183,12 @@ def measured(rows: DataFrame, model: dict, extra: str = "") -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(model)
     kind = rows.schema["doc_id"].dataType.simpleString()
     more = [extra] if extra else []
-    opened: list[dict] = []
+    tag = f"model {uuid.uuid4().hex}"
 
     def run(ids: list, texts: list, *rest: list) -> Iterator[tuple]:
-        if not opened:
-            opened.append({w: i + 1 for i, w in enumerate(sent.value["words"])})
+        numbers = one_per_worker(tag, lambda: {w: i + 1 for i, w in enumerate(sent.value["words"])})
         for i, (doc_id, text) in enumerate(zip(ids, texts)):
-            yield (doc_id, *evidence(text, sent.value, opened[0]), *[r[i] for r in rest])
+            yield (doc_id, *evidence(text, sent.value, numbers), *[r[i] for r in rest])
 
     schema = f"doc_id {kind}, most double, mean double" + "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in more)
     return map_rows(rows.select("doc_id", "text", *more), run, schema)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Chunks a worker remembers before it starts afresh (about 100 MB).
-REMEMBERED = 400_000
+from factorloom.llm.common import one_per_worker
+
+#: Chunks a worker remembers before it starts afresh (about 40 MB).
+REMEMBERED = 150_000
 #: Texts of these characters alone may be cut at white space; any other text goes through the tokenizer as a whole.
 PLAIN = re.compile("[\\t\\n\\r -~¡-©«-±´¶-¸»¿-įı-ſ–—‘-”…€]*")
 #: Pieces of a lower-case chunk, as the word tokenizer splits them (fixed values).
@@ -50,7 +51,6 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.lower().split()))
 
 
-@lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
     """One per worker process and tokenizer file."""
-    return WordIds(path)
+    return one_per_worker(f"words {path}", lambda: WordIds(path))
