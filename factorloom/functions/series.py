@@ -17,12 +17,21 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Series:
-    """``keys`` identify one series, ``order`` sorts it, ``at`` is the cross-section key."""
+    """``keys`` identify one series, ``order`` sorts it, ``at`` is the cross-section key.
+
+    A ``blocked`` series is one block of a longer one with copied rows in front: cross-sections would
+    count the copies, and windows from the start of the series would restart, so both are refused.
+    """
 
     keys: Sequence[str] = ("code",)
     order: str = "ts"
     at: Sequence[str] = ("ts",)
     member: str = "code"
+    blocked: bool = False
+
+    def _whole(self, what: str) -> None:
+        if self.blocked:
+            raise ValueError(f"{what} needs the whole series: trim the blocks first, or carry running sums")
 
     def ordered(self):
         return Window.partitionBy(*self.keys).orderBy(self.order)
@@ -34,9 +43,11 @@ class Series:
         return self.ordered().rowsBetween(start, end)
 
     def so_far(self):
+        self._whole("a window from the start")
         return self.ordered().rowsBetween(Window.unboundedPreceding, 0)
 
     def cross(self):
+        self._whole("a cross-section")
         return Window.partitionBy(*self.at)
 
     # -- plain access ---------------------------------------------------------------

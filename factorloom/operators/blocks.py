@@ -72,7 +72,7 @@ def split(numbered: DataFrame, halo: int, block_rows: int = 50_000) -> DataFrame
 
 def block_series(s: Series) -> Series:
     """The same series with windows inside blocks, ordered by the global position."""
-    return Series(keys=(*s.keys, "block"), order="rn", at=s.at, member=s.member)
+    return Series(keys=(*s.keys, "block"), order="rn", at=s.at, member=s.member, blocked=True)
 
 
 def trim(df: DataFrame) -> DataFrame:

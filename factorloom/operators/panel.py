@@ -97,7 +97,7 @@ def missing_history(wanted: DataFrame, intervals: DataFrame) -> DataFrame:
 def assemble_quotes(bars: DataFrame, preclose: DataFrame, on: Sequence[str] = ("date", "code")) -> DataFrame:
     """Preclose joined, the chain of P1, and every number blank where there is no quote."""
     df = total_return_chain(bars.join(preclose, list(on), "left"))
-    df = df.withColumn("has_quote", F.col("chain_valid") & (F.col("volume") > 0) & (F.col("amount") > 0))
+    df = df.withColumn("has_quote", F.col("chain_valid") & (F.col("volume") >= 0) & (F.col("amount") >= 0))
     numbers = [*PRICES, "volume", "amount", "preclose", *[f"{p}_tr" for p in PRICES]]
     df = df.withColumns({n: F.when(F.col("has_quote"), F.col(n)) for n in numbers})
     reason = F.when(~F.col("has_quote"), "NO_VALID_VENDOR_QUOTE")

@@ -223,26 +223,30 @@ def v11(spark, sf_dir):
 _LCG = "(({h}) * 48271 % 2147483647)"
 
 
+#: Resamples of every bootstrap (fixed value).
+DRAWS = 2000
+
+
 def boot_sql(series: str, block: int, samples: int, seed: int) -> str:
     h = f"((draw * 1000003 + block * 10007 + {seed}) % 2147483647 + 1)"
     for _ in range(3):
         h = _LCG.format(h=h)
     return f"""size AS (SELECT count(*) AS n, least({block}, count(*)) AS w FROM {series}),
     draws AS (SELECT d AS draw, b AS block, {h.replace('draw', 'd').replace('block', 'b')} % (n - w + 1) + o AS position, n, w, o, b * w + o AS slot
-      FROM size, range({samples}) x(d), range(200) y(b), range({block}) z(o) WHERE b < ceil(n / w::DOUBLE) AND o < w)"""
+      FROM size, range({samples}) x(d), unnest(range(ceil(n / w::DOUBLE)::BIGINT)) y(b), range({block}) z(o) WHERE o < w)"""
 
 
 @query(
     "V12_moving_block_bootstrap",
     "ci_low:d ci_high:d p_value:d samples:i",
-    f"""WITH {DAILY_SQL}, se AS (SELECT rank_ic, row_number() OVER (ORDER BY date) - 1 AS position FROM daily), {boot_sql('se', 5, 400, 7)},
+    f"""WITH {DAILY_SQL}, se AS (SELECT rank_ic, row_number() OVER (ORDER BY date) - 1 AS position FROM daily), {boot_sql('se', 5, DRAWS, 7)},
     st AS (SELECT draw, avg(rank_ic) AS stat FROM draws JOIN se USING (position) WHERE slot < n GROUP BY draw)
     SELECT quantile_cont(stat, 0.025) AS ci_low, quantile_cont(stat, 0.975) AS ci_high, (1 + count(*) FILTER (stat <= 0)) / (1 + count(*)) AS p_value,
       count(*) AS samples FROM st""",
 )
 def v12(spark, sf_dir):
     series = stored(_numbered(ev.cross_section_ic(paired(spark, sf_dir), "REV_5", "target")))
-    draws = ev.moving_block_bootstrap(series, ["rank_ic"], block=5, samples=400, seed=7)
+    draws = ev.moving_block_bootstrap(series, ["rank_ic"], block=5, samples=DRAWS, seed=7)
     return ev.bootstrap_summary(draws.groupBy("draw").agg(F.avg("rank_ic").alias("stat")))
 
 
@@ -276,7 +280,7 @@ _SH = "CASE WHEN stddev_pop({x}) > 1e-12 THEN avg({x}) / stddev_pop({x}) * sqrt(
 @query(
     "V13_paired_phase_bootstrap",
     "ci_low:d ci_high:d p_value:d samples:i",
-    f"""WITH {PHASE_SQL}, se AS (SELECT *, row_number() OVER (ORDER BY date) - 1 AS position FROM aligned), {boot_sql('se', 6, 300, 11)},
+    f"""WITH {PHASE_SQL}, se AS (SELECT *, row_number() OVER (ORDER BY date) - 1 AS position FROM aligned), {boot_sql('se', 6, DRAWS, 11)},
     st AS (SELECT draw, list_sort([{', '.join(_SH.format(x=f'a{i}') for i in range(3))}])[2] - {_SH.format(x='baseline')} AS stat
       FROM draws JOIN se USING (position) WHERE slot < n GROUP BY draw)
     SELECT quantile_cont(stat, 0.025) AS ci_low, quantile_cont(stat, 0.975) AS ci_high, (1 + count(*) FILTER (stat <= 0)) / (1 + count(*)) AS p_value,
@@ -286,7 +290,7 @@ def v13(spark, sf_dir):
     """The same blocks resample every phase and the baseline; statistic = median Sharpe minus baseline Sharpe."""
     names = ["phase_0", "phase_1", "phase_2"]
     series = stored(_numbered(joins.align_phases(*phase_returns(spark, sf_dir), [0, 1, 2])))
-    draws = ev.moving_block_bootstrap(series, [*names, "baseline"], block=6, samples=300, seed=11)
+    draws = ev.moving_block_bootstrap(series, [*names, "baseline"], block=6, samples=DRAWS, seed=11)
     per = draws.groupBy("draw").agg(*[ev.annual_sharpe(n, 12).alias(n) for n in (*names, "baseline")])
     middle = F.element_at(F.array_sort(F.array(*names)), 2)
     return ev.bootstrap_summary(per.select("draw", (middle - F.col("baseline")).alias("stat")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factorloom.operators import allocation as al
 from factorloom.operators import joins, portfolio as pf, signals as sg
-from factorloom.plans.catalog_eval import DAILY_SQL, boot_sql, paired
+from factorloom.plans.catalog_eval import DAILY_SQL, DRAWS, boot_sql, paired
 from factorloom.plans.catalog_signals import SIGNALS_SQL, stock_panel
 from factorloom.plans.registry import DESKS_SQL, query
 from factorloom.plans.research import PNL_SQL, pnl
@@ -173,14 +173,14 @@ def a1(spark, sf_dir):
     return al.coefficients(al.calibration_days(paired(spark, sf_dir), "REV_5", "target"))
 
 
-COV_SQL = f"""{CAL_SQL}, se AS (SELECT *, row_number() OVER (ORDER BY date) - 1 AS position FROM cd), {boot_sql('se', 20, 500, 20260917)},
+COV_SQL = f"""{CAL_SQL}, se AS (SELECT *, row_number() OVER (ORDER BY date) - 1 AS position FROM cd), {boot_sql('se', 20, DRAWS, 20260917)},
 cf AS (SELECT draw, avg(y) - {_SLOPE} * avg(q) AS i, {_SLOPE} AS s FROM draws JOIN se USING (position) WHERE slot < n GROUP BY draw),
 cv AS (SELECT var_samp(i) AS var_intercept, covar_samp(i, s) AS cov, var_samp(s) AS var_slope, quantile_cont(s, 0.05) AS slope_q05 FROM cf)"""
 
 
 @query("A2_calibrator_covariance", "var_intercept:d cov:d var_slope:d slope_q05:d", f"WITH {COV_SQL} SELECT * FROM cv")
 def a2(spark, sf_dir):
-    return al.coefficient_covariance(al.calibration_days(paired(spark, sf_dir), "REV_5", "target"), draws=500)
+    return al.coefficient_covariance(al.calibration_days(paired(spark, sf_dir), "REV_5", "target"), draws=DRAWS)
 
 
 @query(
@@ -192,15 +192,15 @@ def a2(spark, sf_dir):
 def a3(spark, sf_dir):
     rows = paired(spark, sf_dir)
     days = checkpointed(al.calibration_days(rows, "REV_5", "target"))
-    line, cov = al.coefficients(days), al.coefficient_covariance(days, draws=500)
+    line, cov = al.coefficients(days), al.coefficient_covariance(days, draws=DRAWS)
     values = [cov.select(c).scalar() for c in ("var_intercept", "cov", "var_slope")]
     q = sg.midrank(F.col("REV_5"), Window.partitionBy("date"))
     parts = al.expected_return(F.col("q"), line.select("intercept").scalar(), line.select("slope").scalar(), tuple(values))
     return rows.withColumn("q", q).withColumns(parts)
 
 
-LW_SQL = f"""{DESKS_SQL}, wk AS (SELECT code, date, ln(close / lag(close) OVER (PARTITION BY code ORDER BY date)) AS r, row_number() OVER (PARTITION BY code ORDER BY date) AS k
-  FROM panel), lr AS (SELECT code, (k - 2) // 4 AS period, sum(r) AS r FROM wk WHERE k >= 2 AND k <= 201 GROUP BY 1, 2),
+LW_SQL = f"""{DESKS_SQL}, wk AS (SELECT code, date, ln(close / lag(close) OVER (PARTITION BY code ORDER BY date)) AS r, row_number() OVER (PARTITION BY code ORDER BY date) AS k,
+  (SELECT count(DISTINCT date) FROM panel) AS m FROM panel), lr AS (SELECT code, (k - 2) // 4 AS period, sum(r) AS r FROM wk WHERE k >= 2 AND (k - 2) // 4 < (m - 1) // 4 GROUP BY 1, 2),
 x AS (SELECT period, code, r - avg(r) OVER (PARTITION BY code) AS x FROM lr WHERE code IN (SELECT code FROM lr GROUP BY code HAVING count(*) = (SELECT count(DISTINCT period) FROM lr))),
 sz AS (SELECT count(DISTINCT period)::DOUBLE AS n, count(DISTINCT code)::DOUBLE AS p FROM x),
 s AS (SELECT l.code AS a, r.code AS b, sum(l.x * r.x) / any_value(n) AS s FROM x l JOIN x r ON l.period = r.period, sz GROUP BY 1, 2),
@@ -215,11 +215,12 @@ pr2 AS (SELECT t / p AS mu, (d - 2 * (t / p) * t + p * (t / p) * (t / p)) / p AS
       least(beta, delta) / delta AS shrinkage FROM s, pr2""",
 )
 def a4(spark, sf_dir):
-    """Non-overlapping four-week returns of the desks over their first 201 weeks."""
+    """Non-overlapping four-week returns of the desks over all complete periods."""
     bars = desks(spark, sf_dir).withColumns(
         {"r": sg.safe_log_return(F.col("close"), sg.PANEL.lag("close", 1)), "k": sg.PANEL.position()}
     )
-    rows = bars.where((F.col("k") >= 2) & (F.col("k") <= 201))
+    weeks = bars.agg(F.countDistinct("date")).scalar()
+    rows = bars.where((F.col("k") >= 2) & (F.floor((F.col("k") - 2) / 4) < F.floor((weeks - 1) / 4)))
     periods = rows.groupBy("code", F.floor((F.col("k") - 2) / 4).alias("period")).agg(F.sum("r").alias("r"))
     return al.shrunk_covariance(checkpointed(periods), blocks=4)
 

@@ -193,3 +193,12 @@ def test_ledger_reconciles(spark):
     total = daily.groupBy("horizon", "phase").agg(F.expm1(F.sum(F.log1p("net_return"))).alias("c")).groupBy("horizon").agg(F.avg("c").alias("c"))
     for r in total.collect():
         assert linked[r["horizon"]] == pytest.approx(r["c"], abs=1e-10)
+
+
+def test_quotes_of_days_without_trades_stay(spark):
+    bar = "date date, code string, open double, high double, low double, close double, volume double, amount double"
+    bars = spark.createDataFrame([(d(1), "a", 10.0, 11.0, 9.0, 10.0, 0.0, 0.0), (d(2), "a", 10.0, 11.0, 9.0, 10.5, -1.0, 5.0)], bar)
+    before = spark.createDataFrame([(d(1), "a", 10.0), (d(2), "a", 10.0)], "date date, code string, preclose double")
+    first, second = pn.assemble_quotes(bars, before).orderBy("date").collect()
+    assert first["has_quote"] and first["close"] == 10.0 and first["volume"] == 0.0
+    assert not second["has_quote"] and second["close"] is None

@@ -1,5 +1,7 @@
 """Hot keys: block splitting, rank tables and carried sums give the same values as the plain forms."""
 
+import pytest
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -69,3 +71,14 @@ def test_features_in_blocks(spark):
     one = cs.minute_features(spark, "/root/testdata/sf0.01", halo=500, block_rows=100_000)
     many = cs.minute_features(spark, "/root/testdata/sf0.01", halo=500, block_rows=600)
     same(one, many, ["code", "ts"])
+
+
+def test_blocks_refuse_what_they_cannot_answer(spark):
+    from factorloom.functions.series import Series
+    from factorloom.operators.blocks import block_series
+
+    blocked = block_series(Series())
+    for window in (blocked.cross, blocked.so_far):
+        with pytest.raises(ValueError):
+            window()
+    blocked.last(5)
