@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from factorloom.llm.common import as_batch, pick
+from factorloom.llm.common import as_batch, pick, release
 from factorloom.llm.words import word_ids
 from factorloom.session import stored
 
@@ -89,6 +89,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, open_windows: in
         out += [(None, None, None, None, None, base + number, None, room) for room, number in windows.rooms]
         if out:
             yield as_batch(out, arrow)
+        release()
 
     packed = stored(rows.mapInArrow(run, struct), "packed")
     moved = stored(merged(packed.where("room is not null").select("seq", "room"), window), "moved")
