@@ -13,6 +13,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows per output batch: keeps the Python side of a task small whatever the partition holds.
 OUT_ROWS = 20_000
+#: Bytes of an incoming batch that are Python objects at one time (a single longer row is one slice).
+SLICE_BYTES = 4 << 20
 
 
 def pick(df: DataFrame, **named: str) -> DataFrame:
@@ -38,7 +40,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def map_rows(df: DataFrame, function: Callable[..., Iterable[tuple]], schema: str) -> DataFrame:
-    """Arrow map: ``function`` gets one list per column of a batch and yields output tuples.
+    """Arrow map: ``function`` gets one list per column of a slice and yields output tuples.
 
     Runs on the partitions of ``df`` without a shuffle; output leaves in batches of OUT_ROWS rows.
     """
@@ -46,9 +48,9 @@ def map_rows(df: DataFrame, function: Callable[..., Iterable[tuple]], schema: st
     arrow = to_arrow_schema(struct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for columns in slices(batches):
             rows: list[tuple] = []
-            for row in function(*[column.to_pylist() for column in batch.columns]):
+            for row in function(*columns):
                 rows.append(row)
                 if len(rows) >= OUT_ROWS:
                     yield as_batch(rows, arrow)
@@ -60,6 +62,14 @@ def map_rows(df: DataFrame, function: Callable[..., Iterable[tuple]], schema: st
     return df.mapInArrow(run, struct)
 
 
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[list[list]]:
+    """The columns of batches as lists, as many rows at a time as hold about SLICE_BYTES on average."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, rows):
+            yield [column.to_pylist() for column in batch.slice(at, rows).columns]
+
+
 def release() -> None:
     """Give back what a finished task freed: a reused worker otherwise keeps its peak for the next stage."""
     pa.default_memory_pool().release_unused()

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from factorloom.llm.common import as_batch, pick, release
+from factorloom.llm.common import as_batch, pick, release, slices
 from factorloom.llm.words import word_ids
 from factorloom.session import stored
 
@@ -74,8 +74,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, open_windows: in
         windows = OpenWindows(window, open_windows)
         out: list[tuple] = []
         size = 0
-        for batch in batches:
-            for doc_id, text in zip(*[c.to_pylist() for c in batch.columns]):
+        for columns in slices(batches):
+            for doc_id, text in zip(*columns):
                 ids = (encode(text) if text else b"") + end
                 total = len(ids) // 4
                 for start in range(0, total, window):

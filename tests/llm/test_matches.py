@@ -5,7 +5,10 @@ import random
 import re
 from collections import defaultdict
 
+import pyarrow as pa
+
 from factorloom.llm import decontaminate, license, suffix
+from factorloom.llm.common import slices
 import corpus_pipeline
 from tests.conftest import SF
 
@@ -130,3 +133,9 @@ def test_pipeline_small(spark):
     nothing = docs.limit(0)
     for name, stage in empty:
         assert stage(spark, nothing, SF).count() == 0, name
+
+
+def test_slices_keep_every_row_of_a_batch():
+    texts = ["a" * 10, "b" * (5 << 20), "", None, "c" * (3 << 20), "d"]
+    parts = [part for [part] in slices([pa.record_batch({"text": texts}), pa.record_batch({"text": pa.array([], pa.string())})])]
+    assert [t for part in parts for t in part] == texts and len(parts) > 1
