@@ -82,21 +82,15 @@ _CLOSED_FACTOR_SQL = FACTOR_SQL.replace(
     "T3_T4_stream_latest_signal",
     "code:s bars_used:i last_ts:t state:s direction:i strength:d",
     f"""WITH {_CLOSED_FACTOR_SQL}
-    SELECT code, count(*) AS bars_used, max(ts) AS last_ts, 'ok' AS state, CASE WHEN tanh(arg_max(factor, ts)) >= 0.05 THEN 1 WHEN tanh(arg_max(factor, ts)) <= -0.05
+    SELECT code, least(count(*), 500) AS bars_used, max(ts) AS last_ts, 'ok' AS state, CASE WHEN tanh(arg_max(factor, ts)) >= 0.05 THEN 1 WHEN tanh(arg_max(factor, ts)) <= -0.05
       THEN -1 ELSE 0 END AS direction, abs(tanh(arg_max(factor, ts))) AS strength FROM factors GROUP BY code""",
 )
 def t4(spark, sf_dir):
-    """foreachBatch: the batch of newly closed bars triggers a re-evaluation over the stored bars."""
+    """foreachBatch: newly closed bars trigger a re-evaluation of all codes over their newest bars."""
     folder = st.stream_folder(spark)
     bars = _closed(spark, sf_dir, folder)
-
-    def evaluate(batch, epoch, target):
-        codes = batch.select("code").distinct()
-        stored = batch.sparkSession.read.schema(bars.schema).parquet(f"{folder}/bars").join(codes, "code", "left_semi")
-        signal = st.latest_signal(stored, 100, lambda b: factor_table(spark, sf_dir, MOMENTUM, bars=b))
-        signal.write.mode("overwrite").parquet(target)
-
-    return st.run_available(_bar_stream(spark, bars, folder), folder, "signals", evaluate)
+    refresh = st.refresh_signals(folder, lambda b: factor_table(spark, sf_dir, MOMENTUM, bars=b))
+    return st.newest_epoch(st.run_available(_bar_stream(spark, bars, folder), folder, "signals", refresh))
 
 
 @query(

@@ -10,8 +10,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -19,6 +20,9 @@ from factorloom.operators.backtest import DEAD_BAND, direction
 from factorloom.session import shared_folder
 from factorloom.sources.market import arrival, ohlcv
 
+#: Bars of a code that signals are evaluated on.
+KEEP_BARS = 500
+
 
 def stream_folder(spark: SparkSession) -> str:
     """A fresh folder for one stream below the folder that driver and executors share."""
@@ -72,15 +76,13 @@ def _flips(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Ite
 
     A trigger brings the newly closed bars of a code, a handful of rows by the calendar grid.
     """
-    known = state.get[0] if state.exists else None
-    rows = pd.concat(list(frames)).sort_values("ts")
-    out = []
-    for ts, now in zip(rows["ts"], rows["dir"]):
-        if known is not None and now != known:
-            out.append((key[0], ts, int(known), int(now)))
-        known = int(now)
-    state.update((known,))
-    yield pd.DataFrame(out, columns=["code", "ts", "previous", "direction"])
+    rows = pd.concat(list(frames), ignore_index=True).sort_values("ts")
+    now = rows["dir"].to_numpy()
+    before = np.concatenate(([state.get[0] if state.exists else now[0]], now[:-1]))
+    flip = before != now
+    state.update((int(now[-1]),))
+    if flip.any():
+        yield pd.DataFrame({"code": key[0], "ts": rows["ts"][flip], "previous": before[flip], "direction": now[flip]})
 
 
 def direction_flips(bars: DataFrame) -> DataFrame:
@@ -90,17 +92,22 @@ def direction_flips(bars: DataFrame) -> DataFrame:
     )
 
 
-def latest_signal(bars: DataFrame, min_bars: int, factor: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def latest_signal(
+    bars: DataFrame, min_bars: int, factor: Callable[[DataFrame], DataFrame], now: Column | None = None, period: int = 3600
+) -> DataFrame:
     """T4: one row per code with state, direction and strength of its newest bar.
 
-    ``factor`` adds the column ``factor`` to the bars.
+    ``factor`` adds the column ``factor`` to the bars.  With ``now`` (epoch seconds) a newest bar that opened less
+    than half a ``period`` before it is still forming and the state is pending.
     """
     newest = factor(bars).groupBy("code").agg(
         F.count(F.lit(1)).alias("bars_used"), F.max("ts").alias("last_ts"), F.max_by("factor", "ts").alias("factor")
     )
     enough = F.col("bars_used") >= min_bars
     pos = F.tanh(F.col("factor"))
-    state = F.when(~enough, "insufficient").when(F.col("factor").isNull() | F.isnan("factor"), "error").otherwise("ok")
+    forming = F.lit(False) if now is None else now - F.unix_timestamp("last_ts") < period - period // 2
+    finite = F.coalesce(F.abs("factor") < float("inf"), F.lit(False))  # NaN is above every number
+    state = F.when(~enough, "insufficient").when(forming, "pending").when(~finite, "error").otherwise("ok")
     newest = newest.withColumn("state", state)
     ok = F.col("state") == "ok"
     return newest.select(
@@ -109,6 +116,32 @@ def latest_signal(bars: DataFrame, min_bars: int, factor: Callable[[DataFrame],
     )
 
 
+def refresh_signals(folder: str, factor: Callable[[DataFrame], DataFrame], min_bars: int = 100, keep: int = KEEP_BARS) -> Callable:
+    """A foreachBatch body that re-evaluates all codes whenever bars close.
+
+    The newest ``keep`` bars of every code are carried from batch to batch in ``folder``, so a batch reads them and its
+    own bars only, and the cross-section also holds codes without a new bar.  A batch writes its own
+    ``epoch=N`` folders and reads those of the batch before: repeated after a failure it writes the same again.
+    ``keep`` has to cover the reach of ``factor`` and, for cross-section operators, the longest pause of a code.
+    """
+    newest_first = Window.partitionBy("code").orderBy(F.desc("ts"))
+
+    def evaluate(batch: DataFrame, epoch: int, target: str) -> None:
+        read = batch.sparkSession.read.schema(batch.schema)
+        bars = batch.unionByName(read.parquet(f"{folder}/tail/{epoch - 1}")) if epoch else batch
+        tail = bars.withColumn("_n", F.row_number().over(newest_first)).where(F.col("_n") <= keep).drop("_n")
+        tail.write.mode("overwrite").parquet(f"{folder}/tail/{epoch}")
+        signals = latest_signal(read.parquet(f"{folder}/tail/{epoch}"), min_bars, factor)
+        signals.write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
+
+    return evaluate
+
+
+def newest_epoch(signals: DataFrame) -> DataFrame:
+    """The signals that the last batch wrote."""
+    return signals.where(F.col("epoch") == signals.agg(F.max("epoch")).scalar()).drop("epoch")
+
+
 def next_close(last_open: Column, now: Column, period: int) -> Column:
     """When the forming bar closes (epoch seconds); NULL while the market is closed."""
     tolerance = max(2 * period, 7200)
