@@ -91,7 +91,11 @@ class Matcher:
                 if w not in telling:
                     telling.add(w)
                     left -= x * x
-        self.telling = re.compile("|".join(rf"(?<![^\W_]){re.escape(w)}(?![^\W_])" for w in sorted(telling)))
+        self.telling = frozenset(telling)
+
+    def tells(self, unit: str) -> bool:
+        """Whether a lower-case unit has any telling word: one set lookup per word."""
+        return not self.telling.isdisjoint(WORD.findall(unit))
 
     def best(self, unit: str) -> tuple[float, str]:
         """(cosine, template name) of the closest template."""
@@ -105,10 +109,10 @@ class Matcher:
     def scan(self, text: str | None) -> tuple[str | None, float, float]:
         """(license, cosine of the best unit, cosine of the text as a whole)."""
         low = (text or "").lower()
-        if not self.telling.search(low):
+        if not self.tells(low):
             return None, 0.0, 0.0
         units = [*low.split("\n"), *re.split(r"\n\s*\n", low)]
-        found = [self.best(u) for u in units if self.telling.search(u)]
+        found = [self.best(u) for u in units if self.tells(u)]
         whole = self.best(low)
         score, name = min([*found, whole], key=lambda s: (-s[0], s[1]))
         return (name, score, whole[0]) if score >= MIN_COSINE else (None, score, whole[0])
