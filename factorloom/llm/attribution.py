@@ -6,7 +6,7 @@ section.  A token that crosses a boundary belongs, by rule, to the section of it
 last (``last``); every token counts exactly once, so the sections' counts add up to the document's.
 
 The word-like pieces that the byte-level tokenizer splits a text into are encoded once per worker and
-remembered, which leaves ids and spans the same.  No shuffle: sections never leave the task of their document.
+remembered, which leaves ids and spans the same; control strings in a text are text.  No shuffle: sections never leave the task of their document.
 
 Sections are the lines of each field; a line's break belongs to it.  Defined results: NULL fields are empty; an empty
 field is one section without characters.  NULL and repeated doc_ids are reported row by row.  Empty table: no rows.
@@ -15,7 +15,9 @@ Extra columns are ignored; texts of any length are encoded whole.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
+from itertools import chain
 
 import numpy as np
 import regex
@@ -23,47 +25,64 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 from factorloom.llm.common import map_rows, one_per_worker, pick
-from factorloom.llm.words import REMEMBERED, byte_letters
+from factorloom.llm.words import PLAIN, REMEMBERED, byte_letters
 
 #: How the byte-level vocabulary splits a text before merging (fixed value).
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: The same for texts of PLAIN characters, for the faster matcher.
+PLAIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: New pieces that are turned into spans in one step.
+TOGETHER = 20_000
 
 
-class PieceStarts(dict):
-    """piece -> characters at which its tokens start, and one past the character at which they end, as uint32 bytes."""
+class PieceSpans:
+    """Token spans by piece.  The new pieces of a text meet the model and are turned into spans together."""
 
     def __init__(self, path: str) -> None:
-        super().__init__()
         self.model = Tokenizer.from_file(path).model
         self.letters = byte_letters()
-
-    def __missing__(self, piece: str) -> bytes:
-        raw = piece.encode("utf-8", "surrogatepass")
-        tokens = self.model.tokenize("".join(map(self.letters.__getitem__, raw)))
-        stops = np.cumsum([len(t.value) for t in tokens], dtype=np.int64)  # one letter stands for one byte
-        starts = np.concatenate(([0], stops[:-1]))
-        if len(raw) != len(piece):  # bytes to characters
-            of = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80) - 1
+        self.known: dict[str, bytes] = {}
+
+    def learn(self, pieces: list[str]) -> None:
+        """Remember (first character, one past the last) of every token of new pieces, as uint32 bytes."""
+        values: list[list[int]] = []
+        for piece in pieces:
+            shown = piece.encode().decode("latin-1").translate(self.letters)
+            values.append([len(t.value) for t in self.model.tokenize(shown)])  # one letter stands for one byte
+        counts = np.fromiter(map(len, values), np.int64, len(values))
+        sizes = np.fromiter(chain.from_iterable(values), np.int64)
+        stops = np.cumsum(sizes)
+        starts = stops - sizes
+        joined = "".join(pieces)
+        if not joined.isascii():  # bytes to characters
+            of = np.cumsum((np.frombuffer(joined.encode(), np.uint8) & 0xC0) != 0x80) - 1
             starts, stops = of[starts], of[stops - 1] + 1
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[piece] = out = np.column_stack([starts, stops]).astype(np.uint32).tobytes()
-        return out
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        before = np.repeat(np.cumsum(lengths) - lengths, counts)
+        packed = np.column_stack([starts - before, stops - before]).astype(np.uint32).tobytes()
+        edges = [0, *(np.cumsum(counts) * 8).tolist()]
+        self.known.update((piece, packed[s:e]) for piece, s, e in zip(pieces, edges, edges[1:]))
 
     def spans(self, text: str) -> np.ndarray:
         """(tokens x 2): first character and one past the last of every token of a text."""
-        pieces = PIECES.findall(text)
+        pieces = (PLAIN_PIECES if PLAIN.fullmatch(text) else PIECES).findall(text)
         if not pieces:
             return np.zeros((0, 2), np.int64)
-        packed = list(map(self.__getitem__, pieces))
+        distinct = set(pieces)
+        new = list(distinct.difference(self.known))
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known, new = {}, list(distinct)
+        for at in range(0, len(new), TOGETHER):
+            self.learn(new[at : at + TOGETHER])
+        packed = list(map(self.known.__getitem__, pieces))
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         counts = np.fromiter(map(len, packed), np.int64, len(packed)) // 8
         offsets = np.repeat(np.cumsum(sizes) - sizes, counts)
         return np.frombuffer(b"".join(packed), np.uint32).reshape(-1, 2).astype(np.int64) + offsets[:, None]
 
 
-def piece_starts(path: str) -> PieceStarts:
-    return one_per_worker(f"pieces {path}", lambda: PieceStarts(path))
+def piece_spans(path: str) -> PieceSpans:
+    return one_per_worker(f"pieces {path}", lambda: PieceSpans(path))
 
 
 def lines(text: str) -> list[tuple[int, int]]:
@@ -85,7 +104,7 @@ def attribute_tokens(docs: DataFrame, tokenizer: str, fields: Sequence[str] = ("
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(ids: list, *columns: list) -> Iterable[tuple]:
-        encoder = piece_starts(tokenizer)
+        encoder = piece_spans(tokenizer)
         for doc_id, *parts in zip(ids, *columns):
             sections, at = [], 0
             parts = [p or "" for p in parts]
