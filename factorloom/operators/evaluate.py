@@ -396,19 +396,24 @@ def retention_checks(cfg=RETENTION) -> dict[str, Column]:
     }
 
 
-def ranking_score(scales: dict[str, float] = RANKING_SCALES) -> Column:
-    """Clipped weighted sum minus correlation, turnover and complexity."""
+#: Fixed values of the ranking score: what counts for a candidate (weights, sign ignored or not) and against it.
+RANKING_GAINS = (
+    ("rank_icir", 0.25, "magnitude"), ("icir", 0.20, "magnitude"), ("increment", 0.25, "signed"), ("net_sharpe", 0.20, "signed"),
+    ("direction_ratio", 0.10, "signed"),
+)
+RANKING_COSTS = (("max_correlation", 0.10, None, None), ("turnover", 0.05, 1.0, 1.0), ("operators", 0.03, 16.0, 1.0))
 
-    def fixed(name: str, absolute: bool = False) -> Column:
-        x = F.abs(name) if absolute else F.col(name)
-        return F.greatest(F.least(x / scales.get(name, 1.0), F.lit(1.0)), F.lit(0.0))
 
-    return (
-        0.25 * fixed("rank_icir", True) + 0.20 * fixed("icir", True) + 0.25 * fixed("increment")
-        + 0.20 * fixed("net_sharpe") + 0.10 * fixed("direction_ratio")
-        - 0.10 * F.col("max_correlation") - 0.05 * F.least(F.lit(1.0), F.col("turnover"))
-        - 0.03 * F.least(F.lit(1.0), F.col("operators") / 16.0)
-    )
+def ranking_score(scales: dict[str, float] = RANKING_SCALES) -> Column:
+    """Weighted measures in units of their scale, each within 0 and 1, less the weighted costs up to their limit."""
+    score = F.lit(0.0)
+    for measure, weight, kind in RANKING_GAINS:
+        size = F.col(measure) if kind == "signed" else F.abs(measure)
+        score = score + weight * F.greatest(F.lit(0.0), F.least(F.lit(1.0), size / scales.get(measure, 1.0)))
+    for measure, weight, unit, limit in RANKING_COSTS:
+        cost = F.col(measure) if unit is None else F.least(F.lit(limit), F.col(measure) / unit)
+        score = score - weight * cost
+    return score
 
 
 def correlation_penalty(score: Column, max_corr: Column, threshold: float = 0.85, factor: float = 0.8) -> Column:

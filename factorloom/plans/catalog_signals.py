@@ -170,10 +170,10 @@ eps AS (SELECT mr.*, gp.n, gp.m, gp.mk, CASE WHEN n >= 5 THEN mem_r - m END AS e
   FROM mr JOIN gp ON gp.date = mr.date AND gp.code = mr.code)"""
 
 
-def member_grid(spark, sf_dir):
-    """Weekly sessions x desks with returns between quoted neighbouring sessions and membership."""
+def member_grid(spark, sf_dir, size=30):
+    """Weekly sessions x desks with returns between quoted neighbouring sessions and membership of the ``size`` largest."""
     weekly = stored(desks(spark, sf_dir))
-    members = membership(weekly, 30).select("date", "code", F.lit(True).alias("is_member"))
+    members = membership(weekly, size).select("date", "code", F.lit(True).alias("is_member"))
     industry = weekly.groupBy("code").agg(F.first("industry").alias("industry"))
     grid = joins.dense_grid(weekly, "week").join(industry, "code")
     grid = grid.join(weekly.select("date", "code", "close", "amount"), ["date", "code"], "left")
@@ -191,9 +191,10 @@ def x13(spark, sf_dir):
 
 
 _SLOW = ["IDIO_LOW_VOL_60", "RES_MOM_120_20", "RES_TREND_EFF_60_5"]
-# members change too often for the minimum counts on their own: residuals of all codes
-ALL_EPS_SQL = GRID_SQL.replace("CASE WHEN is_member THEN r_1d END AS mem_r", "r_1d AS mem_r")
-SLOW_SQL = f"""{ALL_EPS_SQL}, slow AS (SELECT *, CASE WHEN count(epsilon) OVER v >= 54 THEN -stddev_pop(epsilon) OVER v END AS IDIO_LOW_VOL_60,
+# a wider membership for the long windows: with 30 members few codes stay long enough for the minimum counts
+WIDE = 36
+WIDE_SQL = GRID_SQL.replace("<= 30", f"<= {WIDE}")
+SLOW_SQL = f"""{WIDE_SQL}, slow AS (SELECT *, CASE WHEN count(epsilon) OVER v >= 54 THEN -stddev_pop(epsilon) OVER v END AS IDIO_LOW_VOL_60,
   CASE WHEN count(epsilon) OVER m >= 90 THEN 100.0 / count(epsilon) OVER m * sum(epsilon) OVER m END AS RES_MOM_120_20,
   CASE WHEN count(epsilon) OVER t >= 50 THEN sum(epsilon) OVER t / (sum(abs(epsilon)) OVER t + 1e-12) END AS RES_TREND_EFF_60_5
   FROM eps WINDOW v AS (PARTITION BY code ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW),
@@ -201,12 +202,8 @@ SLOW_SQL = f"""{ALL_EPS_SQL}, slow AS (SELECT *, CASE WHEN count(epsilon) OVER v
     t AS (PARTITION BY code ORDER BY date ROWS BETWEEN 59 PRECEDING AND 5 PRECEDING))"""
 
 
-def every_code_grid(spark, sf_dir):
-    return member_grid(spark, sf_dir).withColumn("is_member", F.lit(True))
-
-
 def slow_panel(spark, sf_dir):
-    return sg.slow_signals(sg.industry_residual(every_code_grid(spark, sf_dir)))
+    return sg.slow_signals(sg.industry_residual(member_grid(spark, sf_dir, WIDE)))
 
 
 @query(
@@ -253,10 +250,12 @@ def _scenario_sql(name: str) -> str:
 @query(
     "X19_scenario_signals",
     "scenario:s code:i date:t low_vol:d momentum:d efficiency:d",
-    f"WITH {ALL_EPS_SQL} {' UNION ALL '.join(_scenario_sql(n) for n in sg.SCENARIOS)}",
+    f"WITH {WIDE_SQL} {' UNION ALL '.join(_scenario_sql(n) for n in sg.SCENARIOS)}",
 )
 def x19(spark, sf_dir):
-    base = stored(sg.shrunk_residual(every_code_grid(spark, sf_dir)).select("code", "date", "strict", "shrink"))
+    grid = member_grid(spark, sf_dir, WIDE)
+    masked_grid = grid.withColumn("r_1d", F.when(F.col("is_member"), F.col("r_1d")))
+    base = stored(sg.shrunk_residual(masked_grid).select("code", "date", "strict", "shrink"))
     out = None
     for name in sg.SCENARIOS:
         part = sg.scenario_signals(base, name).select(F.lit(name).alias("scenario"), "code", "date", "low_vol", "momentum", "efficiency")
