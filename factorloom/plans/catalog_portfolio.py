@@ -107,38 +107,45 @@ def b30(spark, sf_dir):
 
 @query(
     "B31_ledger_attribution",
-    "horizon:i code:i linked:d total:d compounded:d",
+    "horizon:i code:i linked:d industry:s industry_linked:d total:d compounded:d",
     f"""WITH {BOOK_SQL}, nv AS (SELECT *, exp(coalesce(sum(ln(1 + net_return)) OVER (PARTITION BY horizon, phase ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND
       1 PRECEDING), 0)) AS nav FROM book), attr AS (SELECT l.horizon, l.code, sum((gain_return - fee_return) * nav / l.horizon) AS linked FROM ledger l JOIN nv
       ON nv.horizon = l.horizon AND nv.phase = l.phase AND nv.position = l.position GROUP BY 1, 2),
-    cp AS (SELECT horizon, avg(c) AS compounded FROM (SELECT horizon, phase, exp(sum(ln(1 + net_return))) - 1 AS c FROM book GROUP BY 1, 2) GROUP BY 1)
-    SELECT a.horizon, a.code, a.linked, sum(a.linked) OVER (PARTITION BY a.horizon) AS total, cp.compounded FROM attr a JOIN cp ON cp.horizon = a.horizon""",
+    cp AS (SELECT horizon, avg(c) AS compounded FROM (SELECT horizon, phase, exp(sum(ln(1 + net_return))) - 1 AS c FROM book GROUP BY 1, 2) GROUP BY 1),
+    iy AS (SELECT code, any_value(industry) AS industry FROM dk GROUP BY 1)
+    SELECT a.horizon, a.code, a.linked, iy.industry, sum(a.linked) OVER (PARTITION BY a.horizon, iy.industry) AS industry_linked,
+      sum(a.linked) OVER (PARTITION BY a.horizon) AS total, cp.compounded FROM attr a JOIN iy ON iy.code = a.code JOIN cp ON cp.horizon = a.horizon""",
 )
 def b31(spark, sf_dir):
-    """Per code; the total over the codes reconciles to the mean compounded return of the phases."""
+    """Per code and rolled up to industries; the total reconciles to the mean compounded return of the phases."""
     book = checkpointed(ledger(spark, sf_dir))
     daily = pf.daily_book(book)
     per_code = pf.linked_attribution(book, daily).groupBy("horizon", "code").agg(F.sum("linked").alias("linked"))
     compounded = daily.groupBy("horizon", "phase").agg(F.expm1(F.sum(F.log1p("net_return"))).alias("_c"))
     compounded = compounded.groupBy("horizon").agg(F.avg("_c").alias("compounded"))
-    total = F.sum("linked").over(Window.partitionBy("horizon"))
-    return per_code.withColumn("total", total).join(compounded, "horizon")
+    industry = desks(spark, sf_dir).groupBy("code").agg(F.first("industry").alias("industry"))
+    per_code = checkpointed(per_code.join(industry, "code"))
+    rolled = per_code.groupBy("horizon", "industry").agg(F.sum("linked").alias("industry_linked"))
+    total = rolled.groupBy("horizon").agg(F.sum("industry_linked").alias("total"))
+    same = per_code["industry"].eqNullSafe(rolled["industry"]) & (per_code["horizon"] == rolled["horizon"])
+    return per_code.join(rolled, same).drop(rolled["horizon"], rolled["industry"]).join(total, "horizon").join(compounded, "horizon")
 
 
 @query(
     "B32_concentration",
-    "horizon:i total:d positive:d negative:d top5:d top10:d",
+    "horizon:i total:d positive:d negative:d top5:d top10:d max_weight:d",
     f"""WITH {BOOK_SQL}, nv AS (SELECT *, exp(coalesce(sum(ln(1 + net_return)) OVER (PARTITION BY horizon, phase ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND
       1 PRECEDING), 0)) AS nav FROM book), attr AS (SELECT l.horizon, l.code, sum((gain_return - fee_return) * nav / l.horizon) AS v FROM ledger l JOIN nv
       ON nv.horizon = l.horizon AND nv.phase = l.phase AND nv.position = l.position GROUP BY 1, 2),
-    rk AS (SELECT *, row_number() OVER (PARTITION BY horizon ORDER BY v DESC, code) AS k FROM attr)
-    SELECT horizon, sum(v) AS total, coalesce(sum(v) FILTER (v > 0), 0) AS positive, coalesce(sum(v) FILTER (v < 0), 0) AS negative,
+    rk AS (SELECT *, row_number() OVER (PARTITION BY horizon ORDER BY v DESC, code) AS k, (SELECT max(weight) FROM ledger l WHERE l.horizon = attr.horizon) AS mw FROM attr)
+    SELECT horizon, any_value(mw) AS max_weight, sum(v) AS total, coalesce(sum(v) FILTER (v > 0), 0) AS positive, coalesce(sum(v) FILTER (v < 0), 0) AS negative,
       sum(v) FILTER (k <= 5) AS top5, sum(v) FILTER (k <= 10) AS top10 FROM rk GROUP BY 1""",
 )
 def b32(spark, sf_dir):
     book = checkpointed(ledger(spark, sf_dir))
     linked = pf.linked_attribution(book, pf.daily_book(book)).groupBy("horizon", "code").agg(F.sum("linked").alias("v"))
-    return pf.concentration(linked, "v", ["horizon"])
+    heaviest = book.groupBy("horizon").agg(F.max("weight").alias("max_weight"))
+    return pf.concentration(linked, "v", ["horizon"]).join(heaviest, "horizon")
 
 
 @query(

@@ -488,20 +488,21 @@ def l9(spark, sf_dir):
 @query(
     "L10_nested_folds",
     "outer_fold:i inner_fold:i n_dates:i clashes:i",
-    f"""WITH {WEEKLY_SQL}, {split_sql('weekly', 'sp')}, inn AS (SELECT date, 4 AS outer_fold, row_number() OVER (ORDER BY date) - 1 AS p,
-      count(*) OVER () AS n FROM sp WHERE fold = 4 AND role <> 'holdout' AND role <> 'purge' AND role <> 'validation'),
+    f"""WITH {WEEKLY_SQL}, {split_sql('weekly', 'sp')}, inn AS (SELECT date, fold AS outer_fold, row_number() OVER (PARTITION BY fold ORDER BY date) - 1 AS p,
+      count(*) OVER (PARTITION BY fold) AS n FROM sp WHERE role = 'train'),
     iv AS (SELECT date, outer_fold, p * 4 // n AS inner_fold FROM inn WHERE p * 4 // n > 0)
-    SELECT outer_fold, inner_fold, count(*) AS n_dates, count(*) FILTER (date IN (SELECT date FROM sp WHERE role = 'embargo' AND fold < 4)) AS clashes
-    FROM iv GROUP BY 1, 2""",
+    SELECT outer_fold, inner_fold, count(*) AS n_dates, count(*) FILTER (em.first < outer_fold) AS clashes
+    FROM iv LEFT JOIN (SELECT date, min(fold) AS first FROM sp WHERE role = 'embargo' GROUP BY 1) em USING (date) GROUP BY 1, 2""",
 )
 def l10(spark, sf_dir):
-    """Inner validation quarters of the last outer training set never hit an embargoed session."""
-    outer = weekly_split(spark, sf_dir)
-    train = outer.where((F.col("fold") == 4) & (F.col("role") == "train"))
-    numbered = joins.number_calendar(train)
-    total = numbered.agg(F.count(F.lit(1)).alias("n")).scalar()
-    inner = numbered.withColumn("fold", F.floor(F.col("position") * 4 / total)).where(F.col("fold") > 0)
-    inner = inner.withColumns({"outer_fold": F.lit(4), "role": F.lit("validation")})
+    """Inner validation quarters of every outer training set never hit a session that an earlier fold embargoes."""
+    outer = stored(weekly_split(spark, sf_dir))
+    fold = Window.partitionBy("fold")
+    place = F.row_number().over(fold.orderBy("date")) - 1
+    train = outer.where(F.col("role") == "train").withColumns({"position": place, "total": F.count(F.lit(1)).over(fold)})
+    inner = train.select(
+        "date", F.col("fold").alias("outer_fold"), F.floor(F.col("position") * 4 / F.col("total")).alias("fold"), F.lit("validation").alias("role")
+    ).where(F.col("fold") > 0)
     return lb.nested_violations(inner, outer)
 
 
