@@ -203,17 +203,19 @@ def security_master(codes: DataFrame, listed: DataFrame | None = None) -> DataFr
     return base.join(known, "code", "left")
 
 
+# Fixed values of rows without a status.
+STATUS_FLAGS = ("is_suspended", "is_st", "is_xr", "is_wd", "can_buy_open", "can_sell_open")
+NO_STATUS, DERIVED = "STATUS_UNAVAILABLE_FROM_VENDOR", "DERIVED_POLICY"
+
+
 def fill_status(keys: DataFrame, status: DataFrame, on: Sequence[str] = ("date", "code")) -> DataFrame:
-    """Keys without a status row are not tradable, and say why."""
+    """Keys without a status row have no flag, are not tradable and say why; they count as known when their day has closed."""
     df = keys.select(*on).join(status.withColumn("_known", F.lit(True)), list(on), "left")
-    known = F.coalesce("_known", F.lit(False))
-    label = F.lit("STATUS_UNAVAILABLE_FROM_VENDOR")
-    return df.withColumns(
-        {
-            **{c: F.coalesce(c, F.lit(False)) for c in ("is_suspended", "can_buy_open", "can_sell_open")},
-            **{c: F.when(known, F.col(c)).otherwise(label) for c in ("buy_block_reason", "sell_block_reason")},
-        }
-    ).drop("_known")
+    fill = {
+        **{c: F.lit(False) for c in STATUS_FLAGS}, "buy_block_reason": F.lit(NO_STATUS), "sell_block_reason": F.lit(NO_STATUS),
+        "available_at": at_local(F.col("date"), "21:00:00"), "available_at_source": F.lit(DERIVED),
+    }
+    return df.withColumns({c: F.when(F.col("_known"), F.col(c)).otherwise(x) for c, x in fill.items()}).drop("_known")
 
 
 # Availability columns of one reference row.

@@ -1068,16 +1068,21 @@ def p12(spark, sf_dir):
 
 @query(
     "P13_status_fill",
-    "code:i date:t is_suspended:b can_buy_open:b buy_block_reason:s",
-    f"""WITH {TRADABLE_SQL} SELECT code, date, CASE WHEN month(date) = 5 THEN false ELSE suspended END AS is_suspended,
-      CASE WHEN month(date) = 5 THEN false ELSE can_buy_open END AS can_buy_open, CASE WHEN month(date) = 5
-      THEN 'STATUS_UNAVAILABLE_FROM_VENDOR' WHEN suspended THEN 'SUSPENDED' WHEN NOT can_buy_open THEN 'LIMIT_UP_OPEN' END
-      AS buy_block_reason FROM tradable""",
+    "code:i date:t is_suspended:b is_st:b is_xr:b is_wd:b can_buy_open:b buy_block_reason:s available_at:t available_at_source:s",
+    f"""WITH {TRADABLE_SQL}, k AS (SELECT *, month(date) <> 5 AS known FROM tradable)
+    SELECT code, date, known AND suspended AS is_suspended, known AND code % 6 = 0 AS is_st, known AND month(date) = 7 AS is_xr,
+      known AND code % 7 = 1 AS is_wd, known AND can_buy_open AS can_buy_open, CASE WHEN NOT known THEN 'STATUS_UNAVAILABLE_FROM_VENDOR'
+      WHEN suspended THEN 'SUSPENDED' WHEN NOT can_buy_open THEN 'LIMIT_UP_OPEN' END AS buy_block_reason,
+      CAST(date AS DATE) + CASE WHEN known THEN INTERVAL 12 HOUR ELSE INTERVAL 13 HOUR END AS available_at,
+      CASE WHEN known THEN 'VENDOR' ELSE 'DERIVED_POLICY' END AS available_at_source FROM k""",
 )
 def p13(spark, sf_dir):
+    """The vendor knows no status in May."""
     df = tradable(spark, sf_dir).withColumnRenamed("suspended", "is_suspended")
-    status = df.where(F.month("date") != 5).select(
-        "date", "code", "is_suspended", "can_buy_open", "can_sell_open", "buy_block_reason", "sell_block_reason"
+    flags = {"is_st": F.col("code") % 6 == 0, "is_xr": F.month("date") == 7, "is_wd": F.col("code") % 7 == 1}
+    times = {"available_at": F.col("date").cast("timestamp") + F.expr("INTERVAL 12 HOUR"), "available_at_source": F.lit("VENDOR")}
+    status = df.where(F.month("date") != 5).withColumns({**flags, **times}).select(
+        "date", "code", *pn.STATUS_FLAGS, "buy_block_reason", "sell_block_reason", "available_at", "available_at_source"
     )
     return pn.fill_status(df.select("date", "code"), status)
 
