@@ -9,6 +9,11 @@ Rows with one fingerprint are one node, so copies cost nothing.  Members of a ke
 BLOCK nodes; a key with more members is dealt out by pairs of blocks, so a task never holds
 more than two blocks.  A block returns a spanning forest of its links, never all pairs.
 
+The pipeline's stage (``drop_near``) has another rule: Jaccard similarity of at least SIMILAR on the distinct shingles of
+STAGE_SHINGLE words.  Such pairs differ in about 10 of 64 bits, and a bound of 16 bits leaves segments of 7 bits, whose keys
+gather 1/64 of all documents each.  So its candidates come from bands of min-hashes of the same shingles; every link is then
+verified on the whole sets of shingles before the components.
+
 Defined results.  NULL, empty and blank texts have fingerprint zero and are linked like any other.  Repeated rows
 are reported as often as they come.  NULL doc_id: the component_id is the smallest id that is not NULL.  An
 empty table gives no rows; extra columns are ignored; texts of any length are read whole.
@@ -33,19 +38,35 @@ MAX_BITS = 4
 BLOCK = 2048
 #: Shingles whose bits are unpacked at a time.
 CHUNK = 1 << 16
+#: The pipeline's rule: Jaccard similarity of the distinct shingles of so many words.
+STAGE_SHINGLE, SIMILAR = 5, 0.8
+#: A pair at 0.8 misses all bands with chance (1 - 0.8 ** 6) ** 32 = 6e-5.
+BANDS, BAND_ROWS = 32, 6
+#: Documents of a task are at most two blocks of so many.
+MEMBERS = 128
+_draw = np.random.default_rng(SEED)
+MIX = _draw.integers(0, 1 << 64, BANDS * BAND_ROWS, np.uint64) | np.uint64(1)
+FLIP = _draw.integers(0, 1 << 64, BANDS * BAND_ROWS, np.uint64)
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Unsigned 64-bit SimHash of the word shingles (repeats count) of one text."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> list[int]:
+    """XXH64 of the word shingles of one text, in order and with repeats; a shorter text is one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return []
     body = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate(([0], ends[:-1]))
     size = min(shingle, len(words))
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(body[s:e], SEED) for s, e in zip(starts[: len(words) - size + 1].tolist(), (ends[size - 1 :] - 1).tolist())]
+    return [digest(body[s:e], SEED) for s, e in zip(starts[: len(words) - size + 1].tolist(), (ends[size - 1 :] - 1).tolist())]
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Unsigned 64-bit SimHash of the word shingles (repeats count) of one text."""
+    hashes = shingle_hashes(text, shingle)
+    if not hashes:
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), CHUNK):
         part = np.array(hashes[at : at + CHUNK], dtype=">u8")
@@ -137,8 +158,107 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = MAX_BIT
     return prints.join(of_node, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def shingle_set(text: str | None) -> np.ndarray:
+    """The distinct shingles of STAGE_SHINGLE words as sorted hashes."""
+    return np.unique(np.array(shingle_hashes(text, STAGE_SHINGLE), np.uint64))
+
+
+def _digest(values: np.ndarray) -> int:
+    return _signed(xxhash.xxh64_intdigest(values.tobytes(), SEED)) if len(values) else 0
+
+
+def band_keys(own: np.ndarray) -> list[int]:
+    """BANDS keys of BAND_ROWS smallest hashes each: sets of Jaccard s share a given key with chance s ** BAND_ROWS."""
+    if not len(own):
+        return []
+    least = np.full(len(MIX), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(own), 1024):
+        least = np.minimum(least, ((own[None, at : at + 1024] ^ FLIP[:, None]) * MIX[:, None]).min(axis=1))
+    return [_digest(part) for part in least.reshape(BANDS, BAND_ROWS)]
+
+
+def similar_links(sets: list[np.ndarray], similar: float = SIMILAR) -> list[tuple[int, int]]:
+    """A spanning forest (places in ``sets``) of the pairs with at least this exact Jaccard similarity."""
+    sizes = np.array([len(x) for x in sets])
+    links, pool = [], np.arange(len(sets))
+    while len(pool):
+        queue, pool = [pool[0]], pool[1:]
+        while queue and len(pool):
+            one = queue.pop()
+            a = sets[one]
+            other = sizes[pool]
+            near = np.flatnonzero(np.minimum(other, len(a)) >= similar * np.maximum(other, len(a)) - 1e-9)
+            if len(near):
+                b = np.concatenate([sets[i] for i in pool[near]])
+                same = a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b
+                both = np.add.reduceat(same, np.concatenate(([0], np.cumsum(other[near])[:-1])), dtype=np.int64)
+                near = near[both >= similar * (other[near] + len(a) - both) - 1e-9]
+                links += [(int(one), int(x)) for x in pool[near]]
+                queue += list(pool[near])
+                pool = np.delete(pool, near)
+    return links
+
+
+def profiles(docs: DataFrame) -> DataFrame:
+    """(doc_id, body, node, bands): hash of the text, digest of its shingle set, band keys; one row per input row."""
+    rows = pick(docs, doc_id="doc_id", text="text").withColumn("body", F.xxhash64("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(ids: list, texts: list, bodies: list) -> Iterable[tuple]:
+        for doc_id, text, body in zip(ids, texts, bodies):
+            own = shingle_set(text)
+            yield doc_id, body, _digest(own), band_keys(own)
+
+    return map_rows(rows, run, f"doc_id {kind}, body bigint, node bigint, bands array<bigint>")
+
+
+def verified_links(docs: DataFrame, nodes: DataFrame, block: int = MEMBERS) -> DataFrame:
+    """(a, b) links that connect the nodes (node, body, bands) which share a band and are similar by their shingles."""
+    keyed = nodes.select("node", F.posexplode("bands").alias("slot", "value"))
+    key = Window.partitionBy("slot", "value")
+    shared = (
+        keyed.withColumn("n", F.count(F.lit(1)).over(key)).where("n > 1")
+        .withColumn("mine", F.floor((F.row_number().over(key.orderBy("node")) - 1) / block).cast("int"))
+        .withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    )
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = shared.withColumn("other", others).where("blocks = 1 or mine != other").select("slot", "value", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node")
+    # bands mostly gather the same nodes: one comparison for equal lists
+    lists = dealt.groupBy("slot", "value", "i", "j").agg(F.array_sort(F.collect_list("node")).alias("members")).select("members").distinct()
+    members = stored(lists.select(F.xxhash64("members").alias("task"), F.explode("members").alias("node")), "members")
+    bodies = members.select("node").distinct().join(nodes.select("node", "body"), "node").select(F.col("body").alias("wanted")).distinct()
+    texts = pick(docs, text="text").withColumn("body", F.xxhash64("text"))
+
+    def read(bodies: list) -> Iterable[tuple]:
+        for text in bodies:
+            own = shingle_set(text)
+            yield _digest(own), own.tobytes()
+
+    found = map_rows(texts.join(bodies, F.col("body") == F.col("wanted"), "left_semi").select("text"), read, "node bigint, shingles binary")
+    sets = stored(found.groupBy("node").agg(F.max("shingles").alias("shingles")), "sets")
+    tasks = members.join(sets, "node").groupBy("task").agg(F.collect_list("node").alias("ids"), F.collect_list("shingles").alias("sets"))
+
+    def run(ids: list, packed: list) -> Iterable[tuple]:
+        for own, sets in zip(ids, packed):
+            for a, b in similar_links([np.frombuffer(x, np.uint64) for x in sets]):
+                yield own[a], own[b]
+
+    return map_rows(tasks.select("ids", "sets"), run, "a bigint, b bigint").distinct()
+
+
+def similar_documents(docs: DataFrame, block: int = MEMBERS) -> DataFrame:
+    """One row per document: doc_id, component_id (smallest id reachable by links of similarity SIMILAR)."""
+    prints = stored(profiles(docs), "profiles")
+    nodes = stored(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("body").alias("body"), F.first("bands").alias("bands")), "nodes")
+    roots = components(verified_links(docs, nodes, block))
+    placed = nodes.select(F.col("node").alias("own"), "least").join(roots, F.col("own") == F.col("node"), "left").select("own", F.coalesce("root", "own").alias("root"), "least")
+    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_node = placed.join(least, "root").select("own", "component_id")
+    return prints.select("doc_id", "node").join(of_node, F.col("node") == F.col("own")).select("doc_id", "component_id")
+
+
 def drop_near(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component (its smallest id); columns unchanged."""
-    groups = near_duplicates(docs)
+    """``docs`` with one document of each component of similar documents (its smallest id); columns unchanged."""
+    groups = similar_documents(docs)
     ids = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id")).distinct()
     return keep_rows(docs, ids, "left_semi")

@@ -81,3 +81,27 @@ def test_forest_links_exactly():
     distinct = np.unique(members)
     assert len(links) < len(distinct)
     assert all((a ^ b).bit_count() <= 4 for a, b in links)
+
+
+def test_stage_removes_copies_from_similarity_08_on(spark):
+    rng = random.Random(11)
+    pairs = []
+    while len(pairs) < 400:
+        size = rng.randrange(100, 800)
+        one = [f"w{rng.randrange(50_000)}" for _ in range(size)]
+        two = list(one)
+        for at in rng.sample(range(size), max(1, int(size * rng.uniform(0.005, 0.035)))):
+            two[at] = f"x{rng.randrange(50_000)}"
+        pairs.append((one, two))
+    grams = lambda words: {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+    jaccard = [len(grams(a) & grams(b)) / len(grams(a) | grams(b)) for a, b in pairs]
+    assert sum(0.8 <= j < 0.9 for j in jaccard) > 100 and sum(j < 0.8 for j in jaccard) > 50
+    rows = [(2 * i + k, " ".join(words)) for i, pair in enumerate(pairs) for k, words in enumerate(pair)]
+    want = [d for d, _ in rows if d % 2 == 0 or jaccard[d // 2] < 0.8]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(r[0] for r in simhash.drop_near(docs).collect()) == want
+    # a hot group in blocks of 7: copies with one edit each are one document
+    base = [f"b{i}" for i in range(300)]
+    hot = [(i, " ".join(base[:i] + [f"y{i}"] + base[i + 1 :])) for i in range(60)]
+    got = simhash.similar_documents(spark.createDataFrame(hot, "doc_id long, text string"), block=7).collect()
+    assert {r["component_id"] for r in got} == {0} and len(got) == 60
