@@ -2,14 +2,16 @@
 
 Two interpolated Kneser-Ney bigram models, one for toxic and one for ordinary text, back off to continuation counts (in how
 many different contexts a word occurs, so copies of a text count once) and share the last backoff, the
-continuation counts of both classes together: a rare expression is smoothed alike under both and says
-nothing.  The length-normalised log-likelihoods are compared in windows of SPAN words and over the whole
-text; a logistic curve turns the greatest window difference and the mean into a probability.
+continuation counts of both classes together, with one weight: a word that no class knows is smoothed alike under both.  An unseen
+bigram has the escape weight of its context in each class.  The length-normalised log-likelihoods are compared in windows of SPAN
+words and over the whole text; a logistic curve turns the greatest window difference and the mean into a probability.
 
-Learning.  Of the rows that may be learned from (fold 0 of FOLDS is held out), fold CALIBRATE fits the curve and the others the
-counts, so the curve sees texts the counts have not seen.  Counts cover every learning row; the curve is fitted on about
-SAMPLE labelled rows at most (chosen by a hash of the id).  Tasks receive words with at least SHARE of a class's words and the
-bigrams among them with the same share: at most 1 / SHARE entries each, however large the corpus.
+Learning.  Of the rows that may be learned from (fold 0 of FOLDS is held out), at most a quarter and about SAMPLE / 2 of each class
+(chosen by a hash of the id, weighted back to the true rate) fit the curve; all others are counted, so the curve sees texts the counts have
+not seen.  If the sample lacks a class, the score is the uncalibrated log-likelihood difference of the whole text as a probability.
+
+Every counted word and bigram is kept.  Those with at least SHARE of a class's words (at most 1 / SHARE a class) travel to the
+tasks; documents ask for the others by equality of XXH64 keys, so no frequent bigram is ever a join key.
 
 Defined results.  NULL and empty texts, and texts without a word, score the curve's value at zero evidence.  Rows with NULL or
 missing labels are not learned from but are scored; NULL doc_id is not held out and not learned from.  Repeated rows are scored as often as
@@ -25,22 +27,23 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factorloom.llm.common import map_rows, one_per_worker, pick
 from factorloom.llm.language import fold
 from factorloom.session import stored
 
-FOLDS, HELD_OUT, CALIBRATE = 5, 0, 4
+FOLDS, HELD_OUT = 5, 0
 SHARE = 1e-5
 SPAN = 4
-#: Words seen in fewer contexts, both classes together, are rare: copies of one text cannot make them evidence.
-MIN_KINDS = 5
 DISCOUNT = 0.75
 SAMPLE = 20_000
 WORD = re.compile(r"[^\W\d_]+")
 OTHER = 0
+#: The context of the first word; no word looks like it.
+START = "^"
 
 
 def words_of(text: str | None) -> list[str]:
@@ -56,160 +59,201 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return learn.join(known.hint("merge"), F.col("doc_id") == F.col("id")).select("doc_id", "text", (F.col("toxic") > 0).alias("toxic"))
 
 
-def vocabulary(rows: DataFrame, share: float) -> list[str]:
-    """Words with at least ``share`` of the words of a class, counted over all rows."""
+def bigrams(rows: DataFrame) -> DataFrame:
+    """(v, w, t, o): how often word w follows word v in toxic and in ordinary rows."""
 
     def count(toxic: list, texts: list) -> Iterable[tuple]:
         for kind in (True, False):
             n = Counter()
             for t, text in zip(toxic, texts):
                 if t == kind:
-                    n.update(words_of(text))
-            yield from ((kind, w, c) for w, c in n.items())
+                    words = words_of(text)
+                    n.update(zip([START, *words], words))
+            yield from ((kind, v, w, c) for (v, w), c in n.items())
 
-    counted = map_rows(rows.select("toxic", "text"), count, "toxic boolean, word string, n bigint").groupBy("word").agg(
+    raw = map_rows(rows.select("toxic", "text"), count, "toxic boolean, v string, w string, n bigint")
+    return raw.groupBy("v", "w").agg(
         *[F.sum(F.when(F.col("toxic") == kind, F.col("n")).otherwise(0)).alias(name) for kind, name in ((True, "t"), (False, "o"))]
     )
-    counted = stored(counted, "words")
-    total = counted.agg(F.sum("t"), F.sum("o")).first()
-    if not total[0] or not total[1]:
-        return []
-    frequent = (F.col("t") >= share * total[0]) | (F.col("o") >= share * total[1])
-    return sorted(counted.where(frequent & (F.col("t") + F.col("o") > 1)).select("word").toArrow()["word"].to_pylist())
-
 
-def encoded(text: str | None, ids: dict[str, int]) -> np.ndarray:
-    """Word numbers, OTHER for unknown words, with one OTHER in front as the first context."""
-    return np.array([OTHER] + [ids.get(w, OTHER) for w in words_of(text)], np.int64)
 
+def train(rows: DataFrame, share: float = SHARE) -> tuple[dict, DataFrame] | None:
+    """Log-ratios of every counted word and bigram: what is frequent as arrays, the rest as a table (key, value).
 
-def bigrams(rows: DataFrame, words: list[str]) -> DataFrame:
-    """(v, w, t, o): how often word w follows word v in toxic and in ordinary rows."""
-    spark = rows.sparkSession
-    sent = spark.sparkContext.broadcast(words)
+    Arrays: ``uni`` (as a word) and ``escape`` (as a context) per frequent word, ``keys`` (sorted) and ``ratios`` of frequent bigrams.
+    """
+    pairs = stored(bigrams(rows), "bigrams")
+    sides = F.explode(F.array(F.struct(F.lit(True).alias("left"), F.col("v").alias("word")), F.struct(F.lit(False).alias("left"), F.col("w").alias("word"))))
+    one = lambda c: F.sum((c > 0).cast("long"))
+    ends = stored(pairs.select(sides.alias("s"), "t", "o").groupBy("s.left", "s.word").agg(
+        one(F.col("t")).alias("kinds_t"), one(F.col("o")).alias("kinds_o"), F.count(F.lit(1)).alias("kinds"), F.sum("t").alias("t"), F.sum("o").alias("o")
+    ), "ends")
+    above = [F.sum(F.greatest(F.col(f"kinds_{c}") - DISCOUNT, F.lit(0.0))).alias(f"above_{c}") for c in "to"]
+    all_ = ends.where("not left").agg(F.sum("t").alias("t"), F.sum("o").alias("o"), F.sum("kinds").alias("kinds"), F.count(F.lit(1)).alias("types"), *above).first()
+    if not all_["t"] or not all_["o"]:
+        return None
+    back = DISCOUNT * all_["types"] / all_["kinds"]  # weight of the shared backoff, the same in both classes
+    lower = {c: (1 - back) * F.greatest(F.col(f"kinds_{c}") - DISCOUNT, F.lit(0.0)) / (all_[f"above_{c}"] or 1.0) + back * F.col("kinds") / all_["kinds"] for c in "to"}
+    escape = {c: F.when(F.col(c) > 0, DISCOUNT * F.col(f"kinds_{c}") / F.col(c)).otherwise(1.0) for c in "to"}
+    frequent = (F.col("t") >= share * all_["t"]) | (F.col("o") >= share * all_["o"])
+    right = ends.where("not left").select(F.col("word").alias("w"), lower["t"].alias("low_t"), lower["o"].alias("low_o"), frequent.alias("often"))
+    left = ends.where("left").select(F.col("word").alias("v"), escape["t"].alias("out_t"), escape["o"].alias("out_o"), F.col("t").alias("all_t"), F.col("o").alias("all_o"), frequent.alias("often"))
+    p = {c: F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.greatest(f"all_{c}", F.lit(1)) + F.col(f"out_{c}") * F.col(f"low_{c}") for c in "to"}
+    both = pairs.withColumn("often", frequent).join(left.drop("often"), "v").join(right.drop("often"), "w")
+    ratios = stored(both.select("v", "w", (F.log(p["t"]) - F.log(p["o"])).alias("value"), "often"), "ratios")
+    uni = right.select("w", (F.log("low_t") - F.log("low_o")).alias("value"), "often")
+    out = left.select("v", (F.log("out_t") - F.log("out_o")).alias("value"), "often")
+    held = {name: df.where("often").drop("often").toArrow().to_pydict() for name, df in (("pairs", ratios), ("uni", uni), ("out", out))}
+    words = sorted({*held["uni"]["w"], *held["out"]["v"]})
+    ids = {w: i + 1 for i, w in enumerate(words)}
     size = len(words) + 1
-    tag = f"words {uuid.uuid4().hex}"
+    # a frequent word may be rare on its other side: NaN asks the table
+    sides_of = {name: np.full(size, np.nan) for name in ("uni", "out")}
+    for name, c in (("uni", "w"), ("out", "v")):
+        sides_of[name][[ids[w] for w in held[name][c]]] = held[name]["value"]
+    keys = np.array([ids[v] * size + ids[w] for v, w in zip(held["pairs"]["v"], held["pairs"]["w"])], np.int64)
+    order = np.argsort(keys)
+    model = {"words": words, "uni": sides_of["uni"], "escape": sides_of["out"], "keys": keys[order], "ratios": np.array(held["pairs"]["value"], float)[order]}
+    gap = F.lit(" ")
+    rest = ratios.where("not often").select(pair_key("v", "w"), "value").unionByName(uni.where("not often").select(pair_key(gap, "w"), "value"))
+    return model, rest.unionByName(out.where("not often").select(pair_key("v", gap), "value"))
 
-    def count(toxic: list, texts: list) -> Iterable[tuple]:
-        ids = one_per_worker(tag, lambda: {w: i + 1 for i, w in enumerate(sent.value)})
-        for kind in (True, False):
-            pairs = [(a := encoded(text, ids))[:-1] * size + a[1:] for t, text in zip(toxic, texts) if t == kind]
-            if pairs:
-                keys, n = np.unique(np.concatenate(pairs), return_counts=True)
-                yield from ((kind, k, c) for k, c in zip(keys.tolist(), n.tolist()))
 
-    raw = map_rows(rows.select("toxic", "text"), count, "toxic boolean, pair bigint, n bigint")
-    return raw.groupBy("pair").agg(
-        *[F.sum(F.when(F.col("toxic") == kind, F.col("n")).otherwise(0)).alias(name) for kind, name in ((True, "t"), (False, "o"))]
-    ).select(F.floor(F.col("pair") / size).alias("v"), (F.col("pair") % size).alias("w"), "t", "o")
+def pair_key(v: str | Column, w: str | Column) -> Column:
+    """The hash of ``v`` turned by one bit, xor the hash of ``w``; a blank stands for no word."""
+    h = F.xxhash64(v)
+    return F.shiftleft(h, 1).bitwiseOR(F.shiftrightunsigned(h, 63)).bitwiseXOR(F.xxhash64(w)).alias("key")
 
 
-def train(rows: DataFrame, share: float = SHARE) -> dict | None:
-    """Frozen log-ratios: ``uni`` per word and context-free, ``pairs`` (sorted keys) with their own ratio."""
-    words = vocabulary(rows, share)
-    if not words:
-        return None
-    pairs = stored(bigrams(rows, words), "bigrams")
-    size = len(words) + 1
-    sides = F.explode(F.array(F.struct(F.lit(True).alias("left"), F.col("v").alias("id")), F.struct(F.lit(False).alias("left"), F.col("w").alias("id"))))
-    one = lambda c: F.sum((c > 0).cast("long"))
-    ends = pairs.select(sides.alias("s"), "t", "o").groupBy("s.left", "s.id").agg(
-        one(F.col("t")).alias("kinds_t"), one(F.col("o")).alias("kinds_o"), F.count(F.lit(1)).alias("kinds"), F.sum("t").alias("t"), F.sum("o").alias("o")
-    ).toArrow()  # two rows per word of the vocabulary
-    table = {}
-    for left in (True, False):
-        part = ends.filter(np.array(ends["left"].to_pylist(), bool) == left)
-        at = part["id"].to_numpy()
-        for name in ("kinds_t", "kinds_o", "kinds", "t", "o"):
-            table[left, name] = np.zeros(size)
-            table[left, name][at] = part[name].to_numpy()
-    total_t, total_o = table[True, "t"].sum(), table[True, "o"].sum()
-    frequent = pairs.where(((F.col("t") >= share * total_t) | (F.col("o") >= share * total_o)) & (F.col("t") + F.col("o") > 1) & (F.col("v") > 0) & (F.col("w") > 0))
-    kept = frequent.toArrow()
-    shared = table[False, "kinds"] / table[False, "kinds"].sum()
-    lower, escape = {}, {}
-    for c in "to":
-        seen = table[False, f"kinds_{c}"]
-        lower[c] = np.maximum(seen - DISCOUNT, 0) / seen.sum() + DISCOUNT * (seen > 0).sum() / seen.sum() * shared
-        context = np.maximum(table[True, c], 1)
-        escape[c] = np.where(table[True, c] > 0, DISCOUNT * table[True, f"kinds_{c}"] / context, 1.0)
-    uni = np.log(np.maximum(lower["t"], 1e-300)) - np.log(np.maximum(lower["o"], 1e-300))
-    rare = table[False, "kinds"] < MIN_KINDS
-    rare[OTHER] = True
-    uni[rare] = 0.0  # a rare expression has only the shared backoff
-    v, w = kept["v"].to_numpy(), kept["w"].to_numpy()
-    p = {c: np.maximum(kept[c].to_numpy() - DISCOUNT, 0) / np.maximum(table[True, c][v], 1) + escape[c][v] * lower[c][w] for c in "to"}
-    ratio = np.where(rare[w], 0.0, np.log(p["t"]) - np.log(p["o"]))
-    order = np.argsort(v * size + w)
-    return {
-        "words": words, "uni": uni, "keys": (v * size + w)[order], "ratios": ratio[order],
-    }
-
-
-def evidence(text: str | None, model: dict, ids: dict[str, int]) -> tuple[float, float]:
-    """(greatest mean log-ratio of SPAN words in a row, mean over the text), in nats per word."""
-    a = encoded(text, ids)
-    if len(a) < 2:
-        return 0.0, 0.0
+class Hashes(dict):
+    """Spark's xxhash64 of words, kept for the texts of one slice."""
+
+    def __missing__(self, word: str) -> int:
+        value = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42)
+        return value
+
+
+def turned(h: np.ndarray) -> np.ndarray:
+    return (h << np.uint64(1)) | (h >> np.uint64(63))
+
+
+def frequent_part(text: str | None, model: dict, ids: dict[str, int], hashes: Hashes) -> tuple[np.ndarray, ...]:
+    """Log-ratios of the words in order; then for each that is no frequent bigram its place, escape and uni (NaN: the table must
+    say) and its keys as a bigram, as a context and as a word."""
+    words = words_of(text)
+    a = np.array([ids.get(START, OTHER)] + [ids.get(w, OTHER) for w in words], np.int64)
     v, w = a[:-1], a[1:]
-    ratio = model["uni"][w].copy()
-    known = np.flatnonzero((v > 0) & (w > 0))
-    if len(known) and len(model["keys"]):
-        key = v[known] * len(model["uni"]) + w[known]
+    ratio = np.zeros(len(words))
+    hit = np.zeros(len(words), bool)
+    if len(words) and len(model["keys"]):
+        key = v * len(model["uni"]) + w
         at = np.minimum(np.searchsorted(model["keys"], key), len(model["keys"]) - 1)
         hit = model["keys"][at] == key
-        ratio[known[hit]] = model["ratios"][at[hit]]
+        ratio[hit] = model["ratios"][at[hit]]
+    places = np.flatnonzero(~hit)
+    h = np.array([hashes[START], *[hashes[w] for w in words]], np.uint64)
+    first, second, blank = turned(h[places]), h[places + 1], np.array([hashes[" "]], np.uint64)
+    keys = [x.view(np.int64) for x in (first ^ second, first ^ blank, turned(blank) ^ second)]
+    return ratio, places, model["escape"][v[places]], model["uni"][w[places]], *keys
+
+
+def evidence(text: str | None, model: dict, ids: dict[str, int], hashes: Hashes, keys: list, values: list) -> tuple[float, float, float]:
+    """(greatest mean log-ratio of SPAN words in a row, mean over the text, sum), in nats; ``keys``, ``values``: what the table said."""
+    ratio, places, before, own, pair, context, word = frequent_part(text, model, ids, hashes)
+    if not len(ratio):
+        return 0.0, 0.0, 0.0
+    known, value = np.array(keys, np.int64), np.array(values, float)
+    order = np.argsort(known)
+    known, value = known[order], value[order]
+
+    def said(asked: np.ndarray, default: float) -> np.ndarray:
+        if not len(known):
+            return np.full(len(asked), default)
+        at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+        return np.where(known[at] == asked, value[at], default)
+
+    # unseen: escape weight of the context and the lower order; 0 for what no class knows
+    below = np.where(np.isnan(before), said(context, 0.0), before) + np.where(np.isnan(own), said(word, 0.0), own)
+    seen = said(pair, np.nan)
+    ratio[places] = np.where(np.isnan(seen), below, seen)
     sums = np.concatenate(([0.0], np.cumsum(ratio)))
     span = min(SPAN, len(ratio))
-    return float((sums[span:] - sums[:-span]).max() / SPAN), float(sums[-1] / len(ratio))
+    return float((sums[span:] - sums[:-span]).max() / SPAN), float(sums[-1] / len(ratio)), float(sums[-1])
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
-    """Logistic regression by Newton steps with a small ridge; x without the constant column."""
+def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50) -> np.ndarray:
+    """Weighted logistic regression by Newton steps with a small ridge; x without the constant column."""
     x = np.column_stack([np.ones(len(x)), x])
     beta = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         ridge = 1e-3 * np.eye(len(beta))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge, x.T @ (y - p) - ridge @ beta)
+        step = np.linalg.solve(x.T @ (x * (weight * p * (1 - p))[:, None]) + ridge, x.T @ (weight * (y - p)) - ridge @ beta)
         beta += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
     return beta
 
 
-def measured(rows: DataFrame, model: dict, extra: str = "") -> DataFrame:
-    """doc_id, most, mean (and ``extra``, a column carried along) for every row."""
+def measured(rows: DataFrame, model: dict, rest: DataFrame) -> DataFrame:
+    """doc_id, body (hash of the text), most, mean, total for every row."""
     sent = rows.sparkSession.sparkContext.broadcast(model)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    more = [extra] if extra else []
     tag = f"model {uuid.uuid4().hex}"
+    texts = rows.select("doc_id", "text", F.xxhash64("text").alias("body"))
+
+    def numbers() -> dict[str, int]:
+        return one_per_worker(tag, lambda: {w: i + 1 for i, w in enumerate(sent.value["words"])})
+
+    def ask(bodies: list, own: list) -> Iterable[tuple]:
+        hashes = Hashes()
+        for body, text in dict(zip(bodies, own)).items():  # copies ask once
+            _, _, before, word, *keys = frequent_part(text, sent.value, numbers(), hashes)
+            yield body, np.unique(np.concatenate((keys[0], keys[1][np.isnan(before)], keys[2][np.isnan(word)])))
 
-    def run(ids: list, texts: list, *rest: list) -> Iterator[tuple]:
-        numbers = one_per_worker(tag, lambda: {w: i + 1 for i, w in enumerate(sent.value["words"])})
-        for i, (doc_id, text) in enumerate(zip(ids, texts)):
-            yield (doc_id, *evidence(text, sent.value, numbers), *[r[i] for r in rest])
+    asked = map_rows(texts.select("body", "text"), ask, "asker bigint, keys array<bigint>").select("asker", F.explode("keys").alias("key"))
+    answers = asked.join(rest, "key").groupBy("asker").agg(F.collect_list(F.struct("key", "value")).alias("said"))
+    answers = answers.select("asker", F.col("said.key").alias("keys"), F.col("said.value").alias("values"))
 
-    schema = f"doc_id {kind}, most double, mean double" + "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in more)
-    return map_rows(rows.select("doc_id", "text", *more), run, schema)
+    def run(ids: list, own: list, bodies: list, keys: list, values: list) -> Iterator[tuple]:
+        hashes = Hashes()
+        for doc_id, text, body, k, x in zip(ids, own, bodies, keys, values):
+            yield (doc_id, body, *evidence(text, sent.value, numbers(), hashes, k or [], x or []))
+
+    told = texts.join(answers, F.col("body") == F.col("asker"), "left").select("doc_id", "text", "body", "keys", "values")
+    return map_rows(told, run, f"doc_id {kind}, body bigint, most double, mean double, total double")
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, share: float = SHARE) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
     rows = pick(docs, doc_id="doc_id", text="text")
     learn = stored(labelled(docs, labels), "learn")
-    own = fold(F.col("doc_id"), FOLDS)
-    model = train(learn.where(own != CALIBRATE), share)
+    n = {r["toxic"]: r["count"] for r in learn.groupBy("toxic").count().collect()}
+    # of each class its own bound, and never more than a quarter
+    bound = {kind: min(SAMPLE // 2, n.get(kind, 0) // 4) for kind in (True, False)}
+    place = F.when(F.col("toxic"), F.pmod(F.xxhash64("doc_id"), F.lit(max(n.get(True, 0), 1))) < bound[True]).otherwise(
+        F.pmod(F.xxhash64("doc_id"), F.lit(max(n.get(False, 0), 1))) < bound[False]
+    )
+    learn = learn.withColumn("fits", place)
     held = F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out")
-    sample = None
-    if model:
-        fit = learn.where(own == CALIBRATE)
-        n = max(fit.count(), SAMPLE)
-        sample = measured(fit.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < SAMPLE), model, "toxic").toArrow()
-    if not sample or not 0 < sum(sample["toxic"].to_pylist()) < len(sample):
+    trained, calibrate = None, True
+    if n.get(True) and n.get(False):
+        trained = train(learn.where("not fits"), share)
+        if not trained:
+            trained, calibrate = train(learn, share), False
+    if not trained:
         return rows.select("doc_id", held, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    x = np.column_stack([sample["most"].to_numpy(), sample["mean"].to_numpy()])
-    beta = [float(b) for b in fit_curve(x, np.array(sample["toxic"].to_pylist(), float))]
-    power = F.lit(beta[0]) + beta[1] * F.col("most") + beta[2] * F.col("mean")
+    found = stored(measured(rows, *trained), "evidence")
+    power = F.col("total")
+    if calibrate:
+        wanted = learn.where("fits").select(F.xxhash64("text").alias("own"), "toxic")
+        of_text = found.groupBy("body").agg(F.first("most").alias("most"), F.first("mean").alias("mean"))
+        sample = wanted.join(of_text, F.col("own") == F.col("body")).select("toxic", "most", "mean").toArrow()
+        y = np.array(sample["toxic"].to_pylist(), float)
+        if 0 < y.sum() < len(y):
+            rate = n[True] / (n[True] + n[False])
+            weight = np.where(y > 0, rate * len(y) / y.sum(), (1 - rate) * len(y) / (len(y) - y.sum()))
+            beta = [float(b) for b in fit_curve(np.column_stack([sample["most"].to_numpy(), sample["mean"].to_numpy()]), y, weight)]
+            power = F.lit(beta[0]) + beta[1] * F.col("most") + beta[2] * F.col("mean")
     score = 1 / (1 + F.exp(-power))
-    return measured(rows, model).select("doc_id", held, score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return found.select("doc_id", held, score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

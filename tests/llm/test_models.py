@@ -157,3 +157,42 @@ def test_toxicity_held_out(spark):
     assert by[9000]["predicted"] == by[9001]["predicted"] == by[9003]["predicted"] == 0 and by[None]["predicted"] == 1
     assert all(r["score"] == 0 for r in toxicity.score_toxicity(docs, known.where("toxic = 0")).collect())
     assert toxicity.score_toxicity(docs.limit(0), known).collect() == []
+
+
+def plain_kneser_ney(rows, text, d=0.75):
+    """Log-likelihood difference of a text under the two models, word by word."""
+    grams = {c: Counter() for c in (True, False)}
+    for t, toxic in rows:
+        words = toxicity.words_of(t)
+        grams[toxic].update(zip(["^", *words], words))
+    every = set(grams[True]) | set(grams[False])
+    kinds = Counter(w for _, w in every)
+    back = d * len(kinds) / len(every)
+    total = 0.0
+    words = toxicity.words_of(text)
+    for v, w in zip(["^", *words], words):
+        if w not in kinds and all(v != x for x, _ in every):
+            continue
+        p = {}
+        for c, n in grams.items():
+            own = Counter(b for _, b in n)
+            low = (1 - back) * max(own[w] - d, 0) / sum(max(k - d, 0) for k in own.values()) + back * kinds[w] / len(every)
+            context = sum(k for (a, _), k in n.items() if a == v)
+            out = d * sum(a == v for a, _ in n) / context if context else 1.0
+            p[c] = (max(n[v, w] - d, 0) / max(context, 1), out, low)
+        if w in kinds:
+            total += math.log(p[True][0] + p[True][1] * p[True][2]) - math.log(p[False][0] + p[False][1] * p[False][2])
+        else:  # the shared backoff of a word that no class knows is the same under both
+            total += math.log(p[True][1]) - math.log(p[False][1])
+    return total
+
+
+def test_toxicity_keeps_rare_words_and_escape_weights(spark):
+    rows = [("the vile dog bit the cat", True), ("a vile rare slur", True), ("the dog and the cat sat", False), ("the cat sat on a mat", False), ("a dog sat", False)]
+    texts = ["the rare slur", "vile cat sat", "the mat", "slur unheard dog", "unheard of", "", "the the the"]
+    learn = spark.createDataFrame(rows, "text string, toxic boolean")
+    asked = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for share in (0.0, 0.15, 2.0):  # all, some and none of the counts travel to the tasks
+        got = {r["doc_id"]: r["total"] for r in toxicity.measured(asked, *toxicity.train(learn, share)).collect()}
+        assert [got[i] for i in range(len(texts))] == pytest.approx([plain_kneser_ney(rows, t) for t in texts]), share
+    assert plain_kneser_ney(rows, "rare slur") > 1
