@@ -196,3 +196,17 @@ def test_toxicity_keeps_rare_words_and_escape_weights(spark):
         got = {r["doc_id"]: r["total"] for r in toxicity.measured(asked, *toxicity.train(learn, share)).collect()}
         assert [got[i] for i in range(len(texts))] == pytest.approx([plain_kneser_ney(rows, t) for t in texts]), share
     assert plain_kneser_ney(rows, "rare slur") > 1
+
+
+def test_toxicity_of_a_rare_class_is_reported(spark):
+    """Toxic rows outside fold 4, and a single toxic row, still give scores."""
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 not in (0, 4)]
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0]
+    toxic = set(ids[::12])
+    text = lambda i, bad: ("calm words here " * 3) + ("vile slur here " * 2 if bad else "kind talk here ")
+    rows = [(i, text(i, i in toxic or (i in held and i % 2))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for bad in (toxic, {min(toxic)}):
+        known = spark.createDataFrame([(i, int(i in bad)) for i in range(400) if i not in toxic or i in bad], "doc_id long, toxic int")
+        got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, known).collect()}
+        assert min(got[i] for i in held if i % 2) > max(got[i] for i in held if not i % 2)
