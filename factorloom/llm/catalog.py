@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm import attribution, chat, decontaminate, exact, language, license, packing, simhash, suffix, toxicity
+from factorloom.llm import attribution, chat, decontaminate, exact, language, license, packing, rotations, simhash, spelling, squares, suffix, toxicity
 from factorloom.llm.common import pick, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,18 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_token_attribution")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.attribute_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return squares.periodic_runs(table(spark, sf_dir, "documents"))
+
+
+@query("op13_spelling_variants")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op11_embedding_near_dedup")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotations.near_vectors(table(spark, sf_dir, "embeddings"))
