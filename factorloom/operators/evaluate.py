@@ -287,30 +287,71 @@ def deletion_rank_ic(df: DataFrame, scenarios: DataFrame, x: str, y: str, need:
     )
 
 
+def _above(qx: np.ndarray, qy: np.ndarray, px: np.ndarray, py: np.ndarray) -> np.ndarray:
+    """How many points (px, py) lie above each query on both axes; queries and points never tie on an axis.
+
+    All are put in the order of x; y is then split bit by bit, and at every bit a query meets the points of its
+    half-plane block by one running count: O(n log n), no loop over rows.
+    """
+    n = len(qx)
+    x, point = np.concatenate([qx, px]), np.concatenate([np.zeros(n, np.int64), np.ones(len(px), np.int64)])
+    y = np.unique(np.concatenate([qy, py]), return_inverse=True)[1]
+    order = np.argsort(x, kind="stable")
+    y, point, row = y[order], point[order], order
+    total = np.zeros(len(x), np.int64)
+    for bit in range(int(y.max()).bit_length() - 1, -1, -1):
+        # stable by the higher bits, so that x stays in order within a block of equal higher bits
+        block = y >> (bit + 1)
+        by = np.argsort(block, kind="stable")
+        block, upper, here = block[by], (y[by] >> bit) & 1, point[by]
+        reach = np.concatenate([np.cumsum((here * upper)[::-1])[::-1], [0]])
+        ends = np.flatnonzero(np.concatenate([block[1:] != block[:-1], [True]])) + 1
+        end = ends[np.cumsum(np.concatenate([[0], block[1:] != block[:-1]]))]
+        total[by] += np.where(upper == 0, reach[:-1] - reach[end], 0)
+        y, point, row, total = y[by], point[by], row[by], total[by]
+    out = np.empty(len(x), np.int64)
+    out[row] = total
+    return out[:n]
+
+
 def _drop_each(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """RankIC of all rows but one, for every row, with exact average ranks (chunks of rows)."""
+    """RankIC of all rows but one, for every row, with exact average ranks, in O(n log n).
+
+    Without row i the rank of row j falls by s_ij = [x_i < x_j] + [x_i = x_j] / 2.  The sums over the remaining rows follow
+    from running sums over both orders and from counts of rows above i on both axes.
+    """
     n = len(x)
-    out = np.full(n, np.nan)
-
-    def ranks(v):
-        s = np.sort(v)
-        return (np.searchsorted(s, v, "left") + np.searchsorted(s, v, "right") + 1) / 2.0
-
-    rx, ry = ranks(x), ranks(y)
-    for start in range(0, n, 512):
-        part = slice(start, min(start + 512, n))
-        shift_x = (x[part, None] < x[None, :]) + 0.5 * (x[part, None] == x[None, :])
-        shift_y = (y[part, None] < y[None, :]) + 0.5 * (y[part, None] == y[None, :])
-        a, b = rx[None, :] - shift_x, ry[None, :] - shift_y
-        own = np.arange(part.start, part.stop)
-        a[np.arange(len(own)), own] = b[np.arange(len(own)), own] = 0.0
-        m = n - 1
-        sa, sb = a.sum(1), b.sum(1)
-        cov = (a * b).sum(1) - sa * sb / m
-        va, vb = (a * a).sum(1) - sa * sa / m, (b * b).sum(1) - sb * sb / m
-        good = (va > 1e-12) & (vb > 1e-12)
-        out[part] = np.where(good, cov / np.sqrt(np.where(good, va * vb, 1.0)), np.nan)
-    return out
+
+    def side(v):
+        order = np.argsort(v, kind="stable")
+        s = v[order]
+        left, right = np.searchsorted(s, v, "left"), np.searchsorted(s, v, "right")
+        return order, left, right, (left + right + 1) / 2.0
+
+    (ox, lx, hx, rx), (oy, ly, hy, ry) = side(x), side(y)
+    rx, ry = rx - (n + 1) / 2, ry - (n + 1) / 2  # centred: small sums keep their digits
+
+    def falls(order, left, right, value):
+        """Sum over j of s_ij * value_j, row i itself included with one half."""
+        run = np.concatenate([[0.0], np.cumsum(value[order])])
+        return ((run[n] - run[right]) + (run[n] - run[left])) / 2
+
+    ones = np.ones(n)
+    sx, sy = falls(ox, lx, hx, ones) - 0.5, falls(oy, ly, hy, ones) - 0.5
+    xx = (n - hx) + (hx - lx - 1) / 4.0  # sum of squared falls of the other rows
+    yy = (n - hy) + (hy - ly - 1) / 4.0
+    # s_ij * t_ij = quarter of the counts over strict and weak comparisons on both axes; row i itself adds one quarter
+    kx, ky = 2 * lx, 2 * ly
+    both = sum(_above(kx + a, ky + b, kx, ky) for a in (1, -1) for b in (1, -1)) / 4.0 - 0.25
+    m = n - 1
+    own_x, own_y = rx, ry
+    a_sum, b_sum = rx.sum() - own_x - sx, ry.sum() - own_y - sy
+    ab = (rx * ry).sum() - own_x * own_y - (falls(oy, ly, hy, rx) - own_x / 2) - (falls(ox, lx, hx, ry) - own_y / 2) + both
+    aa = (rx * rx).sum() - own_x**2 - 2 * (falls(ox, lx, hx, rx) - own_x / 2) + xx
+    bb = (ry * ry).sum() - own_y**2 - 2 * (falls(oy, ly, hy, ry) - own_y / 2) + yy
+    cov, va, vb = ab - a_sum * b_sum / m, aa - a_sum * a_sum / m, bb - b_sum * b_sum / m
+    good = (va > 1e-9) & (vb > 1e-9)
+    return np.where(good, cov / np.sqrt(np.where(good, va * vb, 1.0)), np.nan)
 
 
 def leave_one_code_out(df: DataFrame, x: str, y: str, need: int = 10) -> DataFrame:
@@ -492,40 +533,6 @@ def control_quantiles(controls: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def matched_controls(meta: DataFrame, heads: DataFrame, draws: int, seed: int, near: int = 10) -> DataFrame:
-    """For each head code and draw one control from the same industry with a close history.
-
-    The ``near`` closest controls by the gap in history length (ties by code) are drawn from by a
-    seeded generator.  Controls are numbered per industry upwards and downwards by length; the
-    closest ones sit in the next ``near`` places of either direction, so each head looks up
-    2 x ``near`` places instead of meeting its whole industry.
-    """
-    controls = meta.join(heads.select("code"), "code", "left_anti")
-    targets = heads.select("code").join(meta, "code")
-    both = controls.withColumn("_head", F.lit(0)).unionByName(targets.withColumn("_head", F.lit(1)))
-    days = F.col("member_days")
-    found = None
-    for side, length in ((1, days), (-1, -days)):
-        # upwards: controls at least as long, by (length, code); downwards: strictly shorter ones
-        first = F.col("_head") if side == -1 else -F.col("_head")
-        order = Window.partitionBy("industry").orderBy(length, first, "code").rowsBetween(Window.unboundedPreceding, 0)
-        placed = both.withColumn("_place", F.sum(1 - F.col("_head")).over(order))
-        spots = placed.where(F.col("_head") == 0).select(
-            "industry", "_place", F.col("code").alias("control"), days.alias("_days")
-        )
-        wanted = placed.where(F.col("_head") == 1).withColumn(
-            "_place", F.explode(F.sequence(F.col("_place") + 1, F.col("_place") + near))
-        )
-        part = wanted.join(spots, ["industry", "_place"]).select("code", "control", F.abs(days - F.col("_days")).alias("gap"))
-        found = part if found is None else found.unionByName(part)
-    order = Window.partitionBy("code").orderBy("gap", "control")
-    pool = found.withColumn("_place", F.row_number().over(order) - 1).where(F.col("_place") < near)
-    pool = pool.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy("code")))
-    drawn = pool.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    h = _minstd(_minstd((F.col("draw").cast("bigint") * 1000003 + F.col("code").cast("bigint") * 10007 + seed) % 2147483646 + 1))
-    return drawn.where(h % F.col("_size") == F.col("_place")).select("draw", "code", "control", "gap")
-
-
 def annual_sharpe(x: str, annual: int) -> Column:
     std = F.stddev_pop(x)
     return F.when(std > 1e-12, F.avg(x) / std * math.sqrt(annual)).otherwise(0.0)

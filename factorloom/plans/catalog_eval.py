@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factorloom.functions.series import Series
-from factorloom.operators import evaluate as ev
+from factorloom.operators import controls, evaluate as ev
 from factorloom.operators import joins, labels as lb, signals as sg
 from factorloom.operators.backtest import sharpe
 from factorloom.operators.ranks import quantile_table, value_table
@@ -157,14 +157,13 @@ def v7(spark, sf_dir):
     return ev.correlation_matrix(_wide(candidates(spark, sf_dir)), sorted(NAMES))
 
 
-@query(
-    "V8_importance",
-    "candidate:s rank_ic:d mi:d importance:d",
-    f"""WITH {IC_SQL}, {_mi_sql('cand', 'strategy')}, r AS (SELECT strategy AS candidate, avg(rank_ic) AS rank_ic FROM ics GROUP BY 1),
-    j AS (SELECT r.*, mi.mi FROM r JOIN mi ON mi.strategy = r.candidate)
-    SELECT *, 0.6 * (row_number() OVER (ORDER BY round(abs(rank_ic), 9), candidate) - 1) / 3.0 + 0.4 * (row_number() OVER (ORDER BY round(mi, 9), candidate) - 1) / 3.0
-      AS importance FROM j""",
-)
+IMPORTANCE_SQL = f"""{IC_SQL}, {_mi_sql('cand', 'strategy')}, r AS (SELECT strategy AS candidate, avg(rank_ic) AS rank_ic FROM ics GROUP BY 1),
+    j AS (SELECT r.*, mi.mi FROM r JOIN mi ON mi.strategy = r.candidate), jn AS (SELECT *, greatest(count(*) OVER () - 1, 1) AS top FROM j),
+    imp AS (SELECT candidate, rank_ic, mi, 0.6 * (row_number() OVER (ORDER BY round(abs(rank_ic), 9), candidate) - 1) / top
+      + 0.4 * (row_number() OVER (ORDER BY round(mi, 9), candidate) - 1) / top AS importance FROM jn)"""
+
+
+@query("V8_importance", "candidate:s rank_ic:d mi:d importance:d", f"WITH {IMPORTANCE_SQL} SELECT * FROM imp")
 def v8(spark, sf_dir):
     return scored(stored_candidates(spark, sf_dir))
 
@@ -176,15 +175,25 @@ def scored(rows):
     return ev.importance(table)
 
 
-@query("V9_correlation_prune", "candidate:s importance:d status:s in_favour_of:s")
+@query(
+    "V9_correlation_prune",
+    "candidate:s importance:d status:s in_favour_of:s",
+    f"""WITH RECURSIVE {IMPORTANCE_SQL}, cm AS (SELECT a.strategy AS a, b.strategy AS b, abs(corr(a.factor, b.factor)) AS corr FROM cand a
+      JOIN cand b ON a.code = b.code AND a.ts = b.ts AND a.strategy < b.strategy GROUP BY 1, 2),
+    o AS (SELECT candidate, importance, row_number() OVER (ORDER BY importance DESC, candidate) AS k FROM imp),
+    q AS (SELECT o.candidate, o.importance, o.k, list(p.k ORDER BY p.k) FILTER (p.k IS NOT NULL) AS foes FROM o LEFT JOIN (SELECT o1.k AS mine, o2.k FROM o o1 JOIN o o2
+      ON o2.importance - o1.importance > 0.01 JOIN cm ON cm.a = least(o1.candidate, o2.candidate) AND cm.b = greatest(o1.candidate, o2.candidate) AND cm.corr >= 0.5) p
+      ON p.mine = o.k GROUP BY 1, 2, 3),
+    step(k, kept, beaten) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT)
+      UNION ALL SELECT q.k, CASE WHEN len(list_intersect(coalesce(q.foes, []), step.kept)) = 0 THEN list_append(step.kept, q.k) ELSE step.kept END,
+        list_min(list_intersect(coalesce(q.foes, []), step.kept)) FROM step JOIN q ON q.k = step.k + 1)
+    SELECT o.candidate, o.importance, CASE WHEN beaten IS NULL THEN 'retained' ELSE 'pruned' END AS status, w.candidate AS in_favour_of
+      FROM step JOIN o USING (k) LEFT JOIN o w ON w.k = step.beaten""",
+)
 def v9(spark, sf_dir):
-    """Scores and correlations come from Spark; the greedy pass reads one row per candidate or pair."""
+    """Correlations from 0.5 on count as conflicts: the four candidates then hold a chain of them."""
     data = stored_candidates(spark, sf_dir)
-    scores = scored(data).select("candidate", "importance").collect()
-    pairs = ev.correlation_matrix(_wide(data), sorted(NAMES)).collect()
-    beaten = ev.correlation_prune([tuple(r) for r in scores], {(r["a"], r["b"]): r["corr"] for r in pairs})
-    rows = [(r["candidate"], r["importance"], "pruned" if beaten[r["candidate"]] else "retained", beaten[r["candidate"]]) for r in scores]
-    return spark.createDataFrame(rows, "candidate string, importance double, status string, in_favour_of string")
+    return controls.prune(checkpointed(scored(data).select("candidate", "importance")), ev.correlation_matrix(_wide(data), sorted(NAMES)), threshold=0.5)
 
 
 @query(
@@ -657,33 +666,95 @@ def v35(spark, sf_dir):
     return ev.leave_one_code_out(paired(spark, sf_dir), "REV_5", "target")
 
 
-@query(
-    "V36_control_quantiles",
-    "head:s family:s draws:i q05:d q50:d q95:d share_at_or_below:d",
-    f"""WITH {IC_SQL}, h AS (SELECT strategy AS head, avg(ic) AS target FROM ics GROUP BY 1), c AS (SELECT a.strategy AS head, CASE WHEN b.code < 'm' THEN 'uniform' ELSE 'matched' END
-      AS family, b.ic AS delta FROM h a0 JOIN ics b ON b.strategy <> a0.head JOIN (SELECT DISTINCT strategy FROM ics) a ON a.strategy = a0.head)
-    SELECT head, family, count(*) AS draws, quantile_cont(delta, 0.05) AS q05, quantile_cont(delta, 0.5) AS q50, quantile_cont(delta, 0.95) AS q95,
-      avg(CASE WHEN delta <= target THEN 1.0 ELSE 0 END) AS share_at_or_below FROM c JOIN h USING (head) GROUP BY 1, 2""",
-)
-def v36(spark, sf_dir):
-    """ICs of the other candidates serve as controls of each candidate."""
-    ics = ev.series_ic(candidates(spark, sf_dir), ["strategy", "code"], "factor", "ret")
-    heads = ics.groupBy(F.col("strategy").alias("head")).agg(F.avg("ic").alias("target"))
-    family = F.when(F.col("code") < "m", "uniform").otherwise("matched")
-    others = F.explode(F.array(*[F.lit(n) for n in NAMES])).alias("head")
-    controls = ics.select(others, family.alias("family"), F.col("ic").alias("delta"), "strategy").where(F.col("head") != F.col("strategy"))
-    return ev.control_quantiles(controls, heads)
+# -- control draws ---------------------------------------------------------------------
+CONTROL_DRAWS, CONTROL_SEED = 20, 5
+
+
+def _prior(draw: str, head: str, target: str, control: str) -> str:
+    h = f"(({draw} * 1000003 + {head} * 7919 + {target} * 10007 + {control} * 104729 + {CONTROL_SEED}) % 2147483646 + 1)"
+    for _ in range(3):
+        h = _LCG.format(h=h)
+    return h
+
+
+_PICK = f"list_sort(list_transform({{pool}}, lambda c: {{{{'h': {_prior('t.draw', 't.head_id', 't.code', 'c.control')}, 'control': c.control, 'gap': c.gap}}}}))[1]"
+#: Two heads: the 5 % of the codes with the greatest mean contribution of either signal; nations stand for industries.
+DRAWN_SQL = f"""{DAILY_SQL}, me AS (SELECT code, any_value(s_nationkey) AS industry, count(*) AS member_days FROM pr JOIN supplier ON s_suppkey = code GROUP BY 1),
+co AS (SELECT code, avg(REV_5 * target) AS a, avg(MOM_20 * target) AS b FROM pr GROUP BY 1),
+hk AS (SELECT code, row_number() OVER (ORDER BY a DESC, code) AS ia, row_number() OVER (ORDER BY b DESC, code) AS ib, greatest(1, ceil(0.05 * count(*) OVER ())) AS k FROM co),
+hd AS (SELECT 'mom' AS head, 1 AS head_id, code FROM hk WHERE ib <= k UNION ALL SELECT 'rev', 2, code FROM hk WHERE ia <= k),
+un AS (SELECT head, draw, code AS control FROM (SELECT s.head, s.n, d.draw, me.code, row_number() OVER (PARTITION BY s.head, d.draw
+    ORDER BY {_prior('d.draw', 's.head_id', '0', 'me.code')}, me.code) AS i FROM me, (SELECT head, head_id, count(*) AS n FROM hd GROUP BY 1, 2) s, range({CONTROL_DRAWS}) d(draw)) WHERE i <= n),
+cl AS (SELECT hd.head, hd.head_id, hd.code, list_sort(list({{'gap': abs(a.member_days - b.member_days), 'control': b.code}}) FILTER (a.industry = b.industry)) AS own,
+    list_sort(list({{'gap': abs(a.member_days - b.member_days), 'control': b.code}})) AS every
+  FROM hd JOIN me a ON a.code = hd.code JOIN me b ON NOT EXISTS (SELECT 1 FROM hd x WHERE x.head = hd.head AND x.code = b.code) GROUP BY 1, 2, 3),
+tn AS (SELECT cl.*, d.draw, row_number() OVER (PARTITION BY head, draw ORDER BY code) AS k FROM cl, range({CONTROL_DRAWS}) d(draw)),
+mt(head, draw, k, taken, code, control, gap, fallback) AS (
+  SELECT DISTINCT head, draw, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), false FROM tn
+  UNION ALL SELECT head, draw, k, list_append(taken, p.control), code, p.control, p.gap, fb FROM (
+    SELECT t.head, t.draw, t.k, m.taken, t.code, len(o.l) = 0 AS fb, CASE WHEN len(o.l) = 0 THEN {_PICK.format(pool='e.l')} ELSE {_PICK.format(pool='o.l')} END AS p
+    FROM mt m JOIN tn t ON t.head = m.head AND t.draw = m.draw AND t.k = m.k + 1,
+      LATERAL (SELECT list_slice(list_filter(coalesce(t.own, []), lambda c: NOT list_contains(m.taken, c.control)), 1, 10) AS l) o,
+      LATERAL (SELECT list_slice(list_filter(t.every, lambda c: NOT list_contains(m.taken, c.control)), 1, 10) AS l) e))"""
+
+
+def heads_and_rows(spark, sf_dir):
+    """(rows, meta, heads): rows of both signals with the next return; history length and nation per code; two heads."""
+    rows = stored(paired(spark, sf_dir))
+    nation = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("code"), F.col("s_nationkey").alias("industry"))
+    meta = stored(rows.groupBy("code").agg(F.count(F.lit(1)).alias("member_days")).join(nation, "code"))
+    share = rows.groupBy("code").agg(F.avg(F.col("REV_5") * F.col("target")).alias("a"), F.avg(F.col("MOM_20") * F.col("target")).alias("b"))
+    top = share.agg(F.greatest(F.lit(1), F.ceil(0.05 * F.count(F.lit(1))))).scalar()
+    heads = None
+    for name, number, by in (("mom", 1, "b"), ("rev", 2, "a")):
+        # one row per code: the ordering of the codes is one small task
+        place = F.row_number().over(Window.orderBy(F.desc(by), "code"))
+        part = share.withColumn("_i", place).where(F.col("_i") <= top).select(F.lit(name).alias("head"), F.lit(number).alias("head_id"), "code")
+        heads = part if heads is None else heads.unionByName(part)
+    return rows, meta, stored(heads)
 
 
 @query(
     "V37_matched_controls",
-    "draw:i code:i control:i gap:i",
-    f"""WITH {SIGNALS_SQL}, me AS (SELECT code, any_value(industry) AS industry, count(*) AS d FROM s1 GROUP BY 1),
-    pl AS (SELECT a.code, b.code AS control, abs(a.d - b.d) AS gap, row_number() OVER (PARTITION BY a.code ORDER BY abs(a.d - b.d), b.code) - 1 AS p,
-      least(10, count(*) OVER (PARTITION BY a.code)) AS sz FROM me a JOIN me b ON a.industry = b.industry AND b.code % 9 <> 0 WHERE a.code % 9 = 0)
-    SELECT x.draw, code, control, gap FROM pl, range(20) x(draw)
-    WHERE p < sz AND {_LCG.format(h=_LCG.format(h='((x.draw * 1000003 + code * 10007 + 5) % 2147483646 + 1)'))} % sz = p""",
+    "head:s family:s draw:i code:i control:i gap:i fallback:b",
+    f"""WITH RECURSIVE {DRAWN_SQL} SELECT head, 'matched' AS family, draw, code, control, gap, fallback FROM mt WHERE k > 0 AND control IS NOT NULL
+      UNION ALL SELECT head, 'uniform', draw, NULL, control, NULL, false FROM un""",
 )
 def v37(spark, sf_dir):
-    meta = stored(panel(spark, sf_dir).groupBy("code").agg(F.first("industry").alias("industry"), F.count(F.lit(1)).alias("member_days")))
-    return ev.matched_controls(meta, meta.where(F.col("code") % 9 == 0).select("code"), draws=20, seed=5)
+    _, meta, heads = heads_and_rows(spark, sf_dir)
+    return _drawn(meta, heads)
+
+
+def _drawn(meta, heads):
+    matched = controls.matched_controls(meta, heads, CONTROL_DRAWS, CONTROL_SEED).withColumn("family", F.lit("matched"))
+    uniform = controls.uniform_controls(meta, heads, CONTROL_DRAWS, CONTROL_SEED).withColumns(
+        {"family": F.lit("uniform"), "code": F.lit(None).cast("bigint"), "gap": F.lit(None).cast("bigint"), "fallback": F.lit(False)}
+    )
+    return matched.unionByName(uniform)
+
+
+@query(
+    "V36_control_quantiles",
+    "head:s family:s draws:i q05:d q50:d q95:d share_at_or_below:d",
+    f"""WITH RECURSIVE {DRAWN_SQL}, sets AS (SELECT head || ':head:0' AS scenario, code FROM hd UNION ALL SELECT head || ':uniform:' || draw, control FROM un
+      UNION ALL SELECT head || ':matched:' || draw, control FROM mt WHERE control IS NOT NULL),
+    k AS (SELECT s.scenario, pr.date, REV_5, target FROM pr, (SELECT DISTINCT scenario FROM sets) s WHERE NOT EXISTS (SELECT 1 FROM sets x WHERE x.scenario = s.scenario AND x.code = pr.code)),
+    q AS (SELECT *, {rank_sql('REV_5', 'scenario, date')} AS a, {rank_sql('target', 'scenario, date')} AS b FROM k),
+    d AS (SELECT scenario, avg(ic) AS delta FROM (SELECT scenario, date, corr(a, b) AS ic FROM q GROUP BY 1, 2 HAVING count(*) >= 10) GROUP BY 1),
+    n AS (SELECT split_part(scenario, ':', 1) AS head, split_part(scenario, ':', 2) AS family, delta - (SELECT avg(rank_ic) FROM daily) AS delta FROM d)
+    SELECT c.head, c.family, count(*) AS draws, quantile_cont(c.delta, 0.05) AS q05, quantile_cont(c.delta, 0.5) AS q50, quantile_cont(c.delta, 0.95) AS q95,
+      avg(CASE WHEN c.delta <= t.delta THEN 1.0 ELSE 0 END) AS share_at_or_below FROM n c JOIN n t ON t.head = c.head AND t.family = 'head' WHERE c.family <> 'head' GROUP BY 1, 2""",
+)
+def v36(spark, sf_dir):
+    """Change of the mean daily RankIC when a head is left out, against the draws of both families left out."""
+    rows, meta, heads = heads_and_rows(spark, sf_dir)
+    drawn = _drawn(meta, heads).select("head", "family", F.col("draw").cast("string").alias("draw"), F.col("control").alias("code"))
+    sets = drawn.unionByName(heads.select("head", F.lit("head").alias("family"), F.lit("0").alias("draw"), "code"))
+    nothing = meta.limit(1).select(F.lit("all").alias("scenario"), F.lit(None).cast("bigint").alias("code"))
+    cases = stored(sets.select(F.concat_ws(":", "head", "family", "draw").alias("scenario"), "code").unionByName(nothing))
+    ics = stored(ev.deletion_rank_ic(rows, cases, "REV_5", "target"))
+    base = ics.where(F.col("scenario") == "all").select("rank_ic").scalar()
+    part = F.split("scenario", ":")
+    deltas = ics.where(F.col("scenario") != "all").select(part[0].alias("head"), part[1].alias("family"), (F.col("rank_ic") - base).alias("delta"))
+    targets = deltas.where(F.col("family") == "head").select("head", F.col("delta").alias("target"))
+    return ev.control_quantiles(deltas.where(F.col("family") != "head"), targets)

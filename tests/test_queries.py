@@ -20,7 +20,7 @@ def test_registry():
     assert set(oracles) <= set(queries) and len(queries) > 200
     # the optional corpus operators have brute-force tests of their own
     without = set(catalog.QUERIES) - set(oracles)
-    assert without == {"S12_V34_snapshot_manifest", "V34_fingerprint", "V9_correlation_prune", "V27_model_increment"}
+    assert without == {"S12_V34_snapshot_manifest", "V34_fingerprint", "V27_model_increment"}
 
 
 def test_entry(spark):
