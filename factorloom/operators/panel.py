@@ -11,7 +11,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factorloom.functions.features import features
 from factorloom.functions.scalar import at_local, exchange, trade_date
+from factorloom.functions.series import Series
 
 PRICES = ("open", "high", "low", "close")
 
@@ -293,3 +295,22 @@ def contiguous_runs(df: DataFrame, calendar: DataFrame, by: str = "code", date:
     w = Window.partitionBy(by).orderBy(date)
     df = df.join(calendar, date).withColumn("run", F.col("position") - F.row_number().over(w))
     return df.withColumn("run_row", F.row_number().over(Window.partitionBy(by, "run").orderBy(date)))
+
+
+#: Fixed value: rows of a run that only warm the windows up.
+WARM_UP = 60
+
+
+def run_features(bars: DataFrame, calendar: DataFrame, usable: Column, names: Sequence[str], warm_up: int = WARM_UP) -> DataFrame:
+    """the named features on every unbroken run of usable sessions, one row per row of ``bars``.
+
+    A gap ends a series: runs are series of their own (code, run), so no window, recursion or norm reaches over a
+    suspension, and cross-section features see their own code alone.  Features are NULL on unusable rows and on
+    the first ``warm_up`` rows of a run; ``ready`` tells which rows have them.
+    """
+    rows = contiguous_runs(bars.where(usable), calendar)
+    s = Series(keys=("code", "run"), order="date", at=("code", "run", "date"))
+    wide = features(rows, names, s, keep=["run_row"])
+    ready = F.coalesce(F.col("run_row") > warm_up, F.lit(False))
+    joined = bars.select("code", "date").join(wide, ["code", "date"], "left")
+    return joined.select("code", "date", "run_row", ready.alias("ready"), *[F.when(ready, F.col(n)).alias(n) for n in names])

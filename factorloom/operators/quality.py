@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factorloom.session import stored
+
 LINEAGE = ("schema_version", "snapshot_id", "data_version", "source", "fetched_at")
 
 # Required columns of the standardised tables.
@@ -88,6 +90,95 @@ def member_checks(members: DataFrame, expected: int, tolerance: float = 0.25) ->
     )
 
 
+def observed_issues(df: DataFrame, checks: Mapping[str, tuple[Column, str]], name: str) -> tuple[DataFrame, DataFrame]:
+    """Q3: write ``df`` to the shared folder and count the rows of every check in the same scan; (table, issues).
+
+    The counts ride on the write as observed metrics, so the gate costs no pass of its own.
+    """
+    seen = Observation(f"{name} gate")
+    table = stored(df.observe(seen, *[F.count(F.when(rule, 1)).alias(code) for code, (rule, _) in checks.items()]), name)
+    rows = [(code, int(seen.get[code]), severity) for code, (_, severity) in checks.items()]
+    return table, df.sparkSession.createDataFrame(rows, "code string, n_rows bigint, severity string")
+
+
+def repeated_keys(df: DataFrame, keys: Sequence[str], code: str) -> DataFrame:
+    """Rows whose key occurs more than once; counts are combined before the shuffle."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return counts.agg(F.lit(code).alias("code"), F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"), F.lit("ERROR").alias("severity"))
+
+
+#: Fixed value: least share of member rows with an industry.
+INDUSTRY_COVERAGE = 0.95
+
+
+def panel_gate(
+    bars: DataFrame, members: DataFrame, status: DataFrame, calendar: DataFrame, *, index_code: str, expected: int, cutoff: Column,
+    required_start: Column, coverage: float = INDUSTRY_COVERAGE, tolerance: float = 0.25,
+) -> DataFrame:
+    """Q3: (code, n_rows, severity) of the 21 checks of the panel gate, those without a violation included.
+
+    ``members`` carries the industry known at its date.  Every table is written once beside its row checks; checks
+    per session work on one row per date, and a member row meets the other tables by (date, code).
+    """
+    sessions = stored(calendar.where(F.coalesce("is_trading_day", F.lit(False)) & F.coalesce("is_complete_session", F.lit(False)) & (F.col("date") < cutoff)).select("date").distinct(), "sessions")
+    marked = bars.join(sessions.withColumn("_open", F.lit(True)), "date", "left")
+    quoted = F.coalesce("has_quote", F.lit(False))
+    o, h, l, c = (F.col(f"{x}_raw") for x in ("open", "high", "low", "close"))
+    numbers = ["open_raw", "high_raw", "low_raw", "close_raw", "volume", "amount", "open_tr", "close_tr"]
+    broken = F.least(o, h, l, c, F.col("open_tr"), F.col("close_tr")) <= 0
+    broken = broken | (l > F.least(o, c)) | (h < F.greatest(o, c)) | (F.least("volume", "amount") < 0)
+    bar_rules = {
+        "INVALID_OHLCV": (quoted & broken, "ERROR"),
+        "SYNTHETIC_MISSING_QUOTE_VALUES": (~quoted & F.coalesce(*[F.col(n).cast("double") for n in numbers]).isNotNull(), "ERROR"),
+        "QUOTE_MISSING_REASON_ABSENT": (~quoted & (F.trim(F.coalesce("quote_missing_reason", F.lit(""))) == ""), "ERROR"),
+        "AVAILABLE_AT_MISSING": (quoted & F.col("available_at").isNull(), "ERROR"),
+        "SOURCE_ROW_HASH_INVALID": (~F.coalesce(F.col("source_row_hash").rlike("^[0-9a-fA-F]{64}$"), F.lit(False)), "ERROR"),
+        "QUOTE_ON_NON_TRADING_DATE": (quoted & F.col("_open").isNull(), "ERROR"),
+        "HOLDOUT_PRICES_NOT_SEALED": (F.col("date") >= cutoff, "ERROR"),
+    }
+    bars, out = observed_issues(marked, bar_rules, "gate_bars")
+    own = (F.upper("index_code") == index_code) & F.coalesce("is_member", F.lit(False))
+    used = own & F.col("_open").isNotNull()
+    late = F.col("effective_at").isNull() | (F.col("effective_at").cast("date") > F.col("date"))
+    member_rules = {
+        "MEMBERSHIP_FUTURE_EXIT_STRIPPED": (F.col("exit_effective_date").isNotNull(), "WARNING"),
+        "MEMBERSHIP_EFFECTIVE_TIME_INVALID": (used & late, "ERROR"),
+        "HOLDOUT_MEMBERS_NOT_SEALED": (F.col("date") >= cutoff, "ERROR"),
+    }
+    table, found = observed_issues(members.join(sessions.withColumn("_open", F.lit(True)), "date", "left"), member_rules, "gate_members")
+    out = out.unionByName(found)
+    out = out.unionByName(repeated_keys(bars, ["date", "code"], "DUPLICATE_BARS")).unionByName(repeated_keys(status, ["date", "code"], "DUPLICATE_STATUS"))
+    out = out.unionByName(repeated_keys(table, ["date", "index_code", "code"], "DUPLICATE_MEMBERS"))
+    panel = table.where(used).drop("exit_effective_date", "_open")
+    days = sessions.join(panel.groupBy("date").agg(F.countDistinct("code").alias("n"), F.sum("weight_pct").alias("w")), "date", "left")
+    off = F.col("n").isNotNull() & ~F.coalesce(F.abs(F.col("w") - 100) <= tolerance, F.lit(False))
+    day_rules = {
+        "MEMBER_COUNT_NOT_EXACT": (F.col("n") != expected, "ERROR"),
+        "MEMBERSHIP_DATE_MISSING": (F.col("n").isNull(), "ERROR"),
+        "MEMBER_WEIGHT_SUM_INVALID": (off, "ERROR"),
+    }
+    out = out.unionByName(issues(days, day_rules))
+    start = sessions.agg(F.min("date").alias("first"))
+    calendar_rules = {
+        "NO_TRADING_DATE": (F.col("first").isNull(), "ERROR"),
+        "REQUESTED_START_NOT_COVERED": (F.col("first") > F.date_add(required_start, 10), "ERROR"),
+    }
+    out = out.unionByName(issues(start, calendar_rules))
+    evidence = bars.groupBy("date", "code").agg(F.lit(True).alias("_quote"))
+    known = status.groupBy("date", "code").agg(F.min("can_buy_open").alias("_buy"), F.min("can_sell_open").alias("_sell"))
+    joined = panel.join(evidence, ["date", "code"], "left").join(known, ["date", "code"], "left")
+    unmapped = joined.agg(F.count(F.lit(1)).alias("_rows"), F.count(F.when(F.col("industry").isNull(), 1)).alias("_none"), F.count(F.when(F.col("_quote").isNull(), 1)).alias("_q"),
+                          F.count(F.when(F.col("_buy").isNull() | F.col("_sell").isNull(), 1)).alias("_s"))
+    below = 1 - F.col("_none") / F.greatest(F.col("_rows"), F.lit(1)) < coverage
+    rows = F.array(
+        F.struct(F.lit("MEMBER_QUOTE_EVIDENCE_MISSING").alias("code"), F.col("_q").alias("n_rows"), F.lit("ERROR").alias("severity")),
+        F.struct(F.lit("TRADING_STATUS_MISSING").alias("code"), F.col("_s").alias("n_rows"), F.lit("ERROR").alias("severity")),
+        F.struct(F.lit("INDUSTRY_COVERAGE_BELOW_THRESHOLD").alias("code"), F.when(below, F.col("_none")).otherwise(0).alias("n_rows"), F.lit("ERROR").alias("severity")),
+        F.struct(F.lit("INDUSTRY_UNMAPPED").alias("code"), F.when(below, 0).otherwise(F.col("_none")).alias("n_rows"), F.lit("WARNING").alias("severity")),
+    )
+    return out.unionByName(unmapped.select(F.inline(rows)))
+
+
 def prefix_differences(full: DataFrame, prefix: DataFrame, keys: Sequence[str], values: Sequence[str], tolerance: float = 1e-9) -> DataFrame:
     """Q4: rows of the prefix run that differ from the full run; a causal operator gives 0."""
     joined = prefix.select(*keys, *[F.col(v).alias(f"_p_{v}") for v in values]).join(

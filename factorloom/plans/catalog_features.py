@@ -8,10 +8,13 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import functions as F
+
 from factorloom.functions.features import CROSS, NAMES, NORMED, features
-from factorloom.operators.joins import common_timeline
-from factorloom.plans.registry import BARS_SQL, query
-from factorloom.sources.market import bars_hourly
+from factorloom.operators.joins import common_timeline, number_calendar
+from factorloom.operators.panel import run_features
+from factorloom.plans.registry import BARS_SQL, DESKS_SQL, query
+from factorloom.sources.market import bars_hourly, desks, stored
 
 
 def _mean(x, d):
@@ -328,3 +331,29 @@ def _register(name, names):
 
 for _name, _names in GROUPS.items():
     _register(_name, _names)
+
+
+# -- features on unbroken runs ---------------------------------------------------------
+RUN_NAMES = [n for n in NAMES if n not in CROSS]
+_OPEN = "NOT (month(date) = 2 AND year(date) % 2 = 0) AND volume > 0"
+
+
+def run_feature_sql(names: list[str]) -> str:
+    """The features of the weekly desks with one code per run, joined back to all rows."""
+    ctes, source = feature_ctes(names)
+    runs = f"""{DESKS_SQL.replace('panel AS (', 'dk AS (', 1)}, cal AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS p FROM (SELECT DISTINCT date FROM dk)),
+    rn AS (SELECT dk.*, p - row_number() OVER (PARTITION BY code ORDER BY date) AS run FROM dk JOIN cal USING (date) WHERE {_OPEN}),
+    src AS (SELECT code || '#' || run AS code, date AS ts, open, high, low, close, volume, amount, row_number() OVER (PARTITION BY code, run ORDER BY date) AS rn FROM rn)"""
+    values = ", ".join(f"{final_name(n)} AS {n.lower()}" for n in names)
+    outputs = ", ".join(f"CASE WHEN place > 60 THEN {n.lower()} END AS {n.lower()}" for n in names)
+    return f"""WITH {', '.join([runs, *ctes])}, ft AS (SELECT CAST(split_part(code, '#', 1) AS BIGINT) AS code, ts, row_number() OVER (PARTITION BY code ORDER BY ts) AS place, {values} FROM {source})
+    SELECT dk.code, dk.date, place AS run_row, coalesce(place > 60, false) AS ready, {outputs} FROM dk LEFT JOIN ft ON ft.code = dk.code AND ft.ts = dk.date"""
+
+
+@query("F65_run_features", "code:i date:t run_row:i ready:b " + " ".join(f"{n.lower()}:d" for n in RUN_NAMES), run_feature_sql(RUN_NAMES))
+def f65_features(spark, sf_dir):
+    """All features but the cross-section ones on the weekly desks, whose market is shut in February of even years."""
+    bars = stored(desks(spark, sf_dir))
+    usable = F.expr(_OPEN)
+    out = run_features(bars, number_calendar(bars), usable, RUN_NAMES)
+    return out.withColumnsRenamed({n: n.lower() for n in RUN_NAMES})

@@ -12,6 +12,7 @@ from factorloom.operators import joins, panel as pn
 from factorloom.plans.catalog_backtest import TRADES_SQL
 from factorloom.plans.registry import BARS_SQL, INTERVALS_SQL, MEMBERS_SQL, PANEL_SQL, WEEKLY_SQL, query
 from factorloom.plans.research import PNL_SQL, pnl
+from factorloom.session import shared_folder
 from factorloom.sources import bars as src
 from factorloom.sources import store
 from factorloom.sources.market import (
@@ -202,6 +203,39 @@ def s12(spark, sf_dir):
     return out
 
 
+_BAR_TEXT = "code || '|' || epoch(ts)::BIGINT || '|' || CAST(floor(close * 1000000::DOUBLE + 0.5::DOUBLE) AS BIGINT) || '|' || CAST(volume AS BIGINT)"
+_HEAD = "('0x' || left(md5({x}), 8))::BIGINT"
+
+
+def bar_texts():
+    """Columns of a bar as texts: prices in millionths."""
+    return ["code", F.unix_timestamp("ts").cast("string"), F.floor(F.col("close") * 1000000.0 + 0.5).cast("bigint").cast("string"), F.col("volume").cast("bigint").cast("string")]
+
+
+@query(
+    "S12_snapshot_publish",
+    "table:s n_rows:i digest:i broken:i",
+    f"""WITH {BARS_SQL}, {INTERVALS_SQL} SELECT 'bars' AS "table", count(*) AS n_rows, sum({_HEAD.format(x=_BAR_TEXT)}) AS digest, 0 AS broken FROM bars
+      UNION ALL SELECT 'industry', count(*), sum({_HEAD.format(x="code || '|' || CAST(valid_from AS VARCHAR) || '|' || industry")}), 0 FROM intervals""",
+)
+def s12_publish(spark, sf_dir):
+    """Both tables written, published, verified and read back from the published version."""
+    tables = {"bars": store.with_lineage(bars_hourly(spark, sf_dir), schema_version="1"), "industry": industry_intervals(spark, sf_dir)}
+    version = store.publish_snapshot(tables, f"{shared_folder(spark)}/snapshots", {"bars": "code"})
+    broken = store.verify_snapshot(spark, version).groupBy("table").agg(F.count(F.lit(1)).alias("broken"))
+    texts = {"bars": bar_texts(), "industry": [F.col("code").cast("string"), F.col("valid_from").cast("string"), "industry"]}
+    out = None
+    for name, columns in texts.items():
+        row = store.text_fingerprint(store.open_snapshot(spark, version, name), columns).withColumn("table", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out.join(broken, "table", "left").na.fill(0, ["broken"])
+
+
+@query("V34_text_fingerprint", "n_rows:i digest:i", f"WITH {BARS_SQL} SELECT count(*) AS n_rows, sum({_HEAD.format(x=_BAR_TEXT)}) AS digest FROM bars")
+def v34_text(spark, sf_dir):
+    return store.text_fingerprint(bars_hourly(spark, sf_dir), bar_texts())
+
+
 @query(
     "S13_G18_sealed_split",
     "part:s n_rows:i first:t last:t shared:i",

@@ -67,6 +67,92 @@ def q3(spark, sf_dir):
     return ql.issues(rows, ql.bar_checks()).unionByName(ql.member_checks(members, 60))
 
 
+# -- panel gate ------------------------------------------------------------------------
+_QUOTE = "month(date) % 6 <> 0"
+#: One expression per column of the four tables, with faults planted by code and month; both engines read it.
+GATE_BARS = {
+    "has_quote": _QUOTE,
+    "open_raw": f"CASE WHEN {_QUOTE} OR code % 17 = 0 THEN open END",
+    "high_raw": f"CASE WHEN {_QUOTE} THEN CASE WHEN code % 19 = 0 AND month(date) = 3 THEN low - 1 ELSE high END END",
+    "low_raw": f"CASE WHEN {_QUOTE} THEN low END",
+    "close_raw": f"CASE WHEN {_QUOTE} THEN close END",
+    "volume": f"CASE WHEN {_QUOTE} THEN CASE WHEN code % 47 = 0 THEN -volume ELSE volume END END",
+    "amount": f"CASE WHEN {_QUOTE} THEN amount END",
+    "open_tr": f"CASE WHEN {_QUOTE} THEN CASE WHEN code % 53 = 0 AND month(date) = 4 THEN 0.0 ELSE open END END",
+    "close_tr": f"CASE WHEN {_QUOTE} THEN close END",
+    "quote_missing_reason": f"CASE WHEN NOT ({_QUOTE}) AND code % 13 <> 0 THEN 'SUSPENDED' WHEN NOT ({_QUOTE}) AND code % 26 = 0 THEN ' ' END",
+    "available_at": "CASE WHEN code % 23 = 0 AND month(date) = 5 THEN NULL ELSE CAST(date AS TIMESTAMP) END",
+    "source_row_hash": "CASE WHEN code % 29 = 0 THEN 'bad' WHEN code % 31 = 0 THEN NULL ELSE repeat('0aF9', 16) END",
+}
+GATE_MEMBERS = {
+    "index_code": "CASE WHEN code % 2 = 0 THEN 'IDX' ELSE 'idx' END",
+    "is_member": "CASE WHEN code % 59 = 0 THEN NULL ELSE true END",
+    "effective_at": "CASE WHEN code % 61 = 0 THEN NULL WHEN code % 37 = 0 THEN CAST(date AS TIMESTAMP) + INTERVAL 3 DAY ELSE CAST(date AS TIMESTAMP) END",
+    "exit_effective_date": "CASE WHEN code % 41 = 0 THEN date END",
+    "known_industry": "CASE WHEN code % 43 = 0 THEN NULL ELSE industry END",
+}
+_KEPT = "NOT (year(date) = 1999 AND month(date) = 7) AND NOT (month(date) = 8 AND code % 5 = 0)"
+_TWICE = "code = 7 AND month(date) = 2"
+_USED = "upper(index_code) = 'IDX' AND coalesce(is_member, false) AND date IN (SELECT date FROM ss)"
+
+
+def _count(code: str, source: str, rule: str, severity: str = "ERROR") -> str:
+    return f"SELECT '{code}' AS code, count(*) FILTER ({rule}) AS n_rows, '{severity}' AS severity FROM {source}"
+
+
+GATE_COUNTS = [
+    _count("INVALID_OHLCV", "gb", """has_quote AND (least(open_raw, high_raw, low_raw, close_raw, open_tr, close_tr) <= 0 OR low_raw > least(open_raw, close_raw)
+      OR high_raw < greatest(open_raw, close_raw) OR volume < 0 OR amount < 0)"""),
+    _count("SYNTHETIC_MISSING_QUOTE_VALUES", "gb", "NOT has_quote AND open_raw IS NOT NULL"),
+    _count("QUOTE_MISSING_REASON_ABSENT", "gb", "NOT has_quote AND coalesce(trim(quote_missing_reason), '') = ''"),
+    _count("AVAILABLE_AT_MISSING", "gb", "has_quote AND available_at IS NULL"),
+    _count("SOURCE_ROW_HASH_INVALID", "gb", "coalesce(length(source_row_hash), 0) <> 64"),
+    _count("QUOTE_ON_NON_TRADING_DATE", "gb", "has_quote AND date NOT IN (SELECT date FROM ss)"),
+    _count("HOLDOUT_PRICES_NOT_SEALED", "gb", "date >= DATE '2001-01-01'"),
+    _count("MEMBERSHIP_FUTURE_EXIT_STRIPPED", "gm", "exit_effective_date IS NOT NULL", "WARNING"),
+    _count("MEMBERSHIP_EFFECTIVE_TIME_INVALID", "pa", "effective_at IS NULL OR effective_at >= date + INTERVAL 1 DAY"),
+    _count("HOLDOUT_MEMBERS_NOT_SEALED", "gm", "date >= DATE '2001-01-01'"),
+    *[f"SELECT '{c}', coalesce(sum(n), 0), 'ERROR' FROM (SELECT count(*) AS n FROM {t} GROUP BY {k} HAVING count(*) > 1)"
+      for c, t, k in (("DUPLICATE_BARS", "gb", "date, code"), ("DUPLICATE_STATUS", "gs", "date, code"), ("DUPLICATE_MEMBERS", "gm", "date, index_code, code"))],
+    _count("MEMBER_COUNT_NOT_EXACT", "dy", "n > 0 AND n <> 60"),
+    _count("MEMBERSHIP_DATE_MISSING", "dy", "n = 0"),
+    _count("MEMBER_WEIGHT_SUM_INVALID", "dy", "n > 0 AND abs(w - 100) > 0.25"),
+    "SELECT 'NO_TRADING_DATE', CAST(count(*) = 0 AS INTEGER), 'ERROR' FROM ss",
+    "SELECT 'REQUESTED_START_NOT_COVERED', CAST(min(date) > DATE '1994-12-10' + 10 AS INTEGER), 'ERROR' FROM ss",
+    _count("MEMBER_QUOTE_EVIDENCE_MISSING", "pa", "NOT EXISTS (SELECT 1 FROM gb WHERE gb.date = pa.date AND gb.code = pa.code)"),
+    _count("TRADING_STATUS_MISSING", "pa", "NOT EXISTS (SELECT 1 FROM gs WHERE gs.date = pa.date AND gs.code = pa.code AND can_buy_open IS NOT NULL)"),
+    "SELECT 'INDUSTRY_COVERAGE_BELOW_THRESHOLD', CASE WHEN avg(CASE WHEN known_industry IS NULL THEN 0.0 ELSE 1 END) < 0.95 THEN count(*) FILTER (known_industry IS NULL) ELSE 0 END, 'ERROR' FROM pa",
+    "SELECT 'INDUSTRY_UNMAPPED', CASE WHEN avg(CASE WHEN known_industry IS NULL THEN 0.0 ELSE 1 END) < 0.95 THEN 0 ELSE count(*) FILTER (known_industry IS NULL) END, 'WARNING' FROM pa",
+]
+
+
+@query(
+    "Q3_full_panel_gate",
+    "code:s n_rows:i severity:s",
+    f"""WITH {PANEL_SQL}, {MEMBERS_SQL}, src AS (SELECT * FROM panel UNION ALL SELECT * FROM panel WHERE {_TWICE}),
+    gb AS (SELECT date, code, {', '.join(f'{e} AS {c}' for c, e in GATE_BARS.items())} FROM src WHERE NOT (code % 11 = 0 AND month(date) = 10)),
+    gm AS (SELECT m.date, m.code, weight_pct, {', '.join(f'{e} AS {c}' for c, e in GATE_MEMBERS.items())} FROM members m JOIN (SELECT code AS k, any_value(industry) AS industry
+      FROM panel GROUP BY 1) p ON p.k = m.code WHERE {_KEPT}),
+    gs AS (SELECT date, code, CASE WHEN code % 67 = 0 THEN NULL ELSE true END AS can_buy_open FROM src WHERE code % 71 <> 0),
+    ss AS (SELECT DISTINCT date FROM panel WHERE month(date) <> 12 AND date < DATE '2001-01-01'),
+    pa AS (SELECT * FROM gm WHERE {_USED}),
+    dy AS (SELECT ss.date, count(DISTINCT pa.code) AS n, sum(weight_pct) AS w FROM ss LEFT JOIN pa ON pa.date = ss.date GROUP BY 1)
+    {' UNION ALL '.join(GATE_COUNTS)}""",
+)
+def q3_gate(spark, sf_dir):
+    rows = stored(panel(spark, sf_dir))
+    twice = rows.unionByName(rows.where(_TWICE))
+    bars = twice.where("NOT (code % 11 = 0 AND month(date) = 10)").selectExpr("date", "code", *[f"{e} AS {c}" for c, e in GATE_BARS.items()])
+    industry = rows.groupBy("code").agg(F.first("industry").alias("industry"))
+    members = membership(rows).join(industry, "code").where(_KEPT)
+    members = members.selectExpr("date", "code", "weight_pct", *[f"{e} AS {c}" for c, e in GATE_MEMBERS.items()]).withColumnRenamed("known_industry", "industry")
+    status = twice.where("code % 71 <> 0").selectExpr("date", "code", "CASE WHEN code % 67 = 0 THEN NULL ELSE true END AS can_buy_open", "true AS can_sell_open")
+    calendar = rows.select("date").distinct().selectExpr("date", "true AS is_trading_day", "month(date) <> 12 AS is_complete_session")
+    return ql.panel_gate(
+        bars, members, status, calendar, index_code="IDX", expected=60, cutoff=F.lit("2001-01-01").cast("date"), required_start=F.lit("1994-12-10").cast("date"),
+    )
+
+
 _PREFIX_OPS = ["TS_ZSCORE_20", "TS_RANK_10", "JUMP", "SCALE", "WINSORIZE", "TS_SKEW_10"]
 
 

@@ -13,7 +13,7 @@ from factorloom.plans.catalog_features import feature_sql
 from factorloom.plans.catalog_ops import padded
 from factorloom.plans.registry import BARS_SQL, query
 from factorloom.plans.research import FACTOR_SQL, MOMENTUM, factor_table
-from factorloom.sources.market import bars_hourly, stored, ticks
+from factorloom.sources.market import arrival, bars_hourly, ohlcv, stored, ticks
 from factorloom.streaming import stream as st
 
 _CLOSED = "ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"
@@ -41,6 +41,24 @@ def t1(spark, sf_dir):
     return st.run_available(st.ingest(_ticks(spark, sf_dir)), st.stream_folder(spark), "ticks")
 
 
+_MINUTE_BARS = """SELECT event_type AS code, date_trunc('minute', ts) AS ts, arg_min(value, ROW(ts, event_id)) AS open, max(value) AS high, min(value) AS low,
+  arg_max(value, ROW(ts, event_id)) AS close, count(*) AS volume, 2 - min(event_id % 3) AS corrections FROM events GROUP BY 1, 2"""
+
+
+@query("T1_bar_versions", "code:s ts:t open:d high:d low:d close:d volume:i corrections:i", _MINUTE_BARS)
+def t1_versions(spark, sf_dir):
+    """Three overlapping deliveries of minute bars (over a third, two thirds and all of the ticks), the first one sent twice, one file a trigger."""
+    folder, rows = st.stream_folder(spark), stored(ticks(spark, sf_dir).select("event_id", "code", "ts", "value"))
+    for number, version in enumerate((0, 1, 0, 2)):
+        minute = F.date_trunc("minute", "ts").alias("ts")
+        part = rows.where(F.col("event_id") % 3 <= version).withColumn("_order", arrival("ts", "event_id"))
+        bars = ohlcv(part, ["code", minute], F.col("_order"), F.col("value"), F.count(F.lit(1)), F.sum("value"))
+        bars.withColumn("version", F.lit(version)).select("code", "ts", "open", "high", "low", "close", "volume", "version").coalesce(1).write.parquet(f"{folder}/in/d{number}")
+    schema = spark.read.parquet(f"{folder}/in/d0").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+    return st.upsert_available(st.bar_versions(stream), folder, "bars")
+
+
 @query(
     "T2_stream_closed_bars",
     "code:s ts:t open:d high:d low:d close:d volume:d",

@@ -56,6 +56,36 @@ def ingest(ticks: DataFrame, every: str = "minute", delay: str = "10 minutes") -
     return keyed.dropDuplicatesWithinWatermark(["code", "minute"]).select("code", "minute")
 
 
+def bar_versions(bars: DataFrame, keep: str = "30 days") -> DataFrame:
+    """T1 with values: the newest version of every bar seen so far, emitted again whenever a delivery touches it.
+
+    ``bars`` has (code, ts, open, high, low, close, volume, version); deliveries overlap and come late or twice.  State holds one
+    row per (code, ts) until ``keep`` has passed, combined before the shuffle, and survives a restart.  Run it in
+    update mode with ``upsert_available``.
+    """
+    values = F.struct("open", "high", "low", "close", "volume", "version")
+    newest = bars.withWatermark("ts", keep).groupBy("code", "ts").agg(F.max_by(values, F.col("version")).alias("b"))
+    return newest.select("code", "ts", "b.*")
+
+
+def upsert_available(updates: DataFrame, folder: str, name: str) -> DataFrame:
+    """Process everything that is available in update mode; (all columns, corrections): newest version per (code, ts).
+
+    A batch lands in a folder of its own, written over if it runs again, so a retried batch counts once.
+    """
+    spark, target = updates.sparkSession, f"{folder}/{name}"
+
+    def land(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
+
+    writer = updates.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{folder}/_checkpoints/{name}")
+    writer.foreachBatch(land).start().awaitTermination()
+    landed = spark.read.option("basePath", target).parquet(target)
+    rest = [c for c in updates.columns if c not in ("code", "ts")]
+    newest = landed.groupBy("code", "ts").agg(F.max_by(F.struct(*rest), F.struct("version", "epoch")).alias("b"), F.countDistinct("version").alias("versions"))
+    return newest.select("code", "ts", "b.*", (F.col("versions") - 1).alias("corrections"))
+
+
 def closed_bars(ticks: DataFrame, width: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
     """OHLCV bars, emitted only after the watermark has passed their end."""
     window = F.window("ts", width).alias("w")
