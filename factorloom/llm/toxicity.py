@@ -2,183 +2,347 @@
 
 Two interpolated Kneser-Ney bigram models, one for toxic and one for ordinary text, back off to continuation counts (in how
 many different contexts a word occurs, so copies of a text count once) and share the last backoff, the
-continuation counts of both classes together, with one weight: a word that no class knows is smoothed alike under both.  An unseen
-bigram has the escape weight of its context in each class.  The length-normalised log-likelihoods are compared in windows of SPAN
-words and over the whole text; a logistic curve turns the greatest window difference and the mean into a probability.
+continuation counts of both classes together, with one weight: a word that no class knows is smoothed alike under both.  A bigram
+without a count of its own has the escape weight of its context in each class.
+
+Evidence of a text: the mean difference of the two log-likelihoods over its words, the greatest mean over SPAN words, and the two
+greatest differences of single words under the lower order, each less CAUTION standard errors of its toxic
+contexts, so that a word met by chance in one toxic text weighs less than an expression of many.  A logistic curve
+turns them into a probability.
 
 Learning.  Of the rows that may be learned from (fold 0 of FOLDS is held out), at most a quarter and about SAMPLE / 2 of each class
 (chosen by a hash of the id, weighted back to the true rate) fit the curve; all others are counted, so the curve sees texts the counts have
 not seen.  If the sample lacks a class, the score is the uncalibrated log-likelihood difference of the whole text as a probability.
 
-Every counted word and bigram is kept.  Those with at least SHARE of a class's words (at most 1 / SHARE a class) travel to the
-tasks; documents ask for the others by equality of XXH64 keys, so no frequent bigram is ever a join key.
+All words and bigrams of the counted rows enter the contexts and the continuation counts; words and contexts that occur LEAST times and
+bigrams that occur LEAST_PAIRS times have counts of their own.  Words are hashes of HASH_BITS bits from the first count on (of a
+billion words about one in a thousand shares its hash).  Bigrams are shuffled in packed blocks, dealt by hash into as many buckets as
+keep BUCKET characters of text each.  The HELD most frequent counts travel to the tasks as sorted arrays, a bound that holds at every
+size; texts ask for the others by equality of keys, after a filter of FILTER bits has told what cannot be known.  Labels
+meet their texts by the hashes of id and text: up to HELD labelled documents travel to the scan, more are joined.
 
-Defined results.  NULL and empty texts, and texts without a word, score the curve's value at zero evidence.  Rows with NULL or
-missing labels are not learned from but are scored; NULL doc_id is not held out and not learned from.  Repeated rows are scored as often as
-they come; repeated or contradicting labels of one document all count.  If a class has no row, every score is 0.  An empty
+Defined results.  NULL and empty texts, and texts without a word, score the curve's value at the evidence of an unknown word.  Rows with
+NULL or missing labels are not learned from but are scored; NULL doc_id is not held out and not learned from.  Repeated rows are scored as
+often as they come; repeated or contradicting labels of one document all count.  If a class has no row, every score is 0.  An empty
 table gives no rows.  Extra columns are ignored; texts are read whole.
 """
 
 from __future__ import annotations
 
 import re
-import uuid
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from factorloom.llm.common import map_rows, one_per_worker, pick
+from factorloom.llm.common import map_rows, pick, release, slices
 from factorloom.llm.language import fold
 from factorloom.session import stored
 
 FOLDS, HELD_OUT = 5, 0
-SHARE = 1e-5
 SPAN = 4
 DISCOUNT = 0.75
 SAMPLE = 20_000
+#: Occurrences from which on words and contexts, and bigrams, have counts of their own.
+LEAST, LEAST_PAIRS = 2, 3
+#: Counts, and labelled documents, that travel to the tasks at most (28 bytes each).
+HELD = 3_000_000
+#: Bits of a word's hash; a bigram is packed into twice as many.
+HASH_BITS = 40
+#: Characters of text whose bigrams make a bucket.
+BUCKET = 8_000_000
+#: Bits of the filters of keys and of learned ids; full filters let everything pass.
+FILTER = 1 << 26
+CAUTION = 2.0
+#: Evidence of a word that no class knows.
+UNKNOWN = -CAUTION
 WORD = re.compile(r"[^\W\d_]+")
-OTHER = 0
 #: The context of the first word; no word looks like it.
 START = "^"
+#: Marks that keep the keys of contexts, words and bigrams apart.
+CONTEXT, SINGLE, PAIR = (np.uint64(x << 60) for x in (1, 2, 3))
 
 
 def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic) of the rows that may be learned from."""
-    known = pick(labels, id="doc_id", toxic="toxic").where("id is not null and toxic is not null")
-    rows = pick(docs, doc_id="doc_id", text="text")
-    learn = rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT))
-    # the same plan at every size: a broadcast of labels would only fit small corpora
-    return learn.join(known.hint("merge"), F.col("doc_id") == F.col("id")).select("doc_id", "text", (F.col("toxic") > 0).alias("toxic"))
-
+class Hashes(dict):
+    """Hashes of words, kept for the texts of one slice."""
 
-def bigrams(rows: DataFrame) -> DataFrame:
-    """(v, w, t, o): how often word w follows word v in toxic and in ordinary rows."""
+    def __missing__(self, word: str) -> int:
+        value = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42) >> (64 - HASH_BITS)
+        return value
 
-    def count(toxic: list, texts: list) -> Iterable[tuple]:
-        for kind in (True, False):
-            n = Counter()
-            for t, text in zip(toxic, texts):
-                if t == kind:
-                    words = words_of(text)
-                    n.update(zip([START, *words], words))
-            yield from ((kind, v, w, c) for (v, w), c in n.items())
+    def of(self, words: list[str]) -> np.ndarray:
+        return np.array([self[w] for w in words], np.uint64)
 
-    raw = map_rows(rows.select("toxic", "text"), count, "toxic boolean, v string, w string, n bigint")
-    return raw.groupBy("v", "w").agg(
-        *[F.sum(F.when(F.col("toxic") == kind, F.col("n")).otherwise(0)).alias(name) for kind, name in ((True, "t"), (False, "o"))]
-    )
 
+def bit_filter(keys: DataFrame) -> np.ndarray:
+    """FILTER bits as longs, those of the column ``key`` set: at most 8 MB reach the driver."""
+    bit = f"pmod(key, {FILTER}L)"
+    words = keys.select(F.expr(f"cast(shiftright({bit}, 6) as int)").alias("at"), F.expr(f"shiftleft(1L, cast({bit} % 64 as int))").alias("bit"))
+    found = words.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(FILTER // 64, np.int64)
+    out[found["at"].to_numpy()] = found["bits"].to_numpy()
+    return out.view(np.uint64)
 
-def train(rows: DataFrame, share: float = SHARE) -> tuple[dict, DataFrame] | None:
-    """Log-ratios of every counted word and bigram: what is frequent as arrays, the rest as a table (key, value).
 
-    Arrays: ``uni`` (as a word) and ``escape`` (as a context) per frequent word, ``keys`` (sorted) and ``ratios`` of frequent bigrams.
-    """
-    pairs = stored(bigrams(rows), "bigrams")
-    sides = F.explode(F.array(F.struct(F.lit(True).alias("left"), F.col("v").alias("word")), F.struct(F.lit(False).alias("left"), F.col("w").alias("word"))))
-    one = lambda c: F.sum((c > 0).cast("long"))
-    ends = stored(pairs.select(sides.alias("s"), "t", "o").groupBy("s.left", "s.word").agg(
-        one(F.col("t")).alias("kinds_t"), one(F.col("o")).alias("kinds_o"), F.count(F.lit(1)).alias("kinds"), F.sum("t").alias("t"), F.sum("o").alias("o")
-    ), "ends")
-    above = [F.sum(F.greatest(F.col(f"kinds_{c}") - DISCOUNT, F.lit(0.0))).alias(f"above_{c}") for c in "to"]
-    all_ = ends.where("not left").agg(F.sum("t").alias("t"), F.sum("o").alias("o"), F.sum("kinds").alias("kinds"), F.count(F.lit(1)).alias("types"), *above).first()
-    if not all_["t"] or not all_["o"]:
-        return None
-    back = DISCOUNT * all_["types"] / all_["kinds"]  # weight of the shared backoff, the same in both classes
-    lower = {c: (1 - back) * F.greatest(F.col(f"kinds_{c}") - DISCOUNT, F.lit(0.0)) / (all_[f"above_{c}"] or 1.0) + back * F.col("kinds") / all_["kinds"] for c in "to"}
-    escape = {c: F.when(F.col(c) > 0, DISCOUNT * F.col(f"kinds_{c}") / F.col(c)).otherwise(1.0) for c in "to"}
-    frequent = (F.col("t") >= share * all_["t"]) | (F.col("o") >= share * all_["o"])
-    right = ends.where("not left").select(F.col("word").alias("w"), lower["t"].alias("low_t"), lower["o"].alias("low_o"), frequent.alias("often"))
-    left = ends.where("left").select(F.col("word").alias("v"), escape["t"].alias("out_t"), escape["o"].alias("out_o"), F.col("t").alias("all_t"), F.col("o").alias("all_o"), frequent.alias("often"))
-    p = {c: F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.greatest(f"all_{c}", F.lit(1)) + F.col(f"out_{c}") * F.col(f"low_{c}") for c in "to"}
-    both = pairs.withColumn("often", frequent).join(left.drop("often"), "v").join(right.drop("often"), "w")
-    ratios = stored(both.select("v", "w", (F.log(p["t"]) - F.log(p["o"])).alias("value"), "often"), "ratios")
-    uni = right.select("w", (F.log("low_t") - F.log("low_o")).alias("value"), "often")
-    out = left.select("v", (F.log("out_t") - F.log("out_o")).alias("value"), "often")
-    held = {name: df.where("often").drop("often").toArrow().to_pydict() for name, df in (("pairs", ratios), ("uni", uni), ("out", out))}
-    words = sorted({*held["uni"]["w"], *held["out"]["v"]})
-    ids = {w: i + 1 for i, w in enumerate(words)}
-    size = len(words) + 1
-    # a frequent word may be rare on its other side: NaN asks the table
-    sides_of = {name: np.full(size, np.nan) for name in ("uni", "out")}
-    for name, c in (("uni", "w"), ("out", "v")):
-        sides_of[name][[ids[w] for w in held[name][c]]] = held[name]["value"]
-    keys = np.array([ids[v] * size + ids[w] for v, w in zip(held["pairs"]["v"], held["pairs"]["w"])], np.int64)
-    order = np.argsort(keys)
-    model = {"words": words, "uni": sides_of["uni"], "escape": sides_of["out"], "keys": keys[order], "ratios": np.array(held["pairs"]["value"], float)[order]}
-    gap = F.lit(" ")
-    rest = ratios.where("not often").select(pair_key("v", "w"), "value").unionByName(uni.where("not often").select(pair_key(gap, "w"), "value"))
-    return model, rest.unionByName(out.where("not often").select(pair_key("v", gap), "value"))
+def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys.view(np.uint64) & np.uint64(FILTER - 1)
+    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
 
-def pair_key(v: str | Column, w: str | Column) -> Column:
-    """The hash of ``v`` turned by one bit, xor the hash of ``w``; a blank stands for no word."""
-    h = F.xxhash64(v)
-    return F.shiftleft(h, 1).bitwiseOR(F.shiftrightunsigned(h, 63)).bitwiseXOR(F.xxhash64(w)).alias("key")
+def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A 60-bit key of two hashes: multiplied and folded, so that no pair of words is favoured."""
+    x = v * np.uint64(0x9E3779B97F4A7C15) ^ w * np.uint64(0xC2B2AE3D27D4EB4F)
+    x ^= x >> np.uint64(29)
+    return (x * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(4)
 
 
-class Hashes(dict):
-    """Spark's xxhash64 of words, kept for the texts of one slice."""
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, key, chars, t, o) of the rows that may be learned from: hash of id and text, and how many labels of either class."""
+    known = pick(labels, id="doc_id", toxic="toxic").where("id is not null and toxic is not null").groupBy("id").agg(
+        F.count(F.when(F.col("toxic") > 0, 1)).alias("t"), F.count(F.when(F.col("toxic") > 0, None).otherwise(1)).alias("o")
+    )
+    rows = pick(docs, doc_id="doc_id", text="text")
+    learn = rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT))
+    slim = learn.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.length("text").alias("chars"))
+    return slim.join(known, F.col("doc_id") == F.col("id")).select("doc_id", "key", "chars", "t", "o")
 
-    def __missing__(self, word: str) -> int:
-        value = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42)
-        return value
 
+def texts_of(docs: DataFrame, learn: DataFrame, held: int = HELD) -> DataFrame:
+    """(toxic, text), as often as labels say so, of the documents of ``learn``.
 
-def turned(h: np.ndarray) -> np.ndarray:
-    return (h << np.uint64(1)) | (h >> np.uint64(63))
-
-
-def frequent_part(text: str | None, model: dict, ids: dict[str, int], hashes: Hashes) -> tuple[np.ndarray, ...]:
-    """Log-ratios of the words in order; then for each that is no frequent bigram its place, escape and uni (NaN: the table must
-    say) and its keys as a bigram, as a context and as a word."""
-    words = words_of(text)
-    a = np.array([ids.get(START, OTHER)] + [ids.get(w, OTHER) for w in words], np.int64)
-    v, w = a[:-1], a[1:]
-    ratio = np.zeros(len(words))
-    hit = np.zeros(len(words), bool)
-    if len(words) and len(model["keys"]):
-        key = v * len(model["uni"]) + w
-        at = np.minimum(np.searchsorted(model["keys"], key), len(model["keys"]) - 1)
-        hit = model["keys"][at] == key
-        ratio[hit] = model["ratios"][at[hit]]
-    places = np.flatnonzero(~hit)
-    h = np.array([hashes[START], *[hashes[w] for w in words]], np.uint64)
-    first, second, blank = turned(h[places]), h[places + 1], np.array([hashes[" "]], np.uint64)
-    keys = [x.view(np.int64) for x in (first ^ second, first ^ blank, turned(blank) ^ second)]
-    return ratio, places, model["escape"][v[places]], model["uni"][w[places]], *keys
-
-
-def evidence(text: str | None, model: dict, ids: dict[str, int], hashes: Hashes, keys: list, values: list) -> tuple[float, float, float]:
-    """(greatest mean log-ratio of SPAN words in a row, mean over the text, sum), in nats; ``keys``, ``values``: what the table said."""
-    ratio, places, before, own, pair, context, word = frequent_part(text, model, ids, hashes)
-    if not len(ratio):
-        return 0.0, 0.0, 0.0
-    known, value = np.array(keys, np.int64), np.array(values, float)
-    order = np.argsort(known)
-    known, value = known[order], value[order]
-
-    def said(asked: np.ndarray, default: float) -> np.ndarray:
-        if not len(known):
-            return np.full(len(asked), default)
-        at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
-        return np.where(known[at] == asked, value[at], default)
-
-    # unseen: escape weight of the context and the lower order; 0 for what no class knows
-    below = np.where(np.isnan(before), said(context, 0.0), before) + np.where(np.isnan(own), said(word, 0.0), own)
-    seen = said(pair, np.nan)
-    ratio[places] = np.where(np.isnan(seen), below, seen)
-    sums = np.concatenate(([0.0], np.cumsum(ratio)))
+    Up to ``held`` of them travel to the scan as hashes of id and text.  More are joined; a filter of
+    bits then drops most other texts before the shuffle.
+    """
+    spark, struct = docs.sparkSession, T.StructType.fromDDL("toxic boolean, text string")
+    arrow = to_arrow_schema(struct)
+    rows = pick(docs, doc_id="doc_id", text="text").where("text is not null").select(F.xxhash64("doc_id", "text").alias("key"), "text")
+    wanted = learn.groupBy("key").agg(F.max("t").alias("t"), F.max("o").alias("o"))
+    few = wanted.count() <= held
+    if few:
+        found = wanted.toArrow()
+        order = np.argsort(found["key"].to_numpy())
+        sent = spark.sparkContext.broadcast(tuple(found[c].to_numpy()[order] for c in ("key", "t", "o")))
+    else:
+        sent = spark.sparkContext.broadcast(bit_filter(wanted))
+
+    def repeated(texts: pa.Array, t: np.ndarray, o: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for toxic, times in ((True, t), (False, o)):
+            at = np.repeat(np.arange(len(times)), times)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), toxic)), texts.take(pa.array(at))], schema=arrow)
+
+    def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, t, o = sent.value
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
+            hit = np.flatnonzero(keys[at] == own) if len(keys) else np.empty(0, int)
+            yield from repeated(batch.column(1).take(pa.array(hit)), t[at[hit]], o[at[hit]])
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = batch.filter(pa.array(may_hold(sent.value, batch.column(0).to_numpy())))
+            if kept.num_rows:
+                yield kept
+
+    def there(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from repeated(batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_numpy())
+
+    if few:
+        return rows.mapInArrow(here, struct)
+    return rows.mapInArrow(sift, rows.schema).join(wanted.hint("merge"), "key").select("text", "t", "o").mapInArrow(there, struct)
+
+
+def packed(v: np.ndarray, w: np.ndarray, n: np.ndarray) -> bytes:
+    """Bigrams as 2 x 5 bytes each, then the places and counts of those that occur more than once."""
+    more = np.flatnonzero(n > 1).astype("<u4")
+    halves = [x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for x in (v, w)]
+    return b"".join([np.array([len(v), len(more)], "<u4").tobytes(), *halves, more.tobytes(), n[more].astype("<u8").tobytes()])
+
+
+def unpacked(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size, more = np.frombuffer(block, "<u4", 2)
+    full = np.zeros((2, size, 8), np.uint8)
+    full[:, :, :5] = np.frombuffer(block, np.uint8, 10 * size, 8).reshape(2, size, 5)
+    v, w = full.reshape(2, -1).view("<u8")
+    n = np.ones(size, np.int64)
+    n[np.frombuffer(block, "<u4", more, 8 + 10 * size)] = np.frombuffer(block, "<u8", more, 8 + 10 * size + 4 * more)
+    return v, w, n
+
+
+def blocks(rows: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, toxic, block): the distinct bigrams of a slice of texts, packed per bucket and class."""
+    struct = T.StructType.fromDDL("bucket int, toxic boolean, block binary")
+    arrow = to_arrow_schema(struct)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for toxic, texts in slices(batches):
+            hashes, sides = Hashes(), {True: [], False: []}
+            for kind, text in zip(toxic, texts):
+                h = hashes.of([START, *words_of(text)])
+                sides[kind].append(np.stack([h[:-1], h[1:]]))
+            for kind, parts in sides.items():
+                if not parts:
+                    continue
+                v, w = np.concatenate(parts, axis=1)
+                keys, first, n = np.unique(pair_key(v, w), return_index=True, return_counts=True)
+                own = keys % np.uint64(buckets)
+                order = np.argsort(own, kind="stable")
+                ends = np.searchsorted(own[order], np.arange(buckets + 1).astype(np.uint64))
+                used = np.flatnonzero(np.diff(ends))
+                made = []
+                for b in used:
+                    at = order[ends[b] : ends[b + 1]]
+                    made.append(packed(v[first[at]], w[first[at]], n[at]))
+                yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([kind] * len(used)), pa.array(made, pa.binary())], schema=arrow)
+        release()
+
+    return rows.select("toxic", "text").mapInArrow(count, struct)
+
+
+#: Columns of a context: occurrences of either class and the discounted mass of its bigrams with counts of their own.  Of a word: occurrences,
+#: continuation counts of either class and of both.  Of a bigram: occurrences.
+COUNTS = ("t", "o", "a", "b", "k")
+
+
+def sums(key: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    keys, place = np.unique(key, return_inverse=True)
+    return keys, *[np.bincount(place, c, len(keys)) for c in columns]
+
+
+def counted(rows: DataFrame, buckets: int, least: int) -> DataFrame:
+    """(key, t, o, a, b, k) of all contexts and words, and of the bigrams that occur ``least`` times."""
+    struct = T.StructType.fromDDL("key bigint, t double, o double, a double, b double, k double")
+    arrow = to_arrow_schema(struct)
+
+    def merge(table: pa.Table) -> pa.Table:
+        # a bucket: BUCKET characters of text, packed
+        parts = [(kind, *unpacked(block)) for kind, block in zip(table["toxic"].to_pylist(), table["block"].to_pylist())]
+        v, w, n = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
+        toxic = np.repeat([p[0] for p in parts], [len(p[1]) for p in parts])
+        keys, first, place = np.unique(pair_key(v, w), return_index=True, return_inverse=True)
+        t, o = (np.bincount(place, np.where(toxic == kind, n, 0), len(keys)) for kind in (True, False))
+        v, w, own = v[first], w[first], t + o >= least
+        mass = [np.where(own, np.maximum(c - DISCOUNT, 0), 0) for c in (t, o)]
+        zero = np.zeros(own.sum())
+        sides = [
+            sums(CONTEXT | v, t, o, *mass, np.zeros(len(v))),
+            sums(SINGLE | w, t, o, t > 0, o > 0, np.ones(len(w))),
+            (PAIR ^ keys[own], t[own], o[own], zero, zero, zero),
+        ]
+        columns = [np.concatenate([side[i] for side in sides]) for i in range(6)]
+        return pa.table([pa.array(columns[0].view(np.int64)), *map(pa.array, columns[1:])], schema=arrow)
+
+    partial = blocks(rows, buckets).groupBy("bucket").applyInArrow(merge, struct)
+    return partial.groupBy("key").agg(*[F.sum(c).cast("float").alias(c) for c in COUNTS])
+
+
+def kind_of(key: str) -> str:
+    return f"shiftrightunsigned({key}, 60)"
+
+
+def train(rows: DataFrame, share: float | None = None, least: int = 1, least_pairs: int | None = None, buckets: int = 1) -> tuple[dict, DataFrame] | None:
+    """The counts that occur ``least`` times: held arrays with the totals, and the other rows (key and COUNTS).
+
+    ``share`` holds what makes up that share of a class's words instead of the HELD most frequent counts.
+    """
+    counts = stored(counted(rows, buckets, least if least_pairs is None else least_pairs), "counts")
+    above = [F.sum(F.greatest(F.col(c) - DISCOUNT, F.lit(0.0))).alias(f"above_{c}") for c in "ab"]
+    words = counts.where(f"{kind_of('key')} = 2")
+    totals = words.agg(F.sum("t").alias("t"), F.sum("o").alias("o"), F.sum("k").alias("k"), F.count(F.lit(1)).alias("types"), *above).first()
+    if not totals["t"] or not totals["o"]:
+        return None
+    known = counts.where(F.col("t") + F.col("o") >= least)
+    if share is None:
+        top = 10_000
+        steps = sorted((int(r["n"]), r["count"]) for r in known.groupBy(F.least(F.col("t") + F.col("o"), F.lit(float(top))).alias("n")).count().collect())
+        room, bar = HELD, top + 1
+        for n, count in reversed(steps):
+            if count > room:
+                break
+            room, bar = room - count, n
+        often = F.col("t") + F.col("o") >= bar
+    else:
+        often = (F.col("t") >= share * totals["t"]) | (F.col("o") >= share * totals["o"])
+    held = known.where(often).toArrow()
+    keys = held["key"].to_numpy()
+    order = np.argsort(keys)
+    rest = known.where(~often)
+    model = {
+        "keys": keys[order], "counts": np.column_stack([held[c].to_numpy() for c in COUNTS])[order].astype(np.float32),
+        "back": DISCOUNT * totals["types"] / totals["k"], "kinds": totals["k"], "above": (totals["above_a"] or 1.0, totals["above_b"] or 1.0),
+        "filter": None if rest.isEmpty() else bit_filter(rest),
+    }
+    return model, rest
+
+
+def look_up(keys: np.ndarray, counts: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Rows of counts of the asked keys, NaN where ``keys`` (sorted) lacks them."""
+    if not len(keys):
+        return np.full((len(asked), len(COUNTS)), np.nan)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return np.where((keys[at] == asked)[:, None], counts[at], np.nan)
+
+
+def text_keys(text: str | None, hashes: Hashes) -> tuple[np.ndarray, ...]:
+    """Keys of the bigrams by position, of contexts and of words (distinct), and the places of v and w among these."""
+    h, place = np.unique(hashes.of([START, *words_of(text)]), return_inverse=True)
+    pairs = (PAIR ^ pair_key(h[place[:-1]], h[place[1:]])).view(np.int64)
+    return pairs, (CONTEXT | h).view(np.int64), (SINGLE | h).view(np.int64), place[:-1], place[1:]
+
+
+def unknown_keys(text: str | None, model: dict, hashes: Hashes) -> np.ndarray:
+    """Keys that the held counts lack and the other rows may have."""
+    keys = np.unique(np.concatenate(text_keys(text, hashes)[:3]))
+    lacking = keys[np.isnan(look_up(model["keys"], model["counts"], keys)[:, 0])]
+    return lacking[may_hold(model["filter"], lacking)]
+
+
+def evidence(text: str | None, model: dict, hashes: Hashes, told: list) -> tuple[float, float, float, float, float]:
+    """(best word, second word, best SPAN words, mean, total) in nats; ``told``: rows (key, counts) that the texts asked for."""
+    pairs, contexts, words, v, w = text_keys(text, hashes)
+    if not len(pairs):
+        return UNKNOWN, UNKNOWN, 0.0, 0.0, 0.0
+    said_keys = np.array([r["key"] for r in told], np.int64)
+    said = np.array([[r[c] for c in COUNTS] for r in told], float).reshape(len(told), len(COUNTS))
+    order = np.argsort(said_keys)
+
+    def counts(asked: np.ndarray) -> np.ndarray:
+        out = look_up(model["keys"], model["counts"], asked).astype(float)
+        return np.where(np.isnan(out), look_up(said_keys[order], said[order], asked), out) if told else out
+
+    context, word = counts(contexts), counts(words)
+    known, some = ~np.isnan(word[:, 0]), np.nan_to_num(context)
+    escape = [np.where(some[:, c] > 0, 1 - some[:, 2 + c] / np.maximum(some[:, c], 1), 1.0) for c in (0, 1)]
+    # a word that no class knows has the same lower order under both
+    back, kinds = model["back"], np.where(known, word[:, 4], model["kinds"])
+    lower = [(1 - back) * np.maximum(np.nan_to_num(word[:, 2 + c]) - DISCOUNT, 0) / model["above"][c] + back * kinds / model["kinds"] for c in (0, 1)]
+    ratio = (np.log(escape[0]) - np.log(escape[1]))[v] + (np.log(lower[0]) - np.log(lower[1]))[w]
+    # bigrams with counts of their own
+    for keys, values in ((model["keys"], model["counts"]), (said_keys[order], said[order])):
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
+            hit = np.flatnonzero(keys[at] == pairs)
+            own, x, y = values[at[hit], :2].astype(float), v[hit], w[hit]
+            p = [np.maximum(own[:, c] - DISCOUNT, 0) / np.maximum(some[x, c], 1) + escape[c][x] * lower[c][y] for c in (0, 1)]
+            ratio[hit] = np.log(p[0]) - np.log(p[1])
+    sums_ = np.concatenate(([0.0], np.cumsum(ratio)))
     span = min(SPAN, len(ratio))
-    return float((sums[span:] - sums[:-span]).max() / SPAN), float(sums[-1] / len(ratio)), float(sums[-1])
+    own = np.unique(w)
+    gain = np.log(lower[0][own]) - np.log(lower[1][own]) - CAUTION / np.sqrt(np.maximum(np.nan_to_num(word[own, 2]), 1))
+    best = np.sort(np.where(known[own], gain, UNKNOWN))[::-1]
+    second = best[1] if len(best) > 1 else UNKNOWN
+    return float(best[0]), float(second), float((sums_[span:] - sums_[:-span]).max() / SPAN), float(sums_[-1] / len(ratio)), float(sums_[-1])
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50) -> np.ndarray:
@@ -195,65 +359,74 @@ def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50
     return beta
 
 
+EVIDENCE = ("first", "second", "most", "mean")
+
+
 def measured(rows: DataFrame, model: dict, rest: DataFrame) -> DataFrame:
-    """doc_id, body (hash of the text), most, mean, total for every row."""
+    """doc_id, body (hash of the text) and the evidence for every row."""
     sent = rows.sparkSession.sparkContext.broadcast(model)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    tag = f"model {uuid.uuid4().hex}"
-    texts = rows.select("doc_id", "text", F.xxhash64("text").alias("body"))
+    out = f"doc_id {kind}, body bigint, first double, second double, most double, mean double, total double"
+    texts = rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("body"))
+    if model["filter"] is None:  # every value is held
+
+        def alone(ids: list, own: list, bodies: list) -> Iterator[tuple]:
+            hashes = Hashes()
+            return ((doc_id, body, *evidence(text, sent.value, hashes, [])) for doc_id, text, body in zip(ids, own, bodies))
 
-    def numbers() -> dict[str, int]:
-        return one_per_worker(tag, lambda: {w: i + 1 for i, w in enumerate(sent.value["words"])})
+        return map_rows(texts, alone, out)
 
     def ask(bodies: list, own: list) -> Iterable[tuple]:
         hashes = Hashes()
         for body, text in dict(zip(bodies, own)).items():  # copies ask once
-            _, _, before, word, *keys = frequent_part(text, sent.value, numbers(), hashes)
-            yield body, np.unique(np.concatenate((keys[0], keys[1][np.isnan(before)], keys[2][np.isnan(word)])))
+            yield from ((body, key) for key in unknown_keys(text, sent.value, hashes).tolist())
 
-    asked = map_rows(texts.select("body", "text"), ask, "asker bigint, keys array<bigint>").select("asker", F.explode("keys").alias("key"))
-    answers = asked.join(rest, "key").groupBy("asker").agg(F.collect_list(F.struct("key", "value")).alias("said"))
-    answers = answers.select("asker", F.col("said.key").alias("keys"), F.col("said.value").alias("values"))
+    # copies in other slices ask again: distinct before the lists are made, so a list has the size of one text
+    asked = map_rows(texts.select("body", "text"), ask, "asker bigint, key bigint").distinct()
+    answers = asked.join(rest, "key").groupBy("asker").agg(F.collect_list(F.struct("key", *COUNTS)).alias("said"))
 
-    def run(ids: list, own: list, bodies: list, keys: list, values: list) -> Iterator[tuple]:
+    def run(ids: list, own: list, bodies: list, told: list) -> Iterator[tuple]:
         hashes = Hashes()
-        for doc_id, text, body, k, x in zip(ids, own, bodies, keys, values):
-            yield (doc_id, body, *evidence(text, sent.value, numbers(), hashes, k or [], x or []))
+        for doc_id, text, body, said in zip(ids, own, bodies, told):
+            yield (doc_id, body, *evidence(text, sent.value, hashes, said or []))
 
-    told = texts.join(answers, F.col("body") == F.col("asker"), "left").select("doc_id", "text", "body", "keys", "values")
-    return map_rows(told, run, f"doc_id {kind}, body bigint, most double, mean double, total double")
+    told = texts.join(answers, F.col("body") == F.col("asker"), "left").select("doc_id", "text", "body", "said")
+    return map_rows(told, run, out)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, share: float = SHARE) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, share: float | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
     rows = pick(docs, doc_id="doc_id", text="text")
     learn = stored(labelled(docs, labels), "learn")
-    n = {r["toxic"]: r["count"] for r in learn.groupBy("toxic").count().collect()}
+    totals = learn.agg(F.sum("t").alias("t"), F.sum("o").alias("o"), F.sum("chars").alias("chars")).first()
+    n = {True: totals["t"] or 0, False: totals["o"] or 0}
+    buckets = 1 + (totals["chars"] or 0) // BUCKET
     # of each class its own bound, and never more than a quarter
-    bound = {kind: min(SAMPLE // 2, n.get(kind, 0) // 4) for kind in (True, False)}
-    place = F.when(F.col("toxic"), F.pmod(F.xxhash64("doc_id"), F.lit(max(n.get(True, 0), 1))) < bound[True]).otherwise(
-        F.pmod(F.xxhash64("doc_id"), F.lit(max(n.get(False, 0), 1))) < bound[False]
-    )
-    learn = learn.withColumn("fits", place)
+    bound = {kind: min(SAMPLE // 2, n[kind] // 4) for kind in (True, False)}
+    chosen = {kind: F.pmod(F.xxhash64("doc_id"), F.lit(max(n[kind], 1))) < bound[kind] for kind in n}
+    learn = learn.withColumn("fits", F.when(F.col("t") > 0, chosen[True]).otherwise(chosen[False]))
     held = F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out")
     trained, calibrate = None, True
-    if n.get(True) and n.get(False):
-        trained = train(learn.where("not fits"), share)
+    if n[True] and n[False]:
+        trained = train(texts_of(docs, learn.where("not fits")), share, LEAST, LEAST_PAIRS, buckets)
         if not trained:
-            trained, calibrate = train(learn, share), False
+            trained, calibrate = train(texts_of(docs, learn), share, LEAST, LEAST_PAIRS, buckets), False
     if not trained:
         return rows.select("doc_id", held, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     found = stored(measured(rows, *trained), "evidence")
     power = F.col("total")
     if calibrate:
-        wanted = learn.where("fits").select(F.xxhash64("text").alias("own"), "toxic")
-        of_text = found.groupBy("body").agg(F.first("most").alias("most"), F.first("mean").alias("mean"))
-        sample = wanted.join(of_text, F.col("own") == F.col("body")).select("toxic", "most", "mean").toArrow()
+        sides = F.explode(F.array_compact(F.array(F.when(F.col("t") > 0, F.lit(True)), F.when(F.col("o") > 0, F.lit(False)))))
+        wanted = learn.where("fits").select(F.col("key").alias("own"), sides.alias("toxic"))
+        of_text = found.groupBy("body").agg(*[F.max(e).alias(e) for e in EVIDENCE])
+        sample = wanted.join(of_text, F.col("own") == F.col("body")).select("toxic", *EVIDENCE).toArrow()
         y = np.array(sample["toxic"].to_pylist(), float)
         if 0 < y.sum() < len(y):
             rate = n[True] / (n[True] + n[False])
             weight = np.where(y > 0, rate * len(y) / y.sum(), (1 - rate) * len(y) / (len(y) - y.sum()))
-            beta = [float(b) for b in fit_curve(np.column_stack([sample["most"].to_numpy(), sample["mean"].to_numpy()]), y, weight)]
-            power = F.lit(beta[0]) + beta[1] * F.col("most") + beta[2] * F.col("mean")
+            beta = [float(b) for b in fit_curve(np.column_stack([sample[e].to_numpy() for e in EVIDENCE]), y, weight)]
+            power = F.lit(beta[0])
+            for b, e in zip(beta[1:], EVIDENCE):
+                power = power + b * F.col(e)
     score = 1 / (1 + F.exp(-power))
     return found.select("doc_id", held, score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

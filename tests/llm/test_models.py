@@ -210,3 +210,13 @@ def test_toxicity_of_a_rare_class_is_reported(spark):
         known = spark.createDataFrame([(i, int(i in bad)) for i in range(400) if i not in toxic or i in bad], "doc_id long, toxic int")
         got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, known).collect()}
         assert min(got[i] for i in held if i % 2) > max(got[i] for i in held if not i % 2)
+
+
+def test_toxicity_ranks_held_out_rows(spark):
+    """Held-out rows of the 10 000 documents: AUC of 0.95, as the labels have noise."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.score_toxicity(docs, labels).where("held_out").join(labels.where("toxic is not null"), "doc_id").select("score", "predicted", "toxic").toPandas()
+    y, rank = got.toxic.to_numpy(), got.score.rank().to_numpy()
+    n = y.sum()
+    assert n > 50 and (rank[y == 1].sum() - n * (n + 1) / 2) / n / (len(y) - n) >= 0.95
+    assert ((got.predicted == 1) & (y == 1)).sum() >= 0.8 * n and ((got.predicted == 1) & (y == 0)).sum() <= 0.02 * (len(y) - n)
