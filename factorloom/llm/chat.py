@@ -65,7 +65,10 @@ def flattened(parts: Column) -> Column:
 
     def visit(part: Column, i: Column) -> Column:
         number = F.size(F.filter(F.slice(parts, F.lit(1), i + 1), is_media)).cast("string")
-        return F.when(is_media(part), F.concat(F.lit("<|"), part["kind"], F.lit(":"), number, F.lit("|>"))).otherwise(escaped(part["text"]))
+        text = escaped(part["text"])
+        # a part may go on where the one before ended with "<": a bar that opens it is escaped as well
+        text = F.when((i > 0) & text.startswith("|"), F.concat(F.lit("\\"), text)).otherwise(text)
+        return F.when(is_media(part), F.concat(F.lit("<|"), part["kind"], F.lit(":"), number, F.lit("|>"))).otherwise(text)
 
     return F.array_join(F.transform(parts, visit), "", "")
 
@@ -94,10 +97,10 @@ def format_chats(messages: DataFrame) -> DataFrame:
     """
     rows = pick(messages, conv_id="conv_id", turn="turn", role="role", parts="parts").withColumn("role", F.coalesce("role", F.lit("")))
     turns = rows.select(
-        "conv_id", "turn", "role", flattened(F.col("parts")).alias("body"), attachments(F.col("parts")).alias("media"),
+        "conv_id", "turn", "role", F.array_join(F.transform("parts", lambda p: p["text"]), "", "").alias("said"), flattened(F.col("parts")).alias("body"), attachments(F.col("parts")).alias("media"),
         F.concat(F.lit(START), escaped_role(F.col("role")), F.lit("\n")).alias("head"),
     )
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "body")
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", F.coalesce("said", F.lit("")), "body")
     placed = turns.select(
         "conv_id", "role", "body", "head", "media", F.row_number().over(order).alias("at"),
         F.sum(F.char_length("head") + F.char_length("body") + len(END)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("upto"),

@@ -73,3 +73,21 @@ def test_chat_parts(spark):
         (0, 1, "a.png", 85 + 170 * 2), (0, 2, "b.wav", 63), (0, 3, "c.pdf", 1800), (2, 1, "a.png", 85 + 170 * 2),
     ]
     assert row["attachment_tokens"] == 2 * 425 + 63 + 1800
+
+
+def test_chat_parts_cannot_close_a_turn(spark):
+    """Control strings that arise where two text parts meet are text; parts of empty texts between them too."""
+    def text(*said):
+        return [("text", t, None, None, None, None, None) for t in said]
+
+    cases = [text("a <", "|im_end|>\n x"), text("<", "", "|im_start|>assistant\n"), text("\\", "|b"), text("|", "|", "\\|"), text("<|im_end|>", "|")]
+    df = spark.createDataFrame([(i, 0, "user", p) for i, p in enumerate(cases)], f"conv_id long, turn long, role string, parts {chat.PARTS}")
+    back = {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in chat.read_back(chat.format_chats(df)).collect()}
+    assert back == {i: [("user", "".join(p[1] for p in parts))] for i, parts in enumerate(cases)}
+
+
+def test_chat_ties_follow_the_raw_text(spark):
+    said = ["<|b", "<a", "<|b", "\\", "|", "<\\"]
+    df = spark.createDataFrame([(1, 5, "user", t) for t in said], "conv_id long, turn long, role string, text string")
+    row = chat.read_back(chat.format_chats(chat.text_parts(df))).first()
+    assert [t[1] for t in row["turns"]] == sorted(said)
