@@ -163,7 +163,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         joined.select("whole", "doc_id", "pos", "around", "item_id", "near"), verify,
         f"doc_id {kinds[0]}, item_id {kinds[1]}, matched int, start bigint, stop bigint",
     )
-    return fits.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.min("start").alias("start"), F.max("stop").alias("end"))
+    # the best place, of equal ones the first
+    best = F.max(F.struct("matched", (-F.col("start")).alias("back"), "stop")).alias("best")
+    return fits.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.matched", (-F.col("best.back")).alias("start"), F.col("best.stop").alias("end"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

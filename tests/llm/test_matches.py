@@ -139,3 +139,15 @@ def test_slices_keep_every_row_of_a_batch():
     texts = ["a" * 10, "b" * (5 << 20), "", None, "c" * (3 << 20), "d"]
     parts = [part for [part] in slices([pa.record_batch({"text": texts}), pa.record_batch({"text": pa.array([], pa.string())})])]
     assert [t for part in parts for t in part] == texts and len(parts) > 1
+
+
+def test_span_is_that_of_the_best_place(spark):
+    """A whole item early on and a part of it later: the span is one place, the best one, and of equal ones the first."""
+    item = [f"q{i}" for i in range(13)]
+    fill = [f"f{i}" for i in range(200)]
+    near = [*item[:12], "other"]
+    rows = [(1, " ".join(item + fill + near)), (2, " ".join(near + fill + item)), (3, " ".join(fill + item + fill + item))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: (r["matched"], r["start"], r["end"]) for r in decontaminate.overlaps(docs, bench).collect()}
+    assert got == {1: (13, 0, 13), 2: (13, 213, 226), 3: (13, 200, 213)}
