@@ -120,3 +120,58 @@ def compare_replays(metrics: DataFrame, method: str, baseline: Column) -> DataFr
         method, "phase", (F.col("sharpe") - F.col("_s")).alias("sharpe_delta"), (F.col("annual_return") - F.col("_a")).alias("return_delta"),
         (F.col("sharpe") > F.col("_s")).alias("better"),
     )
+
+
+def lattice_book(
+    scored: DataFrame, calendar: DataFrame, scores: Sequence[str], sizes: Sequence[int], horizons: Sequence[int], opens: DataFrame, folds: int
+) -> DataFrame:
+    """One daily book (score, size, horizon, phase, fold, position, gross_return, turnover, exposure) of every combination.
+
+    Scores are unpivoted and ranked once; every size is a prefix of that ranking, and schedules are arrays of
+    parameters exploded over it.  Moves of prices are joined once for all combinations.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("score"), F.col(n).alias("x")) for n in scores]))
+    long = scored.select("date", "code", each.alias("s")).select("date", "code", "s.score", "s.x").where("x IS NOT NULL")
+    ranked = top_n(long, "x", max(sizes), ("score", "date")).join(calendar, "date").select("score", "place", "position", "code")
+    picks = ranked.withColumn("size", F.explode(F.array(*[F.lit(n) for n in sizes]))).where("place <= size")
+    case = ["score", "size", "horizon", "phase"]
+    picks = picks.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons]))).withColumn("phase", F.col("position") % F.col("horizon"))
+    # a date has as many picks as its size, or all its codes: the count is at most the size
+    weight = 1.0 / F.count(F.lit(1)).over(Window.partitionBy(*case, "position"))
+    picks = picks.select(*case, "position", "code", weight.alias("weight"))
+    last = calendar.agg(F.max("position").alias("p")).scalar()
+    size = calendar.agg((F.max("position") + 1).alias("n")).scalar()
+    prices = opens.join(calendar, "date").select("code", "position", "open")
+    following = prices.select("code", (F.col("position") - 1).alias("position"), F.col("open").alias("_next"))
+    move = prices.join(following, ["code", "position"]).select("code", "position", (F.col("_next") / F.col("open") - 1).alias("_move"))
+    held = picks.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("horizon")))).withColumn("position", F.col("position") + F.col("_k"))
+    held = held.where(F.col("position") < last).join(move, ["code", "position"], "left")
+    gains = held.select(*case, "position", (F.col("weight") * F.coalesce("_move", F.lit(0.0))).alias("gain"), "weight", F.lit(0.0).alias("turn"))
+    # a pick adds its weight at the next session and takes it away at the rebalance after it
+    ends = F.explode(F.array(F.struct(F.lit(1).alias("k"), F.col("weight").alias("dw")), F.struct((F.col("horizon") + 1).alias("k"), (-F.col("weight")).alias("dw"))))
+    change = picks.withColumn("e", ends).withColumn("position", F.col("position") + F.col("e.k")).where(F.col("position") < last)
+    change = change.groupBy(*case, "position", "code").agg(F.abs(F.sum("e.dw")).alias("turn"))
+    turns = change.select(*case, "position", F.lit(0.0).alias("gain"), F.lit(0.0).alias("weight"), "turn")
+    book = gains.unionByName(turns).groupBy(*case, "position").agg(
+        F.sum("gain").alias("gross_return"), F.sum("turn").alias("turnover"), F.sum("weight").alias("exposure")
+    )
+    return book.withColumn("fold", F.floor(F.col("position") * folds / size).cast("int"))
+
+
+def lattice_performance(book: DataFrame, cost: float, multiples: Sequence[float], annual: int) -> DataFrame:
+    """Performance of every combination, fold and cost level over the one stored book."""
+    level = book.withColumn("multiple", F.explode(F.array(*[F.lit(float(m)) for m in multiples])))
+    level = level.withColumn("cost", F.col("turnover") * cost * F.col("multiple")).withColumn("net_return", F.col("gross_return") - F.col("cost"))
+    return replay_performance(level, ["score", "size", "horizon", "phase", "fold", "multiple"], annual)
+
+
+def compare_levels(performance: DataFrame, baseline: int = 1) -> DataFrame:
+    """Per combination and cost level the medians over the folds of the gains against the baseline horizon of the same fold."""
+    keys = ["score", "size", "fold", "multiple"]
+    base = performance.where(F.col("horizon") == baseline).groupBy(*keys).agg(F.median("sharpe").alias("_s"), F.median("annual_return").alias("_a"))
+    joined = performance.where(F.col("horizon") != baseline).join(base, keys)
+    gain = F.col("sharpe") - F.col("_s")
+    return joined.groupBy("score", "size", "horizon", "phase", "multiple").agg(
+        F.median(gain).alias("sharpe_delta"), F.median(F.col("annual_return") - F.col("_a")).alias("return_delta"),
+        F.count(F.when(gain > 0, 1)).alias("folds_better"), F.count(F.lit(1)).alias("folds"),
+    )

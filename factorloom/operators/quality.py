@@ -285,6 +285,46 @@ def score_grid_violations(df: DataFrame) -> DataFrame:
     )
 
 
+def score_grid_contract(df: DataFrame, zone: str = "Asia/Shanghai") -> DataFrame:
+    """Q12: all rules of a published score grid (date, code, fold_id, score, is_member, signal_valid, score_available_at).
+
+    Row rules take one pass; repeated keys are counted before the shuffle.
+    """
+    present = F.col("score").isNotNull() & ~F.isnan("score")
+    finite = present & (F.abs("score") < float("inf"))
+    local = F.from_utc_timestamp("score_available_at", zone).cast("date")
+    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    member = F.coalesce("is_member", F.lit(False))
+    rules = {
+        "EMPTY_KEY": (blank("code") | blank("fold_id") | F.col("date").isNull(), "ERROR"),
+        "NULL_BOOLEAN": (F.col("is_member").isNull() | F.col("signal_valid").isNull(), "ERROR"),
+        "DATE_WITH_TIME": (F.col("date").cast("timestamp") != F.date_trunc("day", F.col("date").cast("timestamp")), "ERROR"),
+        "AVAILABILITY_DATE": (F.coalesce(local != F.col("date").cast("date"), F.lit(True)), "ERROR"),
+        "INFINITE_SCORE": (present & ~finite, "ERROR"),
+        "VALID_MISMATCH": (F.coalesce(F.col("signal_valid") != (finite & member), F.lit(False)), "ERROR"),
+        "NON_MEMBER_SCORE": (~member & present, "ERROR"),
+    }
+    empty = df.agg(F.lit("EMPTY_GRID").alias("code"), (F.count(F.lit(1)) == 0).cast("bigint").alias("n_rows"), F.lit("ERROR").alias("severity"))
+    return issues(df, rules).unionByName(repeated_keys(df, ["date", "code", "fold_id"], "DUPLICATE_KEY")).unionByName(empty)
+
+
+
+
+def audit_days(events: DataFrame, sessions: DataFrame, days: int, priority: Column) -> DataFrame:
+    """Q9: (year, date, kind) of the sample: per year the first session of each kind of event, then sessions by priority up to ``days``.
+
+    ``events`` is (date, kind); only sessions count.  Both parts are aggregates over sessions, at most a calendar: the
+    draw is the same whatever the partitions.
+    """
+    real = events.select("date", "kind").join(sessions.select("date"), "date", "left_semi")
+    forced = real.groupBy(F.year("date").alias("year"), "kind").agg(F.min("date").alias("date"))
+    taken = forced.groupBy("year").agg(F.countDistinct("date").alias("_n"))
+    free = sessions.select("date", priority.alias("_p")).join(forced.select("date"), "date", "left_anti").withColumn("year", F.year("date"))
+    place = F.row_number().over(Window.partitionBy("year").orderBy("_p", "date"))
+    rest = free.withColumn("_i", place).join(taken, "year", "left").where(F.col("_i") <= days - F.coalesce("_n", F.lit(0)))
+    return forced.select("year", "date", "kind").unionByName(rest.select("year", "date", F.lit("random").alias("kind")))
+
+
 def grid_gaps(df: DataFrame, group: Sequence[str], member: str = "code") -> DataFrame:
     """Q13: groups whose number of distinct members differs from the whole table's."""
     whole = df.agg(F.countDistinct(member).alias("n")).scalar()

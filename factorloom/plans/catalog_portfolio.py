@@ -164,6 +164,55 @@ def b33(spark, sf_dir):
     return pf.replay_performance(daily, ["rule", "multiple", "horizon", "phase"], ANNUAL)
 
 
+# -- experiment lattice ----------------------------------------------------------------
+SIZES, MULTIPLES, FOLDS = (5, 10), (0.0, 1.0, 1.5, 2.0), 4
+LATTICE_SQL = f"""{BOOK_SQL}, gs AS (SELECT 'REV_5' AS score, date, code, rev AS x FROM sc UNION ALL
+  SELECT 'MOM_20', date, code, ln(close / lag(close, 20) OVER (PARTITION BY code ORDER BY date)) FROM dk),
+gt AS (SELECT *, row_number() OVER (PARTITION BY score, date ORDER BY x DESC, code) AS place FROM gs WHERE x IS NOT NULL),
+gp AS (SELECT score, n.n, h.h, cal.p % h.h AS phase, cal.p, code, 1.0 / count(*) OVER (PARTITION BY score, n.n, h.h, cal.p) AS w
+  FROM gt JOIN cal USING (date) JOIN (VALUES (5), (10)) n(n) ON place <= n.n JOIN (VALUES (1), (3)) h(h) ON true),
+mx AS (SELECT max(p) AS m FROM cal),
+gh AS (SELECT score, n, h, phase, gp.p + k AS p, code, w FROM gp JOIN range(1, 4) r(k) ON k <= h, mx WHERE gp.p + k < m),
+gg AS (SELECT score, n, h, phase, gh.p, sum(w * coalesce(mv.mv, 0.0)) AS gross, sum(w) AS exposure FROM gh LEFT JOIN mv ON mv.code = gh.code AND mv.p = gh.p GROUP BY 1, 2, 3, 4, 5),
+gc AS (SELECT score, n, h, phase, p, sum(t) AS turnover FROM (SELECT score, n, h, phase, p, code, abs(sum(dw)) AS t FROM (SELECT score, n, h, phase, p + 1 AS p, code, w AS dw FROM gp
+  UNION ALL SELECT score, n, h, phase, p + h + 1, code, -w FROM gp), mx WHERE p < m GROUP BY 1, 2, 3, 4, 5, 6) GROUP BY 1, 2, 3, 4, 5),
+gd AS (SELECT score, n, h, phase, p, coalesce(gross, 0.0) AS gross, coalesce(exposure, 0.0) AS exposure, coalesce(turnover, 0.0) AS turnover
+  FROM gg FULL OUTER JOIN gc USING (score, n, h, phase, p)),
+gl AS (SELECT gd.*, p * {FOLDS} // (m + 1) AS fold, c.c AS multiple, turnover * {COST} * c.c AS cost, gross - turnover * {COST} * c.c AS net
+  FROM gd, mx, (VALUES {', '.join(f'({m})' for m in MULTIPLES)}) c(c)),
+gm AS (SELECT score, n AS size, h AS horizon, phase, fold, CAST(multiple AS DOUBLE) AS multiple, count(*) AS days,
+  CASE WHEN stddev_samp(net) > 1e-12 THEN avg(net) / stddev_samp(net) * sqrt({ANNUAL}) END AS sharpe,
+  exp(sum(ln(1 + net)) * {ANNUAL} / count(*)) - 1 AS annual_return, avg(exposure) AS mean_exposure, sum(cost) AS total_cost FROM gl GROUP BY 1, 2, 3, 4, 5, 6)"""
+
+
+def lattice(spark, sf_dir):
+    """The stored daily book of two scores, two sizes and the schedules of horizons 1 and 3."""
+    bars = stored(desks(spark, sf_dir))
+    opens = bars.select("date", "code", F.pow("open", F.lit(0.05)).alias("open"))
+    calendar = stored(joins.number_calendar(bars))
+    return checkpointed(pf.lattice_book(sg.stock_signals(bars), calendar, ["REV_5", "MOM_20"], SIZES, HORIZONS, opens, FOLDS))
+
+
+@query(
+    "B33_experiment_lattice",
+    "score:s size:i horizon:i phase:i fold:i multiple:d days:i sharpe:d annual_return:d mean_exposure:d total_cost:d",
+    f"WITH {LATTICE_SQL} SELECT * FROM gm",
+)
+def b33_lattice(spark, sf_dir):
+    return pf.lattice_performance(lattice(spark, sf_dir), COST, MULTIPLES, ANNUAL)
+
+
+@query(
+    "B30_replay_levels",
+    "score:s size:i horizon:i phase:i multiple:d sharpe_delta:d return_delta:d folds_better:i folds:i",
+    f"""WITH {LATTICE_SQL}, b1 AS (SELECT score, size, fold, multiple, median(sharpe) AS s, median(annual_return) AS a FROM gm WHERE horizon = 1 GROUP BY 1, 2, 3, 4)
+    SELECT score, size, horizon, phase, multiple, median(sharpe - s) AS sharpe_delta, median(annual_return - a) AS return_delta, count(*) FILTER (sharpe > s) AS folds_better,
+      count(*) AS folds FROM gm JOIN b1 USING (score, size, fold, multiple) WHERE horizon <> 1 GROUP BY 1, 2, 3, 4, 5""",
+)
+def b30_levels(spark, sf_dir):
+    return pf.compare_levels(pf.lattice_performance(lattice(spark, sf_dir), COST, MULTIPLES, ANNUAL))
+
+
 # -- allocation ------------------------------------------------------------------------
 CAL_SQL = f"""{DAILY_SQL}, cq AS (SELECT date, code, target AS y, (rank() OVER (PARTITION BY date ORDER BY REV_5) + (count(*) OVER (PARTITION BY date, REV_5) - 1) / 2.0 - 0.5)
   / count(*) OVER (PARTITION BY date) - 0.5 AS q FROM pr),

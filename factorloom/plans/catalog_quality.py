@@ -11,10 +11,10 @@ from factorloom.operators import joins, panel as pn, quality as ql
 from factorloom.plans.catalog_ops import operands
 from factorloom.plans.catalog_panel import ASOF_SQL, CHAIN_SQL, _SPOILED_SQL, _FLAGS, chained, quotes, spoiled
 from factorloom.plans.catalog_signals import SIGNALS_SQL, stock_panel
-from factorloom.plans.registry import BARS_SQL, MEMBERS_SQL, PANEL_SQL, query
+from factorloom.plans.registry import BARS_SQL, DESKS_SQL, MEMBERS_SQL, PANEL_SQL, query
 from factorloom.operators import signals as sg
 from factorloom.sources import store
-from factorloom.sources.market import bars_hourly, membership, panel, stored
+from factorloom.sources.market import bars_hourly, desks, membership, panel, stored
 
 
 @query(
@@ -288,6 +288,70 @@ def q12(spark, sf_dir):
     return ql.score_grid_violations(grid)
 
 
+_GRID = {
+    "score": "CASE WHEN code % 29 = 0 THEN CAST('Infinity' AS DOUBLE) WHEN code % 31 = 0 THEN CAST('NaN' AS DOUBLE) ELSE close END",
+    "is_member": "CASE WHEN code % 37 = 0 THEN NULL ELSE code % 3 <> 0 END",
+    "signal_valid": "CASE WHEN code % 41 = 0 THEN NULL ELSE code % 3 <> 0 AND code % 37 <> 0 AND code % 31 <> 0 END",
+    "fold_id": "CASE WHEN code % 43 = 0 THEN ' ' ELSE 'f1' END",
+    "code_text": "CASE WHEN code % 47 = 0 THEN NULL ELSE CAST(code AS VARCHAR(20)) END",
+    "score_available_at": "CASE WHEN code % 53 = 0 THEN NULL ELSE CAST(date AS TIMESTAMP) + CASE WHEN month(date) = 9 THEN INTERVAL 17 HOUR ELSE INTERVAL 13 HOUR END END",
+}
+
+
+@query(
+    "Q12_full_score_grid",
+    "code:s n_rows:i severity:s",
+    f"""WITH {PANEL_SQL}, two AS (SELECT * FROM panel UNION ALL SELECT * FROM panel WHERE code = 5 AND month(date) = 4),
+    g AS (SELECT date, {', '.join(f'{e} AS {c}' for c, e in _GRID.items())} FROM two), v AS (SELECT *, NOT isnan(score) AS present, NOT isnan(score) AND NOT isinf(score) AS fin,
+      coalesce(is_member, false) AS mem FROM g)
+    SELECT 'EMPTY_KEY' AS code, count(*) FILTER (code_text IS NULL OR trim(fold_id) = '') AS n_rows, 'ERROR' AS severity FROM v
+    UNION ALL SELECT 'NULL_BOOLEAN', count(*) FILTER (is_member IS NULL OR signal_valid IS NULL), 'ERROR' FROM v UNION ALL SELECT 'DATE_WITH_TIME', 0, 'ERROR'
+    UNION ALL SELECT 'AVAILABILITY_DATE', count(*) FILTER (score_available_at IS NULL OR hour(score_available_at) >= 16), 'ERROR' FROM v
+    UNION ALL SELECT 'INFINITE_SCORE', count(*) FILTER (present AND NOT fin), 'ERROR' FROM v
+    UNION ALL SELECT 'VALID_MISMATCH', count(*) FILTER (signal_valid IS NOT NULL AND signal_valid <> (fin AND mem)), 'ERROR' FROM v
+    UNION ALL SELECT 'NON_MEMBER_SCORE', count(*) FILTER (NOT mem AND present), 'ERROR' FROM v
+    UNION ALL SELECT 'DUPLICATE_KEY', coalesce(sum(n), 0), 'ERROR' FROM (SELECT count(*) AS n FROM g GROUP BY date, code_text, fold_id HAVING count(*) > 1)
+    UNION ALL SELECT 'EMPTY_GRID', 0, 'ERROR'""",
+)
+def q12_grid(spark, sf_dir):
+    rows = stored(panel(spark, sf_dir))
+    two = rows.unionByName(rows.where("code = 5 AND month(date) = 4"))
+    grid = two.selectExpr("date", *[f"{e} AS {c}" for c, e in _GRID.items()]).withColumnRenamed("code_text", "code")
+    return ql.score_grid_contract(grid)
+
+
+#: The seven forced kinds over the weekly desks: one rule per kind, read by both engines.
+_KINDS = {
+    "xr": "code = 3 AND month(date) = 6", "wd": "code = 4 AND month(date) % 5 = 0", "suspended": "volume < 60", "limit_up": "open > low * 30",
+    "industry_change": "code % 10 = 0 AND month(date) = 7", "delist": "code = 39 AND year(date) % 2 = 0 AND month(date) = 11",
+}
+_DAY = "({n} * 1000003 + 20260821) % 2147483647 * 48271 % 2147483647 * 48271 % 2147483647"
+
+
+@query(
+    "Q9_audit_days",
+    "year:i date:t kind:s",
+    f"""WITH {DESKS_SQL.replace('panel AS (', 'dk AS (', 1)}, ss AS (SELECT DISTINCT date FROM dk WHERE day(date) <> 13), cal AS (SELECT date, row_number() OVER (ORDER BY date) AS p
+      FROM (SELECT DISTINCT date FROM dk)),
+    mb AS (SELECT date, code FROM (SELECT date, code, row_number() OVER (PARTITION BY date ORDER BY amount DESC, code) AS i FROM dk) WHERE i <= 36),
+    sets AS (SELECT date, p, list_sort(list(code)) AS s FROM mb JOIN cal USING (date) GROUP BY 1, 2),
+    ev AS (SELECT a.date, 'reconstitution' AS kind FROM sets a JOIN sets b ON b.p = a.p - 1 WHERE a.s <> b.s
+      {' '.join(f"UNION ALL SELECT date, '{k}' FROM dk WHERE {r}" for k, r in _KINDS.items())}),
+    fo AS (SELECT year(date) AS year, kind, min(date) AS date FROM ev WHERE date IN (SELECT date FROM ss) GROUP BY 1, 2),
+    fr AS (SELECT year(date) AS year, date, row_number() OVER (PARTITION BY year(date) ORDER BY {_DAY.format(n="date_diff('day', DATE '1970-01-01', date)")}, date) AS i FROM ss
+      WHERE date NOT IN (SELECT date FROM fo)), tk AS (SELECT year, count(DISTINCT date) AS n FROM fo GROUP BY 1)
+    SELECT year, date, kind FROM fo UNION ALL SELECT year, date, 'random' FROM fr LEFT JOIN tk USING (year) WHERE i <= 12 - coalesce(n, 0)""",
+)
+def q9_days(spark, sf_dir):
+    """Seven forced kinds (membership changes come from the member sets themselves), then drawn sessions up to twelve a year."""
+    rows = stored(desks(spark, sf_dir))
+    changes = ql.reconstitution_days(membership(rows, 36), joins.number_calendar(rows)).select("date", F.lit("reconstitution").alias("kind"))
+    kinds = F.explode(F.array_compact(F.array(*[F.when(F.expr(r), F.lit(k)) for k, r in _KINDS.items()])))
+    events = changes.unionByName(rows.select("date", kinds.alias("kind")))
+    sessions = rows.where("day(date) <> 13").select("date").distinct()
+    return ql.audit_days(events, sessions, 12, F.expr(_DAY.format(n="cast(unix_date(date) as bigint)")))
+
+
 @query(
     "Q13_grid_completeness",
     "date:t members:i expected:i",
