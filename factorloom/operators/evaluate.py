@@ -457,6 +457,13 @@ def ranking_score(scales: dict[str, float] = RANKING_SCALES) -> Column:
     return score
 
 
+def ranked_candidates(df: DataFrame, accepted: Column) -> DataFrame:
+    """Ranking score and place of the accepted candidates (a short list); NULL for the others."""
+    scored = df.withColumn("_in", accepted).withColumn("ranking", F.when(F.col("_in"), ranking_score()))
+    order = Window.partitionBy("_in").orderBy(F.desc("ranking"), "strategy")
+    return scored.withColumn("place", F.when(F.col("_in"), F.row_number().over(order))).drop("_in")
+
+
 def correlation_penalty(score: Column, max_corr: Column, threshold: float = 0.85, factor: float = 0.8) -> Column:
     """V20"""
     return F.when(max_corr > threshold, score * factor).otherwise(score)

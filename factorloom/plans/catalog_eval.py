@@ -29,9 +29,9 @@ def candidates(spark, sf_dir):
     return lb.drop_tail(strategy_pnl(spark, sf_dir), 2)
 
 
-def stored_candidates(spark, sf_dir):
+def stored_candidates(spark, sf_dir, more=()):
     """The candidate rows with their lineage cut: several statistics read them."""
-    return checkpointed(candidates(spark, sf_dir).select("strategy", "code", "ts", "factor", "pos", "ret", "turnover", "pnl"))
+    return checkpointed(candidates(spark, sf_dir).select("strategy", "code", "ts", "factor", "pos", "ret", "turnover", "pnl", *more))
 
 
 def _wide(rows):
