@@ -48,6 +48,40 @@ def test_repeats_equal_brute_force(spark):
     assert suffix.repeated_passages(docs.limit(0)).collect() == []
 
 
+def test_repeats_behind_nested_texts(spark):
+    """Two copies of 50 to 67 words among many texts that share only a part of them: every repeated stretch is covered."""
+    rows = []
+    for case in range(24):
+        passage = prose(50 + RNG.randrange(18))
+        for _ in range(2):
+            rows.append((len(rows), " ".join(prose(RNG.randrange(40)) + passage + prose(RNG.randrange(40)))))
+        for _ in range(40):
+            size = RNG.randrange(33, 50)
+            at = RNG.randrange(len(passage) - size + 1)
+            rows.append((len(rows), " ".join(prose(RNG.randrange(30)) + passage[at : at + size] + prose(RNG.randrange(30)))))
+    # near copies with a word changed every 50 to 67 words
+    for case in range(4):
+        base = prose(600)
+        for _ in range(20):
+            words, at = list(base), RNG.randrange(50)
+            while at < len(words):
+                words[at] = f"edit{len(rows)}x{at}"
+                at += RNG.randrange(50, 68)
+            rows.append((len(rows), " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    text = {d: t.split() for d, t in rows}
+    places = defaultdict(set)
+    for d, w in text.items():
+        for i in range(len(w) - 49):
+            places[tuple(w[i : i + 50])].add((d, i))
+    want = {place for same in places.values() if len(same) > 1 for place in same}
+    covered = set()
+    for r in suffix.repeated_passages(docs).collect():
+        assert text[r["doc_id"]][r["start"] : r["end"]] == text[r["other_id"]][r["other_start"] : r["other_start"] + r["n_words"]]
+        covered |= {(d, at + i) for d, at in ((r["doc_id"], r["start"]), (r["other_id"], r["other_start"])) for i in range(r["n_words"] - 49)}
+    assert covered == want
+
+
 def test_masks_tolerate_two_substitutions():
     for a, b in itertools.combinations(range(decontaminate.WINDOW), 2):
         assert any(
