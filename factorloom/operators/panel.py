@@ -286,6 +286,77 @@ def provenance(df: DataFrame, times: Sequence[str], source: Column) -> DataFrame
     return df.withColumns({f"{t}_source": F.when(F.col(t).isNotNull(), source).otherwise("MISSING") for t in times})
 
 
+POLICY = "DERIVED_POLICY"
+
+
+def one_per_cell(df: DataFrame, what: str) -> DataFrame:
+    """``df`` with one row per (date, code); a second row of a cell ends the job instead of doubling rows in a join."""
+    values = [c for c in df.columns if c not in ("date", "code")]
+    cells = df.groupBy("date", "code").agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in values])
+    twice = F.raise_error(F.concat(F.lit(f"{what}: several rows of "), F.col("date").cast("string"), F.lit(" "), F.col("code").cast("string")))
+    return cells.withColumn("code", F.when(F.col("_n") == 1, F.col("code")).otherwise(twice.cast(df.schema["code"].dataType))).drop("_n")
+
+
+def timing(rows: DataFrame, native: DataFrame, bars: DataFrame, statuses: DataFrame, calendar: DataFrame, original: Column, policy: Column) -> DataFrame:
+    """The six availability times of every row of ``rows`` and where each comes from.
+
+    Rows of the ``original`` universe take the times recorded in ``native`` (date, code, available_at, available_at_quote,
+    available_at_source, has_quote, available_at_status, available_at_source_status, industry_known_at, industry_known_at_source);
+    a quote time counts where there was a quote, and returns rest on the quote, so the previous close has its time.  The
+    other rows have no recorded times: a quote with a positive close in ``bars`` (date, code, close), a status row and its positive
+    ``preclose`` in ``statuses`` count as known at ``policy`` (a function of the date), as do membership and a known
+    industry.  The previous quote is that of the session before in ``calendar`` (date, position), of the row's own universe.
+    A time that is missing has the label MISSING.  The previous quote has the policy's label, so a recorded quote of another
+    source ends the job, as does a second row of one cell.
+    """
+    native = one_per_cell(native, "native times")
+    here = rows.withColumn("_old", original)
+    foreign = F.raise_error(F.concat(F.lit("quote time of another source: "), F.col("available_at_source")))
+    uniform = F.when(F.coalesce(F.col("available_at_source"), F.lit(POLICY)) == POLICY, F.col("available_at_source")).otherwise(foreign)
+    old = (
+        here.where("_old").select("date", "code").join(native, ["date", "code"], "left")
+        .withColumn("available_at_source", uniform)
+        .select(
+            "date", "code",
+            F.when(F.col("has_quote"), F.col("available_at_quote")).alias("quote_available_at"),
+            F.col("available_at_status").alias("status_available_at"),
+            F.col("available_at_quote").alias("preclose_available_at"),
+            F.col("available_at").alias("membership_available_at"),
+            F.col("industry_known_at").alias("industry_available_at"),
+            F.col("available_at_source").alias("quote_available_at_source"),
+            F.col("available_at_source_status").alias("status_available_at_source"),
+            F.col("available_at_source").alias("preclose_available_at_source"),
+            F.lit(POLICY).alias("membership_available_at_source"),
+            F.col("industry_known_at_source").alias("industry_available_at_source"),
+        )
+    )
+    quoted = one_per_cell(bars, "bars").select("date", "code", F.when(F.col("close") > 0, policy).alias("quote_available_at"))
+    status = one_per_cell(statuses, "statuses").select(
+        "date", "code", policy.alias("status_available_at"), F.when(F.col("preclose") > 0, policy).alias("preclose_available_at")
+    )
+    new = (
+        here.where(~F.col("_old")).select("date", "code", "industry").join(quoted, ["date", "code"], "left").join(status, ["date", "code"], "left")
+        .select(
+            "date", "code", "quote_available_at", "status_available_at", "preclose_available_at",
+            policy.alias("membership_available_at"),
+            F.when(F.col("industry").isNotNull(), policy).alias("industry_available_at"),
+            *[F.lit(POLICY).alias(f"{c}_source") for c in REQUIRED_TIMES if c != "previous_quote_available_at"],
+        )
+    )
+    # bars of the other universe reach beyond its rows, recorded quotes do not
+    quotes = [old.select("date", "code", "quote_available_at", F.lit(True).alias("_old")), quoted.withColumn("_old", F.lit(False))]
+    prior = quotes[0].unionByName(quotes[1]).join(calendar, "date").select(
+        (F.col("position") + 1).alias("position"), "code", "_old", F.col("quote_available_at").alias("previous_quote_available_at")
+    )
+    times = old.unionByName(new)
+    found = (
+        here.join(times, ["date", "code"]).join(calendar, "date", "left").join(prior, ["position", "code", "_old"], "left")
+        .withColumn("previous_quote_available_at_source", F.lit(POLICY))
+    )
+    labels = {f"{c}_source": F.when(F.col(c).isNull(), "MISSING").otherwise(F.col(f"{c}_source")) for c in REQUIRED_TIMES}
+    return found.withColumns(labels).select(*rows.columns, *REQUIRED_TIMES, *labels)
+
+
 def contiguous_runs(df: DataFrame, calendar: DataFrame, by: str = "code", date: str = "date") -> DataFrame:
     """number the unbroken runs of consecutive sessions and the rows inside each run.
 

@@ -38,6 +38,61 @@ CONTRACTS = {
 }
 
 
+# Tables a published snapshot must hold, and the columns its gate requires of each.
+REQUIRED_TABLES = (
+    "raw_request_manifest daily_bars universe_membership industry_membership trading_status trading_calendar "
+    "security_master corporate_actions"
+).split()
+SNAPSHOT_CONTRACTS = {
+    "daily_bars": (
+        "date code open_raw high_raw low_raw close_raw volume amount preclose open_tr close_tr adjustment_type available_at "
+        "available_at_source has_quote quote_missing_reason revision_id source_row_hash"
+    ).split(),
+    "universe_membership": (
+        "date index_code code is_member weight_pct effective_at known_at known_at_source entry_effective_date "
+        "membership_source source_request_id"
+    ).split(),
+    "industry_membership": CONTRACTS["industry_membership"],
+    "trading_status": [*CONTRACTS["trading_status"][:-1], "available_at", "available_at_source"],
+    "trading_calendar": CONTRACTS["trading_calendar"],
+    "security_master": CONTRACTS["security_master"],
+    "corporate_actions": [*CONTRACTS["corporate_actions"], "known_at_source"],
+    "execution_bars": (
+        "date code open_raw high_raw low_raw close_raw volume amount preclose open_tr close_tr has_quote quote_missing_reason"
+    ).split(),
+    "execution_status": "date code can_buy_open can_sell_open".split(),
+    "membership_spell_audit": CONTRACTS["membership_spell_audit"],
+}
+
+
+def snapshot_contract(tables: Mapping[str, DataFrame], lineage: bool) -> DataFrame:
+    """Q1: (table, issue, missing, n_rows) of every table of a snapshot, the required ones that are absent included.
+
+    Only the first fault of a table is named: it is absent, required columns are missing, or (for snapshots that
+    promise lineage) lineage columns are missing; ``OK`` otherwise.  Rows are counted by scans without columns.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    verdicts = []
+    for name in [*REQUIRED_TABLES, *sorted(set(tables) - set(REQUIRED_TABLES))]:
+        columns = set(tables[name].columns) if name in tables else set()
+        missing = sorted(set(SNAPSHOT_CONTRACTS.get(name, ())) - columns)
+        unsigned = [c for c in LINEAGE if c not in columns] if lineage else []
+        if name not in tables:
+            verdicts.append((name, "REQUIRED_TABLE_MISSING", ""))
+        elif missing:
+            verdicts.append((name, "TABLE_SCHEMA_MISSING", ",".join(missing)))
+        elif unsigned:
+            verdicts.append((name, "LINEAGE_FIELDS_MISSING", ",".join(unsigned)))
+        else:
+            verdicts.append((name, "OK", ""))
+    report = spark.createDataFrame(verdicts, "table string, issue string, missing string")
+    counts = None
+    for name, df in tables.items():
+        row = df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("table", F.lit(name))
+        counts = row if counts is None else counts.unionByName(row)
+    return report.join(counts, "table", "left")
+
+
 def contract(df: DataFrame, table: str, lineage: bool = True) -> list[str]:
     """Q1: required columns that are missing (metadata only, no job)."""
     return [c for c in [*CONTRACTS[table], *(LINEAGE if lineage else ())] if c not in df.columns]

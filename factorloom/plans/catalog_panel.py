@@ -1194,6 +1194,58 @@ def p16(spark, sf_dir):
     return pn.provenance(timed(spark, sf_dir), pn.REQUIRED_TIMES, F.lit("DERIVED_POLICY"))
 
 
+_TIMED_OUT = "quote status preclose previous_quote membership industry".split()
+
+
+@query(
+    "P16_timing_of_two_universes",
+    "code:i date:t " + " ".join(f"{c}_available_at:t {c}_available_at_source:s" for c in _TIMED_OUT),
+    f"""WITH {PANEL_SQL}, p AS (SELECT *, CAST(date AS TIMESTAMP) AS d, lag(close) OVER (PARTITION BY code ORDER BY date) AS before FROM panel),
+    days AS (SELECT date, lag(date) OVER (ORDER BY date) AS earlier FROM (SELECT DISTINCT date FROM panel)),
+    odd_quotes AS (SELECT code, date, d + INTERVAL 13 HOUR AS at FROM p WHERE code % 2 = 1 AND (code + month(date)) % 9 <> 0),
+    even_quotes AS (SELECT code, date, d + INTERVAL 13 HOUR AS at FROM p WHERE code % 2 = 0 AND volume >= 40 AND (code + month(date)) % 5 <> 0),
+    even AS (
+      SELECT p.code, p.date, q.at AS quote_available_at, CASE WHEN p.code % 6 <> 0 THEN n.code IS NOT NULL END AS has_status,
+        CASE WHEN n.code IS NOT NULL AND p.code % 6 <> 0 THEN p.d + INTERVAL 12 HOUR END AS status_available_at,
+        CASE WHEN n.code IS NOT NULL THEN p.d + INTERVAL 13 HOUR END AS preclose_available_at, w.at AS previous_quote_available_at,
+        CASE WHEN n.code IS NOT NULL THEN p.d + INTERVAL 14 HOUR END AS membership_available_at,
+        CASE WHEN n.code IS NOT NULL AND month(p.date) <> 2 THEN p.d - INTERVAL 5 DAY END AS industry_available_at
+      FROM p JOIN days USING (date)
+      LEFT JOIN (SELECT code, date FROM p WHERE (code + month(date)) % 5 <> 0) n ON n.code = p.code AND n.date = p.date
+      LEFT JOIN even_quotes q ON q.code = p.code AND q.date = p.date LEFT JOIN even_quotes w ON w.code = p.code AND w.date = earlier
+      WHERE p.code % 2 = 0),
+    odd AS (
+      SELECT p.code, p.date, q.at AS quote_available_at, CASE WHEN (p.code + month(p.date)) % 7 <> 0 THEN p.d + INTERVAL 13 HOUR END AS status_available_at,
+        CASE WHEN (p.code + month(p.date)) % 7 <> 0 AND p.before > 0 THEN p.d + INTERVAL 13 HOUR END AS preclose_available_at,
+        w.at AS previous_quote_available_at, p.d + INTERVAL 13 HOUR AS membership_available_at,
+        CASE WHEN p.code % 10 <> 3 THEN p.d + INTERVAL 13 HOUR END AS industry_available_at
+      FROM p JOIN days USING (date) LEFT JOIN odd_quotes q ON q.code = p.code AND q.date = p.date
+      LEFT JOIN odd_quotes w ON w.code = p.code AND w.date = earlier WHERE p.code % 2 = 1),
+    u AS (SELECT * EXCLUDE (has_status) FROM even UNION ALL BY NAME SELECT * FROM odd)
+    SELECT *, {", ".join(f"CASE WHEN {c}_available_at IS NULL THEN 'MISSING' ELSE 'DERIVED_POLICY' END AS {c}_available_at_source" for c in ("quote", "preclose", "previous_quote", "membership"))},
+      CASE WHEN status_available_at IS NULL THEN 'MISSING' WHEN code % 4 = 0 THEN 'NATIVE' ELSE 'DERIVED_POLICY' END AS status_available_at_source,
+      CASE WHEN industry_available_at IS NULL THEN 'MISSING' WHEN code % 2 = 0 THEN 'NATIVE' ELSE 'DERIVED_POLICY' END AS industry_available_at_source
+    FROM u""",
+)
+def p16_two_universes(spark, sf_dir):
+    """Even codes have recorded times (four of five cells), odd codes bars and statuses with gaps."""
+    p = stored(panel(spark, sf_dir)).withColumn("industry", F.when(F.col("code") % 10 != 3, F.col("industry")))
+    month, at = F.month("date"), F.col("date").cast("timestamp")
+    hours = lambda n: at + F.expr(f"interval {n} hours")
+    native = p.where((F.col("code") % 2 == 0) & ((F.col("code") + month) % 5 != 0)).select(
+        "date", "code", hours(14).alias("available_at"), hours(13).alias("available_at_quote"),
+        F.lit(pn.POLICY).alias("available_at_source"), (F.col("volume") >= 40).alias("has_quote"),
+        F.when(F.col("code") % 6 != 0, hours(12)).alias("available_at_status"),
+        F.when(F.col("code") % 4 == 0, "NATIVE").otherwise(pn.POLICY).alias("available_at_source_status"),
+        F.when(month != 2, at - F.expr("interval 5 days")).alias("industry_known_at"), F.lit("NATIVE").alias("industry_known_at_source"),
+    )
+    odd = p.withColumn("preclose", DATED.lag("close", 1)).where(F.col("code") % 2 == 1)
+    bars = odd.where((F.col("code") + month) % 9 != 0).select("date", "code", "close")
+    statuses = odd.where((F.col("code") + month) % 7 != 0).select("date", "code", "preclose")
+    days = p.select("date").distinct().withColumn("position", F.row_number().over(Window.orderBy("date")))
+    return pn.timing(p, native, bars, statuses, days, F.col("code") % 2 == 0, scalar.at_local(F.col("date"), "21:00:00"))
+
+
 @query(
     "P17_session_return",
     "code:i date:t r_1d:d",

@@ -31,6 +31,51 @@ def q1(spark, sf_dir):
     return report.join(renamed.agg(F.count(F.lit(1)).alias("present")).withColumn("table", F.lit("daily_bars")), "table")
 
 
+@query(
+    "Q1_all_contracts",
+    "table:s issue:s missing:s n_rows:i",
+    f"""WITH {PANEL_SQL}, {MEMBERS_SQL}, n AS (SELECT (SELECT count(*) FROM panel) AS cells, (SELECT count(*) FROM members) AS members,
+      (SELECT count(DISTINCT code) FROM panel) AS codes, (SELECT count(DISTINCT date) FROM panel) AS days)
+    SELECT t.* FROM n, LATERAL (VALUES
+      ('raw_request_manifest', 'OK', '', codes),
+      ('daily_bars', 'TABLE_SCHEMA_MISSING', 'revision_id,source_row_hash', cells),
+      ('universe_membership', 'OK', '', members),
+      ('industry_membership', 'LINEAGE_FIELDS_MISSING', 'fetched_at', codes),
+      ('trading_status', 'TABLE_SCHEMA_MISSING', 'available_at_source', cells),
+      ('trading_calendar', 'OK', '', days),
+      ('security_master', 'LINEAGE_FIELDS_MISSING', 'schema_version,snapshot_id,data_version,source,fetched_at', codes),
+      ('corporate_actions', 'REQUIRED_TABLE_MISSING', '', NULL),
+      ('execution_bars', 'OK', '', cells),
+      ('execution_status', 'TABLE_SCHEMA_MISSING', 'can_sell_open', cells),
+      ('membership_spell_audit', 'OK', '', codes)) AS t("table", issue, missing, n_rows)""",
+)
+def q1_all(spark, sf_dir):
+    """A snapshot of ten tables with seeded faults: columns taken away, lineage left out, one required table absent."""
+    cells = stored(panel(spark, sf_dir))
+    codes, days = cells.select("code").distinct(), cells.select("date").distinct()
+    signed = {c: "1" for c in ql.LINEAGE}
+
+    def shaped(name, rows, without=(), lineage=signed):
+        wanted = [c for c in ql.SNAPSHOT_CONTRACTS.get(name, ()) if c not in without]
+        known = {p: f"{p}_raw" for p in ("open", "high", "low", "close")}
+        rows = rows.withColumnsRenamed(known)
+        return store.with_lineage(rows.withColumns({c: F.lit(None).cast("string") for c in wanted if c not in rows.columns}), **lineage)
+
+    tables = {
+        "raw_request_manifest": shaped("raw_request_manifest", codes),
+        "daily_bars": shaped("daily_bars", cells, ("revision_id", "source_row_hash")),
+        "universe_membership": shaped("universe_membership", membership(cells)),
+        "industry_membership": shaped("industry_membership", codes, lineage={c: "1" for c in ql.LINEAGE if c != "fetched_at"}),
+        "trading_status": shaped("trading_status", cells, ("available_at_source",)),
+        "trading_calendar": shaped("trading_calendar", days),
+        "security_master": shaped("security_master", codes, lineage={}),
+        "execution_bars": shaped("execution_bars", cells),
+        "execution_status": shaped("execution_status", cells, ("can_sell_open",)),
+        "membership_spell_audit": shaped("membership_spell_audit", codes),
+    }
+    return ql.snapshot_contract(tables, lineage=True)
+
+
 @query(
     "Q2_row_count_contract",
     "table:s n_rows:i actual:i ok:b",

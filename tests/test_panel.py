@@ -202,3 +202,39 @@ def test_quotes_of_days_without_trades_stay(spark):
     first, second = pn.assemble_quotes(bars, before).orderBy("date").collect()
     assert first["has_quote"] and first["close"] == 10.0 and first["volume"] == 0.0
     assert not second["has_quote"] and second["close"] is None
+
+
+def timing_inputs(spark, source="DERIVED_POLICY", twice=False):
+    day = "timestamp'2024-01-0{}'"
+    rows = spark.sql("select * from values (date'2024-01-02', 2, 'a'), (date'2024-01-03', 2, null), (date'2024-01-03', 3, null) t(date, code, industry)")
+    native = spark.sql(
+        f"select *, '{source}' available_at_source, 'NATIVE' available_at_source_status, 'NATIVE' industry_known_at_source from values "
+        f"(date'2024-01-02', 2, {day.format(2)}, {day.format(2)}, true, {day.format(2)}, null), "
+        f"(date'2024-01-03', 2, {day.format(3)}, {day.format(3)}, false, null, {day.format(1)}) "
+        "t(date, code, available_at, available_at_quote, has_quote, available_at_status, industry_known_at)"
+    )
+    bars = spark.sql("select * from values (date'2024-01-02', 3, 1.0), (date'2024-01-03', 3, 0.0) t(date, code, close)")
+    statuses = spark.sql("select date'2024-01-03' date, 3 code, 2.0 preclose")
+    calendar = spark.sql("select * from values (date'2024-01-02', 1), (date'2024-01-03', 2) t(date, position)")
+    bars = bars.union(bars) if twice else bars
+    return pn.timing(rows, native, bars, statuses, calendar, F.col("code") == 2, F.col("date").cast("timestamp") + F.expr("interval 13 hours"))
+
+
+def test_timing_of_both_universes(spark):
+    got = {(r["date"].day, r["code"]): r for r in timing_inputs(spark).collect()}
+    assert len(got) == 3
+    first, second, new = got[2, 2], got[3, 2], got[3, 3]
+    assert first["quote_available_at_source"] == "DERIVED_POLICY" and first["previous_quote_available_at_source"] == "MISSING"
+    assert first["industry_available_at_source"] == "MISSING" and first["status_available_at_source"] == "NATIVE"
+    # no quote: no quote time, but the previous close is timed by the recorded row
+    assert second["quote_available_at"] is None and second["preclose_available_at"].day == 3
+    assert second["previous_quote_available_at"].day == 2 and second["status_available_at_source"] == "MISSING"
+    # a bar without a positive close is no quote; the bar of the session before is one though it has no row here
+    assert new["quote_available_at_source"] == "MISSING" and new["previous_quote_available_at"].hour == 13
+    assert new["preclose_available_at"].hour == 13 and new["industry_available_at"] is None
+
+
+@pytest.mark.parametrize("fault", [{"source": "NATIVE"}, {"twice": True}])
+def test_timing_refuses_other_sources_and_repeated_cells(spark, fault):
+    with pytest.raises(Exception, match="another source|several rows"):
+        timing_inputs(spark, **fault).collect()
