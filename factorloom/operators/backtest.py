@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom.functions.series import Series, clamp
+from factorloom.session import checkpointed
 
 # Fixed values of the evaluation.
 COST_RATE = 0.0003
@@ -53,6 +54,42 @@ def target_return(s: Series, price: str = "open") -> Column:
     return F.coalesce(F.log(F.try_divide(s.lead(price, 2), entry)), F.lit(0.0))
 
 
+# -- frozen snapshots ------------------------------------------------------------------
+def frozen_snapshot(df: DataFrame, factors: Sequence[str], s: Series = Series(), cost: float = COST_RATE, periods: float = PERIODS_PER_YEAR) -> DataFrame:
+    """One row of metrics of the mean of frozen factors on the holdout.
+
+    ``df`` holds every code on one timeline, with rn, bars and split (``labels.split_chronologically``), ``open`` and the
+    ``factors``, computed on the whole series.  Rows behind the split but the last two, whose labels are padding, are
+    evaluated; every code starts without a position.  Totals, Sharpe and drawdown are those of the mean over the codes at each
+    time, Sortino and Calmar those of all codes' rows, code after code.  A factor that is NULL anywhere ends the job.
+    """
+    mean = sum((F.col(f) for f in factors), F.lit(0.0)) / len(factors)
+    checked = F.when(mean.isNotNull(), mean).otherwise(F.raise_error(F.lit("a frozen factor has no value")).cast("double"))
+    rows = df.withColumns({"_factor": checked, "_ret": target_return(s)})
+    rows = rows.where((F.col("rn") > F.col("split")) & (F.col("rn") <= F.col("bars") - 2)).withColumn("pos", position(F.col("_factor")))
+    rows = rows.withColumn("turnover", F.abs(F.col("pos") - s.lag("pos", 1, 0.0)))
+    rows = checkpointed(rows.select(*s.keys, "ts", "pos", "turnover", (F.col("pos") * F.col("_ret") - F.col("turnover") * cost).alias("pnl")))
+    book = cumulative(portfolio(rows), Series())
+    total = book.agg(
+        F.count(F.lit(1)).alias("evaluable_bars"), F.sum("pnl").alias("total_log_pnl"), F.expm1(F.sum("pnl")).alias("simple_return_equivalent"),
+        (F.avg("pnl") * periods).alias("annualized_log_return"), sharpe("pnl", periods).alias("sharpe"), F.max("drawdown").alias("max_drawdown_log"),
+    )
+    # running sums of code after code: each code's own, behind the totals and peaks of the codes before
+    own = cumulative(rows, s)
+    codes = own.groupBy(*s.keys).agg(F.sum("pnl").alias("_sum"), F.max("cum").alias("_top"))
+    before = Window.orderBy(*s.keys).rowsBetween(Window.unboundedPreceding, -1)
+    codes = codes.withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)))
+    codes = codes.withColumn("_high", F.max(F.col("_base") + F.col("_top")).over(before)).select(*s.keys, "_base", "_high")
+    flat = own.join(codes, list(s.keys)).withColumn("_fall", F.greatest(F.col("_high") - F.col("_base"), F.col("peak")) - F.col("cum"))
+    each = flat.agg(
+        sortino("pnl", periods=periods).alias("sortino"),
+        clamp(F.avg("pnl") * periods / F.greatest(F.max("_fall"), F.lit(1e-8)), -10.0, 10.0).alias("calmar"),
+        F.avg(F.abs("pos")).alias("mean_exposure"), F.avg("turnover").alias("mean_turnover"),
+    )
+    count = F.lit(len(factors))
+    return total.withColumn("formula_count", count).join(each.withColumn("formula_count", count), "formula_count")
+
+
 # -- P&L -------------------------------------------------------------------------------
 def pnl_table(df: DataFrame, s: Series = Series(), cost: Column | float = COST_RATE) -> DataFrame:
     """B1: adds rn, bars, pos, prev, ret, turnover, pnl and dir to a table with ``factor`` and ``open``."""

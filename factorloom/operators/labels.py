@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factorloom.functions.series import Series
 from factorloom.operators.joins import calendar_offset, number_calendar
 from factorloom.operators.signals import loo
 
@@ -153,6 +154,24 @@ def holdout_bars(total: Column, share: float = 0.1, least: int = 3) -> Column:
     return F.greatest(F.lit(least), F.ceil(total * share))
 
 
+def split_chronologically(df: DataFrame, s: Series, share: float = 0.1, least: int = 3, development: int = 10) -> DataFrame:
+    """Adds rn, bars and split, the number of rows before the holdout; a series with too few ends the job."""
+    whole = Window.partitionBy(*s.keys)
+    df = df.withColumns({"rn": s.position(), "bars": F.count(F.lit(1)).over(whole)})
+    split = F.col("bars") - holdout_bars(F.col("bars"), share, least)
+    short = F.raise_error(F.concat(F.lit("not enough development rows: "), split.cast("string")))
+    return df.withColumn("split", F.when(split >= development, split).otherwise(short.cast("long")))
+
+
+def development_view(df: DataFrame, s: Series, share: float = 0.1) -> DataFrame:
+    """The rows before the holdout alone.
+
+    Features and labels are computed on the result, never cut from the whole series: the last two labels are 0 because
+    their prices lie in the holdout, and no feature can look ahead whatever its formula.
+    """
+    return split_chronologically(df, s, share).where(F.col("rn") <= F.col("split")).drop("rn", "bars", "split")
+
+
 def drop_tail(df: DataFrame, horizon: int, position: str = "rn", total: str = "bars") -> DataFrame:
     """The last ``horizon`` rows have no complete label."""
     return df.where(F.col(position) <= F.col(total) - horizon)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factorloom.operators import backtest as bt
+from factorloom.operators import backtest as bt, labels
 from factorloom.functions.features import features
 from factorloom.functions.series import Series
 from factorloom.operators.joins import common_timeline
@@ -686,6 +686,59 @@ def b23(spark, sf_dir):
     )
 
 
+_FROZEN = ["RET5", "RSI14", "VOL_Z"]
+_FROZEN_V = f"""v AS (SELECT code, ts, rn, {', '.join(f'{final_name(n)} AS {n.lower()}' for n in _FROZEN)} FROM {feature_ctes(_FROZEN)[1]})"""
+_HELD_OUT = "greatest(3, ceil(count(*) OVER (PARTITION BY code) * 0.1))"
+
+
+@query(
+    "L6_development_view",
+    "code:s ts:t ret5:d rsi14:d vol_z:d target:d",
+    "WITH "
+    + ",\n".join([BARS_SQL, ALIGNED_SQL.replace("src AS", "whole AS", 1),
+        f"src AS (SELECT * FROM whole QUALIFY rn <= count(*) OVER (PARTITION BY code) - {_HELD_OUT})", *feature_ctes(_FROZEN)[0], _FROZEN_V])
+    + """ SELECT v.code, v.ts, ret5, rsi14, vol_z, coalesce(ln(two.open / one.open), 0.0) AS target FROM v
+      LEFT JOIN src one ON one.code = v.code AND one.rn = v.rn + 1 LEFT JOIN src two ON two.code = v.code AND two.rn = v.rn + 2""",
+)
+def l6(spark, sf_dir):
+    """Features and labels of the development prefix, recomputed on it."""
+    prefix = labels.development_view(common_timeline(bars_hourly(spark, sf_dir)), S)
+    table = features(prefix, _FROZEN, keep=["open"]).withColumn("target", bt.target_return(S))
+    return table.withColumnsRenamed({n: n.lower() for n in _FROZEN})
+
+
+@query(
+    "B23_frozen_snapshot",
+    "evaluable_bars:i formula_count:i total_log_pnl:d simple_return_equivalent:d annualized_log_return:d sharpe:d sortino:d calmar:d "
+    "max_drawdown_log:d mean_exposure:d mean_turnover:d",
+    "WITH "
+    + ",\n".join([BARS_SQL, ALIGNED_SQL, *feature_ctes(_FROZEN)[0], _FROZEN_V])
+    + f""", f AS (SELECT v.code, v.ts, v.rn, tanh((ret5 + rsi14 * vol_z) / 2) AS raw, ln(two.open / one.open) AS ret FROM v
+        JOIN src one ON one.code = v.code AND one.rn = v.rn + 1 JOIN src two ON two.code = v.code AND two.rn = v.rn + 2
+        WHERE v.rn > (SELECT max(rn) - greatest(3, ceil(max(rn) * 0.1)) FROM src)),
+      p AS (SELECT code, ts, ret, CASE WHEN abs(raw) >= 0.05 THEN raw ELSE 0 END AS pos FROM f),
+      t AS (SELECT *, abs(pos - lag(pos, 1, 0) OVER (PARTITION BY code ORDER BY ts)) AS turnover FROM p),
+      r AS (SELECT *, pos * ret - turnover * 0.0003 AS pnl FROM t),
+      flat AS (SELECT *, sum(pnl) OVER (ORDER BY code, ts) AS cum FROM r),
+      falls AS (SELECT *, max(cum) OVER (ORDER BY code, ts) - cum AS fall FROM flat),
+      book AS (SELECT ts, avg(pnl) AS pnl FROM r GROUP BY ts),
+      walk AS (SELECT *, sum(pnl) OVER (ORDER BY ts) AS cum FROM book),
+      deep AS (SELECT *, max(cum) OVER (ORDER BY ts) - cum AS fall FROM walk),
+      a AS (SELECT count(*) AS evaluable_bars, sum(pnl) AS total_log_pnl, exp(sum(pnl)) - 1 AS simple_return_equivalent, avg(pnl) * 6240 AS annualized_log_return,
+        avg(pnl) / (stddev_pop(pnl) + 1e-8) * sqrt(6240) AS sharpe, max(fall) AS max_drawdown_log FROM deep),
+      b AS (SELECT {sortino_sql()} AS sortino, greatest(least(avg(pnl) * 6240 / greatest(max(fall), 1e-8), 10), -10) AS calmar,
+        avg(abs(pos)) AS mean_exposure, avg(turnover) AS mean_turnover FROM falls)
+      SELECT a.*, b.*, 2 AS formula_count FROM a, b""",
+)
+def b23_snapshot(spark, sf_dir):
+    """Two frozen formulas, computed on all bars and judged together on the held-out tenth."""
+    table = features(common_timeline(bars_hourly(spark, sf_dir)), _FROZEN, keep=["open"])
+    keep = ["code", "ts", "open", *_FROZEN]
+    first = evaluate(table, ["RET5"], S, normalise=False, factor="first").select(*keep, "first")
+    both = evaluate(first, ["RSI14", "VOL_Z", "MUL"], S, normalise=False, factor="second").select("code", "ts", "open", "first", "second")
+    return bt.frozen_snapshot(labels.split_chronologically(both, S), ["first", "second"], S)
+
+
 @query(
     "G7_resample_24_bars",
     "code:s block:i pnl:d",

@@ -8,6 +8,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from factorloom.functions.series import Series
+from factorloom.operators import backtest as bt
 from factorloom.operators import evaluate as ev
 from factorloom.operators import joins, labels, panel as pn, portfolio, quality, signals
 from factorloom.sources import bars as src
@@ -238,3 +240,41 @@ def test_timing_of_both_universes(spark):
 def test_timing_refuses_other_sources_and_repeated_cells(spark, fault):
     with pytest.raises(Exception, match="another source|several rows"):
         timing_inputs(spark, **fault).collect()
+
+
+def holdout_bars_of(spark, last):
+    rows = [(c, i, 10.0 + i if i < 20 else last) for c in "ab" for i in range(24)]
+    return spark.createDataFrame(rows, "code string, ts int, open double")
+
+
+def test_development_view_never_sees_the_holdout(spark):
+    views = [labels.development_view(holdout_bars_of(spark, last), Series()) for last in (1.0, 999.0)]
+    # 24 rows: 3 are held out; the label is computed on the prefix, so its last two are 0
+    got = [v.withColumn("y", bt.target_return(Series())).orderBy("code", "ts").collect() for v in views]
+    assert [(r["code"], r["ts"]) for r in got[0]] == [(c, i) for c in "ab" for i in range(21)]
+    assert [r["y"] for r in got[0]][19:21] == [0.0, 0.0] and got[0][17]["y"] == pytest.approx(math.log(29 / 28))
+    short = holdout_bars_of(spark, 1.0).where("ts < 12")
+    with pytest.raises(Exception, match="not enough development rows"):
+        labels.development_view(short, Series()).collect()
+
+
+def test_frozen_snapshot_by_hand(spark):
+    rng = np.random.default_rng(5)
+    data = pd.DataFrame([(c, i, float(rng.uniform(9, 11)), float(rng.normal()), float(rng.normal())) for c in "abc" for i in range(40)], columns=["code", "ts", "open", "f", "g"])
+    df = labels.split_chronologically(spark.createDataFrame(data), Series())
+    got = bt.frozen_snapshot(df, ["f", "g"], cost=0.001, periods=100).first()
+    per_code = []
+    for _, own in data.groupby("code"):
+        raw = np.tanh((own.f + own.g) / 2).to_numpy()[36:38]
+        pos = np.where(np.abs(raw) >= 0.05, raw, 0.0)
+        price = own.open.to_numpy()
+        per_code.append(pos * np.log(price[38:40] / price[37:39]) - np.abs(np.diff(pos, prepend=0.0)) * 0.001)
+    flat, book = np.concatenate(per_code), np.mean(per_code, axis=0)
+    cum = np.cumsum(flat)
+    fall = (np.maximum.accumulate(cum) - cum).max()
+    assert got["evaluable_bars"] == 2 and got["formula_count"] == 2
+    assert got["total_log_pnl"] == pytest.approx(book.sum()) and got["simple_return_equivalent"] == pytest.approx(np.expm1(book.sum()))
+    assert got["calmar"] == pytest.approx(np.clip(flat.mean() * 100 / max(fall, 1e-8), -10, 10))
+    assert got["sharpe"] == pytest.approx(book.mean() / (book.std() + 1e-8) * 10)
+    with pytest.raises(Exception, match="no value"):
+        bt.frozen_snapshot(df.withColumn("f", F.lit(None).cast("double")), ["f"]).collect()
