@@ -157,6 +157,22 @@ def importance(scores: DataFrame) -> DataFrame:
     return df.withColumn("importance", score).drop("_a", "_m", "_ra", "_rm")
 
 
+def score_candidates(rows: DataFrame, code: str = "code", x: str = "factor", y: str = "ret") -> DataFrame:
+    """V8: candidate, ic, rank_ic, ir, mi, unscorable, importance, place of every candidate in ``rows``.
+
+    A candidate whose values are missing or flat (V6) is unscorable: it stays in the report with zeros, importance -inf and
+    a place behind all others, and does not count in the ranks of the scorable ones.
+    """
+    state = rows.groupBy("candidate").agg(degeneracy(x).alias("unscorable"))
+    good = rows.join(state.where(~F.col("unscorable")).select("candidate"), "candidate", "left_semi")
+    ic = mean_ic(series_ic(good, ["candidate", code], x, y), ["candidate"]).select("candidate", "ic", "rank_ic", "ir")
+    scores = state.join(ic, "candidate", "left").join(mutual_information(good, ["candidate"], x, y), "candidate", "left")
+    ranked = importance(scores.na.fill(0.0, ["ic", "rank_ic", "ir", "mi"]))
+    # one row per candidate
+    order = Window.orderBy(F.desc("importance"), "candidate")
+    return ranked.withColumn("place", F.row_number().over(order))
+
+
 def correlation_prune(
     scores: Sequence[tuple[str, float]], correlations: dict[tuple[str, str], float], threshold: float = 0.9,
     margin: float = 0.01,

@@ -168,6 +168,31 @@ def v8(spark, sf_dir):
     return scored(stored_candidates(spark, sf_dir))
 
 
+@query(
+    "V8_importance_of_all",
+    "candidate:s unscorable:b rank_ic:d ir:d mi:d importance:d place:i",
+    f"""WITH {IC_SQL}, {_mi_sql('cand', 'strategy')}, one AS (SELECT strategy AS candidate, avg(rank_ic) AS rank_ic,
+      avg(ic) / (stddev_pop(ic) + 1e-10) AS ir, any_value(mi) AS mi FROM ics JOIN mi USING (strategy) GROUP BY 1),
+    below AS (SELECT a.candidate, count(*) FILTER (round(abs(b.rank_ic), 9) < round(abs(a.rank_ic), 9)
+        OR (round(abs(b.rank_ic), 9) = round(abs(a.rank_ic), 9) AND b.candidate < a.candidate)) AS under_ic,
+      count(*) FILTER (round(b.mi, 9) < round(a.mi, 9) OR (round(b.mi, 9) = round(a.mi, 9) AND b.candidate < a.candidate)) AS under_mi
+      FROM one a, one b GROUP BY 1),
+    good AS (SELECT one.*, (0.6 * under_ic + 0.4 * under_mi) / (SELECT count(*) - 1 FROM one) AS importance FROM one JOIN below USING (candidate))
+    SELECT candidate, false AS unscorable, rank_ic, ir, mi, importance, rank() OVER (ORDER BY importance DESC, candidate) AS place FROM good
+    UNION ALL SELECT candidate, true, 0, 0, 0, NULL, k + (SELECT count(*) FROM one) FROM (VALUES ('a_flat', 1), ('a_missing', 2), ('z_single', 3)) AS t(candidate, k)""",
+)
+def v8_all(spark, sf_dir):
+    """The strategies and three candidates without information: a constant, one without values, one with a single value."""
+    rows = stored_candidates(spark, sf_dir).select(F.col("strategy").alias("candidate"), "code", "ts", "factor", "ret")
+    base = rows.where(F.col("candidate") == NAMES[0])
+    first = base.agg(F.min(F.struct("code", "ts")).alias("at"))
+    single = F.when(F.struct("code", "ts") == first.scalar(), F.col("factor"))
+    for name, value in [("a_flat", F.lit(0.25)), ("a_missing", F.lit(None).cast("double")), ("z_single", single)]:
+        rows = rows.unionByName(base.withColumns({"candidate": F.lit(name), "factor": value}))
+    # -inf has no rounded value
+    return ev.score_candidates(rows).withColumn("importance", F.when(~F.col("unscorable"), F.col("importance")))
+
+
 def scored(rows):
     ic = ev.mean_ic(ev.series_ic(rows, ["strategy", "code"], "factor", "ret"), ["strategy"])
     mi = ev.mutual_information(rows, ["strategy"], "factor", "ret")

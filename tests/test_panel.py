@@ -278,3 +278,22 @@ def test_frozen_snapshot_by_hand(spark):
     assert got["sharpe"] == pytest.approx(book.mean() / (book.std() + 1e-8) * 10)
     with pytest.raises(Exception, match="no value"):
         bt.frozen_snapshot(df.withColumn("f", F.lit(None).cast("double")), ["f"]).collect()
+
+
+def test_unscorable_candidates_stay_behind(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for code in "ab":
+        for i in range(60):
+            ret = float(rng.normal())
+            for name, value in [("good", ret + float(rng.normal())), ("noise", float(rng.normal())), ("flat", 1.0), ("none", None)]:
+                rows.append((name, code, i, value, ret))
+    df = spark.createDataFrame(rows, "candidate string, code string, ts int, factor double, ret double")
+    got = {r["candidate"]: r for r in ev.score_candidates(df).collect()}
+    assert [c for c, r in sorted(got.items(), key=lambda x: x[1]["place"])] == ["good", "noise", "flat", "none"]
+    assert got["flat"]["unscorable"] and got["none"]["importance"] == -math.inf and got["none"]["mi"] == 0.0
+    assert got["good"]["importance"] == pytest.approx(1.0) and got["noise"]["importance"] == pytest.approx(0.0)
+    # a single scorable candidate has rank 1, none at all keeps every row
+    alone = {r["candidate"]: r for r in ev.score_candidates(df.where("candidate in ('good', 'flat')")).collect()}
+    assert alone["good"]["importance"] == pytest.approx(1.0) and alone["flat"]["place"] == 2
+    assert ev.score_candidates(df.where("candidate = 'none'")).count() == 1
