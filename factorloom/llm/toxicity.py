@@ -58,6 +58,8 @@ HASH_BITS = 40
 BUCKET = 8_000_000
 #: Bits of the filters of keys and of learned ids; full filters let everything pass.
 FILTER = 1 << 26
+#: Words whose bigrams are looked up at one time (a single longer text is one part).
+POSITIONS = 1 << 18
 CAUTION = 2.0
 #: Evidence of a word that no class knows.
 UNKNOWN = -CAUTION
@@ -72,15 +74,24 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-class Hashes(dict):
-    """Hashes of words, kept for the texts of one slice."""
+class Numbers(dict):
+    """Numbers of the words of one slice of texts; START is 0."""
+
+    def __init__(self) -> None:
+        self[START] = 0
 
     def __missing__(self, word: str) -> int:
-        value = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42) >> (64 - HASH_BITS)
-        return value
+        number = self[word] = len(self)
+        return number
+
+    def of(self, text: str | None) -> np.ndarray:
+        words = words_of(text)
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
-    def of(self, words: list[str]) -> np.ndarray:
-        return np.array([self[w] for w in words], np.uint64)
+    def hashes(self) -> np.ndarray:
+        """The hash of every word, by number."""
+        own = (xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42) >> (64 - HASH_BITS) for w in self)
+        return np.fromiter(own, np.uint64, len(self))
 
 
 def bit_filter(keys: DataFrame) -> np.ndarray:
@@ -93,6 +104,14 @@ def bit_filter(keys: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def bits_of(keys: np.ndarray) -> np.ndarray:
+    """The filter of keys that one process holds."""
+    at = keys.view(np.uint64) & np.uint64(FILTER - 1)
+    marks = np.zeros(FILTER, bool)
+    marks[at.astype(np.int64)] = True
+    return np.packbits(marks, bitorder="little").view("<u8").astype(np.uint64)
+
+
 def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     at = keys.view(np.uint64) & np.uint64(FILTER - 1)
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
@@ -163,6 +182,16 @@ def texts_of(docs: DataFrame, learn: DataFrame, held: int = HELD) -> DataFrame:
     return rows.mapInArrow(sift, rows.schema).join(wanted.hint("merge"), "key").select("text", "t", "o").mapInArrow(there, struct)
 
 
+def bigrams(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the first and the second words of all bigrams of texts, one after the other."""
+    w = np.concatenate(texts)
+    v = np.empty_like(w)
+    v[1:] = w[:-1]
+    starts = np.cumsum([0, *map(len, texts)])[:-1]
+    v[starts[starts < len(v)]] = 0
+    return v, w
+
+
 def packed(v: np.ndarray, w: np.ndarray, n: np.ndarray) -> bytes:
     """Bigrams as 2 x 5 bytes each, then the places and counts of those that occur more than once."""
     more = np.flatnonzero(n > 1).astype("<u4")
@@ -187,14 +216,14 @@ def blocks(rows: DataFrame, buckets: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for toxic, texts in slices(batches):
-            hashes, sides = Hashes(), {True: [], False: []}
+            numbers, sides = Numbers(), {True: [], False: []}
             for kind, text in zip(toxic, texts):
-                h = hashes.of([START, *words_of(text)])
-                sides[kind].append(np.stack([h[:-1], h[1:]]))
+                sides[kind].append(numbers.of(text))
+            h = numbers.hashes()
             for kind, parts in sides.items():
-                if not parts:
+                if not any(map(len, parts)):
                     continue
-                v, w = np.concatenate(parts, axis=1)
+                v, w = (h[x] for x in bigrams(parts))
                 keys, first, n = np.unique(pair_key(v, w), return_index=True, return_counts=True)
                 own = keys % np.uint64(buckets)
                 order = np.argsort(own, kind="stable")
@@ -281,7 +310,7 @@ def train(rows: DataFrame, share: float | None = None, least: int = 1, least_pai
     model = {
         "keys": keys[order], "counts": np.column_stack([held[c].to_numpy() for c in COUNTS])[order].astype(np.float32),
         "back": DISCOUNT * totals["types"] / totals["k"], "kinds": totals["k"], "above": (totals["above_a"] or 1.0, totals["above_b"] or 1.0),
-        "filter": None if rest.isEmpty() else bit_filter(rest),
+        "bits": bits_of(keys), "filter": None if rest.isEmpty() else bit_filter(rest),
     }
     return model, rest
 
@@ -294,55 +323,89 @@ def look_up(keys: np.ndarray, counts: np.ndarray, asked: np.ndarray) -> np.ndarr
     return np.where((keys[at] == asked)[:, None], counts[at], np.nan)
 
 
-def text_keys(text: str | None, hashes: Hashes) -> tuple[np.ndarray, ...]:
-    """Keys of the bigrams by position, of contexts and of words (distinct), and the places of v and w among these."""
-    h, place = np.unique(hashes.of([START, *words_of(text)]), return_inverse=True)
-    pairs = (PAIR ^ pair_key(h[place[:-1]], h[place[1:]])).view(np.int64)
-    return pairs, (CONTEXT | h).view(np.int64), (SINGLE | h).view(np.int64), place[:-1], place[1:]
+def pair_keys(h: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return (PAIR ^ pair_key(h[v], h[w])).view(np.int64)
+
+
+def unknown_keys(texts: list[str | None], model: dict) -> Iterator[np.ndarray]:
+    """For each text the keys that the held counts lack and the other rows may have."""
+    numbers = Numbers()
+    own = [numbers.of(text) for text in texts]
+    h = numbers.hashes()
 
+    def lacking(keys: np.ndarray) -> np.ndarray:
+        out = may_hold(model["filter"], keys)
+        out[out] = np.isnan(look_up(model["keys"], model["counts"], keys[out])[:, 0])
+        return out
 
-def unknown_keys(text: str | None, model: dict, hashes: Hashes) -> np.ndarray:
-    """Keys that the held counts lack and the other rows may have."""
-    keys = np.unique(np.concatenate(text_keys(text, hashes)[:3]))
-    lacking = keys[np.isnan(look_up(model["keys"], model["counts"], keys)[:, 0])]
-    return lacking[may_hold(model["filter"], lacking)]
+    sides = [(keys, lacking(keys)) for keys in ((CONTEXT | h).view(np.int64), (SINGLE | h).view(np.int64))]
+    for ids in own:
+        used = np.unique(np.append(ids, np.int32(0)))
+        pairs = np.unique(pair_keys(h, *bigrams([ids])))
+        yield np.unique(np.concatenate([*[keys[used[asks[used]]] for keys, asks in sides], pairs[lacking(pairs)]]))
 
 
-def evidence(text: str | None, model: dict, hashes: Hashes, told: list) -> tuple[float, float, float, float, float]:
-    """(best word, second word, best SPAN words, mean, total) in nats; ``told``: rows (key, counts) that the texts asked for."""
-    pairs, contexts, words, v, w = text_keys(text, hashes)
-    if not len(pairs):
-        return UNKNOWN, UNKNOWN, 0.0, 0.0, 0.0
-    said_keys = np.array([r["key"] for r in told], np.int64)
-    said = np.array([[r[c] for c in COUNTS] for r in told], float).reshape(len(told), len(COUNTS))
-    order = np.argsort(said_keys)
+def evidence(texts: list[str | None], model: dict, told: list[list]) -> Iterator[tuple[float, float, float, float, float]]:
+    """(best word, second word, best SPAN words, mean, total) in nats for each text of a slice.
+
+    ``told`` holds the rows (key, counts) that the texts asked for.  What concerns one word is computed once for the slice.
+    """
+    numbers = Numbers()
+    own = [numbers.of(text) for text in texts]
+    h = numbers.hashes()
+    tables = [(model["keys"], model["counts"], model["bits"])]
+    answers = {r["key"]: [r[c] for c in COUNTS] for rows in told for r in rows}
+    if answers:
+        keys = np.array(sorted(answers), np.int64)
+        tables.append((keys, np.array([answers[k] for k in keys.tolist()], float), None))
 
     def counts(asked: np.ndarray) -> np.ndarray:
-        out = look_up(model["keys"], model["counts"], asked).astype(float)
-        return np.where(np.isnan(out), look_up(said_keys[order], said[order], asked), out) if told else out
+        out = look_up(*tables[0][:2], asked).astype(float)
+        return np.where(np.isnan(out), look_up(*tables[1][:2], asked), out) if answers else out
 
-    context, word = counts(contexts), counts(words)
-    known, some = ~np.isnan(word[:, 0]), np.nan_to_num(context)
+    some, word = np.nan_to_num(counts((CONTEXT | h).view(np.int64))), counts((SINGLE | h).view(np.int64))
+    known = ~np.isnan(word[:, 0])
     escape = [np.where(some[:, c] > 0, 1 - some[:, 2 + c] / np.maximum(some[:, c], 1), 1.0) for c in (0, 1)]
     # a word that no class knows has the same lower order under both
     back, kinds = model["back"], np.where(known, word[:, 4], model["kinds"])
     lower = [(1 - back) * np.maximum(np.nan_to_num(word[:, 2 + c]) - DISCOUNT, 0) / model["above"][c] + back * kinds / model["kinds"] for c in (0, 1)]
-    ratio = (np.log(escape[0]) - np.log(escape[1]))[v] + (np.log(lower[0]) - np.log(lower[1]))[w]
-    # bigrams with counts of their own
-    for keys, values in ((model["keys"], model["counts"]), (said_keys[order], said[order])):
-        if len(keys):
-            at = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
-            hit = np.flatnonzero(keys[at] == pairs)
-            own, x, y = values[at[hit], :2].astype(float), v[hit], w[hit]
-            p = [np.maximum(own[:, c] - DISCOUNT, 0) / np.maximum(some[x, c], 1) + escape[c][x] * lower[c][y] for c in (0, 1)]
-            ratio[hit] = np.log(p[0]) - np.log(p[1])
-    sums_ = np.concatenate(([0.0], np.cumsum(ratio)))
-    span = min(SPAN, len(ratio))
-    own = np.unique(w)
-    gain = np.log(lower[0][own]) - np.log(lower[1][own]) - CAUTION / np.sqrt(np.maximum(np.nan_to_num(word[own, 2]), 1))
-    best = np.sort(np.where(known[own], gain, UNKNOWN))[::-1]
-    second = best[1] if len(best) > 1 else UNKNOWN
-    return float(best[0]), float(second), float((sums_[span:] - sums_[:-span]).max() / SPAN), float(sums_[-1] / len(ratio)), float(sums_[-1])
+    out, tail = np.log(escape[0]) - np.log(escape[1]), np.log(lower[0]) - np.log(lower[1])
+    gain = np.where(known, tail - CAUTION / np.sqrt(np.maximum(np.nan_to_num(word[:, 2]), 1)), UNKNOWN)
+
+    def ratios(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        ratio, asked = out[v] + tail[w], pair_keys(h, v, w)
+        for keys, values, bits in tables:  # bigrams with counts of their own
+            if not len(keys):
+                continue
+            may = np.arange(len(asked)) if bits is None else np.flatnonzero(may_hold(bits, asked))
+            may = may[np.argsort(asked[may])]  # near keys in turn: fewer cache misses
+            at = np.minimum(np.searchsorted(keys, asked[may]), len(keys) - 1)
+            hit = keys[at] == asked[may]
+            n, may = values[at[hit], :2].astype(float), may[hit]
+            x, y = v[may], w[may]
+            p = [np.maximum(n[:, c] - DISCOUNT, 0) / np.maximum(some[x, c], 1) + escape[c][x] * lower[c][y] for c in (0, 1)]
+            ratio[may] = np.log(p[0]) - np.log(p[1])
+        return ratio
+
+    at = 0
+    while at < len(own):
+        upto, size = at, 0
+        while upto < len(own) and (upto == at or size + len(own[upto]) <= POSITIONS):
+            size += len(own[upto])
+            upto += 1
+        ratio, ends = ratios(*bigrams(own[at:upto])), np.cumsum([0, *map(len, own[at:upto])])
+        for ids, start, end in zip(own[at:upto], ends[:-1], ends[1:]):
+            if start == end:
+                yield UNKNOWN, UNKNOWN, 0.0, 0.0, 0.0
+                continue
+            sums_ = np.concatenate(([0.0], np.cumsum(ratio[start:end])))
+            span, total = min(SPAN, end - start), float(sums_[-1])
+            gains = gain[ids]
+            best = gains.argmax()
+            others = gains[ids != ids[best]]
+            second = float(others.max()) if len(others) else UNKNOWN
+            yield float(gains[best]), second, float((sums_[span:] - sums_[:-span]).max() / SPAN), total / (end - start), total
+        at = upto
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50) -> np.ndarray:
@@ -371,24 +434,22 @@ def measured(rows: DataFrame, model: dict, rest: DataFrame) -> DataFrame:
     if model["filter"] is None:  # every value is held
 
         def alone(ids: list, own: list, bodies: list) -> Iterator[tuple]:
-            hashes = Hashes()
-            return ((doc_id, body, *evidence(text, sent.value, hashes, [])) for doc_id, text, body in zip(ids, own, bodies))
+            return ((doc_id, body, *found) for doc_id, body, found in zip(ids, bodies, evidence(own, sent.value, [])))
 
         return map_rows(texts, alone, out)
 
     def ask(bodies: list, own: list) -> Iterable[tuple]:
-        hashes = Hashes()
-        for body, text in dict(zip(bodies, own)).items():  # copies ask once
-            yield from ((body, key) for key in unknown_keys(text, sent.value, hashes).tolist())
+        once = dict(zip(bodies, own))  # copies ask once
+        for body, keys in zip(once, unknown_keys(list(once.values()), sent.value)):
+            yield from ((body, key) for key in keys.tolist())
 
     # copies in other slices ask again: distinct before the lists are made, so a list has the size of one text
     asked = map_rows(texts.select("body", "text"), ask, "asker bigint, key bigint").distinct()
     answers = asked.join(rest, "key").groupBy("asker").agg(F.collect_list(F.struct("key", *COUNTS)).alias("said"))
 
     def run(ids: list, own: list, bodies: list, told: list) -> Iterator[tuple]:
-        hashes = Hashes()
-        for doc_id, text, body, said in zip(ids, own, bodies, told):
-            yield (doc_id, body, *evidence(text, sent.value, hashes, said or []))
+        found = evidence(own, sent.value, [said for said in told if said])
+        return ((doc_id, body, *values) for doc_id, body, values in zip(ids, bodies, found))
 
     told = texts.join(answers, F.col("body") == F.col("asker"), "left").select("doc_id", "text", "body", "said")
     return map_rows(told, run, out)
