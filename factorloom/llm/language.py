@@ -13,6 +13,11 @@ Defined results.  NULL texts and texts without a letter are ``und`` with score 0
 labelled row) every text is ``und``.  Ties go to the language that sorts first.  Rows with NULL lang are not learned
 from but are predicted; NULL doc_id is not held out and not learned from.  Repeated rows count and are predicted as
 often as they come.  Empty table: no rows.  Extra columns are ignored; texts are read whole.
+
+As a filter (``keep_known``) the code length itself decides: a text goes if its tree needs more bits than no tree at all (8 bits
+a byte) by over MARGIN, and more bits a byte than the mean of held-out rows of its language and like length (the
+same power of two of bytes) by over SPREADS standard deviations.  With fewer than LIKE such rows those of all lengths of the language
+stand for them; if these are fewer too, the text stays.
 """
 
 from __future__ import annotations
@@ -28,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factorloom.llm.common import keep_rows, map_rows, one_per_worker, pick
+from factorloom.session import stored
 
 ORDER = 3
 SHARE = 1e-6
@@ -35,6 +41,9 @@ FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
 START = b"\n" * ORDER
 CHUNK = 1 << 20
+#: Bits: a key or an address of 40 characters in a short text costs up to about 10 bits a byte more than no tree.
+MARGIN = 400.0
+SPREADS, LIKE = 6.0, 30
 
 
 def fold(doc_id: Column, folds: int) -> Column:
@@ -222,19 +231,34 @@ def identify(docs: DataFrame, entries: Entries) -> DataFrame:
     return map_rows(rows, run, f"doc_id {kind}, lang_pred string, score double, bits_per_byte double")
 
 
+def learnable(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT))
+
+
 def identify_language(docs: DataFrame, share: float = SHARE) -> DataFrame:
     """doc_id, held_out, lang_pred, score, bits_per_byte: trees learned on the rows that are not held out."""
     rows = pick(docs, doc_id="doc_id", text="text", lang="lang")
-    entries = train(rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT)), share)
+    entries = train(learnable(rows), share)
     return identify(rows, entries).select(
         "doc_id", F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "lang_pred", "score", "bits_per_byte"
     )
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """``docs`` without those that are ``und``.
-
-    A long code alone rejects nothing: short texts of a known language may hold a key, a number or an address.
-    """
-    found = identify_language(docs)
-    return keep_rows(docs, found.where(F.col("lang_pred") == UNKNOWN).select(F.col("doc_id").alias("id")).distinct(), "left_anti")
+    """``docs`` without those that are ``und`` and those whose code is too long for every learned language."""
+    rows = pick(docs, doc_id="doc_id", text="text", lang="lang")
+    size = F.octet_length(F.lower("text")).alias("size")
+    # identify hands on the id as it is: here a struct, so that rows of one id stay apart
+    marked = rows.select(F.struct("doc_id", "lang", size).alias("doc_id"), "text")
+    found = identify(marked, train(learnable(rows))).select("doc_id.*", "lang_pred", "bits_per_byte")
+    found = stored(found.withColumn("length", F.floor(F.log2("size")).cast("int")), "languages")
+    held = found.where((F.col("lang") == F.col("lang_pred")) & (fold(F.col("doc_id"), FOLDS) == HELD_OUT))
+    levels = F.explode(F.array(F.col("length"), F.lit(-1)))
+    most = (F.avg("bits_per_byte") + SPREADS * F.stddev_pop("bits_per_byte")).alias("most")
+    limits = held.select("lang_pred", "bits_per_byte", levels.alias("level")).groupBy("lang_pred", "level").agg(most, F.count(F.lit(1)).alias("n")).where(F.col("n") >= LIKE)
+    like, every = (limits.where(c).select(F.col("lang_pred").alias(f"l{i}"), F.col("level").alias(f"v{i}"), F.col("most").alias(f"m{i}")) for i, c in enumerate(("level >= 0", "level < 0")))
+    # a row per language and power of two: small at every size
+    judged = found.join(F.broadcast(like), F.expr("lang_pred = l0 and length = v0"), "left").join(F.broadcast(every), F.expr("lang_pred = l1"), "left")
+    bits = F.col("bits_per_byte")
+    too_long = ((bits - 8) * F.col("size") > MARGIN) & (bits > F.coalesce("m0", "m1"))
+    return keep_rows(docs, judged.where((F.col("lang_pred") == UNKNOWN) | too_long).select(F.col("doc_id").alias("id")).distinct(), "left_anti")

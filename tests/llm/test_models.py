@@ -80,6 +80,24 @@ def test_language_awkward_rows(spark):
     assert kept.columns == docs.columns and kept.count() == len(rows) - 3
 
 
+def test_language_filter_rejects_by_code_length(spark):
+    """Foreign and random texts go; clean ones stay, short ones and such with a key as well; few rows reject nothing."""
+    rng = random.Random(6)
+    vocabulary = {"en": "the cat and dog are here with some other things that we know about".split(), "de": "der hund und die katze sind hier mit anderen dingen über das dach".split()}
+    say = lambda lang, n: " ".join(rng.choice(vocabulary[lang]) for _ in range(n))
+    clean = [(i, say(lang, rng.choice([2, 5, 20, 60, 300])), lang) for i, lang in enumerate(["en", "de"] * 500)]
+    clean += [(2000, "the cat", None), (2001, "the dog password=b8a6bab61dc0d4e3d1 is here", None), (2002, "ab", None), (2003, "hund " * 50_000, None), (None, "the other dog", None)]
+    letters = "bfgjklmpqvwxyz0123456789"
+    junk = ["日本語のテキストです。これは長い文章で、学習された言語ではありません。", "Η γρήγορη καφέ αλεπού πηδά πάνω από το τεμπέλικο σκυλί και φεύγει", "".join(rng.choice(letters) for _ in range(300)), "ж" * 3 + " съешь ещё этих мягких французских булок" * 4000]
+    rows = clean + [(3000 + i, text, None) for i, text in enumerate(junk)] + [(3100, "12 34", "en"), (3101, None, "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "'x' AS lang_pred", "1 AS size", "2 AS n")
+    kept = language.keep_known(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] or -1 for r in kept.collect()) == sorted(r[0] or -1 for r in clean)
+    few = docs.where("doc_id < 40 or doc_id >= 3000")
+    assert language.keep_known(few).count() == few.count() - 2
+
+
 def test_word_ids_equal_the_tokenizer():
     words, whole = WordIds(WORDS), Tokenizer.from_file(WORDS)
     for text in ODD + [" ".join(ODD)]:
