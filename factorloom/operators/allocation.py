@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from factorloom.operators.evaluate import moving_block_bootstrap
 from factorloom.operators.signals import midrank
+from factorloom.session import stored
 
 
 def calibration_days(df: DataFrame, score: str, y: str, keep: int = 504) -> DataFrame:
@@ -54,42 +55,55 @@ def expected_return(q: Column, intercept: Column, slope: Column, cov: tuple[Colu
     return {"expected_return": intercept + slope * q, "standard_error": F.sqrt(F.greatest(variance, F.lit(0.0)))}
 
 
-def block_covariance(x: DataFrame, at: str, code: str, value: str, blocks: int = 8) -> DataFrame:
+#: Periods of one slice of the tiled product.
+SLICE = 2000
+
+
+def block_covariance(x: DataFrame, at: str, code: str, value: str, blocks: int = 8, slices: Column | int = 1) -> DataFrame:
     """(a, b, s): sums of products of the centred series of all pairs of codes, over the periods.
 
-    The codes are dealt into ``blocks`` groups and each pair of groups is one NumPy product, so a
-    value travels ``blocks`` times instead of once per partner and no pair of rows is ever
-    emitted.  Choose ``blocks`` so that two groups of series fit one task.
+    The codes are dealt into ``blocks`` groups and the periods into ``slices``.  Each unordered pair of groups and
+    each slice is one NumPy product, whose cells are then added up over the slices: a value travels ``blocks`` times
+    instead of once per partner, no pair of rows is ever emitted, and neither many codes nor a long history
+    meets one task.  Choose ``blocks`` so that two groups of series of one slice fit one task.  Each code needs a value at
+    each period.
     """
-    dealt = x.select(at, code, value, F.pmod(F.hash(code), F.lit(blocks)).alias("_own"))
-    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = dealt.withColumns({"_i": F.col("_own"), "_j": others, "_side": F.lit(0)}).drop("_own")
-    right = dealt.withColumns({"_j": F.col("_own"), "_i": others, "_side": F.lit(1)}).drop("_own")
+    slices = F.lit(slices) if isinstance(slices, int) else slices
+    own, other = F.col("_own"), F.col("_other")
+    dealt = x.select(
+        at, code, value, F.pmod(F.hash(code), F.lit(blocks)).alias("_own"), F.pmod(F.hash(at), slices.cast("int")).alias("_slice"),
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_other"),
+    ).select(at, code, value, "_slice", "_own", F.least(own, other).alias("_i"), F.greatest(own, other).alias("_j"))
     kind = dict(x.dtypes)[code]
 
-    def product(pair: pd.DataFrame) -> pd.DataFrame:
-        a, b = pair[pair["_side"] == 0], pair[pair["_side"] == 1]
-        if a.empty or b.empty:
-            return pd.DataFrame({"a": [], "b": [], "s": []})
-        wide_a, wide_b = (f.pivot(index=at, columns=code, values=value) for f in (a, b))
-        sums = wide_a.to_numpy().T @ wide_b.reindex(wide_a.index).to_numpy()
-        rows, columns = np.meshgrid(wide_a.columns.to_numpy(), wide_b.columns.to_numpy(), indexing="ij")
-        return pd.DataFrame({"a": rows.ravel(), "b": columns.ravel(), "s": sums.ravel()})
+    def product(tile: pd.DataFrame) -> pd.DataFrame:
+        i, j = tile["_i"].iloc[0], tile["_j"].iloc[0]
+        wide = [tile[tile["_own"] == g].pivot(index=at, columns=code, values=value) for g in (i, j)]
+        if wide[0].empty or wide[1].empty:
+            none = tile.iloc[:0]
+            return pd.DataFrame({"a": none[code], "b": none[code], "s": none[value]})
+        sums = wide[0].to_numpy().T @ wide[1].reindex(wide[0].index).to_numpy()
+        rows, columns = np.meshgrid(wide[0].columns.to_numpy(), wide[1].columns.to_numpy(), indexing="ij")
+        out = pd.DataFrame({"a": rows.ravel(), "b": columns.ravel(), "s": sums.ravel()})
+        return out if i == j else pd.concat([out, out.rename(columns={"a": "b", "b": "a"})[["a", "b", "s"]]])
 
-    return left.unionByName(right).groupBy("_i", "_j").applyInPandas(product, f"a {kind}, b {kind}, s double")
+    tiles = dealt.groupBy("_i", "_j", "_slice").applyInPandas(product, f"a {kind}, b {kind}, s double")
+    return tiles.groupBy("a", "b").agg(F.sum("s").alias("s"))
 
 
 def shrunk_covariance(
-    returns: DataFrame, at: str = "period", code: str = "code", value: str = "r", blocks: int = 8
+    returns: DataFrame, at: str = "period", code: str = "code", value: str = "r", blocks: int = 8, span: int = SLICE
 ) -> DataFrame:
     """A4: Ledoit-Wolf covariance (scaled identity target) of the codes with a complete history.
 
-    ``returns`` has one row per (period, code) and is read several times, so give a stored table.
+    ``returns`` has one row per (period, code) and is read several times, so give a stored table.  The products are
+    written once; ``span`` is the number of periods that one task multiplies.
     """
     periods = returns.agg(F.countDistinct(at).alias("n")).scalar()
     complete = returns.groupBy(code).agg(F.count(value).alias("_n"), F.avg(value).alias("_m")).where(F.col("_n") == periods)
     x = returns.join(complete, code).select(at, code, (F.col(value) - F.col("_m")).alias("x"))
-    s = block_covariance(x, at, code, "x", blocks).withColumn("s", F.col("s") / periods)
+    product = block_covariance(x, at, code, "x", blocks, F.ceil(periods / span))
+    s = stored(product.withColumn("s", F.col("s") / periods), "products")
     traces = x.groupBy(at).agg(F.sum(F.col("x") * F.col("x")).alias("_q"))
     beta_sum = traces.agg(F.sum(F.col("_q") * F.col("_q")).alias("v")).scalar()
     n = F.col("n")

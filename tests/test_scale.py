@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from factorloom.operators import blocks
+from factorloom.operators.allocation import shrunk_covariance
 from factorloom.operators.ranks import quantile_table, value_table, with_average_rank
 from factorloom.plans import catalog_stream as cs
 from tests.conftest import SF
@@ -82,3 +83,24 @@ def test_blocks_refuse_what_they_cannot_answer(spark):
         with pytest.raises(ValueError):
             window()
     blocked.last(5)
+
+
+def test_covariance_tiles_and_period_slices(spark):
+    """Tiles of codes and slices of periods add up to the plain product; an incomplete code drops out."""
+    rng = np.random.default_rng(3)
+    values = rng.normal(size=(100, 13)) @ rng.normal(size=(13, 13))
+    rows = [(p, f"c{c:02d}", float(values[p, c])) for p in range(100) for c in range(13)] + [(5, "short", 1.0)]
+    returns = spark.createDataFrame(rows, "period int, code string, r double")
+    x = values - values.mean(axis=0)
+    s = x.T @ x / 100
+    mu = np.trace(s) / 13
+    delta = ((s - mu * np.eye(13)) ** 2).sum() / 13
+    beta = (((x**2).sum(axis=1) ** 2).sum() / 100 - (s**2).sum()) / (13 * 100)
+    w = min(beta, delta) / delta
+    want = (1 - w) * s + w * mu * np.eye(13)
+    for n, span in ((1, 1000), (3, 7), (20, 100)):
+        got = shrunk_covariance(returns, blocks=n, span=span).toPandas()
+        assert len(got) == 169
+        np.testing.assert_allclose(got.pivot(index="a", columns="b", values="covariance").to_numpy(), want, atol=1e-9)
+        np.testing.assert_allclose(got.shrinkage, w, atol=1e-9)
+    assert shrunk_covariance(returns.limit(0)).collect() == []
