@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -287,20 +288,54 @@ def leave_one_group_out(df: DataFrame, group: str, value: str) -> DataFrame:
     return out.withColumn("sign_flip", F.signum("overall") != F.signum("without"))
 
 
+def _without(x: np.ndarray, y: np.ndarray, dropped: np.ndarray, case: np.ndarray, cases: int) -> list[tuple[int, float | None]]:
+    """(rows, RankIC) of each case: rows ``dropped[case == k]`` left out, the others ranked again with averaged ties.
+
+    Ranks follow from the counts per distinct value less those left out, so a case costs no sort.
+    """
+    inv_x, inv_y = np.unique(x, return_inverse=True)[1], np.unique(y, return_inverse=True)[1]
+    count_x, count_y = np.bincount(inv_x), np.bincount(inv_y)
+    order = np.argsort(case, kind="stable")
+    ends = np.searchsorted(case[order], np.arange(cases + 1))
+    out = []
+    for k in range(cases):
+        gone = dropped[order[ends[k] : ends[k + 1]]]
+        m = len(x) - len(gone)
+        cx = count_x - np.bincount(inv_x[gone], minlength=len(count_x))
+        cy = count_y - np.bincount(inv_y[gone], minlength=len(count_y))
+        # average ranks less their mean (m + 1) / 2: small sums keep their digits
+        rx, ry = (np.cumsum(c) - (c - 1) / 2.0 - (m + 1) / 2.0 for c in (cx, cy))
+        vx, vy = float(cx @ (rx * rx)), float(cy @ (ry * ry))
+        cov = float(rx[inv_x] @ ry[inv_y] - rx[inv_x[gone]] @ ry[inv_y[gone]])
+        out.append((m, cov / math.sqrt(vx * vy) if vx > 1e-9 and vy > 1e-9 else None))
+    return out
+
+
 def deletion_rank_ic(df: DataFrame, scenarios: DataFrame, x: str, y: str, need: int = 10) -> DataFrame:
     """Mean daily RankIC per scenario after removing the scenario's codes and re-ranking.
 
-    ``scenarios`` lists (scenario, code) to remove; a NULL code removes nothing.  Every scenario
-    re-ranks its own rows inside (scenario, date).
+    ``scenarios`` lists (scenario, code) to remove; a NULL code removes nothing.  A row carries the numbers of the
+    scenarios that remove it, so rows are not copied per scenario; a task sees one date (at most one row per code) and
+    re-ranks it for all scenarios.
     """
-    names = scenarios.select("scenario").distinct()
+    labels = scenarios.agg(F.array_sort(F.collect_set("scenario")).alias("_all")).scalar()  # a short list
     valid = df.select("date", "code", x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    labels = names.agg(F.array_sort(F.collect_set("scenario")).alias("_all")).scalar()  # a short list
-    rows = valid.withColumn("scenario", F.explode(labels)).join(scenarios, ["scenario", "code"], "left_anti")
-    daily = cross_section_ic(rows, x, y, ("scenario", "date"), need)
-    return daily.groupBy("scenario").agg(
-        F.avg("rank_ic").alias("rank_ic"), F.count(F.lit(1)).alias("dates"), F.sum("n").alias("rows")
-    )
+    out_of = scenarios.where(F.col("code").isNotNull()).select("code", (F.array_position(labels, F.col("scenario")) - 1).cast("int").alias("_case"))
+    marked = valid.join(out_of.groupBy("code").agg(F.collect_set("_case").alias("_out")), "code", "left")
+    rows = marked.select("date", F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), "_out", F.size(labels).alias("_cases"))
+
+    def per_date(table: pa.Table) -> pa.Table:
+        x, y = (table.column(c).to_numpy() for c in ("_x", "_y"))
+        out = table.column("_out").combine_chunks()
+        dropped, case = (np.asarray(v.to_numpy(zero_copy_only=False), np.int64) for v in (pc.list_parent_indices(out), pc.list_flatten(out)))
+        found = _without(x, y, dropped, case, table.column("_cases")[0].as_py())
+        kept = [(k, n, ic) for k, (n, ic) in enumerate(found) if n >= need and ic is not None]
+        kinds = {"_case": pa.int32(), "n": pa.int64(), "rank_ic": pa.float64()}
+        return pa.table({name: pa.array([r[i] for r in kept], kind) for i, (name, kind) in enumerate(kinds.items())})
+
+    daily = rows.groupBy("date").applyInArrow(per_date, "_case int, n bigint, rank_ic double")
+    per = daily.groupBy("_case").agg(F.avg("rank_ic").alias("rank_ic"), F.count(F.lit(1)).alias("dates"), F.sum("n").alias("rows"))
+    return per.select(F.element_at(labels, F.col("_case") + 1).alias("scenario"), "rank_ic", "dates", "rows")
 
 
 def _above(qx: np.ndarray, qy: np.ndarray, px: np.ndarray, py: np.ndarray) -> np.ndarray:

@@ -97,6 +97,25 @@ def test_many_targets_draw_in_tasks_of_one_industry(spark):
     assert "ArrayType" not in str(plan._jdf.queryExecution().analyzed().schema()) and "targets" not in plan._jdf.queryExecution().analyzed().toString()
 
 
+def test_deleted_codes_are_ranked_out_without_copies(spark):
+    rng = random.Random(12)
+    rows = [(date(2020, 1, 1 + d), c, float(rng.randrange(9)), rng.choice([None, 1.0, 2.0, 5.0, 8.5, 9.0])) for d in range(5) for c in range(30)]
+    df = spark.createDataFrame(rows, "date date, code long, x double, y double")
+    gone = {"all": [], "few": [3, 4, 3], "most": list(range(19)), "none_left": list(range(30))}
+    cases = [(s, c) for s, cs in gone.items() for c in (cs or [None])]
+    plan = ev.deletion_rank_ic(df, spark.createDataFrame(cases, "scenario string, code long"), "x", "y", need=6)
+    got = {r["scenario"]: (r["dates"], r["rows"], r["rank_ic"]) for r in plan.collect()}
+    frame = df.toPandas().dropna()
+    for name, codes in gone.items():
+        daily = [(len(p), plain_ic(p.x, p.y)) for _, p in frame[~frame.code.isin(codes)].groupby("date")]
+        daily = [(n, ic) for n, ic in daily if n >= 6 and not np.isnan(ic)]
+        assert (name in got) == bool(daily)
+        if daily:
+            assert got[name][:2] == (len(daily), sum(n for n, _ in daily)) and abs(got[name][2] - np.mean([ic for _, ic in daily])) < 1e-9
+    # every scenario used to copy all rows before the ranks
+    assert "explode" not in plan._jdf.queryExecution().analyzed().toString()
+
+
 def test_pruning_rounds(spark):
     rng = random.Random(6)
     scores = [(f"c{i:02}", rng.randrange(40) / 20) for i in range(40)]
