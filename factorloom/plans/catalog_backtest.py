@@ -66,8 +66,9 @@ def malformed(spark, sf_dir):
     "U2_X21_restricted_formula",
     "code:s ts:t factor:d available:t",
     f"""WITH {BARS_SQL}, leaf AS (SELECT code, ts, volume >= 2 AS member,
-      CASE WHEN volume >= 2 AND volume % 5 <> 0 THEN close END AS a,
-      CASE WHEN volume >= 2 THEN open - 1 END AS b, ts + to_minutes(CAST(volume AS BIGINT)) AS seen FROM bars),
+      CASE WHEN volume >= 2 AND volume % 5 <> 0 AND seen <= cutoff THEN close END AS a,
+      CASE WHEN volume >= 2 AND seen <= cutoff THEN open - 1 END AS b, seen
+      FROM (SELECT *, ts + to_minutes(CAST(volume AS BIGINT)) AS seen, ts + INTERVAL 59 MINUTE AS cutoff FROM bars)),
     div AS (SELECT *, CASE WHEN b <> 0 THEN a / b END AS q FROM leaf),
     ranked AS (SELECT *, CASE WHEN q IS NOT NULL THEN (rank() OVER (PARTITION BY ts ORDER BY q NULLS LAST)
       + (count(*) OVER (PARTITION BY ts, q) - 1) / 2.0) / count(q) OVER (PARTITION BY ts) END AS r,
@@ -75,6 +76,7 @@ def malformed(spark, sf_dir):
     SELECT code, ts, r * abs(b) AS factor, CASE WHEN r IS NOT NULL THEN top END AS available FROM ranked""",
 )
 def restricted(spark, sf_dir):
+    """A bar of n ticks is known n minutes after it opens, its close not at all if 5 divides n; what is not known 59 minutes after the open is missing."""
     bars = bars_hourly(spark, sf_dir).select(
         "code", "ts", F.col("close").alias("a"), (F.col("open") - 1).alias("b"), (F.col("volume") >= 2).alias("member"),
         F.expr("ts + make_interval(0, 0, 0, 0, 0, int(volume), 0)").alias("at"),
