@@ -5,6 +5,9 @@ table costs one shuffle and one sort: (1) values that need the previous rows, (2
 statistics, (3) statistics of statistics, (4) one Arrow pass for the rolling robust norm.
 Exponential averages join between (2) and (3).  Cross-section features come last.
 Only the columns that the requested features need are computed: Catalyst prunes the rest.
+
+Values that are not finite (a close of 0 has the log return -inf) pass through the windows and become 0 where a feature
+leaves: before the norm, or at the end.
 """
 
 from __future__ import annotations
@@ -87,7 +90,9 @@ def _ln_ratio(a: Column, b: Column) -> Column:
 def _lagged(s: Series) -> Steps:
     o, h, l, c, v = _ohlcv()
     def back(k: int) -> Column:
-        return F.coalesce(F.log(c / (s.lag("close", k) + EPS)), F.lit(0.0))
+        # Spark's log has no value at or below 0: a close of 0 is -inf, as in IEEE, and spoils the windows that hold it
+        ratio = c / (s.lag("close", k) + EPS)
+        return F.when(ratio == 0, float("-inf")).when(ratio < 0, float("nan")).otherwise(F.coalesce(F.log(ratio), F.lit(0.0)))
 
     return {
         "rn": lambda: s.position(),
@@ -151,7 +156,9 @@ def _midpoint_dev(s: Series, d: int) -> Column:
 
 
 def _autocorr(s: Series, other: str) -> Column:
-    return clamp(s.pcov(other, "r", 20) / (s.pstd(other, 20) * s.pstd("r", 20) + 1e-8), -1.0, 1.0)
+    value = s.pcov(other, "r", 20) / (s.pstd(other, 20) * s.pstd("r", 20) + 1e-8)
+    # least() and greatest() would turn NaN into a bound
+    return F.when(F.isnan(s.pstd(other, 20)) | F.isnan(s.pstd("r", 20)), float("nan")).otherwise(clamp(value, -1.0, 1.0))
 
 
 def _aroon(s: Series) -> Column:
@@ -274,7 +281,7 @@ def _hurst() -> Column:
     reach = path["top"] - path["low"]
     flat = (reach < EPS) | (F.col("r_std") < EPS)
     exponent = clamp(F.log(F.greatest(reach, F.lit(0.0)) / (F.col("r_std") + EPS) + EPS) / math.log(50.0), 0.0, 1.0)
-    return F.when(flat, 0.5).otherwise(exponent) * 2.0 - 1.0
+    return F.when(F.isnan("r_std"), float("nan")).when(flat, 0.5).otherwise(exponent) * 2.0 - 1.0
 
 
 def _trend_strength() -> Column:

@@ -245,8 +245,11 @@ def norm_ctes(name: str, source: str, columns: dict[str, str], warm_zero: bool =
     ]
 
 
-def feature_ctes(names: list[str]) -> tuple[list[str], str]:
-    """CTEs that end in a relation with ``code, ts`` and the features ``f_<name>``."""
+def feature_ctes(names: list[str], cleaned: bool = False) -> tuple[list[str], str]:
+    """CTEs that end in a relation with ``code, ts`` and the features ``f_<name>``.
+
+    ``cleaned`` states the rule for closes of 0 too: what is not finite becomes 0 where a feature leaves.
+    """
     inputs = dict.fromkeys([*names, *(CROSS[n] for n in names if CROSS.get(n))])
     if "PV_CORR" in inputs:
         inputs.update({"RET": None, "VOL_RATIO": None})
@@ -255,8 +258,14 @@ def feature_ctes(names: list[str]) -> tuple[list[str], str]:
     reach = 5 if "TRIX_SIGNAL" in inputs else 4
     for i, exprs in enumerate([FIRST, SECOND, THIRD, FOURTH, FIFTH][:reach], start=1):
         part = {n: e for n, e in exprs.items() if n in inputs or not n.isupper() or n == "TRIX_15"}
+        if cleaned and "HURST_50" in part:
+            part["HURST_50"] = f"CASE WHEN isfinite(list_sum([r:50])) THEN {part['HURST_50']} ELSE 0.0 END"
         ctes += _step(f"s{i}", source, part)
         source = f"s{i}"
+    if cleaned:
+        kept = ", ".join(f"CASE WHEN isfinite({n}) THEN {n} ELSE 0.0 END AS {n}" for n in inputs if n in NORMED)
+        ctes.append(f"cl AS (SELECT * REPLACE ({kept}) FROM {source})")
+        source = "cl"
     normed = {f"f_{n}": n for n in inputs if n in NORMED}
     if "CS_ZSCORE_RET20" in inputs:
         normed["f_CS_ZSCORE_RET20"] = "CS_ZSCORE_RET20"
@@ -292,8 +301,8 @@ ALIGNED_SQL = """src AS (
 PLAIN_SQL = "src AS (SELECT * FROM bars)"
 
 
-def feature_sql(names: list[str], aligned: bool) -> str:
-    ctes, source = feature_ctes(names)
+def feature_sql(names: list[str], aligned: bool, cleaned: bool = False) -> str:
+    ctes, source = feature_ctes(names, cleaned)
     outputs = ", ".join(f"{final_name(n)} AS {n.lower()}" for n in names)
     body = ",\n".join([BARS_SQL, ALIGNED_SQL if aligned else PLAIN_SQL, *ctes])
     return f"WITH {body}\nSELECT code, ts, {outputs} FROM {source}"

@@ -194,7 +194,7 @@ def minute_features(spark, sf_dir, halo=500, block_rows=1000):
 @query(
     "F_minute_features_in_blocks",
     "code:s ts:t " + " ".join(f"{n.lower()}:d" for n in _MINUTE),
-    feature_sql(_MINUTE, False).replace("date_trunc('hour', ts)", "date_trunc('minute', ts)"),
+    feature_sql(_MINUTE, False, cleaned=True).replace("date_trunc('hour', ts)", "date_trunc('minute', ts)"),
 )
 def minute_query(spark, sf_dir):
     return minute_features(spark, sf_dir).withColumnsRenamed({n: n.lower() for n in _MINUTE})
