@@ -13,6 +13,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factorloom.session import stored
+
 RANGES = 64
 
 
@@ -24,6 +26,8 @@ def value_table(df: DataFrame, by: Sequence[str], value: str, ranges: int = RANG
     edges = counts.groupBy(*by).agg(
         F.percentile_approx(value, cuts, 1000).alias("_edges"), F.sum("n").alias("total")
     )
+    # approximate quantiles depend on the order in which partitions meet: both readers below need the same ranges
+    edges = stored(edges, "edges")
     placed = counts.join(edges, list(by)).withColumn("_range", F.size(F.filter("_edges", lambda e: e < F.col(value))))
     totals = placed.groupBy(*by, "_range").agg(F.sum("n").alias("_in"))
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

@@ -572,16 +572,18 @@ def v26(spark, sf_dir):
     return df.withColumn("residual", F.abs(F.col("gross_alpha") + F.col("cost_reduction") - F.col("net_delta")))
 
 
-#: Rounds of the boosted trees and folds of the split.
+#: Rounds of the boosted trees, folds of the split and bins of a feature (that of Spark's trees).
 ROUNDS = 60
 FOLDS = 5
+BINS = 32
 
 
 @query("V27_model_increment", "fold:i baseline_ic:d with_candidate_ic:d delta:d")
 def v27(spark, sf_dir):
     """Boosted trees per fold with and without the candidate on the same rows; mean daily RankIC delta.
 
-    The panel is monthly, so purge, embargo and holdout are months; models fit side by side.
+    The panel is monthly, so purge, embargo and holdout are months; models fit side by side.  Trees see features as
+    bins: all rows are counted into cells of bins, and the models learn from the weighted cells (``ev.binned``).
     """
     from multiprocessing.pool import ThreadPool
 
@@ -590,24 +592,35 @@ def v27(spark, sf_dir):
 
     rows = checkpointed(paired(spark, sf_dir))
     split = lb.purged_split(rows, folds=FOLDS, holdout_min=6, holdout_years=0, purge=3, embargo=1)
-    rows = checkpointed(rows.join(split.where(F.col("role").isin("train", "validation")), "date"))
+    rows = rows.join(split.where(F.col("role").isin("train", "validation")), "date")
     base, extended = ["REV_5", "amount"], ["REV_5", "amount", "MOM_20"]
+    rows = stored(ev.binned(rows, ["fold"], extended, F.col("role") == "train", BINS))
+    # at most BINS ** 3 cells a fold, however many rows
+    cells = stored(ev.cells(rows.where(F.col("role") == "train"), ["fold"], extended, "target").coalesce(FOLDS))
+    seen = stored(rows.where(F.col("role") == "validation").select("fold", *[f"b_{c}" for c in extended]).distinct().coalesce(FOLDS))
 
     def scored(job):
         fold, name, columns = job
-        here = VectorAssembler(inputCols=columns, outputCol="features").transform(rows.where(F.col("fold") == fold))
-        trees = GBTRegressor(labelCol="target", featuresCol="features", maxIter=ROUNDS, maxDepth=3, seed=1)
-        model = trees.fit(here.where(F.col("role") == "train"))
-        found = ev.cross_section_ic(model.transform(here.where(F.col("role") == "validation")), "prediction", "target")
-        return found.agg(F.avg("rank_ic").alias(name)).withColumn("fold", F.lit(fold))
+        bins = [f"b_{c}" for c in columns]
+        table = cells.where(F.col("fold") == fold)
+        merged = table if columns == extended else ev.merged_cells(table, bins)
+        assembler = VectorAssembler(inputCols=bins, outputCol="features")
+        trees = GBTRegressor(labelCol="mean", weightCol="n", featuresCol="features", maxIter=ROUNDS, maxDepth=3, maxBins=BINS, seed=1)
+        model = trees.fit(assembler.transform(merged.coalesce(1)).select("features", "mean", "n"))
+        answers = assembler.transform(seen.where(F.col("fold") == fold).select("fold", *bins).distinct())
+        return model.transform(answers).select("fold", *bins, F.col("prediction").alias(name))
 
     jobs = [(k, name, columns) for k in range(FOLDS) for name, columns in (("baseline_ic", base), ("with_candidate_ic", extended))]
     with ThreadPool(4) as pool:
         tables = pool.map(scored, jobs)
     out = None
-    for without, joint in zip(tables[::2], tables[1::2]):
-        part = without.join(joint, "fold")
-        out = part if out is None else out.unionByName(part)
+    for which, name, columns in ((0, "baseline_ic", base), (1, "with_candidate_ic", extended)):
+        predictions = None
+        for part in tables[which::2]:
+            predictions = part if predictions is None else predictions.unionByName(part)
+        here = rows.where(F.col("role") == "validation").join(stored(predictions), ["fold", *[f"b_{c}" for c in columns]])
+        found = ev.cross_section_ic(here, name, "target", ("fold", "date")).groupBy("fold").agg(F.avg("rank_ic").alias(name))
+        out = found if out is None else out.join(found, "fold")
     return out.withColumn("delta", F.col("with_candidate_ic") - F.col("baseline_ic"))
 
 

@@ -10,6 +10,7 @@ from factorloom.operators import blocks
 from factorloom.operators.allocation import shrunk_covariance
 from factorloom.operators.ranks import quantile_table, value_table, with_average_rank
 from factorloom.plans import catalog_stream as cs
+from factorloom.session import checkpointed
 from tests.conftest import SF
 
 
@@ -104,3 +105,43 @@ def test_covariance_tiles_and_period_slices(spark):
         np.testing.assert_allclose(got.pivot(index="a", columns="b", values="covariance").to_numpy(), want, atol=1e-9)
         np.testing.assert_allclose(got.shrinkage, w, atol=1e-9)
     assert shrunk_covariance(returns.limit(0)).collect() == []
+
+
+def test_bins_and_cells_stand_for_the_rows(spark):
+    """Edges lie halfway between the neighbours at k * rows / bins; trees on weighted cells are the trees on binned rows."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    from factorloom.operators import evaluate as ev
+
+    rng = np.random.default_rng(6)
+    n = 6000
+    pdf = pd.DataFrame({"fold": np.arange(n) % 2, "a": rng.normal(size=n), "b": rng.normal(size=n), "learn": rng.random(n) < 0.7})
+    pdf["y"] = np.sin(pdf.a * 2) + pdf.b * (pdf.a > 0) + rng.normal(size=n)
+    rows = checkpointed(ev.binned(spark.createDataFrame(pdf).repartition(16), ["fold"], ["a", "b"], F.col("learn"), 8))
+    got = rows.toPandas()
+    assert len(got) == n
+    for (fold, name) in ((0, "a"), (1, "a"), (0, "b"), (1, "b")):
+        part = got[got.fold == fold]
+        x = np.sort(part[part.learn][name].to_numpy())
+        at = np.floor(np.arange(1, 8) * len(x) / 8 + 0.5).astype(int)
+        edges = (x[at - 1] + x[at]) / 2
+        assert (part[f"b_{name}"].to_numpy() == np.searchsorted(edges, part[name].to_numpy(), "left")).all()
+    assemble = VectorAssembler(inputCols=["b_a", "b_b"], outputCol="features").transform
+    trees = dict(featuresCol="features", maxIter=4, maxDepth=3, seed=1)
+    train = assemble(rows.where("learn and fold = 0"))
+    cells = assemble(ev.cells(rows.where("learn"), ["fold"], ["a", "b"], "y").where("fold = 0"))
+    assert cells.count() <= 64
+    plain = GBTRegressor(labelCol="y", **trees).fit(train)
+    small = GBTRegressor(labelCol="mean", weightCol="n", **trees).fit(cells)
+    both = [[r["prediction"] for r in m.transform(cells).orderBy("b_a", "b_b").collect()] for m in (plain, small)]
+    np.testing.assert_allclose(both[0], both[1], atol=1e-9)
+
+
+def test_ranks_of_many_partitions_are_gapless(spark):
+    """The ranges of a group are the same wherever they are read."""
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"g": np.arange(20_000) % 3, "x": rng.normal(size=20_000)})
+    table = value_table(spark.createDataFrame(pdf).repartition(40), ["g"], "x").toPandas()
+    for _, part in table.groupby("g"):
+        assert (part.sort_values("x").start.to_numpy() == np.arange(len(part))).all()
