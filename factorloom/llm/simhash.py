@@ -10,9 +10,10 @@ BLOCK nodes; a key with more members is dealt out by pairs of blocks, so a task
 more than two blocks.  A block returns a spanning forest of its links, never all pairs.
 
 The pipeline's stage (``drop_near``) has another rule: Jaccard similarity of at least SIMILAR on the distinct shingles of
-STAGE_SHINGLE words.  Such pairs differ in about 10 of 64 bits, and a bound of 16 bits leaves segments of 7 bits, whose keys
-gather 1/64 of all documents each.  So its candidates come from bands of min-hashes of the same shingles; every link is then
-verified on the whole sets of shingles before the components.
+STAGE_SHINGLE words.  Its SimHash of those shingles goes through the same variant keys and links; fingerprints within
+MAX_BITS are candidates.  Pairs at SIMILAR differ in about 10 of 64 bits, and a bound of 16 bits leaves segments of 7 bits,
+whose keys gather 1/64 of all documents each: the pairs that SimHash keys cannot reach are candidates by bands of
+min-hashes of the same shingles.  Every candidate of either kind is verified on the whole sets of shingles before the components.
 
 Defined results.  NULL, empty and blank texts have fingerprint zero and are linked like any other.  Repeated rows
 are reported as often as they come.  NULL doc_id: the component_id is the smallest id that is not NULL.  An
@@ -64,8 +65,12 @@ def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> list[int]:
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """Unsigned 64-bit SimHash of the word shingles (repeats count) of one text."""
-    hashes = shingle_hashes(text, shingle)
-    if not hashes:
+    return print_of(shingle_hashes(text, shingle))
+
+
+def print_of(hashes) -> int:
+    """Unsigned 64-bit SimHash of hashes; 0 if there are none."""
+    if not len(hashes):
         return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), CHUNK):
@@ -200,20 +205,35 @@ def similar_links(sets: list[np.ndarray], similar: float = SIMILAR) -> list[tupl
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """(doc_id, body, node, bands): hash of the text, digest of its shingle set, band keys; one row per input row."""
+    """(doc_id, body, node, fp, bands): hash of the text, digest of its shingle set, SimHash, band keys; one row per input row."""
     rows = pick(docs, doc_id="doc_id", text="text").withColumn("body", F.xxhash64("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(ids: list, texts: list, bodies: list) -> Iterable[tuple]:
         for doc_id, text, body in zip(ids, texts, bodies):
-            own = shingle_set(text)
-            yield doc_id, body, _digest(own), band_keys(own)
+            hashes = shingle_hashes(text, STAGE_SHINGLE)
+            own = np.unique(np.array(hashes, np.uint64))
+            # of the distinct shingles: one fingerprint a node
+            yield doc_id, body, _digest(own), _signed(print_of(own)), band_keys(own)
+
+    return map_rows(rows, run, f"doc_id {kind}, body bigint, node bigint, fp bigint, bands array<bigint>")
+
+
+def near_prints(nodes: DataFrame) -> DataFrame:
+    """(members): pairs of nodes (node, fp) whose fingerprints link within MAX_BITS, as sorted lists of two.
 
-    return map_rows(rows, run, f"doc_id {kind}, body bigint, node bigint, bands array<bigint>")
+    Nodes of one fingerprint all meet the smallest of them, which stands for the fingerprint in its links.
+    """
+    heads = stored(nodes.groupBy("fp").agg(F.min("node").alias("head")), "heads")
+    equal = nodes.select("fp", "node").join(heads, "fp").where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    links = near_links(heads.select("fp"))
+    ends = links.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b")
+    pairs = equal.unionByName(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    return pairs.select(F.array_sort(F.array("a", "b")).alias("members"))
 
 
 def verified_links(docs: DataFrame, nodes: DataFrame, block: int = MEMBERS) -> DataFrame:
-    """(a, b) links that connect the nodes (node, body, bands) which share a band and are similar by their shingles."""
+    """(a, b) links that connect the nodes (node, body, fp, bands) which link by SimHash or share a band and are similar by their shingles."""
     keyed = nodes.select("node", F.posexplode("bands").alias("slot", "value"))
     key = Window.partitionBy("slot", "value")
     shared = (
@@ -224,7 +244,8 @@ def verified_links(docs: DataFrame, nodes: DataFrame, block: int = MEMBERS) -> D
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = shared.withColumn("other", others).where("blocks = 1 or mine != other").select("slot", "value", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node")
     # bands mostly gather the same nodes: one comparison for equal lists
-    lists = dealt.groupBy("slot", "value", "i", "j").agg(F.array_sort(F.collect_list("node")).alias("members")).select("members").distinct()
+    lists = dealt.groupBy("slot", "value", "i", "j").agg(F.array_sort(F.collect_list("node")).alias("members")).select("members")
+    lists = near_prints(nodes).unionByName(lists).distinct()
     members = stored(lists.select(F.xxhash64("members").alias("task"), F.explode("members").alias("node")), "members")
     bodies = members.select("node").distinct().join(nodes.select("node", "body"), "node").select(F.col("body").alias("wanted")).distinct()
     texts = pick(docs, text="text").withColumn("body", F.xxhash64("text"))
@@ -249,7 +270,7 @@ def verified_links(docs: DataFrame, nodes: DataFrame, block: int = MEMBERS) -> D
 def similar_documents(docs: DataFrame, block: int = MEMBERS) -> DataFrame:
     """One row per document: doc_id, component_id (smallest id reachable by links of similarity SIMILAR)."""
     prints = stored(profiles(docs), "profiles")
-    nodes = stored(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("body").alias("body"), F.first("bands").alias("bands")), "nodes")
+    nodes = stored(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("body").alias("body"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "nodes")
     roots = components(verified_links(docs, nodes, block))
     placed = nodes.select(F.col("node").alias("own"), "least").join(roots, F.col("own") == F.col("node"), "left").select("own", F.coalesce("root", "own").alias("root"), "least")
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))

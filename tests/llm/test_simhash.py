@@ -105,3 +105,25 @@ def test_stage_removes_copies_from_similarity_08_on(spark):
     hot = [(i, " ".join(base[:i] + [f"y{i}"] + base[i + 1 :])) for i in range(60)]
     got = simhash.similar_documents(spark.createDataFrame(hot, "doc_id long, text string"), block=7).collect()
     assert {r["component_id"] for r in got} == {0} and len(got) == 60
+
+
+def test_stage_takes_candidates_from_its_simhash(spark):
+    """Pairs within MAX_BITS of the stage's fingerprints become links even if no band of min-hashes is shared; each is verified."""
+    rng = random.Random(5)
+    texts, kept = {}, 0
+    while kept < 30:
+        words = [f"w{rng.randrange(9_000)}" for _ in range(400)]
+        other = list(words)
+        other[rng.randrange(400)] = "changed"
+        a, b = (simhash.print_of(simhash.shingle_set(" ".join(x))) for x in (words, other))
+        if (a ^ b).bit_count() <= simhash.MAX_BITS:
+            texts |= {2 * kept: " ".join(words), 2 * kept + 1: " ".join(other)}
+            kept += 1
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    profiles = simhash.profiles(docs).toPandas().set_index("doc_id")
+    nodes = spark.createDataFrame([(int(p.node), int(p.body), int(p.fp), []) for p in profiles.itertuples()], "node long, body long, fp long, bands array<long>")
+    ends = {frozenset((r["a"], r["b"])) for r in simhash.verified_links(docs, nodes).collect()}
+    assert ends == {frozenset((int(profiles.node[2 * i]), int(profiles.node[2 * i + 1]))) for i in range(30)}
+    # within the bits but not similar: a candidate, no link
+    lone = spark.createDataFrame([(int(profiles.node[0]), int(profiles.body[0]), 7, []), (int(profiles.node[2]), int(profiles.body[2]), 6, [])], nodes.schema)
+    assert simhash.near_prints(lone).count() == 1 and simhash.verified_links(docs, lone).count() == 0
