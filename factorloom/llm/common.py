@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import ctypes
+import re
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +18,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 OUT_ROWS = 20_000
 #: Bytes of an incoming batch that are Python objects at one time (a single longer row is one slice).
 SLICE_BYTES = 4 << 20
+#: By whether digits belong to words: what becomes a blank beyond ASCII, and ASCII as it is kept (bytes of other characters stay).
+_BLANKED = {False: re.compile(r"[^\x00-\x7f\w]|(?![0-9])\d"), True: re.compile(r"[^\x00-\x7f\w]")}
+_KEPT = {digits: bytes(c if c > 127 or chr(c).isalpha() or (digits and chr(c).isdigit()) else 32 for c in range(256)) for digits in (False, True)}
 
 
 def pick(df: DataFrame, **named: str) -> DataFrame:
@@ -70,6 +76,26 @@ def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[list[list]]:
             yield [column.to_pylist() for column in batch.slice(at, rows).columns]
 
 
+def spaced(text: str | None, digits: bool) -> bytes | None:
+    """The lower-case words of a text with blanks between them, None if it has none."""
+    low = (text or "").lower()
+    if not low.isascii():
+        low = _BLANKED[digits].sub(" ", low)
+    return low.encode().translate(_KEPT[digits]).strip() or None
+
+
+def word_numbers(texts: list[str | None], digits: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lower-case words of a slice of texts: their numbers in order, how many each text has, and the words by number.
+
+    The words that findall of [^\\W\\d_]+ (with ``digits`` of [^\\W_]+) gives; Arrow splits and numbers them, so
+    only distinct words become Python objects.
+    """
+    lists = pc.ascii_split_whitespace(pa.array([spaced(text, digits) for text in texts], pa.string()))
+    coded = lists.flatten().dictionary_encode()
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    return coded.indices.to_numpy(), sizes, coded.dictionary.to_numpy(zero_copy_only=False)
+
+
 def release() -> None:
     """Give back what a finished task freed: a reused worker otherwise keeps its peak for the next stage."""
     pa.default_memory_pool().release_unused()

@@ -20,7 +20,6 @@ tables give no rows.  Extra columns are ignored; texts are read whole.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
 
 import numpy as np
@@ -28,24 +27,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import keep_rows, map_rows, pick
+from factorloom.llm.common import keep_rows, map_rows, pick, word_numbers
 from factorloom.session import stored
 
 WINDOW, NEED, MIN_WORDS = 13, 11, 5
 #: The set places of each mask (fixed values).
 MASKS = ((0, 1, 2, 6, 9, 10), (0, 1, 4, 5, 6, 7))
 BITMAP = 1 << 23
-#: Documents' words handled at a time.
-CHUNK = 1 << 19
-WORD = re.compile(r"[^\W_]+")
 #: What stands beyond the ends of a document and of an item: never equal to each other or to a word.
 NO_WORD, NO_ITEM = 0, 1
 
 
-def words_of(text: str | None) -> list[int]:
-    """32-bit hashes (2 and above) of the words of a text."""
-    digest = xxhash.xxh32_intdigest
-    return [h if (h := digest(w)) > 1 else h + 2 for w in WORD.findall((text or "").lower())]
+def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes (2 and above) of the words of texts, one text after the other, and how many each text has."""
+    numbers, sizes, words = word_numbers(texts, digits=True)
+    hashes = np.fromiter(map(xxhash.xxh32_intdigest, words), np.uint32, len(words))
+    hashes[hashes < 2] += 2
+    return hashes[numbers], sizes
 
 
 def seed_keys(words: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
@@ -74,7 +72,7 @@ def item_seeds(benchmark: DataFrame) -> DataFrame:
 
     def run(ids: list, texts: list) -> Iterable[tuple]:
         for item, text in zip(ids, texts):
-            words = np.array(words_of(text), np.uint32)
+            words, _ = words_of([text])
             short = MIN_WORDS <= len(words) < WINDOW
             masks = [tuple(range(len(words)))] if short else MASKS if len(words) >= WINDOW else []
             for mask in masks:
@@ -113,27 +111,19 @@ def hits(docs: DataFrame, bitmap: np.ndarray, lengths: list[int]) -> DataFrame:
             opened.append(np.unpackbits(np.frombuffer(sent.value, np.uint8), bitorder="little"))
         bits = opened[0]
         low = np.uint64(BITMAP - 1)
-        at = 0
-        while at < len(ids):
-            parts, owners, size = [], [], 0
-            while at < len(ids) and (not parts or size < CHUNK):
-                parts.append(words_of(texts[at]))
-                owners.append(ids[at])
-                size += len(parts[-1])
-                at += 1
-            words = np.array([w for p in parts for w in p], np.uint32)
-            ends = np.cumsum([len(p) for p in parts])
-            for mask, whole in masks:
-                keys = seed_keys(words, mask)
-                places = np.flatnonzero(bits[keys & low])
-                places = places[bits[(keys[places] >> np.uint64(23)) & low] == 1]
-                doc = np.searchsorted(ends, places, side="right")
-                for place, d in zip(places.tolist(), doc.tolist()):
-                    if place + mask[-1] >= ends[d]:  # the mask reaches into the next document
-                        continue
-                    first = int(ends[d]) - len(parts[d])
-                    own = words[first : int(ends[d])]
-                    yield int(keys[place].view(np.int64)), whole, owners[d], place - first, context(own, place - first, NO_WORD)
+        words, sizes = words_of(texts)
+        ends = np.cumsum(sizes)
+        for mask, whole in masks:
+            keys = seed_keys(words, mask)
+            places = np.flatnonzero(bits[keys & low])
+            places = places[bits[(keys[places] >> np.uint64(23)) & low] == 1]
+            doc = np.searchsorted(ends, places, side="right")
+            for place, d in zip(places.tolist(), doc.tolist()):
+                if place + mask[-1] >= ends[d]:  # the mask reaches into the next document
+                    continue
+                first = int(ends[d] - sizes[d])
+                own = words[first : int(ends[d])]
+                yield int(keys[place].view(np.int64)), whole, ids[d], place - first, context(own, place - first, NO_WORD)
 
     return map_rows(rows, run, f"key bigint, whole int, doc_id {kind}, pos bigint, around binary")
 

@@ -16,11 +16,11 @@ are ignored; texts of any length are encoded whole.
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -60,8 +60,13 @@ class OpenWindows:
         return number, self.size - room
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, open_windows: int = OPEN, end_id: int = END_ID) -> DataFrame:
-    """Pieces: doc_id, start, length, doc_tokens, ids (little-endian uint32 bytes), sequence_id, offset."""
+def pack(
+    docs: DataFrame, tokenizer: str, window: int = WINDOW, open_windows: int = OPEN, end_id: int = END_ID, of_ids: Callable[[Column], Column] = lambda ids: ids
+) -> DataFrame:
+    """Pieces: doc_id, start, length, doc_tokens, ids (little-endian uint32 bytes), sequence_id, offset.
+
+    ``of_ids``: what is written of the ids and stands in their column.
+    """
     rows = pick(docs, doc_id="doc_id", text="text")
     kind = rows.schema["doc_id"].dataType.simpleString()
     struct = T.StructType.fromDDL(f"doc_id {kind}, start bigint, length bigint, doc_tokens bigint, ids binary, seq bigint, offset bigint, room bigint")
@@ -91,7 +96,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, open_windows: in
             yield as_batch(out, arrow)
         release()
 
-    packed = stored(rows.mapInArrow(run, struct), "packed")
+    packed = stored(rows.mapInArrow(run, struct).withColumn("ids", of_ids(F.col("ids"))), "packed")
     moved = stored(merged(packed.where("room is not null").select("seq", "room"), window), "moved")
     pieces = packed.where("room is null").drop("room").join(moved.withColumnRenamed("seq", "old"), F.col("seq") == F.col("old"), "left")
     return pieces.select(

@@ -23,6 +23,7 @@ empty table gives no rows; extra columns are ignored; texts of any length are re
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import repeat
 
 import numpy as np
 import xxhash
@@ -43,6 +44,8 @@ CHUNK = 1 << 16
 STAGE_SHINGLE, SIMILAR = 5, 0.8
 #: A pair at 0.8 misses all bands with chance (1 - 0.8 ** 6) ** 32 = 6e-5.
 BANDS, BAND_ROWS = 32, 6
+#: Sets whose min-hashes are computed together.
+TOGETHER = 32
 #: Documents of a task are at most two blocks of so many.
 MEMBERS = 128
 _draw = np.random.default_rng(SEED)
@@ -50,17 +53,12 @@ MIX = _draw.integers(0, 1 << 64, BANDS * BAND_ROWS, np.uint64) | np.uint64(1)
 FLIP = _draw.integers(0, 1 << 64, BANDS * BAND_ROWS, np.uint64)
 
 
-def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> list[int]:
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     """XXH64 of the word shingles of one text, in order and with repeats; a shorter text is one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return []
-    body = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = np.concatenate(([0], ends[:-1]))
     size = min(shingle, len(words))
-    digest = xxhash.xxh64_intdigest
-    return [digest(body[s:e], SEED) for s, e in zip(starts[: len(words) - size + 1].tolist(), (ends[size - 1 :] - 1).tolist())]
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(size))))
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64)
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -68,14 +66,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return print_of(shingle_hashes(text, shingle))
 
 
-def print_of(hashes) -> int:
+def print_of(hashes: np.ndarray) -> int:
     """Unsigned 64-bit SimHash of hashes; 0 if there are none."""
     if not len(hashes):
         return 0
-    ones = np.zeros(64, np.int64)
+    ones = np.zeros(64)
     for at in range(0, len(hashes), CHUNK):
-        part = np.array(hashes[at : at + CHUNK], dtype=">u8")
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        part = hashes[at : at + CHUNK].astype(">u8")
+        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1)
+        ones += np.ones(len(part), np.float32) @ bits.astype(np.float32)  # exact: a chunk's sums fit into the 24 bits of a float
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
@@ -129,7 +128,7 @@ def forest(members: np.ndarray, bits: int) -> list[tuple[int, int]]:
 def near_links(nodes: DataFrame, bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
     """(a, b) links that connect exactly the fingerprints (column fp, distinct) within ``bits`` bits."""
     keyed = nodes.select("fp", F.explode(variant_keys(F.col("fp"), bits)).alias("k")).select("k.slot", "k.value", "fp")
-    key = Window.partitionBy("slot", "value")
+    key = Window.partitionBy("value", "slot")  # the sort compares by the first column, and slots are few
     shared = (
         keyed.withColumn("n", F.count(F.lit(1)).over(key)).where("n > 1")
         .withColumn("mine", F.floor((F.row_number().over(key.orderBy("fp")) - 1) / block).cast("int"))
@@ -165,21 +164,29 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = MAX_BIT
 
 def shingle_set(text: str | None) -> np.ndarray:
     """The distinct shingles of STAGE_SHINGLE words as sorted hashes."""
-    return np.unique(np.array(shingle_hashes(text, STAGE_SHINGLE), np.uint64))
+    return np.unique(shingle_hashes(text, STAGE_SHINGLE))
 
 
 def _digest(values: np.ndarray) -> int:
     return _signed(xxhash.xxh64_intdigest(values.tobytes(), SEED)) if len(values) else 0
 
 
-def band_keys(own: np.ndarray) -> list[int]:
-    """BANDS keys of BAND_ROWS smallest hashes each: sets of Jaccard s share a given key with chance s ** BAND_ROWS."""
-    if not len(own):
-        return []
-    least = np.full(len(MIX), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(own), 1024):
-        least = np.minimum(least, ((own[None, at : at + 1024] ^ FLIP[:, None]) * MIX[:, None]).min(axis=1))
-    return [_digest(part) for part in least.reshape(BANDS, BAND_ROWS)]
+def band_keys(sets: list[np.ndarray]) -> list[list[int]]:
+    """For each set BANDS keys of BAND_ROWS smallest hashes each: sets of Jaccard s share a given key with chance s ** BAND_ROWS.
+
+    An empty set has no keys.
+    """
+    full = [own for own in sets if len(own)]
+    if not full:
+        return [[] for _ in sets]
+    values, starts = np.concatenate(full), np.cumsum([0, *map(len, full)])[:-1]
+    least, mixed = np.empty((len(MIX), len(full)), np.uint64), np.empty_like(values)
+    for row, flip, mix in zip(least, FLIP, MIX):
+        np.bitwise_xor(values, flip, out=mixed)
+        np.multiply(mixed, mix, out=mixed)
+        np.minimum.reduceat(mixed, starts, out=row)
+    keys = ([_digest(part) for part in own.reshape(BANDS, BAND_ROWS)] for own in least.T)
+    return [next(keys) if len(own) else [] for own in sets]
 
 
 def similar_links(sets: list[np.ndarray], similar: float = SIMILAR) -> list[tuple[int, int]]:
@@ -210,11 +217,11 @@ def profiles(docs: DataFrame) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(ids: list, texts: list, bodies: list) -> Iterable[tuple]:
-        for doc_id, text, body in zip(ids, texts, bodies):
-            hashes = shingle_hashes(text, STAGE_SHINGLE)
-            own = np.unique(np.array(hashes, np.uint64))
-            # of the distinct shingles: one fingerprint a node
-            yield doc_id, body, _digest(own), _signed(print_of(own)), band_keys(own)
+        for at in range(0, len(ids), TOGETHER):
+            sets = [shingle_set(text) for text in texts[at : at + TOGETHER]]
+            for doc_id, body, own, keys in zip(ids[at : at + TOGETHER], bodies[at : at + TOGETHER], sets, band_keys(sets)):
+                # of the distinct shingles: one fingerprint a node
+                yield doc_id, body, _digest(own), _signed(print_of(own)), keys
 
     return map_rows(rows, run, f"doc_id {kind}, body bigint, node bigint, fp bigint, bands array<bigint>")
 
@@ -235,7 +242,7 @@ def near_prints(nodes: DataFrame) -> DataFrame:
 def verified_links(docs: DataFrame, nodes: DataFrame, block: int = MEMBERS) -> DataFrame:
     """(a, b) links that connect the nodes (node, body, fp, bands) which link by SimHash or share a band and are similar by their shingles."""
     keyed = nodes.select("node", F.posexplode("bands").alias("slot", "value"))
-    key = Window.partitionBy("slot", "value")
+    key = Window.partitionBy("value", "slot")
     shared = (
         keyed.withColumn("n", F.count(F.lit(1)).over(key)).where("n > 1")
         .withColumn("mine", F.floor((F.row_number().over(key.orderBy("node")) - 1) / block).cast("int"))
@@ -280,6 +287,6 @@ def similar_documents(docs: DataFrame, block: int = MEMBERS) -> DataFrame:
 
 def drop_near(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component of similar documents (its smallest id); columns unchanged."""
-    groups = similar_documents(docs)
-    ids = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id")).distinct()
-    return keep_rows(docs, ids, "left_semi")
+    stays = F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays")
+    ids = similar_documents(docs).groupBy(F.col("doc_id").alias("id")).agg(stays)
+    return keep_rows(docs, ids.where("not stays").select("id"), "left_anti")  # those that go are fewer

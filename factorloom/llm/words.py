@@ -10,8 +10,8 @@ from tokenizers import Tokenizer
 
 from factorloom.llm.common import one_per_worker
 
-#: Chunks a worker remembers before it starts afresh (about 40 MB).
-REMEMBERED = 150_000
+#: Chunks a worker remembers before they become the older ones, which stay until there are as many new ones (about 40 MB in all).
+REMEMBERED = 75_000
 #: Texts of these characters alone may be cut at white space; any other text goes through the tokenizer as a whole.
 PLAIN = re.compile("[\\t\\n\\r -~¡-©«-±´¶-¸»¿-įı-ſ–—‘-”…€]*")
 #: Pieces of a lower-case chunk, as the word tokenizer splits them (fixed values).
@@ -33,15 +33,22 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = byte_letters()
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, chunk: str) -> bytes:
-        ids: list[int] = []
-        for piece in PIECES.findall(chunk):
-            shown = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-            ids += [t.id for t in self.model.tokenize(shown)]
+        if (out := self.older.get(chunk)) is not None:
+            self[chunk] = out
+            return out
+        pieces = PIECES.findall(chunk)
+        if pieces == [chunk]:
+            shown = chunk if chunk.isascii() else "".join(map(self.letters.__getitem__, chunk.encode()))
+            out = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+        else:  # a word is met with many signs around it
+            out = b"".join(map(self.__getitem__, pieces))
         if len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
-        self[chunk] = out = np.array(ids, "<u4").tobytes()
+        self[chunk] = out
         return out
 
     def encode(self, text: str) -> bytes:
