@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from factorloom.llm.common import map_rows, pick, release, slices
+from factorloom.llm.common import map_rows, pick, release, slices, word_numbers
 from factorloom.llm.language import fold
 from factorloom.session import stored
 
@@ -74,24 +75,12 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-class Numbers(dict):
-    """Numbers of the words of one slice of texts; START is 0."""
-
-    def __init__(self) -> None:
-        self[START] = 0
-
-    def __missing__(self, word: str) -> int:
-        number = self[word] = len(self)
-        return number
-
-    def of(self, text: str | None) -> np.ndarray:
-        words = words_of(text)
-        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
-
-    def hashes(self) -> np.ndarray:
-        """The hash of every word, by number."""
-        own = (xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42) >> (64 - HASH_BITS) for w in self)
-        return np.fromiter(own, np.uint64, len(self))
+def numbered(texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The words of each text of a slice as numbers, and the hash of every word by number; START is 0."""
+    numbers, sizes, words = word_numbers(texts, digits=False)
+    digests = map(xxhash.xxh64_intdigest, [START, *words], repeat(42))
+    hashes = np.fromiter(digests, np.uint64, len(words) + 1) >> np.uint64(64 - HASH_BITS)
+    return np.split(numbers + 1, np.cumsum(sizes)[:-1]), hashes
 
 
 def bit_filter(keys: DataFrame) -> np.ndarray:
@@ -216,10 +205,10 @@ def blocks(rows: DataFrame, buckets: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for toxic, texts in slices(batches):
-            numbers, sides = Numbers(), {True: [], False: []}
-            for kind, text in zip(toxic, texts):
-                sides[kind].append(numbers.of(text))
-            h = numbers.hashes()
+            own, h = numbered(texts)
+            sides = {True: [], False: []}
+            for kind, words in zip(toxic, own):
+                sides[kind].append(words)
             for kind, parts in sides.items():
                 if not any(map(len, parts)):
                     continue
@@ -319,7 +308,8 @@ def look_up(keys: np.ndarray, counts: np.ndarray, asked: np.ndarray) -> np.ndarr
     """Rows of counts of the asked keys, NaN where ``keys`` (sorted) lacks them."""
     if not len(keys):
         return np.full((len(asked), len(COUNTS)), np.nan)
-    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    order, at = np.argsort(asked), np.empty(len(asked), np.int64)
+    at[order] = np.minimum(np.searchsorted(keys, asked[order]), len(keys) - 1)  # near keys in turn: fewer cache misses
     return np.where((keys[at] == asked)[:, None], counts[at], np.nan)
 
 
@@ -329,9 +319,7 @@ def pair_keys(h: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 def unknown_keys(texts: list[str | None], model: dict) -> Iterator[np.ndarray]:
     """For each text the keys that the held counts lack and the other rows may have."""
-    numbers = Numbers()
-    own = [numbers.of(text) for text in texts]
-    h = numbers.hashes()
+    own, h = numbered(texts)
 
     def lacking(keys: np.ndarray) -> np.ndarray:
         out = may_hold(model["filter"], keys)
@@ -350,9 +338,7 @@ def evidence(texts: list[str | None], model: dict, told: list[list]) -> Iterator
 
     ``told`` holds the rows (key, counts) that the texts asked for.  What concerns one word is computed once for the slice.
     """
-    numbers = Numbers()
-    own = [numbers.of(text) for text in texts]
-    h = numbers.hashes()
+    own, h = numbered(texts)
     tables = [(model["keys"], model["counts"], model["bits"])]
     answers = {r["key"]: [r[c] for c in COUNTS] for rows in told for r in rows}
     if answers:

@@ -6,9 +6,10 @@ from itertools import chain
 
 import numpy as np
 import public_tokenizers
+import xxhash
 from tokenizers import Tokenizer
 
-from factorloom.llm import common, exact, simhash, words
+from factorloom.llm import common, exact, simhash, toxicity, words
 
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
@@ -59,3 +60,13 @@ def test_band_keys_of_sets_together():
         least = [((own ^ flip) * mix).min() for flip, mix in zip(simhash.FLIP, simhash.MIX)] if len(own) else []
         assert keys == [simhash._digest(np.array(least[i : i + 6])) for i in range(0, len(least), 6)]
     assert simhash.band_keys([]) == [] and simhash.band_keys([sets[1]]) == [[]]
+
+
+def test_toxicity_numbers_words_by_slices():
+    """Numbers and hashes of a slice give each text's words and their hashes, whatever stands beside it."""
+    texts = ["The dog, the CAT", None, "x9y ²٣ über", "", "dog_dog"]
+    own, hashes = toxicity.numbered(texts)
+    plain = lambda w: xxhash.xxh64_intdigest(w.encode(), 42) >> (64 - toxicity.HASH_BITS)
+    assert [hashes[ids].tolist() for ids in own] == [[plain(w) for w in toxicity.words_of(t)] for t in texts]
+    assert hashes[0] == plain(toxicity.START) and all(0 not in ids for ids in own)
+    assert [ids.tolist() for ids in toxicity.numbered([None])[0]] == [[]]
